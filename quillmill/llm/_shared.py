@@ -80,3 +80,8 @@ def ranged_prefix(df: DataFrame, order: list[str], amount: str, within: list[str
         .withColumn("__index", F.col("__rows_at") + F.col("__row") - 1)
         .drop("__part_at", "__sum_at", "__rows_at", "__row", "__run", "__tie", "__part", *[f"__w{i}" for i in range(len(within))])
     )
+
+
+def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether CRC-32 of the id as text (null: empty text) leaves ``remainder``."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

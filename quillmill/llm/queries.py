@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, line_dedup, sharding
+from quillmill.llm import exact_dedup, langid, line_dedup, sharding
+from quillmill.llm._shared import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    trees = langid.learn(docs, "doc_id", "text", "lang")
+    return langid.identify(docs.select("doc_id", "text"), trees).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays of each group of equal texts."""
     found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -71,6 +79,7 @@ FROM cut LEFT JOIN b USING (host)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
+        "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
