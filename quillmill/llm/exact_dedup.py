@@ -60,6 +60,7 @@ class DedupState:
             spark__sql__streaming__stateStore__providerClass=ROCKSDB,
             spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
             spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+            spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
             spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         ):
             fresh = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", self.bytes_per_batch).parquet(self.inbox)
