@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,16 @@ def ranged_prefix(df: DataFrame, order: list[str], amount: str, within: list[str
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether CRC-32 of the id as text (null: empty text) leaves ``remainder``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def blocks(texts: list, size: int = 4_000_000) -> Iterator[list]:
+    """Consecutive texts of length ``size`` together, or a single longer one."""
+    group, held = [], 0
+    for t in texts:
+        if group and held + len(t or "") > size:
+            yield group
+            group, held = [], 0
+        group.append(t)
+        held += len(t or "")
+    if group:
+        yield group

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmill.llm._shared import held_out
+from quillmill.llm._shared import blocks, held_out
 
 LETTER, ASCII_LETTER = regex.compile(r"\p{L}"), re.compile(rb"[A-Za-z]")
 #: Words whose code lengths a task keeps at most; then its table starts anew.
@@ -244,16 +244,3 @@ class WordPrices:
         if fresh:
             self.costs = np.concatenate([self.costs, self.trees.cost(fresh)])
             self.table.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
-
-
-def blocks(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes | None]]:
-    """Consecutive texts of ``size`` bytes together, or a single longer one."""
-    group, held = [], 0
-    for t in texts:
-        if group and held + len(t or b"") > size:
-            yield group
-            group, held = [], 0
-        group.append(t)
-        held += len(t or b"")
-    if group:
-        yield group

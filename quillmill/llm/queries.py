@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, langid, line_dedup, sharding
+from quillmill.llm import exact_dedup, langid, line_dedup, pieces, sharding
 from quillmill.llm._shared import held_out
 
 
@@ -25,6 +25,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"], digests_only=True)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -79,6 +84,7 @@ FROM cut LEFT JOIN b USING (host)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
