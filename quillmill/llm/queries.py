@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, langid, line_dedup, pieces, sharding
+from quillmill.llm import exact_dedup, langid, line_dedup, mixing, pieces, sharding
 from quillmill.llm._shared import held_out
 
 
@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by a mix of all sources that weigh 1, 2, 3 in turn."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of near equal bytes."""
     found = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
@@ -83,6 +88,7 @@ FROM cut LEFT JOIN b USING (host)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_source_mixing": op2_source_mixing,
         "op3_sharding": op3_sharding,
         "op6_sentencepiece": op6_sentencepiece,
         "op8_language_id": op8_language_id,
