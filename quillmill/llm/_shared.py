@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,3 +101,27 @@ def blocks(texts: list, size: int = 4_000_000) -> Iterator[list]:
         held += len(t or "")
     if group:
         yield group
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal keys, one at a time, from batches sorted by them."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if held and a == 0 and any(held[0].column(k)[0].as_py() != part.column(k)[0].as_py() for k in keys):
+                yield pa.concat_tables(held)
+                held = []
+            elif held and a > 0:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)

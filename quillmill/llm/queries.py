@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import exact_dedup, langid, line_dedup, mixing, pieces, sharding
+from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, pieces, sharding
 from quillmill.llm._shared import held_out
 
 
@@ -35,6 +35,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"], digests_only=True)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return cap_filters.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_sharding": op3_sharding,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
