@@ -125,3 +125,32 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             held.append(part)
     if held:
         yield pa.concat_tables(held)
+
+
+def shares_earlier(lists, here: int) -> np.ndarray | None:
+    """A row for each list and a column for each number below ``here`` that two of them hold."""
+    sizes = [len(x) for x in lists]
+    flat, row = np.concatenate([np.asarray(x, np.int64) for x in lists]), np.repeat(np.arange(len(sizes)), sizes)
+    below = flat < here
+    flat, row = flat[below], row[below]
+    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    if not shared.any():
+        return None
+    column = np.cumsum(counts > 1) - 1
+    out = np.zeros((len(sizes), int(column[-1]) + 1), np.float32)
+    out[row[shared], column[inverse[shared]]] = 1
+    return out
+
+
+def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node of its component under the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import partitions, sorted_groups, stage
+from quillmill.llm._shared import partitions, shares_earlier, sorted_groups, spanning_forest, stage
 from quillmill.llm.components import components
 
 #: Vectors of a filter that are compared in one task at most; larger filters are cut into parts.
@@ -197,36 +197,10 @@ def _links(group: pa.Table, dim: int, min_cosine: float) -> pa.RecordBatch | Non
     if not len(i):
         return None
     lists = group.column("filters").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
-    earlier = _shares_earlier(lists, first["filter"])
+    earlier = shares_earlier(lists, first["filter"])
     fresh = ~(earlier[left] @ earlier[right].T > 0)[i, j] if earlier is not None else np.ones(len(i), bool)
     x, y = left[i[fresh]], right[j[fresh]]
     n = (np.bincount(x, copies[y], len(u)) + np.bincount(y, copies[x], len(u))).astype(np.int64)
     tree = spanning_forest(left[i], right[j], len(u))
     told = np.flatnonzero((n > 0) | (tree != np.arange(len(u))))
     return pa.RecordBatch.from_arrays([pa.array(u[told]), pa.array(n[told]), pa.array(u[tree[told]])], names=["u", "n", "b"])
-
-
-def _shares_earlier(lists: np.ndarray, here: int) -> np.ndarray | None:
-    """A row for each list and a column for each number below ``here`` that two of them hold."""
-    row, place = np.nonzero(lists < here)
-    values, inverse, counts = np.unique(lists[row, place], return_inverse=True, return_counts=True)
-    shared = counts[inverse] > 1
-    if not shared.any():
-        return None
-    column = np.cumsum(counts > 1) - 1
-    out = np.zeros((len(lists), int(column[-1]) + 1), np.float32)
-    out[row[shared], column[inverse[shared]]] = 1
-    return out
-
-
-def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node of its component under the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            return label

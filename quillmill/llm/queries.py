@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, pieces, sharding
+from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding
 from quillmill.llm._shared import held_out
 
 
@@ -19,6 +19,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a Jaccard similarity of 0.8 on five words."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+#: Exact: all pairs that share an n-gram, and classes by repeated minima.
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'),
+         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents
+), grams AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gs FROM w
+), sets AS (SELECT min(doc_id) AS rep, gs, count(*) AS copies FROM (SELECT doc_id, list_sort(gs) AS gs FROM grams) WHERE len(gs) > 0 GROUP BY gs),
+flat AS (SELECT rep, hash(unnest(gs)) AS g FROM sets),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS inter FROM flat a JOIN flat b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+pairs AS (SELECT a, b FROM shared JOIN sets sa ON sa.rep = a JOIN sets sb ON sb.rep = b WHERE inter >= 0.8 * (len(sa.gs) + len(sb.gs) - inter) - 1e-9),
+sym AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+cls AS (SELECT a, least(a, min(b)) AS class_id FROM reach GROUP BY a),
+deg AS (SELECT a, sum(copies)::BIGINT AS n FROM sym JOIN sets ON sets.rep = b GROUP BY a)
+SELECT g.doc_id, coalesce(s.rep, g.doc_id) AS rep_id, coalesce(c.class_id, s.rep, g.doc_id) AS class_id,
+       coalesce(s.copies - 1, 0) + coalesce(d.n, 0) AS n_links
+FROM (SELECT doc_id, list_sort(gs) AS gs FROM grams) g LEFT JOIN sets s ON s.gs = g.gs LEFT JOIN cls c ON c.a = s.rep LEFT JOIN deg d ON d.a = s.rep
+"""
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by a mix of all sources that weigh 1, 2, 3 in turn."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -93,6 +120,7 @@ FROM cut LEFT JOIN b USING (host)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_source_mixing": op2_source_mixing,
         "op3_sharding": op3_sharding,
         "op6_sentencepiece": op6_sentencepiece,
@@ -104,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
