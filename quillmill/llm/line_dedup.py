@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm._shared import stage
+
+#: Boilerplate lines (two hashes each) that are sent to every executor at most.
+BROADCAST_BYTES = 16 << 20
+
 
 def page_lines(html: Column) -> Column:
     """Lines of visible text: scripts, styles and comments go, block tags break lines.
@@ -47,8 +52,10 @@ def drop_site_lines(
     Lines travel as two 64-bit hashes, one row for each page and distinct line,
     summed before the shuffle, so a line or host that everyone has is no hot
     key. A host has at most (mean distinct lines of a page) / ``max_ratio``
-    boilerplate lines; they return to the pages as one array for each host by a
-    join that adaptive execution may split, and no line is exploded again.
+    boilerplate lines; they return to the pages as one array for each host, and
+    no line is exploded again. Arrays of ``BROADCAST_BYTES`` together at most,
+    which a count shows first, are broadcast and pages stay where they are;
+    larger ones meet the pages in a join that adaptive execution may split.
 
     Returns ``id_col, host, n_lines, n_dropped, text`` for every page, with the
     kept lines joined by line feeds (an empty string if none is left). Null
@@ -65,16 +72,19 @@ def drop_site_lines(
         .filter(F.col("__n") > max_ratio * min_pages)
     )
     totals = sited.groupBy("__host").agg(F.count("*").alias("__total")).filter(F.col("__total") >= min_pages)
-    boiler = (
+    boiler = stage(
         counts.join(totals, "__host")
         .filter(F.col("__n") / F.col("__total") > max_ratio)
         .groupBy("__host")
-        .agg(F.collect_list(F.struct("a", "b")).alias("__boiler"))
+        .agg(F.collect_list(F.struct("a", "b")).alias("__boiler")),
+        "site-lines",
     )
+    held = boiler.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("__boiler")), F.lit(0)).alias("lines")).collect()[0]
+    small = held["hosts"] * 64 + held["lines"] * 16 <= BROADCAST_BYTES
     known = F.coalesce(F.col("__boiler"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
     kept = F.filter("__lines", lambda x: ~F.array_contains(known, F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
     return (
-        base.join(boiler, "__host", "left")
+        base.join(F.broadcast(boiler) if small else boiler, "__host", "left")
         .withColumn("__kept", F.when(F.col("__boiler").isNull(), F.col("__lines")).otherwise(kept))
         .select(
             F.col("__id").alias(id_col),
