@@ -94,11 +94,11 @@ def blocks(texts: list, size: int = 4_000_000) -> Iterator[list]:
     """Consecutive texts of length ``size`` together, or a single longer one."""
     group, held = [], 0
     for t in texts:
-        if group and held + len(t or "") > size:
+        if group and held + (0 if t is None else len(t)) > size:
             yield group
             group, held = [], 0
         group.append(t)
-        held += len(t or "")
+        held += 0 if t is None else len(t)
     if group:
         yield group
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding
+from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree
 from quillmill.llm._shared import held_out
 
 
@@ -57,6 +57,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole documents under a suffix tree of the rows that are not held out."""
+    return suffix_tree.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"], digests_only=True)
@@ -123,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_source_mixing": op2_source_mixing,
         "op3_sharding": op3_sharding,
+        "op4_lm_scoring": op4_lm_scoring,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_language_id": op8_language_id,
