@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree
+from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree, toxicity
 from quillmill.llm._shared import held_out
 
 
@@ -62,6 +62,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, scorer)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return pieces.encode_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"], digests_only=True)
@@ -129,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_source_mixing": op2_source_mixing,
         "op3_sharding": op3_sharding,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_toxicity": op5_toxicity,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_language_id": op8_language_id,
