@@ -1,20 +1,52 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage works on all that the one before kept. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import exact_dedup
+from quillmill.llm import exact_dedup, langid, mixing, ngram_join, pieces
 from quillmill.llm._shared import stage
 
 
-def _dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: that with the largest id."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or without a letter) go."""
+    return langid.keep_identified(docs, langid.learn(docs, "doc_id", "text", "lang"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", _dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a class of documents similar on five words the one with the smallest id stays."""
+    return ngram_join.keep_one_of_each_class(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document and the digests of ids and decoded text."""
+    coded = pieces.encode_documents(docs, keep=["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("source mixing", mix),
+    ("SentencePiece encoding", encode),
+]
 
+#: Two stages (language ID, SentencePiece) have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

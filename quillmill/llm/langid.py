@@ -244,3 +244,9 @@ class WordPrices:
         if fresh:
             self.costs = np.concatenate([self.costs, self.trees.cost(fresh)])
             self.table.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
+
+
+def keep_identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with their own columns only."""
+    marked = identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score", "bits")}), trees, id_col, text_col)
+    return marked.filter(F.col("lang_pred") != "und").select(*[F.col(f"`__own_{c}`").alias(c) if c in ("lang_pred", "score", "bits") else F.col(f"`{c}`") for c in docs.columns])

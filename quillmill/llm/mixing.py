@@ -126,7 +126,6 @@ def plan_mix(totals: list[tuple[str | None, int]], weights: list[float], block:
 
 def mix_sources(
     docs: DataFrame,
-    weights: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -187,3 +186,15 @@ def mix_sources(
         taken.cast("long").alias("taken"),
         F.when(F.col("__size") > 0, F.floor(taken / F.col("__size") + draw)).otherwise(0).cast("int").alias("copies"),
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents of a mix, with all their columns: each row as often as the mix takes it.
+
+    Rows of one id and size (repeated rows) are each taken as often as the one
+    taken least. Documents that the mix does not take are left out.
+    """
+    plan = mix_sources(docs, id_col=id_col, text_col=text_col, **how).groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__n")).agg(F.min("copies").alias("__copies"))
+    rows = docs.withColumn("__words", n_words(F.col(text_col)))
+    taken = rows.join(plan.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__n")))
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
