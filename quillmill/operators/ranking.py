@@ -47,41 +47,49 @@ def min_max(score: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (score - low) / (high - low)).otherwise(flat)
 
 
-def rank_units(df: DataFrame, sim: str, source: str, preferred: Column, ordinal: str, weight: float = 0.88, penalty: float = 0.15, digits: int = 6) -> DataFrame:
+def rank_units(df: DataFrame, sim: str, source: str, preferred: Column, weight: float = 0.88, penalty: float = 0.15, digits: int = 6) -> DataFrame:
     """Mixed score of similarity and scaled source score, less a penalty outside the preferred class.
 
-    Adds ``source_norm``, ``score`` (rounded) and ``rank`` by (score, sim, source) descending, then input order.
+    Adds ``source_norm`` and ``score`` (rounded); ``unit_order`` ranks the rows.
     """
     bounds = df.agg(F.min(source).alias("__low"), F.max(source).alias("__high"))
     scaled = df.crossJoin(F.broadcast(bounds)).withColumn("source_norm", min_max(F.col(source), F.col("__low"), F.col("__high")))
-    mixed = scaled.withColumn("score", F.round(weight * F.col(sim) + (1 - weight) * F.col("source_norm") - F.when(preferred, 0.0).otherwise(penalty), digits))
-    # the ranks are asked for by a global order: one task numbers the ranked candidates of one query
-    order = Window.orderBy(F.desc("score"), F.desc(F.round(F.col(sim), digits)), F.desc("source_norm"), F.col(ordinal))
-    return mixed.withColumn("rank", F.row_number().over(order)).drop("__low", "__high")
+    mixed = weight * F.col(sim) + (1 - weight) * F.col("source_norm") - F.when(preferred, 0.0).otherwise(penalty)
+    return scaled.withColumn("score", F.round(mixed, digits)).drop("__low", "__high")
+
+
+def unit_order(sim: str, ordinal: str, digits: int = 6) -> list[Column]:
+    """The rank of units: rounded score, rounded similarity and source score descending, then input order."""
+    return [F.desc("score"), F.desc(F.round(F.col(sim), digits)), F.desc("source_norm"), F.col(ordinal)]
+
+
+def top(df: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    """The first ``k`` rows, numbered: only they meet in one task."""
+    return df.orderBy(*order).limit(k).withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
 def class_cap(k: int, classes: int) -> int:
     return k if classes <= 1 else min(4, max(1, -(-k // classes)))
 
 
-def diversified(df: DataFrame, group: str, sim: str, rank: str, k: int, cap: int, min_sim: float = 0.02) -> DataFrame:
+def diversified(df: DataFrame, group: str, sim: str, order: list[Column], k: int, cap: int, min_sim: float = 0.02) -> DataFrame:
     """W3 (CF1): top k in three passes: similar under the class cap, the rest under the cap, no cap."""
     weak = F.col(sim) < min_sim
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(weak, rank))
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(weak, *order))
     tiers = df.withColumn("tier", F.when(rn > cap, 3).when(weak, 2).otherwise(1))
-    return tiers.orderBy("tier", rank).limit(k)
+    return tiers.orderBy("tier", *order).limit(k)
 
 
-def rank_factors(df: DataFrame, unit: str, kind: str, rank: str, cap: int, n: int) -> DataFrame:
+def rank_factors(df: DataFrame, unit: str, kind: str, order: list[Column], cap: int, n: int) -> DataFrame:
     """W4 (CF2): per-unit cap with a slot kept for each type not yet seen, then the first n."""
     typed = F.coalesce(F.trim(F.col(kind)), F.lit("")) != ""
-    first = typed & (F.row_number().over(Window.partitionBy(unit, kind).orderBy(rank)) == 1)
+    first = typed & (F.row_number().over(Window.partitionBy(unit, kind).orderBy(*order)) == 1)
     marked = df.withColumn("__first", first)
     kinds = marked.groupBy(unit).agg(F.count_if("__first").alias("__kinds"))
-    by = Window.partitionBy(unit, "__first").orderBy(rank)
+    by = Window.partitionBy(unit, "__first").orderBy(*order)
     counted = marked.withColumn("__no", F.row_number().over(by)).join(kinds, unit)
     room = F.when(F.col("__first"), F.lit(cap)).otherwise(F.greatest(F.lit(0), F.lit(cap) - F.col("__kinds")))
-    return counted.filter(F.col("__no") <= room).drop("__no", "__kinds", "__first").orderBy(rank).limit(n)
+    return counted.filter(F.col("__no") <= room).drop("__no", "__kinds", "__first").orderBy(*order).limit(n)
 
 
 def balanced(df: DataFrame, kind: str, order: str, kinds: list[str], limit: int) -> DataFrame:

@@ -45,7 +45,11 @@ def _similar(spark, d):
 def ranked_units(spark, d):
     """Parts as units ranked against the first part's text; classes are brands."""
     units = table(spark, d, "part").join(_similar(spark, d), "p_partkey").withColumn("sim", F.round("sim", 6))
-    return R.rank_units(units, "sim", "p_retailprice", F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), "p_partkey")
+    return R.rank_units(units, "sim", "p_retailprice", F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+
+
+def order():
+    return R.unit_order("sim", "p_partkey")
 
 
 @query("x5_char_ngrams", f"""
@@ -63,14 +67,14 @@ def x6(spark, d):
 
 @query("w2_rank_units", f"WITH {UNITS} SELECT p_partkey, score, rank FROM ranked WHERE rank <= 100")
 def w2(spark, d):
-    return ranked_units(spark, d).filter("rank <= 100").select("p_partkey", "score", F.col("rank").cast("long").alias("rank"))
+    return R.top(ranked_units(spark, d), order(), 100).select("p_partkey", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("w3_diversified_topk", f"""WITH {UNITS},
 t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY sim < 0.02, rank) AS rn FROM ranked)
 SELECT p_partkey, p_brand, tier FROM (SELECT *, CASE WHEN rn > 2 THEN 3 WHEN sim < 0.02 THEN 2 ELSE 1 END AS tier FROM t) ORDER BY tier, rank LIMIT 12""")
 def w3(spark, d):
-    return R.diversified(ranked_units(spark, d), "p_brand", "sim", "rank", 12, R.class_cap(24, 12)).select("p_partkey", "p_brand", "tier")
+    return R.diversified(ranked_units(spark, d), "p_brand", "sim", order(), 12, R.class_cap(24, 12)).select("p_partkey", "p_brand", "tier")
 
 
 @query("w4_rank_factors", f"""WITH {UNITS},
@@ -78,7 +82,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY rank) =
 n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, first ORDER BY rank) AS no, count(*) FILTER (first) OVER (PARTITION BY p_brand) AS kinds FROM f)
 SELECT p_partkey, p_brand, p_type FROM n WHERE no <= CASE WHEN first THEN 8 ELSE greatest(0, 8 - kinds) END ORDER BY rank LIMIT 60""")
 def w4(spark, d):
-    return R.rank_factors(ranked_units(spark, d), "p_brand", "p_type", "rank", 8, 60).select("p_partkey", "p_brand", "p_type")
+    return R.rank_factors(ranked_units(spark, d), "p_brand", "p_type", order(), 8, 60).select("p_partkey", "p_brand", "p_type")
 
 
 @query("w5_balanced_types", """
