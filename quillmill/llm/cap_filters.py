@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import partitions, shares_earlier, sorted_groups, spanning_forest, stage
+from quillmill.llm._shared import partitions, released, shares_earlier, sorted_groups, spanning_forest, stage
 from quillmill.llm.components import components
 
 #: Vectors of a filter that are compared in one task at most; larger filters are cut into parts.
@@ -157,7 +157,7 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["u", "v", "copies", "filters"])
 
-    listed = stage(groups.select("u", "v", "copies").mapInArrow(assign, f"u long, v {groups.schema['v'].dataType.simpleString()}, copies long, filters array<long>"), "vector-filters")
+    listed = stage(groups.select("u", "v", "copies").mapInArrow(lambda batches: released(assign(batches)), f"u long, v {groups.schema['v'].dataType.simpleString()}, copies long, filters array<long>"), "vector-filters")
     sizes = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("m")).filter("m > 1")
     members = listed.select("u", "v", "copies", "filters", F.explode("filters").alias("filter")).join(sizes, "filter")
     parts = F.ceil(F.col("m") / PART).cast("int")
@@ -177,7 +177,7 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
                 yield found
 
     found = stage(
-        dealt.repartition(partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, n long, b long"),
+        dealt.repartition(partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: released(compare(batches)), "u long, n long, b long"),
         "vector-links",
     )
     return found.filter("n > 0").select("u", "n"), found.filter("u <> b").select(F.col("u").alias("a"), "b").distinct()

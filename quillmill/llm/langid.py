@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmill.llm._shared import blocks, held_out
+from quillmill.llm._shared import blocks, held_out, released, small_batches
 
 LETTER, ASCII_LETTER = regex.compile(r"\p{L}"), re.compile(rb"[A-Za-z]")
 #: Words whose code lengths a task keeps at most; then its table starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 
 
 @dataclass
@@ -96,8 +96,8 @@ def context_counts(words: Counter, order: int) -> pd.DataFrame:
     """(k, key, n): how often each context of k bytes is followed by each byte."""
     parts = []
     items = list(words.items())
-    for i in range(0, len(items), 50_000):
-        block = items[i : i + 50_000]
+    for i in range(0, len(items), 20_000):
+        block = items[i : i + 20_000]
         names = [w for w, _ in block]
         sizes = np.fromiter(map(len, names), np.int64, len(names)) + 2
         weight = np.repeat(np.array([n for _, n in block], np.int64), sizes)
@@ -161,6 +161,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int
     usable = docs.filter(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col), modulus, remainder)
     )
+    small_batches(docs.sparkSession)
     there = usable.count()
     share = 1.0 if there <= sample_rows else sample_rows / there
     # 31 bits of a hash against the share
@@ -176,7 +177,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int
 
     counted = (
         chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-        .mapInPandas(count, "lang string, k int, key long, n long")
+        .mapInPandas(lambda batches: released(count(batches)), "lang string, k int, key long, n long")
         .groupBy("lang", "k", "key")
         .agg(F.sum("n").alias("n"))
     )
@@ -193,9 +194,10 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     null bits. Whole texts are read. Other columns pass through;
     columns of the three added names are replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     added = {"lang_pred": "string", "score": "double", "bits": "double"}
-    kept = [f for f in docs.schema.fields if f.name not in added]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in added]
     schema = StructType([*kept, *(StructField(c, kind()) for c, kind in (("lang_pred", StringType), ("score", DoubleType), ("bits", DoubleType)))])
     place = [f.name for f in kept].index(text_col)
 
@@ -213,7 +215,7 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
             extra = [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *added])
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(score, schema)
+    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(lambda batches: released(score(batches)), schema)
 
 
 def has_letter(text: bytes) -> bool:
@@ -242,7 +244,7 @@ class WordPrices:
     def _price(self, words: set[bytes]) -> None:
         fresh = [w for w in words if w not in self.table]
         if fresh:
-            self.costs = np.concatenate([self.costs, self.trees.cost(fresh)])
+            self.costs = np.concatenate([self.costs, *(self.trees.cost(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000))])
             self.table.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
 
 

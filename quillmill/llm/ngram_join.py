@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import blocks, partitions, shares_earlier, sorted_groups, spanning_forest, stage
+from quillmill.llm._shared import blocks, partitions, released, shares_earlier, small_batches, sorted_groups, spanning_forest, stage
 from quillmill.llm.components import components
 
 #: Documents of a unit that meet in one task at most are twice this number.
@@ -19,7 +19,7 @@ PART = 1024
 #: Rows of (id, key) that are sent to every executor at most; beyond that, a shuffle.
 BROADCAST_IDS = 200_000
 #: Distinct words whose hashes a task keeps at most; then its table starts anew.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 
 
 def bands_for(similarity: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -116,6 +116,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands, rows = bands_for(similarity, recall)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     width = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, hasher = Shingler(n), BandHasher(bands, rows)
@@ -131,7 +132,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             )
 
     id_type = source.schema["id"].dataType.simpleString()
-    sketches = stage(source.mapInArrow(sketch, f"id {id_type}, key binary, size long, bands array<long>"), "ngram-sketches")
+    sketches = stage(source.mapInArrow(lambda batches: released(sketch(batches)), f"id {id_type}, key binary, size long, bands array<long>"), "ngram-sketches")
     reps = stage(
         sketches.filter("key is not null")
         .groupBy("key")
@@ -200,7 +201,7 @@ def _verified(source: DataFrame, reps: DataFrame, units: DataFrame, n: int, simi
                 yield made.filter(right)  # ids that repeat with another text
 
     texts = source.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("rep"))).select("text", "u", "key", "copies")
-    sets = texts.mapInArrow(shingle, "u long, copies long, grams binary")
+    sets = texts.mapInArrow(lambda batches: released(shingle(batches)), "u long, copies long, grams binary")
     parts = F.ceil(F.col("m") / PART).cast("int")
     dealt = (
         sets.join(units, "u")
@@ -218,7 +219,7 @@ def _verified(source: DataFrame, reps: DataFrame, units: DataFrame, n: int, simi
             if found is not None:
                 yield found
 
-    found = stage(dealt.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, n long, b long"), "ngram-links")
+    found = stage(dealt.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: released(compare(batches)), "u long, n long, b long"), "ngram-links")
     return found.filter("n > 0").select("u", "n"), found.filter("u <> b").select(F.col("u").alias("a"), "b").distinct()
 
 

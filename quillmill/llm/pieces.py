@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillmill.llm._shared import blocks
+from quillmill.llm._shared import blocks, released, small_batches
 
 MARK = "▁"
 #: Distinct chunks that a task keeps at most; then its table starts anew.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 150_000
 #: Chunks beyond this length are segmented where they stand and not kept.
 LONG_CHUNK = 200
 
@@ -97,9 +97,10 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
         model_file = public_tokenizers.path("piece_bpe_32k.model")
     with open(model_file, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     texts = [] if digests_only else ["ids", "decoded"]
     added = ["n_tokens", *texts, "ids_sha256", "decoded_sha256"]
-    kept = [f for f in docs.schema.fields if f.name not in added and (keep is None or f.name in keep)]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in added and (keep is None or f.name in keep)]
     schema = StructType([*kept, *(StructField(c, LongType() if c == "n_tokens" else StringType()) for c in added)])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,4 +123,4 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*batch.schema.names[:-1], *added])
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return source.mapInArrow(code, schema)
+    return source.mapInArrow(lambda batches: released(code(batches)), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmill.llm._shared import held_out, stage
+from quillmill.llm._shared import held_out, released, small_batches, stage
 
 #: Written by hand: words that insult or threaten, a lexicon for each group.
 SEED_LEXICONS: dict[str, tuple[str, ...]] = {
@@ -261,8 +261,9 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
     text without features. Other columns pass through; a column ``score`` is
     replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
     place = [f.name for f in kept].index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
             scores = [reader.score(t or "") for t in batch.column(place).cast(pa.large_string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(score, StructType([*kept, StructField("score", DoubleType())]))
+    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(lambda batches: released(score(batches)), StructType([*kept, StructField("score", DoubleType())]))
 
 
 class Reader:
