@@ -9,20 +9,21 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; not symmetric, and common characters of long texts are skipped. Null counts as empty."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else t.casefold())
 
@@ -46,7 +47,7 @@ def _repaired(text: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(c: pd.Series) -> pd.Series:
     """Of a text and its re-decodings the one with most Hangul; the text itself on a tie."""
     return c.map(_repaired)
@@ -67,7 +68,7 @@ def stemmer(suffixes: tuple[str, ...], least: int = 2):
             else:
                 return word
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(c: pd.Series) -> pd.Series:
         return c.map(stem)
 
@@ -78,7 +79,7 @@ def rewriter(rules: tuple[tuple[str, str], ...]):
     """A UDF that applies ordered (pattern, replacement) rules; with the number of the first that changed the text."""
     compiled = [(re.compile(p), r) for p, r in rules]
 
-    @F.pandas_udf("text string, rule int")
+    @F.pandas_udf(StructType([StructField("text", StringType()), StructField("rule", IntegerType())]))
     def run(c: pd.Series) -> pd.DataFrame:
         texts, used = [], []
         for t in c:
@@ -105,7 +106,7 @@ def has_final_consonant(word: str) -> bool:
 PARTICLES = (("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def replace_with_particle(text: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     """Replace a phrase and fit the particle that follows it."""
 
@@ -153,6 +154,6 @@ def _balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_slice(c: pd.Series) -> pd.Series:
     return c.map(_balanced)
