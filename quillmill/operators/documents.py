@@ -123,3 +123,38 @@ def absence_reason(df: DataFrame, doc: str, text: Column, label_count: Column) -
         .when(t.contains("|"), "table_without_label").when(~t.contains("\n"), "single_line").otherwise("no_heading")
     )
     return df.select(doc, reason.alias("reason"))
+
+
+def small_classes(df: DataFrame, doc: str, text: str, dictionary: DataFrame, anchor: Column, in_table: Column, synergy: float = 2.0, threshold: float = 3.0, most: int = 5) -> DataFrame:
+    """T4d: dictionary scores, more for labels that also stand in a table; those above the threshold, the best ``most``."""
+    scored = dictionary_scores(df, doc, text, dictionary, "alias", "label", "official", anchor, F.lit(False)).drop("confidence")
+    cells = lines(df, doc, text).filter(in_table).select(doc, F.explode(X.tokens(F.col("content"))).alias("alias")).join(dictionary, "alias").select(doc, "label").distinct().withColumn("__t", F.lit(synergy))
+    merged = scored.join(cells, [doc, "label"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("__t", F.lit(0.0)), 4)).drop("__t").filter(F.col("score") >= threshold)
+    return merged.withColumn("__rn", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))).filter(F.col("__rn") <= most).drop("__rn")
+
+
+def catalogue_counts(df: DataFrame, doc: str, text: str, names: DataFrame, name: str, most_names: int = 5000) -> DataFrame:
+    """T6d: occurrences of catalogue names in whole texts, and their confidence; the catalogue's size is checked."""
+    if names.limit(most_names + 1).count() > most_names:
+        raise ValueError(f"name counting is for catalogues of at most {most_names} names")
+    low = F.lower(X.text_or_empty(F.col(text)))
+    hits = df.select(doc, low.alias("__t")).join(F.broadcast(names), F.col("__t").contains(F.lower(F.col(name))))
+    counted = hits.select(doc, name, X.occurrences(F.col("__t"), F.lower(F.col(name))).cast("long").alias("times"))
+    return counted.withColumn("confidence", F.round(F.when(F.col("times") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.62), F.col("times") / 3))).otherwise(0.62), 4))
+
+
+def anchor_labels(df: DataFrame, doc: str, text: str, anchor: str, value: str) -> DataFrame:
+    """T7d: the value on an anchor line, or the next line if the anchor stands alone."""
+    by = Window.partitionBy(doc).orderBy("line")
+    rows = lines(df, doc, text).withColumn("__next", F.lead("content").over(by)).filter(F.col("content").rlike(anchor))
+    own = F.nullif(F.trim(F.regexp_extract("content", value, 1)), F.lit(""))
+    return rows.select(doc, "line", F.coalesce(own, F.col("__next")).alias("label"))
+
+
+def method_sections(df: DataFrame, doc: str, text: str, method: Column, signals: list[Column], fields: list[Column]) -> DataFrame:
+    """T12d: sections from one method marker to the next; a section counts one for each signal and two for each field that occurs; those above 0 are joined for each method."""
+    rows = lines(df, doc, text).withColumn("__m", method)
+    numbered = rows.withColumn("__no", F.count("__m").over(Window.partitionBy(doc).orderBy("line"))).filter("__no > 0")
+    score = sum((F.max(s.cast("int")) for s in signals), F.lit(0)) + sum((2 * F.max(f.cast("int")) for f in fields), F.lit(0))
+    found = numbered.groupBy(doc, "__no").agg(F.max("__m").alias("method"), F.count("*").alias("n_lines"), score.alias("score")).filter("score > 0")
+    return found.groupBy(doc, "method").agg(F.count("*").alias("sections"), F.sum("n_lines").alias("n_lines"))

@@ -67,4 +67,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from quillmill.plans import basics, matching, ranks, rollups  # noqa: E402, F401  they register their queries
+from quillmill.plans import basics, logs, matching, ranks, rollups, roundtrips, texts  # noqa: E402, F401  they register their queries
