@@ -452,3 +452,56 @@ def test_pipeline_stages(spark, tmp_path):
 def test_chunk_digest(spark):
     out = pieces.encode_documents(documents(spark), keep=["doc_id"], digests_only=True).collect()
     assert {r.ids_sha256 for r in out if r.doc_id == 3} == {hashlib.sha256(b"").hexdigest()}
+
+
+# whole results against plain models that follow the same order
+
+
+def test_mix_equals_a_plain_mix(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 90))), rng.choice(["b", "a", None, "é"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, seed = 16, 11
+    spread = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", mixing.n_words(F.col("text"))).alias("h")).collect()}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {i: len(t.split()) for i, t, _ in rows}
+    totals = [(s, sum(size[i] for i, _, x in rows if x == s)) for s in names]
+    plans = mixing.plan_mix(totals, [1.0, 2.0, 3.0, 1.0], block, seed=seed)
+    expected = {}
+    for p in plans:
+        at = 0
+        for i in sorted((i for i, _, s in rows if s == p.source), key=lambda i: (spread[i], i, size[i])):
+            taken = 0
+            for token in range(at, at + size[i]):
+                rank = (p.step * (token // block) + p.shift) % p.n_blocks
+                taken += sum(rank + k * p.n_blocks < p.quota for k in range(4))
+            at += size[i]
+            expected[i] = (p.size, taken)
+    got = {r.doc_id: (r.source_size, r.taken) for r in mixing.mix_sources(docs, block=block, seed=seed).collect()}
+    assert got == expected
+
+
+def test_shards_equal_a_plain_walk(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["same", "other " * 30, f"own {i} " * rng.randrange(1, 40)])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {r.doc_id: (r.h, zlib.crc32(dict(rows)[r.doc_id].encode()), len(dict(rows)[r.doc_id]) + 16, r.doc_id) for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    walk = sorted(order, key=order.get)
+    size = {i: len(t) + 16 for i, t in rows}
+    total, n = sum(size.values()), 6
+    before, at = {}, 0
+    for i in walk:
+        before[i] = at
+        at += size[i]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    expected, slots = {}, Counter()
+    for i in walk:
+        own = groups[dict(rows)[i]]
+        whole = len(own) * size[i] <= max(max(size.values()), 0.02 * total / n)
+        middle = min(before[j] for j in own) + len(own) * size[i] / 2 if whole else before[i] + size[i] / 2
+        shard = min(n - 1, int(middle * n // total))
+        expected[i] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(docs, n).collect()} == expected
