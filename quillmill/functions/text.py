@@ -214,7 +214,7 @@ def has_secret(c: Column) -> Column:
 
 def to_int(c: Column) -> Column:
     """An integer, or null if the text is none."""
-    return F.when(F.trim(c.cast("string")).rlike(r"^[+-]?[0-9]+$"), F.expr("1") * c.cast("string").try_cast("long"))
+    return F.when(F.trim(c.cast("string")).rlike(r"^[+-]?[0-9]+$"), F.trim(c.cast("string")).try_cast("long"))
 
 
 def to_bool(c: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.functions import text as X
 from quillmill.operators import documents as T
 from quillmill.operators import ranking as R
 from quillmill.sources import readers
