@@ -37,3 +37,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_k_is_taken_without_a_global_sort(spark):
     for name in ("w3_diversified_topk", "w9_recommend_postings", "a9_most_common"):
         assert "TakeOrderedAndProject" in plan(spark, name)
+
+
+def test_first_rows_are_cut_before_the_shuffle(spark):
+    for name in ("d1_first_wins", "w1_stratified_sample", "x4_requirements"):
+        assert plan(spark, name).count("WindowGroupLimit") == 2, name
