@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,48 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def _long_hash(value: str, seed: str) -> str:
+    """The 64-bit hash of a long as DuckDB SQL over unsigned 128-bit numbers (Spark's ``xxhash64`` of one more column)."""
+    m = f"{(1 << 64) - 1}::UHUGEINT"
+    # The primes of the hash.
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def spin(x: str, r: int) -> str:
+        return f"((({x} << {r}) & {m}) | ({x} >> {64 - r}))"
+
+    word = f"(({value})::UHUGEINT * {p2} & {m})"
+    mixed = f"xor(({seed} + {p5} + 8) & {m}, {spin(word, 31)} * {p1} & {m})"
+    return f"(SELECT xor(c, c >> 32) FROM (SELECT xor(b, b >> 29) * {p3} & {m} AS c FROM (SELECT xor(a, a >> 33) * {p2} & {m} AS b FROM (SELECT ({spin('h', 27)} * {p1} + {p4}) & {m} AS a FROM (SELECT {mixed} AS h)))))"
+
+
+def _mix_sql(block: int = 64, cap: int = 3, seed: int = 11, sources: int = 500) -> str:
+    """The mix in SQL. The hashes of the seeds 11 and 12, and the seeded draws of block orders."""
+    rng = np.random.default_rng(seed)
+    draws = [(int(rng.integers(1, 1 << 20)), int(rng.integers(0, 1 << 20))) for _ in range(sources)]
+    first, second = "890099540967675307::UHUGEINT", "72738756111436295::UHUGEINT"
+    return rf"""
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+h AS (SELECT *, {_long_hash('doc_id', first)} AS h1, {_long_hash('doc_id', second)} AS h2 FROM w),
+d AS (SELECT doc_id, source, size, {_long_hash('size', 'h1')} AS spread, {_long_hash('size', 'h2')} AS draw FROM h),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+v AS (SELECT *, (1 + i % 3)::DOUBLE AS w, sum(n) OVER ()::BIGINT AS total FROM s),
+c AS (SELECT *, row_number() OVER (ORDER BY n / w, i) AS k, (total - coalesce(sum({cap} * n) OVER (ORDER BY n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY n / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM v),
+f AS (SELECT min(k) FILTER (w * unit <= {cap} * n) AS k FROM c),
+t AS (SELECT source, n, i, total, CASE WHEN c.k < coalesce(f.k, c.k + 1) THEN ({cap} * n)::DOUBLE ELSE w * (SELECT unit FROM c, f WHERE c.k = f.k) END AS target, -(-n // {block}) AS blocks0, (n + {block - 1}) // {block} AS blocks FROM c, f),
+seats AS (SELECT i, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place, greatest(round_even(total / {block}, 0), CASE WHEN total > 0 THEN 1 ELSE 0 END) AS seats FROM (SELECT *, unnest(range({cap} * blocks)) AS j FROM t WHERE target > 0)),
+q AS (SELECT i, count(*) FILTER (place <= seats) AS quota FROM seats GROUP BY i),
+r AS (SELECT t.*, coalesce(quota, 0) AS quota, {[a for a, _ in draws]}[i + 1] AS a, {[b for _, b in draws]}[i + 1] AS b FROM t LEFT JOIN q USING (i)),
+p AS (SELECT *, CASE WHEN blocks > 0 THEN b % blocks ELSE 0 END AS shift, CASE WHEN blocks > 0 THEN list_filter(range(CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END, CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END + 1000), lambda x: gcd(x, blocks) = 1)[1] ELSE 1 END AS step FROM r),
+o AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN spread >= {1 << 63}::UHUGEINT THEN 0 ELSE 1 END, spread, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d),
+e AS (SELECT o.doc_id, o.size, draw, n, target, before, blocks, quota, step, shift, unnest(CASE WHEN size > 0 THEN range(before // {block}, (before + size - 1) // {block} + 1) ELSE [NULL] END) AS j FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT doc_id, size, n, target, draw, coalesce(sum((least(before + size, (j + 1) * {block}) - greatest(before, j * {block})) * (quota // blocks + CASE WHEN (step * j + shift) % blocks < quota % blocks THEN 1 ELSE 0 END)), 0)::BIGINT AS taken FROM e GROUP BY ALL)
+SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN size > 0 THEN floor(taken / size + (draw & {(1 << 20) - 1}::UHUGEINT)::DOUBLE / {1 << 20}) ELSE 0 END::INTEGER AS copies FROM x
+"""
+
+
+OP2_SQL = _mix_sql()
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 contiguous shards of near equal bytes."""
     found = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40)
@@ -80,6 +123,18 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+#: Exact: all pairs, and components by reachability.
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, least(vec_id, coalesce(c.m, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned from rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -147,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
