@@ -119,12 +119,10 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             part = pa.Table.from_batches([batch.slice(a, b - a)])
-            if held and a == 0 and any(held[0].column(k)[0].as_py() != part.column(k)[0].as_py() for k in keys):
-                yield pa.concat_tables(held)
-                held = []
-            elif held and a > 0:
-                yield pa.concat_tables(held)
-                held = []
+            if held and (a > 0 or any(held[0].column(k)[0].as_py() != part.column(k)[0].as_py() for k in keys)):
+                whole, held = pa.concat_tables(held), []
+                yield whole
+                del whole
             held.append(part)
     if held:
         yield pa.concat_tables(held)
@@ -168,6 +166,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def released(batches: Iterator) -> Iterator:
     """The batches; after the last one the worker, which Spark keeps, returns freed memory to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
     yield from batches
     gc.collect()
     pa.default_memory_pool().release_unused()

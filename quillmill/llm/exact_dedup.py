@@ -59,7 +59,10 @@ class DedupState:
             self.spark,
             spark__sql__streaming__stateStore__providerClass=ROCKSDB,
             spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-            spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+            spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128",
+            spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="4",
+            spark__sql__streaming__stateStore__rocksdb__blockCacheSizeMB="2",
+            spark__sql__streaming__stateStore__maintenanceInterval="10s",
             spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
             spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         ):

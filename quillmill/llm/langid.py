@@ -19,9 +19,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +30,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillmill.llm._shared import blocks, held_out, released, small_batches
 
+if TYPE_CHECKING:  # scoring does without pandas
+    import pandas as pd
+
 LETTER, ASCII_LETTER = regex.compile(r"\p{L}"), re.compile(rb"[A-Za-z]")
 #: Words whose code lengths a task keeps at most; then its table starts anew.
 TABLE_WORDS = 200_000
@@ -94,6 +97,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def context_counts(words: Counter, order: int) -> pd.DataFrame:
     """(k, key, n): how often each context of k bytes is followed by each byte."""
+    import pandas as pd
+
     parts = []
     items = list(words.items())
     for i in range(0, len(items), 20_000):
