@@ -38,12 +38,16 @@ class CapCode:
     words: int = 16
     codes: int = 3
     blocks: int = 4
-    listed: int = 12
+    listed: int = 16
     seed: int = 5
 
     @staticmethod
-    def fit(dim: int, vectors: int, load: float = 4.0, **other) -> CapCode:
-        """As many words as give a filter ``load`` unrelated vectors on average, 12 at least."""
+    def fit(dim: int, vectors: int, load: float = 0.1, **other) -> CapCode:
+        """As many words as leave a vector ``load`` unrelated ones in a filter on average, 12 at least.
+
+        Filters of one vector are not sent anywhere, so a small load keeps the
+        shuffle to vectors that have near ones.
+        """
         plain = CapCode(dim, **other)
         return CapCode(dim, words=max(12, round((vectors * plain.listed / load) ** (1 / plain.blocks))), **other)
 
@@ -150,8 +154,9 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = code.built()
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            step = max(64, min(4096, 4_000_000 // (code.listed * code.words)))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 found = code.decode(_unit(part.column(1), dim), built)
                 offsets = np.arange(part.num_rows + 1, dtype=np.int32) * found.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
