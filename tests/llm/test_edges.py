@@ -209,13 +209,24 @@ def test_tree_probabilities_add_up_and_use_contexts():
     entries = pd.DataFrame([(a << 20 | b, n) for (a, b), n in pairs.items() if n > 40], columns=["key", "n"])
     heads = pd.DataFrame([(a, sum(n for (x, _), n in pairs.items() if x == a), sum(x == a for x, _ in pairs)) for a in range(6)], columns=["context", "m", "d"])
     tree = suffix_tree.build_tree(single, [(heads, entries)], 6)
-    assert len(tree.leave[1][0]) == 6
+    assert len(tree.leave[1][1]) == 6
     for a in range(6):
         symbols = np.arange(6, dtype=np.uint64)
         p = 10 ** tree.log10(lambda k, i: np.full(len(i), a if k else 0, np.uint64), symbols, np.ones(6, np.int64))
         assert p.argmax() == (a + 1) % 6 and p.sum() == pytest.approx(1, abs=0.01)
 
 
+def test_index_finds_what_it_holds():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        keys = np.concatenate([keys, np.arange(n, dtype=np.uint64)])
+        wanted = np.concatenate([rng.permutation(keys), rng.integers(1 << 62, 1 << 63, 300, dtype=np.uint64)])
+        found, place = suffix_tree.Index(keys).find(wanted)
+        assert found[: len(keys)].all() and not found[len(keys) :].any()
+        assert (keys[place[: len(keys)]] == wanted[: len(keys)]).all()
+
+
 def test_lm_edges(spark):
     out = suffix_tree.score_documents(documents(spark)).collect()
     assert len(out) == len(ROWS) and {r.n_tokens for r in out if r.doc_id in (3, 4, 5)} == {1}
