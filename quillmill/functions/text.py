@@ -17,7 +17,7 @@ CATALOGUE_MARKS = rf"[{SPACE}·‧･ㆍ•∙⋅・\-_/|(),.]+"
 COVERAGE_MARKS = rf"[{SPACE}\-_/|(),.·・]+"
 DOCUMENT_MARKS = rf"[{SPACE}:：·•\-_/()\[\]{{}}]+"
 GAP_MARKS = rf"[{SPACE}\-_/|(),.·・〮‧･ㆍ•∙⋅]+"
-#: Words too common to tell two texts apart.
+# Words too common to tell two texts apart.
 STOP_WORDS = ("및", "관련", "업무", "직무", "공공기관", "수행", "경험", "기술", "기반", "활용", "가능", "이해", "등")
 
 
@@ -201,6 +201,7 @@ def evidence_id(prefix: str, fields: dict[str, Column]) -> Column:
 def is_sensitive_key(c: Column, exact: tuple[str, ...] = ("authorization", "secret", "token", "cookie")) -> Column:
     """Whether a field name suggests a secret."""
     key = surface_key(c)
+    # Parts of names that stand for secrets.
     return key.isin(*exact) | contains_any(key, ("apikey", "password", "accesstoken", "refreshtoken", "이력서"))
 
 
@@ -220,6 +221,7 @@ def to_int(c: Column) -> Column:
 def to_bool(c: Column) -> Column:
     """true/1/yes/y/pass/passed, false/0/no/n/fail/failed, else null."""
     t = F.lower(F.trim(c.cast("string")))
+    # Words for yes and no.
     return F.when(t.isin("true", "1", "yes", "y", "pass", "passed"), True).when(t.isin("false", "0", "no", "n", "fail", "failed"), False)
 
 
