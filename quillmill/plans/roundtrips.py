@@ -140,3 +140,14 @@ def l7(spark, d):
     all_rows = e.unionByName(closing).coalesce(1)
     out = streamed(all_rows, "windows", lambda s: s.withWatermark("ts", "365 days").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")))
     return out.filter("event_type <> '__end'").select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query("l6_queue_stream", """
+SELECT count(*) FILTER (f AND r < 3) AS queued, count(*) FILTER (NOT f) AS processed, count(*) FILTER (f) AS failed, count(*) FILTER (f AND r >= 3) AS dead_letter FROM (SELECT value > 80 AS f, event_id % 5 AS r FROM events)""")
+def l6_stream(spark, d):
+    path = scratch(spark, "queue")
+    tasks = table(spark, d, "events").select("event_id", "value", (F.col("event_id") % 5).alias("retries"))
+    tasks.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    L.route_queue(stream, f"{path}/out", f"{path}/state", F.col("value") > 80, "retries").awaitTermination()
+    return L.queue_stats(spark.read.parquet(f"{path}/out"))

@@ -151,6 +151,19 @@ def queue_stats(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(n(["retry"]).alias("queued"), n(["processed"]).alias("processed"), n(["retry", "dead_letter"]).alias("failed"), n(["dead_letter"]).alias("dead_letter"))
 
 
+def route_queue(tasks: DataFrame, path: str, checkpoint: str, fails: Column, retries: str, most: int = 3):
+    """L6 as a stream: each batch of tasks goes to the folders of its outcomes, once for each batch number.
+
+    A batch that is run again after a failure overwrites its own folder, so no
+    task is routed twice.
+    """
+
+    def route(batch: DataFrame, number: int) -> None:
+        queue_outcome(batch, fails, retries, most).write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/batch={number}")
+
+    return tasks.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drain(tasks: DataFrame, fails_at: Column, retries: str, most: int = 3) -> DataFrame:
     """L6 until the queue is empty: a task that fails its first ``fails_at`` tries (null: always) ends processed or dead."""
     always = fails_at.isNull()
