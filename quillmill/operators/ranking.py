@@ -30,14 +30,14 @@ def tfidf(docs: DataFrame, doc_id: str, text: Column, query: DataFrame, query_te
     total = docs.agg(F.count("*").alias("n_docs"))
     idf = terms.groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("g", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weights = terms.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("__d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     asked = (
         query.select(F.explode(X.char_ngrams(query_text, low, high)).alias("g")).groupBy("g").agg((1 + F.log(F.count("*"))).alias("qtf"))
         .join(idf, "g").select("g", (F.col("qtf") * F.col("idf")).alias("qw"))
     )
     query_norm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = weights.join(asked, "g").groupBy("__d").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "__d").crossJoin(F.broadcast(query_norm)).select("__d", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("sim"))
+    # norm and product of a document in one pass over its grams
+    sums = weights.join(asked, "g", "left").groupBy("__d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = sums.filter("dot is not null").crossJoin(F.broadcast(query_norm)).select("__d", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("sim"))
     return docs.select(F.col(doc_id).alias("__d")).join(scored, "__d", "left").select(F.col("__d").alias(doc_id), F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
@@ -47,12 +47,14 @@ def min_max(score: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (score - low) / (high - low)).otherwise(flat)
 
 
-def rank_units(df: DataFrame, sim: str, source: str, preferred: Column, weight: float = 0.88, penalty: float = 0.15, digits: int = 6) -> DataFrame:
+def rank_units(df: DataFrame, sim: str, source: str, preferred: Column, weight: float = 0.88, penalty: float = 0.15, digits: int = 6, base: DataFrame | None = None) -> DataFrame:
     """Mixed score of similarity and scaled source score, less a penalty outside the preferred class.
 
     Adds ``source_norm`` and ``score`` (rounded); ``unit_order`` ranks the rows.
+    ``base`` is a table with the same source scores, so that their range is
+    found without computing similarities once more.
     """
-    bounds = df.agg(F.min(source).alias("__low"), F.max(source).alias("__high"))
+    bounds = (base if base is not None else df).agg(F.min(source).alias("__low"), F.max(source).alias("__high"))
     scaled = df.crossJoin(F.broadcast(bounds)).withColumn("source_norm", min_max(F.col(source), F.col("__low"), F.col("__high")))
     mixed = weight * F.col(sim) + (1 - weight) * F.col("source_norm") - F.when(preferred, 0.0).otherwise(penalty)
     return scaled.withColumn("score", F.round(mixed, digits)).drop("__low", "__high")

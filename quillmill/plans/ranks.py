@@ -45,7 +45,7 @@ def _similar(spark, d):
 def ranked_units(spark, d):
     """Parts as units ranked against the first part's text; classes are brands."""
     units = table(spark, d, "part").join(_similar(spark, d), "p_partkey").withColumn("sim", F.round("sim", 6))
-    return R.rank_units(units, "sim", "p_retailprice", F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+    return R.rank_units(units, "sim", "p_retailprice", F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), base=table(spark, d, "part"))
 
 
 def order():
