@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes that each module strips from its keys.
-SPACE = r"\s 　"
+SPACE = "\\s\u00a0\u3000"
 DOTS = r"·‧･ㆍ•∙⋅"
 LABEL_MARKS = r"[·‧･ㆍ•∙⋅\-_/|(),.\[\]{}:;]"
 CATALOGUE_MARKS = rf"[{SPACE}·‧･ㆍ•∙⋅・\-_/|(),.]+"

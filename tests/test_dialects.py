@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 
-SAMPLES = ["", " ", "a b　c d", "가·나‧다･라ㆍ마•바∙사⋅아・자", "x-y_z/|(),.[]{}:;", "[tag] Q? 가 나", "sk-abcdefgh12 api_key = 1", "ÄÖÜ ß É", "\U0001f600 a\U0001f600b", "line\nbreak\ttab\r", "1) one, 2. two; (3) three/four|five"]
+SAMPLES = ["", " ", "a\u00a0b\u3000c d", "가·나‧다･라ㆍ마•바∙사⋅아・자", "x-y_z/|(),.[]{}:;", "[tag] Q? 가 나", "sk-abcdefgh12 api_key = 1", "ÄÖÜ ß É", "\U0001f600 a\U0001f600b", "line\nbreak\ttab\r", "1) one, 2. two; (3) three/four|five"]
 REPLACED = [X.LABEL_MARKS, X.CATALOGUE_MARKS, X.COVERAGE_MARKS, X.DOCUMENT_MARKS, X.GAP_MARKS, r"[^0-9A-Za-z가-힣]+", r"\[[^\]]+\]", r"[^0-9a-z가-힣 ]+", rf"[{X.SPACE}]+", r"[.!?;\n]+", r"<[^>]+>", r"\s*[,;/|\n]\s*"]
 FOUND = [X.SECRET, r"^[0-9.\-() ]+$", r"[.!?]$", r"^[+-]?[0-9]+$"]
 
 
 def re2(pattern: str) -> str:
-    return pattern.replace(" ", r"\x{00A0}").replace("　", r"\x{3000}")
+    return pattern.replace("\u00a0", r"\x{00A0}").replace("\u3000", r"\x{3000}")
 
 
 @pytest.mark.parametrize("pattern", REPLACED)

@@ -17,7 +17,7 @@ def column(spark, values, expression, kind="string"):
 
 
 def test_normalisers_strip_unicode_space(spark):
-    values = ["A b·C", "x　y_z", "(가)나-다", None, ""]
+    values = ["A\u00a0b·C", "x\u3000y_z", "(가)나-다", None, ""]
     assert column(spark, values, X.dedup_key) == ["abc", "xyz", "가나다", "", ""]
     assert column(spark, values, X.catalogue_key) == ["abc", "xyz", "가나다", "", ""]
     assert column(spark, ["[tag] What's  NEW? 가", None], X.question_key) == ["what s new 가", ""]
