@@ -22,6 +22,22 @@ from quillmill.llm.components import components
 
 #: Vectors of a filter that are compared in one task at most; larger filters are cut into parts.
 PART = 1024
+#: Random pairs by which the recall of a code is measured.
+FIT_PAIRS = 4096
+#: Codes of a vector at most; where more were needed, all pairs are compared.
+MOST_CODES = 64
+
+
+def pairs_at(cosine: float, dim: int, pairs: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of random unit vectors at exactly this cosine; equal ones in one dimension."""
+    rng = np.random.default_rng([seed, dim])
+    x, z = rng.standard_normal((2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z
 
 
 @dataclass(frozen=True)
@@ -42,27 +58,53 @@ class CapCode:
     seed: int = 5
 
     @staticmethod
-    def fit(dim: int, vectors: int, load: float = 0.1, **other) -> CapCode:
-        """As many words as leave a vector ``load`` unrelated ones in a filter on average, 12 at least.
+    def fit(dim: int, vectors: int, min_cosine: float = 0.9, recall: float = 0.99, load: float = 0.1, **other) -> CapCode:
+        """As many words as leave a vector ``load`` unrelated ones in a filter on average, 12 at least; as many codes as reach the recall.
 
         Filters of one vector are not sent anywhere, so a small load keeps the
-        shuffle to vectors that have near ones.
+        shuffle to vectors that have near ones. Filters narrow as the table
+        grows, and pairs share fewer of them, so codes are added until
+        ``recall`` of random pairs at exactly ``min_cosine`` share one. If more
+        than ``MOST_CODES`` were needed, one filter holds all vectors and every
+        pair is compared.
         """
         plain = CapCode(dim, **other)
-        return CapCode(dim, words=max(12, round((vectors * plain.listed / load) ** (1 / plain.blocks))), **other)
+        words = max(12, round((vectors * plain.listed / load) ** (1 / plain.blocks)))
+        x, y = pairs_at(min_cosine, dim, FIT_PAIRS)
+        met = np.zeros(len(x), bool)
+        for codes in range(1, MOST_CODES + 1):
+            code = CapCode(dim, **other | {"words": words, "codes": codes})
+            met |= code.share(x, y, codes - 1)
+            if met.mean() >= recall and codes >= plain.codes:
+                return code
+        return CapCode(dim, words=1, codes=1, blocks=1, listed=1)
+
+    def share(self, x: np.ndarray, y: np.ndarray, *codes: int) -> np.ndarray:
+        """Whether the unit vectors in each row of ``x`` and ``y`` share a direction of these codes, or of any."""
+        met = np.zeros(len(x), bool)
+        for c in codes or range(self.codes):
+            built = [self.built_one(c)]
+            for i in range(0, len(x), self.step()):
+                here = slice(i, i + self.step())
+                met[here] |= (self.decode(x[here], built)[:, :, None] == self.decode(y[here], built)[:, None, :]).any((1, 2))
+        return met
+
+    def step(self) -> int:
+        """Vectors that are decoded at a time."""
+        return max(64, min(4096, 4_000_000 // (self.listed * self.words)))
 
     def built(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
         """For each code its rotation and the words of each block, of equal length."""
-        out = []
-        for c in range(self.codes):
-            rng = np.random.default_rng([self.seed, c, self.dim])
-            rotation, _ = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))
-            words = []
-            for part in np.array_split(np.arange(self.dim), min(self.blocks, self.dim)):
-                w = rng.standard_normal((self.words, len(part)))
-                words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
-            out.append((rotation, words))
-        return out
+        return [self.built_one(c) for c in range(self.codes)]
+
+    def built_one(self, c: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        rng = np.random.default_rng([self.seed, c, self.dim])
+        rotation, _ = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))
+        words = []
+        for part in np.array_split(np.arange(self.dim), min(self.blocks, self.dim)):
+            w = rng.standard_normal((self.words, len(part)))
+            words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
+        return rotation, words
 
     def decode(self, units: np.ndarray, built: list) -> np.ndarray:
         """A row for each unit vector: its directions' numbers, for all codes.
@@ -121,7 +163,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dims = [(r["d"], r["n"]) for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]
     counted, forests = [], []
     for dim, there in dims:
-        own = code if code is not None and code.dim == dim else CapCode.fit(dim, there)
+        own = code if code is not None and code.dim == dim else CapCode.fit(dim, there, min_cosine)
         counts, forest = _compare(groups.filter(F.size("v") == dim), own, min_cosine)
         counted.append(counts)
         forests.append(forest)
@@ -154,7 +196,7 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = code.built()
         for batch in batches:
-            step = max(64, min(4096, 4_000_000 // (code.listed * code.words)))
+            step = code.step()
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 found = code.decode(_unit(part.column(1), dim), built)

@@ -300,6 +300,26 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(out, expected))
 
 
+@pytest.mark.parametrize("vectors", [31_000, 1_000_000, 100_000_000])
+def test_recall_holds_at_every_number_of_vectors(vectors):
+    code = cap_filters.CapCode.fit(64, vectors)
+    x, y = cap_filters.pairs_at(0.9, 64, 1000, seed=77)
+    built, step = code.built(), 200
+    shared = [bool(set(a) & set(b)) for i in range(0, 1000, step) for a, b in zip(code.decode(x[i : i + step], built), code.decode(y[i : i + step], built))]
+    assert np.mean(shared) >= 0.98
+
+
+def test_all_pairs_where_codes_do_not_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(cap_filters, "MOST_CODES", 1)
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((60, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(u)]
+    out = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), min_cosine=0.3).collect()
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    expected = (u @ u.T >= 0.3).sum(axis=1) - 1
+    assert expected.any() and all(r.n_links == expected[r.vec_id] for r in out)
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [0.0, 1.0])]
     out = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
