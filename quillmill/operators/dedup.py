@@ -41,13 +41,18 @@ def repeats(df: DataFrame, key: str, signature: Column, text: Column, order: str
 
     Every earlier row counts, not only accepted ones. Pairs meet by signature;
     texts whose lengths alone keep the ratio below the bar are not compared.
+    Each two distinct texts of a signature are compared once in each direction,
+    whatever the number of their rows.
     """
     rows = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
-    a, b = rows.alias("a"), rows.alias("b")
+    texts = rows.groupBy("s", "t").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    a, b = texts.alias("a"), texts.alias("b")
     bound = 2 * F.least(F.length("a.t"), F.length("b.t")) / F.greatest(F.lit(1), F.length("a.t") + F.length("b.t"))
     is_general = F.col("a.s").endswith(general)
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.o") > F.col("b.o"))).filter(is_general | (bound >= least))
-    near = pairs.select(F.col("a.k").alias("k"), (is_general | (sequence_ratio(F.col("a.t"), F.col("b.t")) >= least)).alias("hit")).groupBy("k").agg(F.bool_or("hit").alias("repeated"))
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.last") > F.col("b.first"))).filter(is_general | (bound >= least))
+    met = pairs.filter(is_general | (sequence_ratio(F.col("a.t"), F.col("b.t")) >= least)).groupBy(F.col("a.s").alias("ms"), F.col("a.t").alias("mt")).agg(F.min("b.first").alias("since"))
+    hits = rows.join(met, (F.col("s") == F.col("ms")) & F.col("t").eqNullSafe(F.col("mt")) & (F.col("o") > F.col("since")))
+    near = hits.select("k").distinct().withColumn("repeated", F.lit(True))
     return df.join(near, F.col(key) == F.col("k"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("k")
 
 

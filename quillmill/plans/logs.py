@@ -154,7 +154,7 @@ def t12d(spark, d):
 def j17(spark, d):
     from quillmill.operators import dedup as D
 
-    p = table(spark, d, "part").filter("p_partkey <= 300").withColumn("t", F.concat_ws(" ", "p_name", "p_type"))
+    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_type"))
     return D.repeats(p, "p_partkey", F.col("p_type"), F.col("t"), "p_partkey", 0.9).select("p_partkey", "repeated")
 
 

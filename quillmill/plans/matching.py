@@ -175,7 +175,7 @@ def d3(spark, d):
 
 def _short(spark, d):
     """First words of part rows as short texts in blocks of one brand and type."""
-    p = table(spark, d, "part").filter("p_partkey <= 400")
+    p = table(spark, d, "part")
     return p.select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")).alias("text"))
 
 
@@ -185,7 +185,7 @@ g AS (SELECT *, list_distinct(list_filter(string_split(k, ' '), lambda t: length
 p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.k AS ak, b.k AS bk, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS la, len(b.t) AS lb, len(list_intersect(a.g, b.g)) AS gi, len(a.g) AS ga, len(b.g) AS gb FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
 SELECT a, b, ak = bk OR (i >= 5 AND i / least(la, lb) >= 0.62) OR (i >= 4 AND i / (la + lb - i) >= 0.8) OR gi / (ga + gb - gi) >= 0.68 AS similar FROM p""")
 def d4(spark, d):
-    s = _short(spark, d)
+    s = _short(spark, d).filter("p_partkey <= 400")
     a, b = s.select(F.col("p_partkey").alias("a"), "p_brand", F.col("text").alias("ta")), s.select(F.col("p_partkey").alias("b"), "p_brand", F.col("text").alias("tb"))
     return a.join(b, "p_brand").filter("a < b").select("a", "b", D.similar_sets(F.col("ta"), F.col("tb")).alias("similar"))
 
@@ -215,7 +215,7 @@ def d8(spark, d):
 
 @query("d9_unseen_keys")
 def d9(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 400").withColumn("k", F.array(F.concat(F.lit("surface:"), X.surface_key(F.col("p_name"))), F.concat(F.lit("intent:"), F.col("p_type"), F.col("p_size").cast("string"))))
+    p = table(spark, d, "part").withColumn("k", F.array(F.concat(F.lit("surface:"), X.surface_key(F.col("p_name"))), F.concat(F.lit("intent:"), F.col("p_type"), F.col("p_size").cast("string"))))
     return D.unseen_keys(p, "p_brand", F.col("k"), "p_partkey")
 
 

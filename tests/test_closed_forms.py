@@ -156,3 +156,38 @@ def test_upsert_keeps_old_values_where_new_ones_are_blank(spark):
     new = spark.createDataFrame([(1, "", 9), (3, "c", None)], "k long, s string, n int")
     out = {r.k: (r.s, r.n, r.on) for r in rows.upsert(old, new, "k", ["s", "n"], deactivate="on").collect()}
     assert out == {1: ("a", 9, True), 2: ("b", 2, False), 3: ("c", None, True)}
+
+
+WHOLE = ["d5_diverse_set", "d6_scoped_unique", "d7_repeats", "d9_unseen_keys", "j17_near_pairs"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_queries_read_parts_of_any_id(spark, tmp_path, name):
+    from quillmill.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 1000).write.parquet(f"{tmp_path}/part.parquet")
+    key = "ord" if name in ("d5_diverse_set", "d6_scoped_unique", "d9_unseen_keys") else "p_partkey"
+    found, moved = ([r.asDict() for r in catalog.queries()[name](spark, d).collect()] for d in (sf, str(tmp_path)))
+    assert len(found) == 200
+    assert sorted(tuple((r | {key: r[key] + 1000}).items()) for r in found) == sorted(tuple(r.items()) for r in moved)
+
+
+def test_all_later_parts_are_held_against_the_history(spark, tmp_path):
+    from quillmill.plans import catalog
+
+    p = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    p.unionByName(p.withColumn("p_partkey", F.col("p_partkey") + 1000)).write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.p_partkey: r.duplicate for r in catalog.queries()["d8_history_duplicates"](spark, str(tmp_path)).collect()}
+    assert found == {i + 1000: True for i in range(200)}
+
+
+def test_repeats_equal_a_loop(spark):
+    from difflib import SequenceMatcher
+
+    texts = ["why red", "why read", "why bed", "", "red tin", "why red", "red tins", None, "why red"]
+    rows = [(i, ("x", "y", "general")[i % 7 % 3], texts[i % 9], i // 2) for i in range(40)]
+    out = dedup.repeats(spark.createDataFrame(rows, "id int, s string, t string, o int"), "id", F.col("s"), F.col("t"), "o", 0.8).collect()
+    ratio = lambda a, b: bool(a and b) and SequenceMatcher(None, a, b).ratio() >= 0.8
+    expected = {k: any(s == s2 and o2 < o and (s == "general" or ratio(t, t2)) for _, s2, t2, o2 in rows) for k, s, t, o in rows}
+    assert {r.id: r.repeated for r in out} == expected
