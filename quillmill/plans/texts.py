@@ -323,7 +323,7 @@ def _repair(t, issues, attempt):
 
 @query("q8_repair_loop")
 def q8(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 400").withColumn("t", F.concat_ws(" ", "p_type", "p_name", "p_brand"))
+    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_type", "p_name", "p_brand"))
     return Q.repair_loop(p, "p_brand", "t", "p_partkey", _audit, _repair)
 
 

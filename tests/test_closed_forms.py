@@ -158,7 +158,7 @@ def test_upsert_keeps_old_values_where_new_ones_are_blank(spark):
     assert out == {1: ("a", 9, True), 2: ("b", 2, False), 3: ("c", None, True)}
 
 
-WHOLE = ["d5_diverse_set", "d6_scoped_unique", "d7_repeats", "d9_unseen_keys", "j17_near_pairs"]
+WHOLE = ["d5_diverse_set", "d6_scoped_unique", "d7_repeats", "d9_unseen_keys", "j17_near_pairs", "q8_repair_loop"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -167,7 +167,7 @@ def test_queries_read_parts_of_any_id(spark, tmp_path, name):
 
     sf = "/root/testdata/sf0.001"
     spark.read.parquet(f"{sf}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 1000).write.parquet(f"{tmp_path}/part.parquet")
-    key = "ord" if name in ("d5_diverse_set", "d6_scoped_unique", "d9_unseen_keys") else "p_partkey"
+    key = "ord" if name in ("d5_diverse_set", "d6_scoped_unique", "d9_unseen_keys", "q8_repair_loop") else "p_partkey"
     found, moved = ([r.asDict() for r in catalog.queries()[name](spark, d).collect()] for d in (sf, str(tmp_path)))
     assert len(found) == 200
     assert sorted(tuple((r | {key: r[key] + 1000}).items()) for r in found) == sorted(tuple(r.items()) for r in moved)
