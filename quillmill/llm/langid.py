@@ -254,6 +254,17 @@ class WordPrices:
 
 
 def keep_identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their own columns only."""
+    """The rows of ``docs`` whose text has a language, with their own columns only.
+
+    If no language could be learned, those whose text has a letter.
+    """
+    if not trees.langs:
+        place = docs.columns.index(text_col)
+
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([bool(t) and has_letter(t) for t in batch.column(place).cast(pa.large_binary()).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(lambda batches: released(lettered(batches)), docs.schema)
     marked = identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score", "bits")}), trees, id_col, text_col)
     return marked.filter(F.col("lang_pred") != "und").select(*[F.col(f"`__own_{c}`").alias(c) if c in ("lang_pred", "score", "bits") else F.col(f"`{c}`") for c in docs.columns])

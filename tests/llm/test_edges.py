@@ -375,6 +375,14 @@ def test_code_lengths_equal_a_plain_coder():
             assert got[j] == pytest.approx(plain_bits(t, models[lang], 3)), (t, lang)
 
 
+def test_texts_stay_where_no_language_could_be_learned(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    trees = langid.learn(docs, "doc_id", "text", "lang")
+    kept = langid.keep_identified(docs, trees)
+    assert not trees.langs and kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 7, 8, 9]
+
+
 def test_language_edges(spark):
     docs = documents(spark)
     out = langid.identify(docs, langid.learn(docs, "doc_id", "text", "lang")).collect()
