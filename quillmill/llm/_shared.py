@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,41 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Where the setting is unset, as in tests, a temporary folder of this
-    machine stands in and is remembered in the session.
+    Where the setting is unset, a session of one local process, as in tests,
+    gets a checkpoint folder of its own; any other raises an error, since the
+    executors would not share it.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def free(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that clash with none of ``taken``, whatever the case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def place_of(names: list[str], wanted: str) -> int:
+    """The place of a column, by its exact name or else whatever the case."""
+    if wanted in names:
+        return names.index(wanted)
+    found = [i for i, n in enumerate(names) if n.lower() == wanted.lower()]
+    if len(found) != 1:
+        raise ValueError(f"no column {wanted!r} in {names}" if not found else f"column {wanted!r} is ambiguous in {names}")
+    return found[0]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -37,7 +63,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,9 +74,10 @@ def partitions(spark: SparkSession) -> int:
 def ranged_prefix(df: DataFrame, order: list[str], amount: str, within: list[str] | None = None, name: str = "ranged") -> DataFrame:
     """Global prefix sums from per-partition totals.
 
-    Rows are range-partitioned by ``within + order`` (a running row number
-    breaks ties, so equal rows spread too) and staged with the number of their
-    partition. The totals of each partition, one small row each, give every
+    Rows are staged with a running number, so that what they are computed from
+    is read once though the ranges are sampled first. They are range-partitioned
+    by ``within + order`` (the number breaks ties, so equal rows spread too) and
+    staged again with the number of their partition. The totals of each partition, one small row each, give every
     partition's offset; inside a partition a window adds the rest. Added:
     ``__before`` (sum of ``amount`` over all earlier rows of the group
     ``within``) and ``__index`` (number of earlier rows of the group).
@@ -58,7 +85,7 @@ def ranged_prefix(df: DataFrame, order: list[str], amount: str, within: list[str
     spark = df.sparkSession
     within = within or []
     n = partitions(spark)
-    keyed = df.withColumn("__tie", F.monotonically_increasing_id())
+    keyed = stage(df.withColumn("__tie", F.monotonically_increasing_id()), name)
     staged = stage(
         keyed.repartitionByRange(n, *[F.col(c) for c in [*within, *order, "__tie"]]).withColumn("__part", F.spark_partition_id()),
         name,
@@ -128,37 +155,56 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def shares_earlier(lists, here: int) -> np.ndarray | None:
-    """A row for each list and a column for each number below ``here`` that two of them hold."""
-    sizes = [len(x) for x in lists]
-    flat, row = np.concatenate([np.asarray(x, np.int64) for x in lists]), np.repeat(np.arange(len(sizes)), sizes)
+def shares_earlier(lists: pa.ChunkedArray, here: int, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """Whether the lists at ``left`` and ``right`` share a number below ``here``, as a matrix; None if no two do."""
+    whole = lists.combine_chunks()
+    sizes = np.asarray(whole.value_lengths().fill_null(0))
+    flat, row = whole.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
     below = flat < here
     flat, row = flat[below], row[below]
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = counts[inverse] > 1
     if not shared.any():
         return None
-    column = np.cumsum(counts > 1) - 1
-    out = np.zeros((len(sizes), int(column[-1]) + 1), np.float32)
-    out[row[shared], column[inverse[shared]]] = 1
+    column, row = (np.cumsum(counts > 1) - 1)[inverse[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row, width = column[order], row[order], 1024
+    out = np.zeros((len(left), len(right)), bool)
+    for c in range(0, int(column[-1]) + 1, width):
+        a, b = np.searchsorted(column, [c, c + width])
+        matrix = np.zeros((len(sizes), min(width, int(column[-1]) + 1 - c)), np.float32)
+        matrix[row[a:b], column[a:b] - c] = 1
+        out |= matrix[left] @ matrix[right].T > 0
     return out
 
 
-def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` nodes the smallest node of its component under the links (i, j)."""
-    label = np.arange(n)
+def links_of(near: np.ndarray, counted: np.ndarray, left: np.ndarray, right: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of links of each node, smallest node of its component) from matrices over ``left`` and ``right``.
+
+    ``near`` holds the links, ``counted`` those that count here; a link weighs
+    as many as the other node's ``copies``. No list of pairs is made.
+    """
+    n = np.zeros(len(copies))
+    n[left] += counted @ copies[right].astype(np.float64)
+    n[right] += counted.T @ copies[left].astype(np.float64)
+    label, none = np.arange(len(copies), dtype=np.int32), np.int32(len(copies))
     while True:
         before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
+        for matrix, rows, columns in ((near, left, right), (near.T, right, left)):
+            for i in range(0, len(rows), 256):
+                low = np.where(matrix[i : i + 256], label[columns][None, :], none).min(axis=1)
+                label[rows[i : i + 256]] = np.minimum(label[rows[i : i + 256]], low)
         label = label[label]
         if np.array_equal(label, before):
-            return label
+            return n.astype(np.int64), label
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python in batches of fewer rows than Spark's default; a setting of the user's own stays."""
+    """Send texts to Python in batches of fewer rows than Spark's default; a setting of the user's own stays.
+
+    For applications (the registered queries, the pipeline): operators leave
+    the session's settings alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import partitions, released, shares_earlier, sorted_groups, spanning_forest, stage
+from quillmill.llm._shared import links_of, partitions, released, shares_earlier, sorted_groups, stage
+from quillmill.llm.candidates import dealt, shared_buckets
 from quillmill.llm.components import components
 
 #: Vectors of a filter that are compared in one task at most; larger filters are cut into parts.
@@ -129,7 +130,9 @@ class CapCode:
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors; the largest component is made 1 first, so that no square overflows or vanishes."""
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -139,23 +142,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; so do vectors of a different number of dimensions than
     the compared one (each number is handled by itself). Equal vectors are
-    grouped first and weigh as one. Each distinct vector goes to all filters
-    that exceed its threshold; in each filter all pairs are compared in double
-    precision. A pair counts in the smallest filter that both share, so no list
-    of pairs leaves a task: only counts, and for each task a spanning forest of
-    its links. Filters of more than ``PART`` vectors are cut into parts and
-    every two parts meet in a task of their own.
+    grouped first and weigh as one. Each distinct vector is decoded to all
+    filters that exceed its threshold. Only numbers (vector, filter) travel to
+    find the filters that two or more share, and filters of the same members
+    become one; a vector itself is sent to those that remain, where all pairs
+    are compared in double precision. A pair counts in the smallest filter that
+    both share, so no list of pairs leaves a task: only counts, and for each
+    task a spanning forest of its links. Filters of more than ``PART`` vectors
+    are cut into parts and every two parts meet in a task of their own.
 
     Returns ``id_col, n_links, component_id, kept`` for every row: other rows
     linked directly, the smallest id reachable, and whether that is the row's
     own. Repeated ids are rows of their own and link with each other if their
     vectors do. A null id takes part but cannot name a component while others
-    are there.
+    are there. An empty table gives no rows; other columns are not read, so
+    none can clash.
     """
     raw = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    sound = F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & (norm > 0)
+    sound = F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     groups = stage(
         raw.filter(sound).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("u", F.monotonically_increasing_id()),
         "vector-groups",
@@ -202,20 +207,20 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
                 found = code.decode(_unit(part.column(1), dim), built)
                 offsets = np.arange(part.num_rows + 1, dtype=np.int32) * found.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["u", "v", "copies", "filters"])
-
-    listed = stage(groups.select("u", "v", "copies").mapInArrow(lambda batches: released(assign(batches)), f"u long, v {groups.schema['v'].dataType.simpleString()}, copies long, filters array<long>"), "vector-filters")
-    sizes = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("m")).filter("m > 1")
-    members = listed.select("u", "v", "copies", "filters", F.explode("filters").alias("filter")).join(sizes, "filter")
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    own = F.pmod(F.xxhash64("u"), parts).cast("int")
-    dealt = (
-        members.withColumn("p", own)
-        .withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("filter", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), F.col("p").alias("part"), "u", "v", "copies", "filters")
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["u", "filters"])
+
+    listed = stage(groups.select("u", "v").mapInArrow(lambda batches: released(assign(batches)), "u long, filters array<long>"), "vector-filters")
+    members = shared_buckets(listed.select("u", F.lit(1).alias("weight"), F.explode("filters").alias("bucket")), PART, PART, "vector")
+    # at most one entry for each filter of a vector
+    places = members.groupBy("u").agg(F.collect_list(F.struct("bucket", "parts")).alias("places"))
+    sent = (
+        groups.select("u", "v", "copies")
+        .join(places, "u")
+        .select("u", "v", "copies", F.col("places.bucket").alias("filters"), F.explode("places").alias("at"))
+        .select(F.col("at.bucket").alias("unit"), F.col("at.parts").alias("parts"), "u", "v", "copies", "filters")
     )
-
-    keys = ["filter", "p1", "p2"]
+    met = dealt(sent, "v", "copies", "filters")
+    keys = ["unit", "p1", "p2"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
@@ -224,7 +229,7 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
                 yield found
 
     found = stage(
-        dealt.repartition(partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: released(compare(batches)), "u long, n long, b long"),
+        met.repartition(partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: released(compare(batches)), "u long, n long, b long"),
         "vector-links",
     )
     return found.filter("n > 0").select("u", "n"), found.filter("u <> b").select(F.col("u").alias("a"), "b").distinct()
@@ -232,22 +237,19 @@ def _compare(groups: DataFrame, code: CapCode, min_cosine: float) -> tuple[DataF
 
 def _links(group: pa.Table, dim: int, min_cosine: float) -> pa.RecordBatch | None:
     """Counts and forest of one filter's vectors, or of two parts of them."""
-    first = {c: group.column(c)[0].as_py() for c in ("filter", "p1", "p2")}
+    p1, p2, here = (group.column(c)[0].as_py() for c in ("p1", "p2", "unit"))
     part = group.column("part").to_numpy()
-    left, right = np.flatnonzero(part == first["p1"]), np.flatnonzero(part == first["p2"])
+    left, right = np.flatnonzero(part == p1), np.flatnonzero(part == p2)
     u, copies = group.column("u").to_numpy(), group.column("copies").to_numpy()
+    if not len(left) or not len(right) or (p1 == p2 and len(left) < 2):
+        return None
     units = _unit(group.column("v").combine_chunks(), dim)
     near = units[left] @ units[right].T >= min_cosine
-    if first["p1"] == first["p2"]:
+    if p1 == p2:
         near &= np.triu(np.ones(near.shape, bool), 1)
-    i, j = np.nonzero(near)
-    if not len(i):
+    if not near.any():
         return None
-    lists = group.column("filters").combine_chunks().flatten().to_numpy().reshape(len(u), -1)
-    earlier = shares_earlier(lists, first["filter"])
-    fresh = ~(earlier[left] @ earlier[right].T > 0)[i, j] if earlier is not None else np.ones(len(i), bool)
-    x, y = left[i[fresh]], right[j[fresh]]
-    n = (np.bincount(x, copies[y], len(u)) + np.bincount(y, copies[x], len(u))).astype(np.int64)
-    tree = spanning_forest(left[i], right[j], len(u))
+    earlier = shares_earlier(group.column("filters"), here, left, right)
+    n, tree = links_of(near, near if earlier is None else near & ~earlier, left, right, copies)
     told = np.flatnonzero((n > 0) | (tree != np.arange(len(u))))
     return pa.RecordBatch.from_arrays([pa.array(u[told]), pa.array(n[told]), pa.array(u[tree[told]])], names=["u", "n", "b"])

@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import fresh_path, stage
+from quillmill.llm._shared import free, fresh_path, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -102,7 +102,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null text counts as empty. Equal ids in one group (repeated rows) share
     the outcome of the largest id, and only one row of the largest id is kept
     if ``locator`` cannot tell them apart: see ``kept``. Null ids sort below
-    all others. An empty table gives no rows. Other columns are not read.
+    all others. An empty table gives no rows; very long texts are hashed whole.
+    Other columns are not read, so none can clash.
 
     Returns ``id_col, keep_id, group_size, kept, digest, part`` for every row.
     ``part`` is null unless digests collided; then it is the text's own
@@ -117,16 +118,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state.absorb()
     keys, held = spark.read.parquet(state.inbox), state.rows()
 
-    hits = held.filter("copies > 1").select("digest")
-    few = hits.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    # Bytes of the rows that hit; the side is broadcast only when the count above bounds it.
-    bytes_of = source.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+    hit = stage(held.filter("copies > 1"), "exact-hits")
+    few = hit.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    # The side is broadcast only when the count above bounds it; then a digest that a third of all rows have is no hot key.
+    hits = F.broadcast(hit) if few else hit
+    bytes_of = source.join(hits.select("digest"), "digest", "left_semi")
     checked = bytes_of.groupBy("digest").agg((F.min("__text") == F.max("__text")).alias("same"))
     clash = stage(checked.filter("not same").select("digest"), "digest-clash")
+    # who has a digest alone stays
+    named = keys.join(hits.select("digest", "keep_id", "copies"), "digest", "left").select(
+        "digest", "id", F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.lit(None).cast("string").alias("part")
+    )
     if clash.isEmpty():
-        out = keys.join(held, "digest").withColumn("part", F.lit(None).cast("string"))
+        out = named
     else:
-        plain = keys.join(held, "digest").join(clash, "digest", "left_anti").withColumn("part", F.lit(None).cast("string"))
+        plain = named.join(clash, "digest", "left_anti")
         again = source.join(clash, "digest", "left_semi").withColumn("part", F.sha2(F.col("__text").cast("binary"), 256))
         groups = again.groupBy("digest", "part", "__text").agg(F.max("id").alias("keep_id"), F.count("*").alias("copies"))
         out = plain.select("digest", "id", "keep_id", "copies", "part").unionByName(
@@ -143,21 +149,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Rows that share both id and text with the row that stays are repeats of it;
-    one of them is returned.
+    Of equal texts (null counts as empty) the row with the largest id stays; a
+    null id sorts below all others. Rows that share both id and text with the
+    row that stays are repeats of it: the one whose columns come first as JSON
+    is returned. An empty table gives no rows.
     """
+    own_id, own_digest, digest, row = free(docs.columns, "__id", "__digest", "__own", "__row")
     marked = stage(
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
-        .groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"))
-        .agg(F.count("*").alias("__rows")),
+        .groupBy(F.col(id_col).alias(own_id), F.col("digest").alias(own_digest))
+        .agg(F.count("*").alias("rows")),
         "exact-kept",
     )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashed = docs.withColumn("__own", sha256_digest(text))
-    kept = hashed.join(marked, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
-    if not marked.filter("__rows > 1").isEmpty():  # whole rows repeat
-        kept = kept.dropDuplicates([id_col, "__own"])
-    return kept.drop("__own")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn(digest, sha256_digest(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(digest) == F.col(own_digest))
+    kept = hashed.join(marked.filter("rows = 1"), same, "left_semi").select(*columns)
+    if marked.filter("rows > 1").isEmpty():
+        return kept
+    whole = F.struct(*columns)
+    repeats = hashed.join(marked.filter("rows > 1"), same, "left_semi").groupBy(F.col(f"`{id_col}`").alias(own_id), digest)
+    return kept.unionByName(repeats.agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmill.llm._shared import blocks, held_out, released, small_batches
+from quillmill.llm._shared import blocks, free, held_out, place_of, released
 
 if TYPE_CHECKING:  # scoring does without pandas
     import pandas as pd
@@ -166,7 +166,6 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int
     usable = docs.filter(
         F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col), modulus, remainder)
     )
-    small_batches(docs.sparkSession)
     there = usable.count()
     share = 1.0 if there <= sample_rows else sample_rows / there
     # 31 bits of a hash against the share
@@ -196,15 +195,16 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     likely as its code length says (2 to the power of minus the bits). Ties go
     to the first language by name. A text that is null or has no letter (or a
     table without labelled rows to learn from) gets ``und`` with score 0 and
-    null bits. Whole texts are read. Other columns pass through;
-    columns of the three added names are replaced.
+    null bits. Whole texts are read, very long ones too; repeated rows get
+    equal results each. An empty table gives no rows. Other columns pass
+    through; columns of the three added names are replaced. The text column is
+    found whatever its case.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
     added = {"lang_pred": "string", "score": "double", "bits": "double"}
     kept = [f for f in docs.schema.fields if f.name.lower() not in added]
     schema = StructType([*kept, *(StructField(c, kind()) for c, kind in (("lang_pred", StringType), ("score", DoubleType), ("bits", DoubleType)))])
-    place = [f.name for f in kept].index(text_col)
+    place = place_of([f.name for f in kept], text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen: Trees = sent.value
@@ -254,17 +254,22 @@ class WordPrices:
 
 
 def keep_identified(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their own columns only.
+    """The rows of ``docs`` whose text has a language, with their own columns only, whatever their names.
 
-    If no language could be learned, those whose text has a letter.
+    If no language could be learned, those whose text has a letter. Null and
+    empty texts have none; repeated rows stay together; an empty table gives no
+    rows.
     """
     if not trees.langs:
-        place = docs.columns.index(text_col)
+        place = place_of(docs.columns, text_col)
 
         def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([bool(t) and has_letter(t) for t in batch.column(place).cast(pa.large_binary()).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(lambda batches: released(lettered(batches)), docs.schema)
-    marked = identify(docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score", "bits")}), trees, id_col, text_col)
-    return marked.filter(F.col("lang_pred") != "und").select(*[F.col(f"`__own_{c}`").alias(c) if c in ("lang_pred", "score", "bits") else F.col(f"`{c}`") for c in docs.columns])
+    # columns of the added names are out of the way meanwhile
+    names = free([*docs.columns, "lang_pred", "score", "bits"], *docs.columns)
+    spare = docs.toDF(*names)
+    marked = identify(spare, trees, id_col, names[place_of(docs.columns, text_col)])
+    return marked.filter(F.col("lang_pred") != "und").select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])

@@ -40,14 +40,14 @@ def drop_site_lines(
     host: Column,
     lines: Column,
     max_ratio: float = 0.3,
-    min_pages: int = 5,
 ) -> DataFrame:
-    """Drop lines found on more than ``max_ratio`` of a host's pages.
+    """Drop lines that repeat on more than ``max_ratio`` of a host's pages.
 
     Pages are grouped by host; for each line the pages of the host that hold it
     (each page once, however often the line stands there) are divided by the
-    host's page total. Hosts of fewer than ``min_pages`` pages and pages without
-    a host are kept as they are: a ratio says nothing there.
+    host's page total. A line of a single page does not repeat and stays,
+    however few pages its host has; so do pages without a host. Pages are
+    parsed once: their lines are staged.
 
     Lines travel as two 64-bit hashes, one row for each page and distinct line,
     summed before the shuffle, so a line or host that everyone has is no hot
@@ -59,19 +59,20 @@ def drop_site_lines(
 
     Returns ``id_col, host, n_lines, n_dropped, text`` for every page, with the
     kept lines joined by line feeds (an empty string if none is left). Null
-    pages have no lines; repeated rows count as pages of their own; an empty
-    table gives no rows.
+    pages have no lines; very long ones are read whole; repeated rows count as
+    pages of their own; an empty table gives no rows. Other columns are not
+    read, so none can clash.
     """
-    base = pages.select(F.col(id_col).alias("__id"), host.alias("__host"), lines.alias("__lines"))
+    base = stage(pages.select(F.col(f"`{id_col}`").alias("__id"), host.alias("__host"), lines.alias("__lines")), "page-lines")
     hashed = F.transform(F.array_distinct("__lines"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     sited = base.filter(F.col("__host") != "")
     counts = (
         sited.select("__host", F.explode(hashed).alias("h"))
         .groupBy("__host", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
         .agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > max_ratio * min_pages)
+        .filter(F.col("__n") > 1)
     )
-    totals = sited.groupBy("__host").agg(F.count("*").alias("__total")).filter(F.col("__total") >= min_pages)
+    totals = sited.groupBy("__host").agg(F.count("*").alias("__total"))
     boiler = stage(
         counts.join(totals, "__host")
         .filter(F.col("__n") / F.col("__total") > max_ratio)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import ranged_prefix
+from quillmill.llm._shared import free, ranged_prefix, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -73,45 +73,45 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
 
 @dataclass(frozen=True)
 class SourcePlan:
-    """What the mix takes of one source."""
+    """What the mix takes of one source; ``upto[s]`` blocks go to the first s shards together."""
 
     source: str | None
     size: int
     target: float
     n_blocks: int
-    quota: int
-    shard_quotas: tuple[int, ...]
+    upto: tuple[int, ...]
     step: int
     shift: int
 
+    @property
+    def quota(self) -> int:
+        return self.upto[-1]
+
+    @property
+    def shard_quotas(self) -> tuple[int, ...]:
+        return tuple(b - a for a, b in zip(self.upto, self.upto[1:]))
+
 
 def plan_mix(totals: list[tuple[str | None, int]], weights: list[float], block: int, shards: int = 8, cap: float = 3.0, seed: int = 11) -> list[SourcePlan]:
     """Quotas of blocks for every source and shard.
 
-    ``totals`` are (source, tokens). Targets are apportioned in blocks; the
-    quota of the first s shards together is apportioned for each s within the
-    quotas so far, so that shard quotas are integers, add up, and each shard has
-    its share of blocks. Blocks of a source stand in a seeded order
-    (``step * j + shift`` modulo their number, step coprime to it), which the
-    mix goes through as often as the quota asks.
+    ``totals`` are (source, tokens). Targets are apportioned in blocks by
+    highest quotients. The seats in the order of their quotients are dealt to
+    the shards in runs of equal length, so the first s shards together hold an
+    apportionment of their own; quotas of single shards are integers, add up to
+    the source's quota, and all shards have as many blocks, but for one. Blocks
+    of a source stand in a seeded order (``step * j + shift`` modulo their
+    number, step coprime to it), which the mix goes through as often as the
+    quota asks; shard after shard takes its quota of that order. With a cap that
+    is no whole number some blocks may be taken once more than it says.
     """
     sizes = [n for _, n in totals]
     whole = sum(sizes)
     targets = capped_targets(sizes, weights, whole, cap)
     counts = [-(-n // block) for n in sizes]
-    most = [int(cap) * c for c in counts]
-    quotas = sainte_lague(targets, round(whole / block) or (1 if whole else 0), most)
-    so_far, upto = [0] * len(totals), []
-    for s in range(1, shards + 1):
-        seats = sum(quotas) * s // shards
-        # quotas of shards before are kept: a source gets at least what it had
-        more = sainte_lague([max(0.0, q * s / shards - g) for q, g in zip(quotas, so_far)], seats - sum(so_far), [q - g for q, g in zip(quotas, so_far)])
-        got = [g + m for g, m in zip(so_far, more)]
-        for i in range(len(got)):  # seats that no vote asks for
-            while sum(got) < seats and got[i] < quotas[i]:
-                got[i] += 1
-        upto.append(tuple(b - a for a, b in zip(so_far, got)))
-        so_far = got
+    most = [int(cap * c) for c in counts]
+    seats = min(round(whole / block) or (1 if whole else 0), sum(m for t, m in zip(targets, most) if t > 0))
+    upto = list(zip(*(sainte_lague(targets, seats * s // shards, most) for s in range(shards + 1))))
     rng = np.random.default_rng(seed)
     plans = []
     for i, (source, size) in enumerate(totals):
@@ -120,7 +120,7 @@ def plan_mix(totals: list[tuple[str | None, int]], weights: list[float], block:
         step = step % n or 1 if n else 1
         while n and gcd(step, n) != 1:
             step += 1
-        plans.append(SourcePlan(source, size, targets[i], n, quotas[i], tuple(s[i] for s in upto), step, shift % n if n else 0))
+        plans.append(SourcePlan(source, size, targets[i], n, tuple(upto[i]), step, shift % n if n else 0))
     return plans
 
 
@@ -142,59 +142,81 @@ def mix_sources(
     source with a third of all rows is spread like any other. The stream falls
     into blocks of ``block`` words (the last one shorter). Targets share all
     words by weight with a cap of ``cap`` times the source; Sainte-Lague turns
-    them into integer quotas of blocks for each source and shard, and the
-    seeded order says which blocks the mix takes and how often. A document is
-    taken for its words in those blocks, at most ``cap`` times each.
+    them into integer quotas of blocks for each source and shard, and each
+    shard takes its quota of the source's blocks in their seeded order. A
+    document is taken for its words in those blocks, at most ``cap`` times each.
 
     Sources are ordered by code point, null last, and weigh ``cycle`` in turn.
     One row for each source comes to the driver: names of sources are few.
-    Texts that are null or have no word have size 0 and are never taken.
-    Returns ``id_col, size, source_size, target, taken, copies`` for every row;
-    repeated ids are rows of their own. ``copies`` is ``taken`` in whole
-    documents, rounded up or down by a seeded draw so that the expected words
-    of a source stay those taken.
+    Texts that are null or have no word have size 0 and are never taken; very
+    long texts count whole. Null ids are ids like others; repeated rows are rows
+    of their own. An empty table gives no rows. Other columns are not read, so
+    none can clash.
+
+    Returns ``id_col, size, source_size, target, taken, shard_words, copies``
+    for every row. ``shard_words`` has the words that each shard takes and
+    ``taken`` is their sum. ``copies`` is ``taken`` in whole documents, rounded
+    up or down by a seeded draw so that the expected words of a source stay
+    those taken.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), n_words(F.col(text_col)).alias("__size"))
-    spark = docs.sparkSession
-    placed = ranged_prefix(rows.withColumn("__spread", F.xxhash64(F.lit(seed), "__id", "__size")), ["__spread", "__id", "__size"], "__size", within=["__source"], name="mix")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
+    return _taken(rows, block, shards, cap, seed, cycle).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "shard_words", "copies")
+
+
+def _taken(rows: DataFrame, block: int = 64, shards: int = 8, cap: float = 3.0, seed: int = 11, cycle: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """The mix of rows of (id, source, size); other columns pass through."""
+    spread = F.xxhash64(F.lit(seed), "id", "size")
+    placed = stage(ranged_prefix(rows.withColumn("spread", spread), ["spread", "id", "size"], "size", within=["source"], name="mix"), "mix-placed")
     totals = sorted(
-        ((r["__source"], int(r["n"])) for r in placed.groupBy("__source").agg(F.sum("__size").alias("n")).collect()),
+        ((r["source"], int(r["n"])) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()),
         key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")),
     )
     plans = plan_mix(totals, [cycle[i % len(cycle)] for i in range(len(totals))], block, shards, cap, seed)
-    table = spark.createDataFrame(
-        [(p.source, p.size, p.target, p.n_blocks, p.quota, p.step, p.shift) for p in plans],
-        "p_source string, source_size long, target double, n_blocks long, quota long, step long, shift long",
+    table = rows.sparkSession.createDataFrame(
+        [(p.source, p.size, p.target, p.n_blocks, list(p.upto), p.step, p.shift) for p in plans],
+        "p_source string, source_size long, target double, n_blocks long, upto array<long>, step long, shift long",
     )
-    joined = placed.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("p_source")))
-    end = F.col("__before") + F.col("__size")
+    joined = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")))
+    end = F.col("__before") + F.col("size")
     first, last = F.floor(F.col("__before") / block), F.floor((end - 1) / block)
-
-    def words_of(j: Column) -> Column:
-        overlap = F.least(end, (j + 1) * block) - F.greatest(F.col("__before"), j * block)
-        rank = F.pmod(F.col("step") * j + F.col("shift"), F.col("n_blocks"))
-        times = F.floor(F.col("quota") / F.col("n_blocks")) + F.when(rank < F.pmod(F.col("quota"), F.col("n_blocks")), 1).otherwise(0)
-        return overlap * times
-
-    taken = F.when(F.col("__size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, j: acc + words_of(j).cast("long"))).otherwise(0)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "__id", "__size"), F.lit(1 << 20)) / (1 << 20)
-    return joined.select(
-        F.col("__id").alias(id_col),
-        F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        taken.cast("long").alias("taken"),
-        F.when(F.col("__size") > 0, F.floor(taken / F.col("__size") + draw)).otherwise(0).cast("int").alias("copies"),
+    n = F.col("n_blocks")
+
+    def place(j: Column) -> Column:
+        return F.struct(
+            (F.least(end, (j + 1) * block) - F.greatest(F.col("__before"), j * block)).alias("words"),
+            F.pmod(F.col("step") * j + F.col("shift"), n).alias("rank"),
+        )
+
+    def times(upto: Column, rank: Column) -> Column:
+        # places rank, rank + n, rank + 2 n ... of the seeded order that lie below upto
+        return F.greatest(F.lit(0).cast("long"), F.floor((upto - rank + n - 1) / n))
+
+    def words_of(upto: Column) -> Column:
+        return F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: acc + (p["words"] * times(upto, p["rank"])).cast("long"))
+
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size"), F.lit(1 << 20)) / (1 << 20)
+    none = F.array().cast("array<struct<words:bigint,rank:bigint>>")
+    return (
+        joined.withColumn("places", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), place)).otherwise(none))
+        .withColumn("so_far", F.transform("upto", words_of))
+        .withColumn("shard_words", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("so_far", s + 1) - F.element_at("so_far", s)))
+        .withColumn("taken", F.element_at("so_far", -1))
+        .withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int"))
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of a mix, with all their columns: each row as often as the mix takes it.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The documents of a mix, with all their columns, whatever their names: each row as often as the mix takes it.
 
-    Rows of one id and size (repeated rows) are each taken as often as the one
-    taken least. Documents that the mix does not take are left out.
+    Rows of one id, source and text (repeated rows) are each taken as often as
+    the one taken least; rows that share only an id, or have none, are told
+    apart by source and text. Documents that the mix does not take, those
+    without a word among them, are left out; an empty table gives no rows.
     """
-    plan = mix_sources(docs, id_col=id_col, text_col=text_col, **how).groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__n")).agg(F.min("copies").alias("__copies"))
-    rows = docs.withColumn("__words", n_words(F.col(text_col)))
-    taken = rows.join(plan.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__n")))
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, source, mark, copies, time = free(docs.columns, "__id", "__source", "__mark", "__copies", "__time")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    marked = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), marked.alias("mark"))
+    plan = _taken(rows, **how).groupBy(F.col("id").alias(id_), F.col("source").alias(source), F.col("mark").alias(mark)).agg(F.min("copies").alias(copies)).filter(F.col(copies) > 0)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(source)) & (marked == F.col(mark))
+    return docs.join(plan, same).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quillmill.llm._shared import blocks, released, small_batches
+from quillmill.llm._shared import blocks, free, released
 
 MARK = "▁"
 #: Distinct chunks that a task keeps at most; then its table starts anew.
@@ -87,8 +87,9 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
     Adds ``n_tokens``, ``ids`` (decimal ids joined by commas), ``decoded``,
     ``ids_sha256`` and ``decoded_sha256``, replacing columns of these names;
     ``digests_only`` leaves the two texts out. Columns in ``keep`` (all by
-    default) pass through. A null text counts as empty and has no ids. The
-    model is read once on the driver and sent to the tasks, so executors need
+    default) pass through. A null text counts as empty and has no ids; very
+    long texts are coded whole; repeated rows get equal results; an empty table
+    gives no rows. The model is read once on the driver and sent to the tasks, so executors need
     no file of it; it has a fixed size.
     """
     if model_file is None:
@@ -97,7 +98,6 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
         model_file = public_tokenizers.path("piece_bpe_32k.model")
     with open(model_file, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    small_batches(docs.sparkSession)
     texts = [] if digests_only else ["ids", "decoded"]
     added = ["n_tokens", *texts, "ids_sha256", "decoded_sha256"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in added and (keep is None or f.name in keep)]
@@ -122,5 +122,5 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, text_col: s
                 start += len(group)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*batch.schema.names[:-1], *added])
 
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias(free(docs.columns, "__text")[0]))
     return source.mapInArrow(lambda batches: released(code(batches)), schema)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree, toxicity
-from quillmill.llm._shared import held_out
+from quillmill.llm._shared import held_out, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,11 +67,15 @@ def _long_hash(value: str, seed: str) -> str:
     return f"(SELECT xor(c, c >> 32) FROM (SELECT xor(b, b >> 29) * {p3} & {m} AS c FROM (SELECT xor(a, a >> 33) * {p2} & {m} AS b FROM (SELECT ({spin('h', 27)} * {p1} + {p4}) & {m} AS a FROM (SELECT {mixed} AS h)))))"
 
 
-def _mix_sql(block: int = 64, cap: int = 3, seed: int = 11, sources: int = 500) -> str:
+def _mix_sql(block: int = 64, shards: int = 8, cap: int = 3, seed: int = 11, sources: int = 500) -> str:
     """The mix in SQL. The hashes of the seeds 11 and 12, and the seeded draws of block orders."""
     rng = np.random.default_rng(seed)
     draws = [(int(rng.integers(1, 1 << 20)), int(rng.integers(0, 1 << 20))) for _ in range(sources)]
     first, second = "890099540967675307::UHUGEINT", "72738756111436295::UHUGEINT"
+    upto = "[" + ", ".join(f"count(*) FILTER (place <= given * {s} // {shards})" for s in range(shards + 1)) + "]"
+    # places rank, rank + blocks, rank + 2 blocks ... of the seeded order below the quotas of so many shards
+    times = [f"greatest(0, CASE WHEN upto[{s + 1}] > rank THEN (upto[{s + 1}] - rank + blocks - 1) // blocks ELSE 0 END)" for s in range(shards + 1)]
+    shard_words = ", ".join(f"coalesce(sum(words * ({b} - {a})), 0)::BIGINT" for a, b in zip(times, times[1:]))
     return rf"""
 WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 h AS (SELECT *, {_long_hash('doc_id', first)} AS h1, {_long_hash('doc_id', second)} AS h2 FROM w),
@@ -81,13 +86,16 @@ c AS (SELECT *, row_number() OVER (ORDER BY n / w, i) AS k, (total - coalesce(su
 f AS (SELECT min(k) FILTER (w * unit <= {cap} * n) AS k FROM c),
 t AS (SELECT source, n, i, total, CASE WHEN c.k < coalesce(f.k, c.k + 1) THEN ({cap} * n)::DOUBLE ELSE w * (SELECT unit FROM c, f WHERE c.k = f.k) END AS target, -(-n // {block}) AS blocks0, (n + {block - 1}) // {block} AS blocks FROM c, f),
 seats AS (SELECT i, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place, greatest(round_even(total / {block}, 0), CASE WHEN total > 0 THEN 1 ELSE 0 END) AS seats FROM (SELECT *, unnest(range({cap} * blocks)) AS j FROM t WHERE target > 0)),
-q AS (SELECT i, count(*) FILTER (place <= seats) AS quota FROM seats GROUP BY i),
-r AS (SELECT t.*, coalesce(quota, 0) AS quota, {[a for a, _ in draws]}[i + 1] AS a, {[b for _, b in draws]}[i + 1] AS b FROM t LEFT JOIN q USING (i)),
+k AS (SELECT *, least(seats, count(*) OVER ()) AS given FROM seats),
+q AS (SELECT i, {upto} AS upto FROM k GROUP BY i),
+r AS (SELECT t.*, coalesce(upto, {[0] * (shards + 1)}) AS upto, {[a for a, _ in draws]}[i + 1] AS a, {[b for _, b in draws]}[i + 1] AS b FROM t LEFT JOIN q USING (i)),
 p AS (SELECT *, CASE WHEN blocks > 0 THEN b % blocks ELSE 0 END AS shift, CASE WHEN blocks > 0 THEN list_filter(range(CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END, CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END + 1000), lambda x: gcd(x, blocks) = 1)[1] ELSE 1 END AS step FROM r),
 o AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN spread >= {1 << 63}::UHUGEINT THEN 0 ELSE 1 END, spread, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d),
-e AS (SELECT o.doc_id, o.size, draw, n, target, before, blocks, quota, step, shift, unnest(CASE WHEN size > 0 THEN range(before // {block}, (before + size - 1) // {block} + 1) ELSE [NULL] END) AS j FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source),
-x AS (SELECT doc_id, size, n, target, draw, coalesce(sum((least(before + size, (j + 1) * {block}) - greatest(before, j * {block})) * (quota // blocks + CASE WHEN (step * j + shift) % blocks < quota % blocks THEN 1 ELSE 0 END)), 0)::BIGINT AS taken FROM e GROUP BY ALL)
-SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN size > 0 THEN floor(taken / size + (draw & {(1 << 20) - 1}::UHUGEINT)::DOUBLE / {1 << 20}) ELSE 0 END::INTEGER AS copies FROM x
+e AS (SELECT o.doc_id, o.size, draw, n, target, before, blocks, upto, step, shift, unnest(CASE WHEN size > 0 THEN range(before // {block}, (before + size - 1) // {block} + 1) ELSE [NULL] END) AS j FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source),
+g AS (SELECT *, least(before + size, (j + 1) * {block}) - greatest(before, j * {block}) AS words, (step * j + shift) % blocks AS rank FROM e),
+x AS (SELECT doc_id, size, n, target, draw, [{shard_words}] AS shard_words FROM g GROUP BY doc_id, size, n, target, draw),
+y AS (SELECT *, list_sum(shard_words)::BIGINT AS taken FROM x)
+SELECT doc_id, size, n AS source_size, target, taken, shard_words, CASE WHEN size > 0 THEN floor(taken / size + (draw & {(1 << 20) - 1}::UHUGEINT)::DOUBLE / {1 << 20}) ELSE 0 END::INTEGER AS copies FROM y
 """
 
 
@@ -159,9 +167,9 @@ FROM documents
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages without the lines that stand on over 30 % of their host's pages."""
+    """All pages without the lines that repeat on over 30 % of their host's pages."""
     return line_dedup.drop_site_lines(
-        _table(spark, sf_dir, "pages"), "page_id", line_dedup.url_host(F.col("url")), line_dedup.page_lines(F.col("html")), max_ratio=0.3, min_pages=5
+        _table(spark, sf_dir, "pages"), "page_id", line_dedup.url_host(F.col("url")), line_dedup.page_lines(F.col("html")), max_ratio=0.3
     )
 
 
@@ -178,7 +186,7 @@ WITH stripped AS (
   FROM stripped
 ), n AS (SELECT host, count(*) AS total FROM cut WHERE host <> '' GROUP BY host),
 c AS (SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(ls)) AS line FROM cut WHERE host <> '') GROUP BY host, line),
-b AS (SELECT host, list(line) AS bad FROM c JOIN n USING (host) WHERE total >= 5 AND c / total > 0.3 GROUP BY host)
+b AS (SELECT host, list(line) AS bad FROM c JOIN n USING (host) WHERE c > 1 AND c / total > 0.3 GROUP BY host)
 SELECT page_id, host, len(ls)::BIGINT AS n_lines,
        (len(ls) - len(list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []), x))))::BIGINT AS n_dropped,
        coalesce(array_to_string(list_filter(ls, lambda x: NOT list_contains(coalesce(bad, []), x)), chr(10)), '') AS text

@@ -5,65 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm._shared import ranged_prefix
+from quillmill.llm._shared import ranged_prefix, stage
 
 
-def shard_by_bytes(
-    docs: DataFrame,
-    shards: int,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    overhead: int = 16,
-    whole_share: float = 0.02,
-) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Put every row into one of ``shards`` contiguous shards of near equal bytes.
 
     Rows stand in the order of their content (hash of the text, then
     ``id_col``), so equal texts are neighbours. Global byte prefix sums come
     from per-partition totals; the total is cut at equal targets and a row goes
-    where its middle byte falls. A group of equal texts is kept in one shard
-    (that of the group's middle byte) unless it is larger than both the largest
-    row and ``whole_share`` of a target; larger groups are cut like other rows,
-    so one text that holds a third of all rows cannot unbalance the shards.
+    where its middle byte falls. Equal texts that a cut would part, a group for
+    each cut at most, go together where the group's middle byte falls, unless
+    the group is larger than the largest row: then moving it would unbalance
+    the shards by more than whole rows must, and it is cut like other rows. So
+    shards differ from the target by the largest row at most, and at most
+    ``shards - 1`` groups of equal texts are parted, those larger than the
+    largest row on which a cut falls.
 
     Returns ``id_col, size, text_crc32, shard, slot``: size is the text's
     UTF-8 bytes plus ``overhead`` (a null text has no bytes and the CRC of the
     empty text); slot counts from 0 without gaps in each shard. Null and
-    repeated ids are ordinary rows. An empty table gives no rows; fewer rows
-    than shards leave shards empty. Columns of ``docs`` other than the two
-    named are not read.
+    repeated ids are ordinary rows, very long texts count whole. An empty table
+    gives no rows; fewer rows than shards leave shards empty, and rows without
+    a byte all go to shard 0. Columns of ``docs`` other than the two named are
+    not read, so none can clash.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("__id"),
-        (F.octet_length(text) + F.lit(overhead)).cast("long").alias("__size"),
-        F.crc32(text.cast("binary")).alias("__crc"),
-        F.xxhash64(text).alias("__hash"),
+        F.col(f"`{id_col}`").alias("id"),
+        (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        F.xxhash64(text).alias("hash"),
     )
-    group = ["__hash", "__crc", "__size"]
-    placed = ranged_prefix(rows, [*group, "__id"], "__size", name="shard-bytes")
-    total = placed.agg(F.sum("__size").alias("__total"), F.max("__size").alias("__largest"))
-    groups = (
-        placed.groupBy(*group)
-        .agg(F.min("__before").alias("__from"), (F.count("*") * F.col("__size")).alias("__bytes"))
-        .filter(F.col("__bytes") > F.col("__size"))
-        .select(*[F.col(c).alias(f"{c}_g") for c in group], "__from", "__bytes")
+    group = ["hash", "crc", "size"]
+    placed = stage(ranged_prefix(rows, [*group, "id"], "size", name="shard-bytes"), "shard-placed")
+    sums = placed.agg(F.sum("size").alias("total"), F.max("size").alias("largest")).collect()[0]
+    total, largest = sums["total"] or 1, sums["largest"] or 0
+
+    def holds(middle: Column) -> Column:
+        return F.least(F.lit(shards - 1), F.floor(middle * shards / total)).cast("int")
+
+    by_row = placed.withColumn("g", F.struct(*group)).withColumn("own", holds(F.col("__before") + F.col("size") / 2))
+    # two groups for each shard; those that end one shard and begin a later one are parted
+    ends = by_row.groupBy("own").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+    parted = ends.select("own", F.explode(F.array_distinct(F.array("low", "high"))).alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    moved = (
+        by_row.join(F.broadcast(parted), "g")  # at most a group for each cut
+        .groupBy("g")
+        .agg(F.min("__before").alias("start"), F.sum("size").alias("bytes"))
+        .filter(F.col("bytes") <= largest)
+        .select("g", holds(F.col("start") + F.col("bytes") / 2).alias("together"))
     )
-    same: Column = F.lit(True)
-    for c in group:
-        same &= F.col(c) == F.col(f"{c}_g")
-    # one row: the totals
-    joined = placed.join(groups, same, "left").crossJoin(F.broadcast(total))
-    whole = F.col("__bytes") <= F.greatest(F.col("__largest").cast("double"), F.lit(whole_share) * F.col("__total") / shards)
-    middle = F.when(whole, F.col("__from") + F.col("__bytes") / 2).otherwise(F.col("__before") + F.col("__size") / 2)
-    cut = joined.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("__total"))).cast("int"))
-    first = cut.groupBy("shard").agg(F.min("__index").alias("__first"))  # a row for each shard
+    cut = by_row.join(F.broadcast(moved), "g", "left").withColumn("shard", F.coalesce("together", "own"))
+    first = cut.groupBy("shard").agg(F.min("__index").alias("first"))  # a row for each shard
     return cut.join(F.broadcast(first), "shard").select(
-        F.col("__id").alias(id_col),
-        F.col("__size").alias("size"),
-        F.col("__crc").alias("text_crc32"),
+        F.col("id").alias(id_col),
+        "size",
+        F.col("crc").alias("text_crc32"),
         "shard",
-        (F.col("__index") - F.col("__first")).cast("long").alias("slot"),
+        (F.col("__index") - F.col("first")).cast("long").alias("slot"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillmill.llm._shared import held_out, released, small_batches, stage
+from quillmill.llm._shared import held_out, place_of, released, stage
 
 #: Written by hand: words that insult or threaten, a lexicon for each group.
 SEED_LEXICONS: dict[str, tuple[str, ...]] = {
@@ -257,14 +257,14 @@ def fit(sample: pd.DataFrame, counts: pd.DataFrame, learned_voters: int) -> Scor
 def score_documents(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` in 0 to 1, higher for texts likelier to be toxic.
 
-    Whole texts are read; a null text counts as empty and gets the score of a
-    text without features. Other columns pass through; a column ``score`` is
-    replaced.
+    Whole texts are read, very long ones too; a null text counts as empty and
+    gets the score of a text without features. Repeated rows get equal scores;
+    an empty table gives no rows. Other columns pass through; a column
+    ``score`` is replaced. The text column is found whatever its case.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
-    place = [f.name for f in kept].index(text_col)
+    place = place_of([f.name for f in kept], text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)

@@ -119,6 +119,7 @@ def test_shard_quotas_add_up():
     assert all(sum(p.shard_quotas) == p.quota and min(p.shard_quotas) >= 0 for p in plans)
     per_shard = [sum(p.shard_quotas[s] for p in plans) for s in range(7)]
     assert max(per_shard) - min(per_shard) <= 1
+    assert all(p.quota <= 2.5 * p.n_blocks for p in mixing.plan_mix([("a", 10_000), ("b", 30)], [1, 9], 16, cap=2.5))
 
 
 def test_mix_comes_near_targets(spark):
@@ -163,13 +164,19 @@ def test_shards_are_balanced_and_gapless(spark):
     assert all(abs(v - target) <= 0.02 * target + 1100 for v in sums.values())
 
 
-def test_small_groups_of_equal_texts_stay_together(spark):
-    rows = [(i, f"text {i // 3} " + "y" * 200) for i in range(900)]
+def test_equal_texts_stay_together_unless_balance_forbids_it(spark):
+    rows = [(i, f"text {i // 3} " + "y" * 200) for i in range(900)] + [(9000, "z" * 700)]
     out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     shards = defaultdict(set)
     for r in out:
         shards[r.text_crc32].add(r.shard)
     assert all(len(s) == 1 for s in shards.values())
+    rows = [(i, "same text") for i in range(4000)] + [(5000 + i, f"own {i}") for i in range(4000)]
+    sums, shards = Counter(), defaultdict(set)
+    for r in sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect():
+        sums[r.shard] += r.size
+        shards[r.text_crc32].add(r.shard)
+    assert max(sums.values()) - min(sums.values()) <= 2 * 25 and sum(len(s) > 1 for s in shards.values()) == 1
 
 
 def test_shard_edges(spark):
@@ -203,19 +210,92 @@ def test_tree_probabilities_add_up_and_use_contexts():
     stream = rng.integers(0, 6, 4000)
     stream[1::2] = (stream[0::2] + 1) % 6  # every second symbol follows from the one before
     pairs = Counter(zip(stream[:-1].tolist(), stream[1:].tolist()))
-    import pandas as pd
-
-    single = pd.DataFrame({"key": range(6), "n": np.bincount(stream, minlength=6)})
-    entries = pd.DataFrame([(a << 20 | b, n) for (a, b), n in pairs.items() if n > 40], columns=["key", "n"])
-    heads = pd.DataFrame([(a, sum(n for (x, _), n in pairs.items() if x == a), sum(x == a for x, _ in pairs)) for a in range(6)], columns=["context", "m", "d"])
-    tree = suffix_tree.build_tree(single, [(heads, entries)], 6)
-    assert len(tree.leave[1][1]) == 6
+    tree = suffix_tree.root(np.arange(6, dtype=np.uint64), np.bincount(stream, minlength=6), 6)
+    entries = sorted((a << int(suffix_tree.BITS) | b, n) for (a, b), n in pairs.items() if n > 40)
+    m, d = ([sum(f(n) for (x, _), n in pairs.items() if x == a) for a in range(6)] for f in (lambda n: n, lambda n: 1))
+    suffix_tree.grow(tree, np.arange(6, dtype=np.uint64), np.array(m), np.array(d), np.array([k for k, _ in entries], np.uint64), np.array([n for _, n in entries]), 8.0)
+    assert tree.levels[0].kept.all()
     for a in range(6):
-        symbols = np.arange(6, dtype=np.uint64)
-        p = 10 ** tree.log10(lambda k, i: np.full(len(i), a if k else 0, np.uint64), symbols, np.ones(6, np.int64))
+        p = 10 ** tree.log10(np.arange(6, dtype=np.uint64), [np.full(6, a)])
         assert p.argmax() == (a + 1) % 6 and p.sum() == pytest.approx(1, abs=0.01)
 
 
+def plain_tree_scores(rows, depth, min_gain, min_context, min_entry):
+    """Scores by dictionaries, a context at a time: the rules of ``grow`` and ``score_documents``."""
+    training = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in training for w in [*t, b"\n"])
+    common = {w for w, n in c.items() if n >= min_context} | {b"\n"}
+    symbol = lambda w: w if w in common else zlib.crc32(w[-3:]) % suffix_tree.CLASSES
+    streams = [[b"\n", *map(symbol, t), b"\n"] for t in training]
+    single = Counter(x for s in streams for x in s[1:])
+    size, total = len(common) + suffix_tree.CLASSES, sum(single.values())
+    follow = defaultdict(Counter)
+    for s in streams:
+        for at in range(1, len(s)):
+            for k in range(1, depth + 1):
+                if at >= k:
+                    follow[tuple(s[at - k : at])][s[at]] += 1
+    kept = {}
+
+    def p(x, before, most):
+        scale = 1.0
+        for k in range(min(most, len(before)), 0, -1):
+            own = kept.get(tuple(before[-k:]))
+            if own:
+                if x in own[0]:
+                    return scale * own[0][x]
+                scale *= own[1]
+        return scale * (single[x] + 1) / (total + size + 1)
+
+    for k in range(1, depth + 1):
+        fresh = {}
+        for context, after in follow.items():
+            m, d = sum(after.values()), len(after)
+            if len(context) != k or (m if k > 1 else single[context[0]]) < min_context:
+                continue
+            shorter = {x: p(x, context[1:], k - 1) for x, n in after.items() if n >= min_entry}
+            own = {x: (after[x] + d * q) / (m + d) for x, q in shorter.items()}
+            leave = max(1 - sum(own.values()), 1e-12) / max(1 - sum(shorter.values()), 1e-12)
+            gain = sum(after[x] * math.log(own[x] / shorter[x]) for x in own) + (m - sum(after[x] for x in own)) * math.log(leave)
+            if gain >= min_gain + len(own):
+                fresh[context] = (own, leave)
+        kept |= fresh
+    members = defaultdict(set)
+    for _, t in rows:
+        for w in [*words(t), b"\n"]:
+            members[symbol(w)].add(w)
+    inside = {x: sum(c[w] for w in ws) + sum(c[w] > 0 for w in ws) + 1 for x, ws in members.items()}
+    out = {}
+    for i, t in rows:
+        before, score = [b"\n"], 0.0
+        for w in [*words(t), b"\n"]:
+            x = symbol(w)
+            score += math.log10(p(x, before, depth)) + math.log10((c[w] + 1) / inside[x])
+            before.append(x)
+        out[i] = score
+    return out, Counter(len(k) for k in kept)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_scores_equal_a_plain_suffix_tree(spark, depth):
+    rng = random.Random(13)
+    phrases = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(2, 7))] for _ in range(30)]
+    rows = [(i, " ".join(w for _ in range(rng.randrange(0, 9)) for w in rng.choice(phrases)) + (f" rare{i}" if i % 3 else "")) for i in range(150)] + [(900, None), (901, "Unseen words")]
+    expected, kept = plain_tree_scores(rows, depth, 4.0, 3, 2)
+    out = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, min_gain=4.0, min_context=3, min_entry=2).collect()
+    assert len(out) == len(rows) and all(kept[k] for k in range(1, min(depth, 3) + 1))
+    for r in out:
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9), r
+
+
+def test_bounds_of_the_tree_hold(spark, monkeypatch):
+    rows = [(i, t) for i, t in near_copies(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffix_tree, "TASK_KEYS", 10)
+    whole, bound = (sum(r.score for r in suffix_tree.score_documents(docs, min_context=2, min_entry=2, **more).collect()) for more in ({}, {"most_entries": 30, "most_words": 20}))
+    assert whole > bound
+
+
 def test_index_finds_what_it_holds():
     rng = np.random.default_rng(6)
     for n in (0, 1, 7, 5000):
@@ -439,7 +519,7 @@ def test_exact_dedup_edges(spark):
 def test_lines_equal_a_plain_count(spark):
     rng = random.Random(10)
     rows = [(i, f"https://h{rng.randrange(4)}.org/x", "\n".join(rng.choice(["menu", "menu", " foot ", f"own {i}", "rare", ""]) for _ in range(rng.randrange(8)))) for i in range(120)]
-    rows += [(200, "no url", "menu"), (201, None, "menu\nmenu"), (202, "https://single.org", "menu"), (203, "https://h1.org", None)]
+    rows += [(200, "no url", "menu"), (201, None, "menu\nmenu"), (202, "https://single.org", "menu"), (204, "https://two.org/a", "menu\na"), (205, "https://two.org/b", "menu\nb"), (203, "https://h1.org", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, body string")
     for limit in (line_dedup.BROADCAST_BYTES, -1):
         line_dedup.BROADCAST_BYTES, before = limit, line_dedup.BROADCAST_BYTES
@@ -450,7 +530,7 @@ def test_lines_equal_a_plain_count(spark):
         total, has = Counter(host.values()), Counter((host[i], x) for i in lines for x in set(lines[i]))
         for r in out:
             h = host[r.page_id]
-            kept = [x for x in lines[r.page_id] if not (h and total[h] >= 5 and has[(h, x)] / total[h] > 0.3)]
+            kept = [x for x in lines[r.page_id] if not (h and has[(h, x)] > 1 and has[(h, x)] / total[h] > 0.3)]
             assert (r.host, r.n_lines, r.n_dropped, r.text) == (h, len(lines[r.page_id]), len(lines[r.page_id]) - len(kept), "\n".join(kept))
         assert len(out) == len(rows)
 
@@ -510,14 +590,22 @@ def test_mix_equals_a_plain_mix(spark):
     for p in plans:
         at = 0
         for i in sorted((i for i, _, s in rows if s == p.source), key=lambda i: (spread[i], i, size[i])):
-            taken = 0
+            taken = [0] * 8
             for token in range(at, at + size[i]):
                 rank = (p.step * (token // block) + p.shift) % p.n_blocks
-                taken += sum(rank + k * p.n_blocks < p.quota for k in range(4))
+                for k in range(4):
+                    place = rank + k * p.n_blocks
+                    if place < p.quota:
+                        taken[sum(place >= u for u in p.upto[1:])] += 1
             at += size[i]
-            expected[i] = (p.size, taken)
-    got = {r.doc_id: (r.source_size, r.taken) for r in mixing.mix_sources(docs, block=block, seed=seed).collect()}
-    assert got == expected
+            expected[i] = (p.size, sum(taken), taken)
+        sums = [sum(x[2][s] for i, x in expected.items() if dict((j, z) for j, _, z in rows)[i] == p.source) for s in range(8)]
+        assert all((q - 1) * block < n <= q * block or n == q == 0 for n, q in zip(sums, p.shard_quotas))
+    out = mixing.mix_sources(docs, block=block, seed=seed).collect()
+    assert {r.doc_id: (r.source_size, r.taken, r.shard_words) for r in out} == expected
+    copies = {r.doc_id: r.copies for r in out}
+    kept = Counter(r.doc_id for r in mixing.mixed_documents(docs, block=block, seed=seed).collect())
+    assert kept == {i: n for i, n in copies.items() if n} and all(0 <= copies[i] - expected[i][1] // max(1, size[i]) <= 1 for i in copies)
 
 
 def test_shards_equal_a_plain_walk(spark):
@@ -538,9 +626,65 @@ def test_shards_equal_a_plain_walk(spark):
     expected, slots = {}, Counter()
     for i in walk:
         own = groups[dict(rows)[i]]
-        whole = len(own) * size[i] <= max(max(size.values()), 0.02 * total / n)
+        whole = len(own) * size[i] <= max(size.values())
         middle = min(before[j] for j in own) + len(own) * size[i] / 2 if whole else before[i] + size[i] / 2
         shard = min(n - 1, int(middle * n // total))
         expected[i] = (shard, slots[shard])
         slots[shard] += 1
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(docs, n).collect()} == expected
+
+
+CLASHES = ["__id", "__own", "__digest", "__words", "__time", "__copies", "__mark", "__source", "__row", "__text", "id", "u", "mark", "key", "size", "block", "held", "SCORE", "lang_pred_", "rows", "class"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "one two three four five six", "a", "en"), (1, "one two three four five six", "a", "en"), (2, "one two three four five six", "b", "en"), (None, "seven eight nine", None, "de"), (None, "other words here", "a", None)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in CLASHES)) for k, r in enumerate(rows)], ["doc_id", "Text", "source", "lang", *CLASHES])
+    trees = langid.learn(docs, "doc_id", "Text", "lang")
+    scorer = toxicity.learn(docs, spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"), text_col="Text")
+    before = {tuple(r) for r in docs.collect()}
+    for found in (
+        exact_dedup.drop_exact_duplicates(docs, text_col="Text"),
+        ngram_join.keep_one_of_each_class(docs, text_col="Text"),
+        mixing.mixed_documents(docs, text_col="Text", block=2),
+        langid.keep_identified(docs, trees, text_col="text"),
+    ):
+        assert found.columns == docs.columns and {tuple(r) for r in found.collect()} <= before
+    assert toxicity.score_documents(docs, scorer, text_col="text").count() == len(rows)
+    assert langid.identify(docs, trees, text_col="text").count() == pieces.encode_documents(docs).count() == len(rows)
+    for found in (
+        ngram_join.similar_documents(docs, text_col="Text"), mixing.mix_sources(docs, text_col="Text"), sharding.shard_by_bytes(docs, 3, text_col="Text"),
+        suffix_tree.score_documents(docs, text_col="Text"), exact_dedup.exact_duplicates(docs, text_col="Text"),
+    ):
+        assert found.count() == len(rows)
+    stays = exact_dedup.drop_exact_duplicates(docs, text_col="Text").collect()
+    assert sorted(r.doc_id or 0 for r in stays) == [0, 0, 2]
+    repeats = exact_dedup.drop_exact_duplicates(docs.filter("doc_id = 1"), text_col="Text").collect()
+    assert [r["__own"] for r in repeats] == ["__own0"]
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, near, "a"), (None, near + " x", "a"), (None, "quite another text of some words", "b"), (None, None, "b"), (5, "w", "b")], "doc_id long, text string, source string")
+    kept = ngram_join.keep_one_of_each_class(docs)
+    assert kept.count() == 4
+    mixed = mixing.mixed_documents(docs, block=8)
+    plan = mixing.mix_sources(docs, block=8).filter("copies > 0").agg(F.sum("copies")).collect()[0][0]
+    assert mixed.count() == plan
+
+
+def test_long_near_copies_are_compared_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", 9000)
+    base = [f"w{i}" for i in range(4000)]
+    rows = [(k, " ".join([*base, *(f"own{k}x{i}" for i in range(20))])) for k in range(25)]
+    compare = ngram_join.jaccard_at_least
+    flat = np.concatenate([np.arange(5), np.arange(1, 6), np.arange(50, 60)]).astype(np.uint64)
+    assert compare(flat, np.array([5, 5, 10]), np.array([0, 1]), np.array([1, 2]), 0.6).tolist() == [[True, False], [True, False]]
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in out} == {(0, 24)}
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [1.0, -1.0])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}

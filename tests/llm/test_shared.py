@@ -31,14 +31,29 @@ def test_blocks_keep_order_and_size(texts, size):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=30))
-def test_spanning_forest_names_the_smallest(links):
-    label = list(range(13))
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(7, 12)), max_size=30))
+def test_links_are_counted_and_named_by_the_smallest(links):
+    left, right, copies = np.arange(7), np.arange(7, 13), np.arange(1, 14)
+    near = np.zeros((7, 6), bool)
+    for a, b in links:
+        near[a, b - 7] = True
+    n, label = list(range(13)), list(range(13))
+    n = [sum(copies[b] for a, b in set(links) if a == k) + sum(copies[a] for a, b in set(links) if b == k) for k in range(13)]
     for _ in range(13):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    i, j = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-    assert _shared.spanning_forest(i, j, 13).tolist() == label
+    found = _shared.links_of(near, near, left, right, copies)
+    assert found[0].tolist() == n and found[1].tolist() == label
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=6, unique=True), min_size=2, max_size=9), st.integers(0, 10))
+def test_shared_earlier_numbers(lists, here):
+    half = len(lists) // 2
+    left, right = np.arange(half), np.arange(half, len(lists))
+    found = _shared.shares_earlier(pa.chunked_array([pa.array(lists, pa.list_(pa.int64()))]), here, left, right)
+    expected = [[any(x < here for x in set(lists[a]) & set(lists[b])) for b in right] for a in left]
+    assert (np.zeros((len(left), len(right)), bool) if found is None else found).tolist() == expected
 
 
 def test_components_of_chains_and_stars(spark):
