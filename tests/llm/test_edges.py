@@ -347,6 +347,43 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def votes_of(n=6000, seed=5):
+    rng = np.random.default_rng(seed)
+    label = rng.random(n) < 0.2
+    good = [rng.random(n) < np.where(label, r, 0.02) for r in (0.6, 0.5, 0.7, 0.4)]
+    noise = rng.random(n) < 0.15
+    return label, np.column_stack([*good, good[0], good[0], noise])
+
+
+def test_label_model_learns_from_agreement_alone():
+    label, votes = votes_of()
+    model = toxicity.fit_label_model(votes, 0.2)
+    assert model.accuracy == pytest.approx([label[v].mean() for v in votes.T], abs=0.2)
+    assert abs(model.accuracy[6] - 0.2) < 0.05  # who speaks by chance tells nothing
+    assert model.correlations[0, 4] > 0.95 and model.share[0] < 0.4 < 0.8 < model.share[6]
+    start = np.choose(np.minimum(votes.sum(axis=1), 2), [0.2, 0.2, 0.95])
+    right = [np.mean((p > 0.5) == label) for p in (start, model.posterior(votes))]
+    assert right[1] > right[0] + 0.02 and right[1] > 0.92
+
+
+def plain_log_odds(model, row):
+    out = math.log(model.prior / (1 - model.prior))
+    for v, spoken in enumerate(row):
+        if spoken:
+            out += math.log(model.rates[v, 1] / model.rates[v, 0]) / max(1.0, sum(c * c for c in model.correlations[v]))
+    return out
+
+
+def test_posteriors_equal_a_plain_sum_and_labels_only_turn_them():
+    label, votes = votes_of(800)
+    model = toxicity.fit_label_model(votes, 0.2)
+    odds = model.log_odds(votes)
+    assert odds == pytest.approx([plain_log_odds(model, r) for r in votes])
+    slope, shift = toxicity.calibrated(odds, label.astype(float))
+    other, back = toxicity.calibrated(odds, 1.0 - label)
+    assert slope > 0 > other and np.mean(((slope * odds + shift) > 0) == label) > 0.88
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -565,6 +602,9 @@ def test_pipeline_stages(spark, tmp_path):
     survivors = [(r[0], r[1]) for r in [*rows, (900, rows[0][1])] if r[0] in seen[1]]
     assert seen[2] == {d for d, c, _ in brute_classes(survivors) if d == c}
     assert seen[3] <= seen[2] and seen[4] == seen[3]
+    plan = {r.doc_id: r.copies for r in mixing.mix_sources(spark.read.parquet(f"{tmp_path}/n-gram Jaccard join")).collect() if r.copies}
+    assert Counter(r.doc_id for r in spark.read.parquet(f"{tmp_path}/source mixing").collect()) == plan
+    assert Counter(r.doc_id for r in held.collect()) == plan
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
 
 
