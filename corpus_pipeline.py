@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import exact_dedup, langid, mixing, ngram_join, pieces
-from quillmill.llm._shared import stage
+from quillmill.llm._shared import small_batches, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or without a letter) go."""
+    small_batches(spark)
     return langid.keep_identified(docs, langid.learn(docs, "doc_id", "text", "lang"))
 
 
@@ -24,6 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a class of documents similar on five words the one with the smallest id stays."""
+    small_batches(spark)
     return ngram_join.keep_one_of_each_class(docs)
 
 
@@ -34,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document and the digests of ids and decoded text."""
+    small_batches(spark)
     coded = pieces.encode_documents(docs, keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
