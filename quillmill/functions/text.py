@@ -229,6 +229,16 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def squeezed(c: Column) -> Column:
+    """Lower case without any ASCII white space: what names are looked for in."""
+    return F.lower(F.regexp_replace(text_or_empty(c), r"[ \t\r\n\f\x0B]+", ""))
+
+
+def pieces(c: Column, n: int = 2) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """Non-overlapping occurrences of a part."""
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part))) / F.length(part)).cast("int")).otherwise(0)

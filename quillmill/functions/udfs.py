@@ -7,9 +7,10 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 
 @F.pandas_udf(DoubleType())
@@ -18,6 +19,27 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def _letters(texts: np.ndarray) -> np.ndarray:
+    """How often each letter occurs, a row for each text; letters of one number modulo 64 count together."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        out[i] = np.bincount(codes % 64, minlength=64)
+    return out
+
+
+@F.pandas_udf(BooleanType())
+def ratio_reaches(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether ``sequence_ratio`` is ``least`` or more; pairs that share too few letters for that are not aligned."""
+    x, y = a.fillna("").to_numpy(object), b.fillna("").to_numpy(object)
+    texts, place = np.unique(np.concatenate([x, y]).astype(object), return_inverse=True)
+    counts = _letters(texts)
+    i, j = place[: len(x)], place[len(x) :]
+    bar = least.to_numpy(float)
+    open_ = 2 * np.minimum(counts[i], counts[j]).sum(axis=1) >= bar * (counts[i].sum(axis=1) + counts[j].sum(axis=1)) - 1e-9
+    return pd.Series([bool(o) and SequenceMatcher(None, p, q).ratio() >= r for o, p, q, r in zip(open_, x, y, bar)], dtype=bool)
+
+
 @F.pandas_udf(StringType())
 def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

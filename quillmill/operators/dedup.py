@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
-from quillmill.functions.udfs import sequence_ratio
+from quillmill.functions.udfs import ratio_reaches, sequence_ratio
 
 
 def similar_sets(a: Column, b: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -40,41 +40,69 @@ def repeats(df: DataFrame, key: str, signature: Column, text: Column, order: str
     """Whether an earlier row of the same signature is near, or the signature is a general one.
 
     Every earlier row counts, not only accepted ones. Pairs meet by signature;
-    texts whose lengths alone keep the ratio below the bar are not compared.
+    texts whose lengths or letters alone keep the ratio below the bar are not
+    compared further.
     Each two distinct texts of a signature are compared once in each direction,
     whatever the number of their rows.
     """
-    rows = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
+    every = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
+    # of a general signature all but the first are repeats, whatever their texts
+    first = every.filter(F.col("s").endswith(general)).groupBy(F.col("s").alias("gs")).agg(F.min("o").alias("first"))
+    later = every.join(first, (F.col("s") == F.col("gs")) & (F.col("o") > F.col("first"))).select("k")
+    rows = every.filter(~F.col("s").endswith(general))
     texts = rows.groupBy("s", "t").agg(F.min("o").alias("first"), F.max("o").alias("last"))
     a, b = texts.alias("a"), texts.alias("b")
     bound = 2 * F.least(F.length("a.t"), F.length("b.t")) / F.greatest(F.lit(1), F.length("a.t") + F.length("b.t"))
-    is_general = F.col("a.s").endswith(general)
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.last") > F.col("b.first"))).filter(is_general | (bound >= least))
-    met = pairs.filter(is_general | (sequence_ratio(F.col("a.t"), F.col("b.t")) >= least)).groupBy(F.col("a.s").alias("ms"), F.col("a.t").alias("mt")).agg(F.min("b.first").alias("since"))
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.last") > F.col("b.first"))).filter(bound >= least)
+    met = pairs.filter(ratio_reaches(F.col("a.t"), F.col("b.t"), F.lit(least))).groupBy(F.col("a.s").alias("ms"), F.col("a.t").alias("mt")).agg(F.min("b.first").alias("since"))
     hits = rows.join(met, (F.col("s") == F.col("ms")) & F.col("t").eqNullSafe(F.col("mt")) & (F.col("o") > F.col("since")))
-    near = hits.select("k").distinct().withColumn("repeated", F.lit(True))
+    near = hits.select("k").unionByName(later).distinct().withColumn("repeated", F.lit(True))
     return df.join(near, F.col(key) == F.col("k"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("k")
 
 
 def history_duplicates(df: DataFrame, key: str, text: str, history: DataFrame, past: str, signature: Callable[[Column], Column], least: float = 0.86) -> DataFrame:
     """Equal keys, or the same scenario and a ratio or 3-gram Jaccard at the bar; blank texts count as duplicates."""
-    rows = df.select(F.col(key).alias("k"), X.surface_key(F.col(text)).alias("t"), signature(F.col(text)).alias("s"))
-    old = history.select(X.surface_key(F.col(past)).alias("ht"), signature(F.col(past)).alias("hs")).filter("ht <> ''").distinct()
-    pairs = rows.filter("t <> ''").join(old, F.col("s").eqNullSafe(F.col("hs")))
-    bound = 2 * F.least(F.length("t"), F.length("ht")) / (F.length("t") + F.length("ht"))
-    ga, gb = X.char_ngram_set(F.col("t")), X.char_ngram_set(F.col("ht"))
-    grams = F.when((F.length("t") >= 3) & (F.length("ht") >= 3), X.jaccard(ga, gb)).otherwise(0.0)
-    near = pairs.filter((bound >= least) | (grams >= least)).filter((sequence_ratio("t", "ht") >= least) | (grams >= least)).select("k")
+    def shaped(c: Column, names: tuple[str, str, str]) -> list[Column]:
+        t = X.surface_key(c)
+        grams = F.when(F.length(t) >= 3, X.char_ngram_set(t)).otherwise(F.array().cast("array<string>"))
+        return [x.alias(n) for x, n in zip((t, signature(c), grams), names)]
+
+    rows = df.select(F.col(key).alias("k"), *shaped(F.col(text), ("t", "s", "g")))
+    old = history.select(*shaped(F.col(past), ("ht", "hs", "hg"))).filter("ht <> ''").dropDuplicates(["ht", "hs"])
+    # lengths of texts, and sizes of 3-gram sets, that alone keep a pair below the bar
+    bound = 2 * F.least(F.length("t"), F.length("ht")) / (F.length("t") + F.length("ht")) >= least
+    sized = F.least(F.size("g"), F.size("hg")) >= least * F.greatest(F.lit(1), F.size("g"), F.size("hg"))
+    pairs = rows.filter("t <> ''").join(old, F.col("s").eqNullSafe(F.col("hs")) & (bound | sized))
+    grams = sized & (X.jaccard(F.col("g"), F.col("hg")) >= least)
+    near = pairs.filter(grams | (bound & ratio_reaches(F.col("t"), F.col("ht"), F.lit(least)))).select("k")
     same = rows.join(old.select("ht").distinct(), F.col("t") == F.col("ht"), "left_semi").select("k")
     hit = rows.filter("t = ''").select("k").unionByName(same).unionByName(near).distinct().withColumn("duplicate", F.lit(True))
     return df.join(hit, F.col(key) == F.col("k"), "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("k")
 
 
+def numbered(df: DataFrame, order: str, name: str, ranges: int = 200) -> DataFrame:
+    """Rows numbered from 0 by a numeric column, without one task that sees all.
+
+    Quantiles cut the column into ``ranges`` ranges at most; rows are numbered
+    in each, and counts of the ranges before, which come to the driver, are
+    added.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.002)))
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    placed = df.withColumn("__range", F.size(F.filter(bounds, lambda c: F.col(order) > c)))
+    counts = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    before, starts = 0, []
+    for k in sorted(counts):
+        starts.append((k, before))
+        before += counts[k]
+    offsets = df.sparkSession.createDataFrame(starts, "__range int, __start long")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return placed.withColumn(name, inside).join(F.broadcast(offsets), "__range").withColumn(name, (F.col(name) + F.col("__start")).cast("int")).drop("__range", "__start")
+
+
 def remap_children(parents: DataFrame, index: str, keep: Column, children: DataFrame, parent: str) -> tuple[DataFrame, DataFrame]:
     """Kept parents numbered anew from 0, and their children with the new number; orphans go."""
-    kept = parents.filter(keep)
-    order = Window.orderBy(index)
-    renumbered = kept.withColumn("new_index", F.row_number().over(order) - 1)
+    renumbered = numbered(parents.filter(keep), index, "new_index")
     return renumbered, children.join(renumbered.select(F.col(index).alias(parent), "new_index"), parent)
 
 

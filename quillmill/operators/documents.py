@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
+from quillmill.operators.match import holding
 
 #: The entities that pages use.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -87,20 +88,29 @@ def table_cells(df: DataFrame, doc: str, text: str) -> DataFrame:
     return filled.select(doc, "line", F.posexplode("cells").alias("column", "value"), "__head").select(doc, "line", "column", F.get("__head", F.col("column")).alias("header"), "value").filter("value <> ''")
 
 
-def dictionary_scores(df: DataFrame, doc: str, text: str, dictionary: DataFrame, alias: str, label: str, official: str, anchor: Column, section: Column, scale: float = 4.5, hints: Column | None = None) -> DataFrame:
+def dictionary_scores(df: DataFrame, doc: str, text: str, dictionary: DataFrame, alias: str, label: str, official: str, anchor: Column, section: Column, scale: float = 4.5, hints: Column | None = None, filename: Column | None = None) -> DataFrame:
     """T4d, T5d: labels scored by their aliases' occurrences in each line.
 
-    1.2 for an official name, 0.9 for an alias, each occurrence, plus 0.9 on an
-    anchor line or 0.5 on a section line; confidence = score / ``scale`` within
-    0.62 to 1. The dictionary is small and fixed in size; lines meet only those
-    aliases of which they hold a word, by an equi-join on the first word.
+    1.2 for an official name, 0.9 for an alias, each occurrence in a line
+    without its white space, so also inside compounds and spelled apart, plus
+    0.9 on an anchor line or 0.5 on a section line. A label that occurs gains
+    0.8 for each alias among the document's ``hints`` (an array) and 0.6 for
+    each that its ``filename`` holds. Confidence = score / ``scale`` within
+    0.62 to 1. Aliases of one character are left out.
     """
-    content = lines(df, doc, text).withColumn("__bonus", F.when(anchor, 0.9).when(section, 0.5).otherwise(0.0)).withColumn("__low", F.lower("content"))
-    words = content.withColumn("__word", F.explode(F.array_distinct(X.tokens(F.col("content")))))
-    terms = dictionary.withColumn("__alias", F.lower(alias)).withColumn("__word", F.get(X.tokens(F.col(alias)), F.lit(0)))
-    hits = words.join(terms, "__word").withColumn("times", X.occurrences(F.col("__low"), F.col("__alias"))).filter("times > 0")
-    score = F.sum(F.col("times") * (F.when(F.col(official), 1.2).otherwise(0.9) + F.col("__bonus")))
-    return hits.groupBy(doc, label).agg(F.round(score, 4).alias("score")).withColumn("confidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.62), F.col("score") / scale)), 4))
+    content = lines(df, doc, text).withColumn("__bonus", F.when(anchor, 0.9).when(section, 0.5).otherwise(0.0)).withColumn("__low", X.squeezed(F.col("content")))
+    terms = dictionary.withColumn("__alias", X.squeezed(F.col(alias)))
+    hits = holding(content, "__low", terms, "__alias").withColumn("times", X.occurrences(F.col("__low"), F.col("__alias")))
+    each = F.sum(F.col("times") * (F.when(F.col(official), 1.2).otherwise(0.9) + F.col("__bonus")))
+    found = hits.groupBy(doc, label).agg(each.alias("score"))
+    if hints is not None or filename is not None:
+        told = F.transform(hints, lambda x: X.squeezed(x)) if hints is not None else F.array().cast("array<string>")
+        named = X.squeezed(filename) if filename is not None else F.lit("")
+        about = df.select(doc, told.alias("__hints"), named.alias("__file"))
+        aliases = terms.filter("__alias <> ''").groupBy(label).agg(F.collect_set("__alias").alias("__aliases"))  # a dictionary's aliases of one label
+        gain = F.aggregate("__aliases", F.lit(0.0), lambda a, x: a + F.when(F.array_contains("__hints", x), 0.8).otherwise(0.0) + F.when(F.col("__file").contains(x), 0.6).otherwise(0.0))
+        found = found.join(about, doc).join(aliases, label).select(doc, label, (F.col("score") + F.coalesce(gain, F.lit(0.0))).alias("score"))
+    return found.withColumn("score", F.round("score", 4)).withColumn("confidence", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.62), F.col("score") / scale)), 4))
 
 
 def contextual_labels(df: DataFrame, doc: str, text: Column, rules: dict[str, list[tuple[str, ...]]]) -> DataFrame:
@@ -128,7 +138,8 @@ def absence_reason(df: DataFrame, doc: str, text: Column, label_count: Column) -
 def small_classes(df: DataFrame, doc: str, text: str, dictionary: DataFrame, anchor: Column, in_table: Column, synergy: float = 2.0, threshold: float = 3.0, most: int = 5) -> DataFrame:
     """T4d: dictionary scores, more for labels that also stand in a table; those above the threshold, the best ``most``."""
     scored = dictionary_scores(df, doc, text, dictionary, "alias", "label", "official", anchor, F.lit(False)).drop("confidence")
-    cells = lines(df, doc, text).filter(in_table).select(doc, F.explode(X.tokens(F.col("content"))).alias("alias")).join(dictionary, "alias").select(doc, "label").distinct().withColumn("__t", F.lit(synergy))
+    cells = lines(df, doc, text).filter(in_table).select(doc, X.squeezed(F.col("content")).alias("__low"))
+    cells = holding(cells, "__low", dictionary.withColumn("__alias", X.squeezed(F.col("alias"))), "__alias").select(doc, "label").distinct().withColumn("__t", F.lit(synergy))
     merged = scored.join(cells, [doc, "label"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("__t", F.lit(0.0)), 4)).drop("__t").filter(F.col("score") >= threshold)
     return merged.withColumn("__rn", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))).filter(F.col("__rn") <= most).drop("__rn")
 

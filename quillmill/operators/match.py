@@ -28,12 +28,21 @@ def resolve_details(terms: DataFrame, term: str, term_order: str, catalogue: Dat
     return (kept.orderBy("__t", order).limit(most) if most else kept).drop("__k", "__ck", "__t")
 
 
+def holding(texts: DataFrame, text: str, terms: DataFrame, term: str, n: int = 2) -> DataFrame:
+    """Each text beside each term that it holds, also inside a word, by an equi-join on the term's first ``n`` characters.
+
+    Terms of fewer characters are left out.
+    """
+    asked = terms.filter(F.length(term) >= n).withColumn("__piece", F.substring(term, 1, n))
+    return texts.withColumn("__piece", F.explode(X.pieces(F.col(text), n))).join(asked, "__piece").filter(F.col(text).contains(F.col(term))).drop("__piece")
+
+
 def suggestions(terms: DataFrame, term: str, catalogue: DataFrame, name: str, unit: str) -> DataFrame:
-    """Catalogue rows whose name holds a term's first token, with flags for exact detail and unit names."""
-    asked = terms.select(F.col(term), X.catalogue_key(F.col(term)).alias("__k"), F.explode(X.tokens(F.col(term))).alias("__w"))
-    stock = catalogue.select("*", F.explode(F.array_distinct(F.concat(X.tokens(F.col(name)), X.tokens(F.col(unit))))).alias("__w"))
-    hits = asked.join(stock, "__w").withColumn("exact_detail", X.catalogue_key(F.col(name)) == F.col("__k")).withColumn("exact_unit_name", X.catalogue_key(F.col(unit)) == F.col("__k"))
-    return hits.drop("__w", "__k").distinct()
+    """Catalogue rows whose name or unit holds a term, by their keys, with flags for exact detail and unit names."""
+    asked = terms.select(F.col(term), X.catalogue_key(F.col(term)).alias("__k")).distinct()
+    stock = catalogue.select("*", F.concat_ws("\n", X.catalogue_key(F.col(name)), X.catalogue_key(F.col(unit))).alias("__text"))
+    hits = holding(stock, "__text", asked, "__k").withColumn("exact_detail", X.catalogue_key(F.col(name)) == F.col("__k")).withColumn("exact_unit_name", X.catalogue_key(F.col(unit)) == F.col("__k"))
+    return hits.drop("__text", "__k").distinct()
 
 
 def lookup_class(terms: DataFrame, term: str, classes: DataFrame, name: str, code: str, order: str, least: int = 4, ratio: float = 0.8) -> DataFrame:

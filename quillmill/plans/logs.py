@@ -27,11 +27,11 @@ def s17(spark, d):
 
 
 @query("s18_search", """
-WITH t AS (SELECT unnest(['red', '17', 'anvil']) AS w, unnest([0, 1, 2]) AS o),
-h AS (SELECT p_partkey, o, CASE WHEN w = p_partkey::VARCHAR THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM part JOIN t ON w = p_partkey::VARCHAR OR list_contains(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{2,}'), w)),
+WITH t AS (SELECT unnest(['red', '17', 'nvi']) AS w, unnest([0, 1, 2]) AS o),
+h AS (SELECT p_partkey, o, CASE WHEN w = p_partkey::VARCHAR THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM part JOIN t ON w = p_partkey::VARCHAR OR contains(lower(p_name || ' ' || p_type), w)),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY o, score DESC) AS rn FROM h) SELECT p_partkey, score FROM r WHERE rn = 1 ORDER BY o, p_partkey LIMIT 600""")
 def s18(spark, d):
-    terms = spark.createDataFrame([("red", 0), ("17", 1), ("anvil", 2)], "term string, ord int")
+    terms = spark.createDataFrame([("red", 0), ("17", 1), ("nvi", 2)], "term string, ord int")
     return readers.search(terms, "term", "ord", table(spark, d, "part"), "p_partkey", ["p_name", "p_type"], "p_partkey", most=600).select("p_partkey", "score")
 
 
@@ -107,8 +107,9 @@ def l9(spark, d):
 
 @query("t4d_small_class", rf"""WITH {LINES},
 dict AS (SELECT unnest(['the', 'und', 'que']) AS alias, unnest(['english', 'german', 'romance']) AS label),
-h AS (SELECT doc_id, label, floor((length(lower(content)) - length(replace(lower(content), alias, ''))) / length(alias)) * (1.2 + CASE WHEN contains(content, ':') THEN 0.9 ELSE 0.0 END) AS s FROM lns JOIN dict ON list_contains(regexp_extract_all(lower(content), '[가-힣a-z0-9]{{2,}}'), alias)),
-a AS (SELECT doc_id, label, round(sum(s)::DOUBLE, 4) AS base FROM h GROUP BY ALL), t AS (SELECT DISTINCT doc_id, label FROM lns JOIN dict ON contains(content, '|') AND list_contains(regexp_extract_all(lower(content), '[가-힣a-z0-9]{{2,}}'), alias)),
+low AS (SELECT *, regexp_replace(lower(content), '[ \t\r\n\f\x0B]+', '', 'g') AS c FROM lns),
+h AS (SELECT doc_id, label, floor((length(c) - length(replace(c, alias, ''))) / length(alias)) * (1.2 + CASE WHEN contains(content, ':') THEN 0.9 ELSE 0.0 END) AS s FROM low JOIN dict ON contains(c, alias)),
+a AS (SELECT doc_id, label, round(sum(s)::DOUBLE, 4) AS base FROM h GROUP BY ALL), t AS (SELECT DISTINCT doc_id, label FROM low JOIN dict ON contains(content, '|') AND contains(c, alias)),
 s AS (SELECT doc_id, label, round(base + CASE WHEN t.doc_id IS NULL THEN 0 ELSE 2 END, 4) AS score FROM a LEFT JOIN t USING (doc_id, label)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s WHERE score >= 3)
 SELECT doc_id, label, score FROM r WHERE rn <= 5""")
 def t4d(spark, d):
@@ -172,6 +173,26 @@ def s9(spark, d):
     return pages.select("page", F.explode(readers.decode_page(F.col("body"), item, F.col("ct"))).alias("r")).select("page", "r.*")
 
 
+@query("s8_decode_rpc", """
+SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 5 = 4 THEN event_type END AS value,
+       CASE event_id % 5 WHEN 2 THEN 'busy' WHEN 3 THEN 'unreadable response' END AS error FROM events""")
+def s8(spark, d):
+    """Captured bodies shaped from events: plain, server-sent, failed, unreadable, and with a bare value."""
+    kind = F.col("event_id") % 5
+    plain = F.concat(F.lit('{"jsonrpc": "2.0", "result": '), "props", F.lit("}"))
+    sent = F.concat(F.lit('event: message\ndata: {"result": {"k": "early"}}\n\ndata: '), plain, F.lit("\ndata: [DONE]\n"))
+    bare = F.concat(F.lit('{"error": null, "result": "'), "event_type", F.lit('"}'))
+    body = F.when(kind == 0, plain).when(kind == 1, sent).when(kind == 2, '{"error": {"code": 1, "message": "busy"}}').when(kind == 3, "<html>").otherwise(bare)
+    said = table(spark, d, "events").select("event_id", readers.decode_rpc(body).alias("r"))
+    return said.select("event_id", F.get_json_object("r.result", "$.k").alias("k"), F.get_json_object("r.result", "$.value").alias("value"), "r.error")
+
+
+@query("l8_one_decision", """
+SELECT user_id, arg_max(event_type, event_id) AS decision, max(event_id) AS event_id, count(*) AS revision FROM events GROUP BY user_id""")
+def l8(spark, d):
+    return L.one_decision(table(spark, d, "events"), "user_id", F.col("event_type"), "event_id")
+
+
 @query("s7_page_stop", """SELECT n_regionkey AS page, len(ns)::INTEGER AS n FROM (SELECT n_regionkey, list(n_name) AS ns FROM nation WHERE n_regionkey <> 3 GROUP BY 1) WHERE n_regionkey < 3""")
 def s7(spark, d):
     pages = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("page")).agg(F.collect_list(F.when(F.col("n_regionkey") != 3, F.col("n_name"))).alias("rows"))
@@ -179,13 +200,13 @@ def s7(spark, d):
 
 
 @query("k3_parent_child", """
-WITH o AS (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS id FROM orders WHERE o_orderkey < 500), l AS (SELECT o.id AS parent_id, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INTEGER AS ord, l_linenumber, l_partkey FROM o JOIN lineitem ON o_orderkey = l_orderkey)
+WITH o AS (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS id FROM orders), l AS (SELECT o.id AS parent_id, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INTEGER AS ord, l_linenumber, l_partkey FROM o JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT parent_id, ord, l_linenumber, l_partkey, sha256(parent_id || '|' || ord::VARCHAR) AS id FROM l""")
 def k3(spark, d):
     from quillmill.sources import writers
 
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    orders = table(spark, d, "orders").filter("o_orderkey < 500").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "lines")
+    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "lines")
     return writers.parent_child(orders, ["o_orderkey"], {"lines": "lines"})["lines"]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
 from quillmill.operators import dedup as D
@@ -39,13 +40,13 @@ def j7(spark, d):
 
 
 @query("j8_suggestions", r"""
-WITH t AS (SELECT DISTINCT p_brand AS term FROM part WHERE p_brand < 'Brand#13'), w AS (SELECT term, unnest(list_distinct(regexp_extract_all(lower(term), '[a-z0-9]{2,}'))) AS w FROM t),
-s AS (SELECT p_partkey, p_type, p_brand, unnest(list_distinct(list_concat(regexp_extract_all(lower(p_type), '[a-z0-9]{2,}'), regexp_extract_all(lower(p_brand), '[a-z0-9]{2,}')))) AS w FROM part WHERE p_partkey <= 60)
-SELECT DISTINCT term, p_partkey, false AS exact_detail, lower(regexp_replace(p_brand, '[\s\-_/|(),.]+', '', 'g')) = lower(regexp_replace(term, '[\s\-_/|(),.]+', '', 'g')) AS exact_unit_name FROM w JOIN s USING (w)""")
+WITH t AS (SELECT term, lower(regexp_replace(term, '[\s\-_/|(),.]+', '', 'g')) AS k FROM (SELECT DISTINCT p_brand AS term FROM part UNION SELECT unnest(['Econ omy', 'mall']))),
+s AS (SELECT p_partkey, lower(regexp_replace(p_type, '[\s\-_/|(),.]+', '', 'g')) AS n, lower(regexp_replace(p_brand, '[\s\-_/|(),.]+', '', 'g')) AS u FROM part)
+SELECT term, p_partkey, n = k AS exact_detail, u = k AS exact_unit_name FROM s JOIN t ON contains(n, k) OR contains(u, k)""")
 def j8(spark, d):
     parts = table(spark, d, "part")
-    terms = parts.filter("p_brand < 'Brand#13'").select(F.col("p_brand").alias("term")).distinct()
-    stock = parts.filter("p_partkey <= 60").select("p_partkey", "p_type", "p_brand")
+    terms = parts.select(F.col("p_brand").alias("term")).unionByName(spark.createDataFrame([("Econ omy",), ("mall",)], "term string")).distinct()
+    stock = parts.select("p_partkey", "p_type", "p_brand")
     return M.suggestions(terms, "term", stock, "p_type", "p_brand").select("term", "p_partkey", "exact_detail", "exact_unit_name")
 
 
@@ -176,18 +177,21 @@ def d3(spark, d):
 def _short(spark, d):
     """First words of part rows as short texts in blocks of one brand and type."""
     p = table(spark, d, "part")
-    return p.select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")).alias("text"))
+    return p.select("p_partkey", "p_brand", "p_type", F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string")).alias("text"))
 
 
 @query("d4_similar_sets", r"""
-WITH s AS (SELECT p_partkey, p_brand, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand, p_size::VARCHAR)), '[^0-9a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS k FROM part WHERE p_partkey <= 400),
+WITH s AS (SELECT p_partkey, p_brand, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand, p_size::VARCHAR)), '[^0-9a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS k FROM part),
 g AS (SELECT *, list_distinct(list_filter(string_split(k, ' '), lambda t: length(t) >= 2)) AS t, list_distinct(list_transform(range(1, length(replace(k, ' ', '')) - 1), lambda i: substr(replace(k, ' ', ''), i, 3))) AS g FROM s),
-p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.k AS ak, b.k AS bk, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS la, len(b.t) AS lb, len(list_intersect(a.g, b.g)) AS gi, len(a.g) AS ga, len(b.g) AS gb FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+n AS (SELECT p_partkey AS a, unnest([lead(p_partkey, 1) OVER w, lead(p_partkey, 2) OVER w, lead(p_partkey, 3) OVER w]) AS b FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.k AS ak, b.k AS bk, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS la, len(b.t) AS lb, len(list_intersect(a.g, b.g)) AS gi, len(a.g) AS ga, len(b.g) AS gb FROM g a JOIN n ON n.a = a.p_partkey JOIN g b ON n.b = b.p_partkey)
 SELECT a, b, ak = bk OR (i >= 5 AND i / least(la, lb) >= 0.62) OR (i >= 4 AND i / (la + lb - i) >= 0.8) OR gi / (ga + gb - gi) >= 0.68 AS similar FROM p""")
 def d4(spark, d):
-    s = _short(spark, d).filter("p_partkey <= 400")
-    a, b = s.select(F.col("p_partkey").alias("a"), "p_brand", F.col("text").alias("ta")), s.select(F.col("p_partkey").alias("b"), "p_brand", F.col("text").alias("tb"))
-    return a.join(b, "p_brand").filter("a < b").select("a", "b", D.similar_sets(F.col("ta"), F.col("tb")).alias("similar"))
+    """Each part beside the next three of its brand and type."""
+    by = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    next_ = F.array(*[F.lead(F.struct(F.col("p_partkey").alias("b"), F.col("text").alias("tb")), k).over(by) for k in (1, 2, 3)])
+    pairs = _short(spark, d).select(F.col("p_partkey").alias("a"), F.col("text").alias("ta"), next_.alias("next")).select("a", "ta", F.explode(F.filter("next", lambda x: x.isNotNull())).alias("n"))
+    return pairs.select("a", F.col("n.b").alias("b"), D.similar_sets(F.col("ta"), F.col("n.tb")).alias("similar"))
 
 
 @query("d5_diverse_set")
@@ -227,7 +231,12 @@ def d10(spark, d):
     return children.select("s_suppkey", "new_index")
 
 
-@query("d11_same_result", "SELECT true AS same")
+@query("d11_same_result", """
+WITH f AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1), l AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1)
+SELECT 'again' AS pair, true AS same UNION ALL SELECT 'last', NOT EXISTS (FROM f EXCEPT ALL FROM l) UNION ALL SELECT 'twice', (SELECT count(*) FROM f) = 0""")
 def d11(spark, d):
     twice = lambda: rows.first_wins(table(spark, d, "part"), [F.col("p_brand")], [F.col("p_partkey")])
-    return D.same_result(twice(), rows.first_wins(twice(), [F.col("p_brand")], [F.col("p_partkey")]))
+    again = rows.first_wins(twice(), [F.col("p_brand")], [F.col("p_partkey")])
+    last = rows.first_wins(table(spark, d, "part"), [F.col("p_brand")], [F.desc("p_partkey")])
+    found = [D.same_result(twice(), other).select(F.lit(name).alias("pair"), "same") for name, other in (("again", again), ("last", last), ("twice", twice().unionByName(twice())))]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -151,10 +151,11 @@ def x20(spark, d):
 
 
 @query("x21_clean_markdown", r"""
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[*_`~]+', '', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), ' |' || chr(10) || chr(13) || chr(9) || ':：•-')) AS clean
-FROM documents WHERE NOT regexp_matches(text, '[<\[]')""")
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[*_`~]+', '', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), ' |' || chr(10) || chr(13) || chr(9) || ':：•-')) AS clean FROM b""")
 def x21(spark, d):
-    return table(spark, d, "documents").filter(~F.col("text").rlike(r"[<\[]")).select("doc_id", F.md5(X.clean_markdown(F.col("text"))).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.clean_markdown(F.col("text"))).alias("clean"))
 
 
 @query("x22_json_slice")
@@ -241,13 +242,16 @@ SCORES = [("the", "english", True), ("with", "english", False), ("und", "german"
 
 @query("t5d_dictionary_scores", rf"""WITH {LINES},
 dict AS (SELECT unnest(['the', 'with', 'und', 'nicht', 'que']) AS alias, unnest(['english', 'english', 'german', 'german', 'romance']) AS label, unnest([true, false, true, false, true]) AS official),
-h AS (SELECT doc_id, label, official, (length(lower(content)) - length(replace(lower(content), alias, ''))) / length(alias) AS times, CASE WHEN contains(content, ':') THEN 0.9 WHEN contains(content, '|') THEN 0.5 ELSE 0.0 END AS bonus FROM lns JOIN dict ON list_contains(regexp_extract_all(lower(content), '[가-힣a-z0-9]{{2,}}'), alias)),
-s AS (SELECT doc_id, label, round(sum(floor(times) * (CASE WHEN official THEN 1.2 ELSE 0.9 END + bonus))::DOUBLE, 4) AS score FROM h GROUP BY ALL)
+low AS (SELECT *, regexp_replace(lower(content), '[ \t\r\n\f\x0B]+', '', 'g') AS c FROM lns),
+h AS (SELECT doc_id, label, official, (length(c) - length(replace(c, alias, ''))) / length(alias) AS times, CASE WHEN contains(content, ':') THEN 0.9 WHEN contains(content, '|') THEN 0.5 ELSE 0.0 END AS bonus FROM low JOIN dict ON contains(c, alias)),
+b AS (SELECT doc_id, label, sum(CASE WHEN alias = lower(string_split(text, ' ')[1]) THEN 0.8 ELSE 0 END + CASE WHEN contains(regexp_replace(lower(left(text, 40)), '[ \t\r\n\f\x0B]+', '', 'g'), alias) THEN 0.6 ELSE 0 END) AS gain FROM documents, dict GROUP BY ALL),
+s AS (SELECT doc_id, label, round(sum(floor(times) * (CASE WHEN official THEN 1.2 ELSE 0.9 END + bonus))::DOUBLE + any_value(gain)::DOUBLE, 4) AS score FROM h JOIN b USING (doc_id, label) GROUP BY ALL)
 SELECT doc_id, label, score, round(least(1.0, greatest(0.62, score / 4.5)), 4) AS confidence FROM s""")
 def t5d(spark, d):
     dictionary = spark.createDataFrame(SCORES, "alias string, label string, official boolean")
     c = F.col("content")
-    return T.dictionary_scores(table(spark, d, "documents"), "doc_id", "text", dictionary, "alias", "label", "official", c.contains(":"), c.contains("|"))
+    opening = F.array(F.get(F.split("text", " "), F.lit(0)))
+    return T.dictionary_scores(table(spark, d, "documents"), "doc_id", "text", dictionary, "alias", "label", "official", c.contains(":"), c.contains("|"), hints=opening, filename=F.left("text", F.lit(40)))
 
 
 @query("t9d_absence_reason", """
@@ -328,10 +332,10 @@ def q8(spark, d):
 
 
 @query("q9_evidence_locks", """
-WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey < 2000), a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN -1 ELSE l_partkey END AS actual FROM e WHERE l_linenumber <> 3)
+WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem), a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN -1 ELSE l_partkey END AS actual FROM e WHERE l_linenumber <> 3)
 SELECT l_orderkey, l_linenumber, coalesce(actual = l_partkey, false) AS locked FROM e LEFT JOIN a USING (l_orderkey, l_linenumber)""")
 def q9(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey")
+    e = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a = e.filter("l_linenumber <> 3").withColumn("l_partkey", F.when(F.col("l_linenumber") == 2, -1).otherwise(F.col("l_partkey")))
     return Q.evidence_locks(e, a, ["l_orderkey", "l_linenumber"], "l_partkey").select("l_orderkey", "l_linenumber", "locked")
 

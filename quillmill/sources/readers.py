@@ -14,16 +14,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from quillmill.functions import text as X
+from quillmill.operators.match import holding
 from quillmill.operators.rows import first_wins
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, columns: list[str], required: list[str], keys: list[str], encoding: str = "UTF-8") -> DataFrame:
     """Header CSV as text columns, a byte-order mark ignored; rows with a blank required field go; first of equal keys wins.
 
-    Input order is the line order of the file, kept in ``ord``.
+    Input order is the files' by path and in each the lines', kept in ``ord``,
+    however Spark splits and deals them.
     """
     raw = spark.read.option("header", True).option("encoding", encoding).schema(StructType([StructField(c, StringType()) for c in columns])).option("enforceSchema", True).csv(path)
-    rows = raw.select(*[X.blank_to_null(F.regexp_replace(F.col(c), "^﻿", "")).alias(c) for c in columns]).withColumn("ord", F.monotonically_increasing_id())
+    # numbers grow within a split of a file
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    rows = raw.select(*[X.blank_to_null(F.regexp_replace(F.col(c), "^﻿", "")).alias(c) for c in columns], place.alias("ord"))
     return first_wins(rows.na.drop(subset=required), [F.col(k) for k in keys], [F.col("ord")])
 
 
@@ -175,6 +179,30 @@ def _decoded(content: bytes) -> str | None:
     return None
 
 
+def decode_rpc(body: Column) -> Column:
+    """(result, error) of a captured JSON-RPC body, plain or as server-sent events.
+
+    The last of the body and its ``data:`` lines (``[DONE]`` apart) that is a
+    JSON object counts. ``result`` is its result as JSON, one that is no object
+    under ``value``; an error gives its message; a body without an object is
+    unreadable.
+    """
+    body = X.text_or_empty(body)
+    data = F.filter(F.split(body, r"\r?\n"), lambda x: x.startswith("data:"))
+    events = F.filter(F.transform(data, lambda x: F.trim(F.substr(x, F.lit(6)))), lambda x: x != "[DONE]")
+    whole = F.transform(F.concat(F.array(F.trim(body)), events), lambda x: F.get_json_object(x, "$"))
+    said = F.element_at(F.filter(whole, lambda x: x.startswith("{")), -1)
+    last = F.when(F.exists(whole, lambda x: F.coalesce(x.startswith("{"), F.lit(False))), said)
+    error = F.get_json_object(last, "$.error")
+    failed = ~F.coalesce(error, F.lit("")).isin("", "false", "0", "{}", "[]")
+    message = F.when(last.isNull(), "unreadable response").when(failed, F.coalesce(F.get_json_object(last, "$.error.message"), error))
+    result = F.get_json_object(last, "$.result")
+    # a bare string comes without its quotes
+    quoted = F.when(result.rlike(r"^[\[{]|^-?[0-9.eE+-]+$|^(true|false)$"), result).otherwise(F.to_json(F.array(result)).substr(F.lit(2), F.length(F.to_json(F.array(result))) - 2))
+    shaped = F.when(result.startswith("{"), result).otherwise(F.concat(F.lit('{"value":'), F.coalesce(quoted, F.lit("null")), F.lit("}")))
+    return F.struct(F.when(message.isNull(), shaped).alias("result"), message.alias("error"))
+
+
 def newest_files(spark: SparkSession, path: str, pattern: str, limit: int) -> DataFrame:
     """Files whose name fits the pattern, by the number in it, then by name, descending."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path", "length")
@@ -190,8 +218,10 @@ def navigate(classes: DataFrame, keys: list[str], local: DataFrame, remote: Data
 
 
 def search(terms: DataFrame, term: str, term_order: str, catalogue: DataFrame, code: str, texts: list[str], order: str, most_terms: int = 10, most: int = 50) -> DataFrame:
-    """Rows found by exact code (0.9) or holding a term as a word (0.7), first of equal codes in (term, catalogue) order."""
+    """Rows found by exact code (0.9) or holding a term of two characters or more (0.7), first of equal codes in (term, catalogue) order."""
     asked = terms.orderBy(term_order).limit(most_terms).select(F.lower(F.trim(term)).alias("__w"), F.col(term_order).alias("__t"))
-    stock = catalogue.withColumn("__w", F.explode(F.array_distinct(F.concat(F.array(F.lower(F.col(code).cast("string"))), X.tokens(F.concat_ws(" ", *texts))))))
-    hits = asked.join(stock, "__w").withColumn("score", F.when(F.col("__w") == F.lower(F.col(code).cast("string")), 0.9).otherwise(0.7))
+    stock = catalogue.withColumn("__code", F.lower(F.col(code).cast("string"))).withColumn("__text", F.lower(F.concat_ws(" ", *texts)))
+    exact = asked.join(stock, F.col("__w") == F.col("__code")).withColumn("score", F.lit(0.9))
+    held = holding(stock, "__text", asked, "__w").withColumn("score", F.lit(0.7))
+    hits = exact.unionByName(held).drop("__code", "__text")
     return first_wins(hits, [F.col(code)], [F.col("__t"), F.desc("score"), F.col(order)]).orderBy("__t", order).limit(most).drop("__w", "__t")

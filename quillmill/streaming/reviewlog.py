@@ -18,6 +18,15 @@ def current_reviews(log: DataFrame, run: str, question: str, event: str) -> Data
     return marked.filter("__last").drop("__last")
 
 
+def one_decision(log: DataFrame, run: str, decision: Column, event: str) -> DataFrame:
+    """The one decision in force for each run and its revision number, whoever wrote at the same time.
+
+    The log is append-only and its events are ordered, so what a row lock would
+    serialise is an aggregation by run: the last event decides.
+    """
+    return log.groupBy(run).agg(F.max_by(decision, event).alias("decision"), F.max(event).alias(event), F.count("*").alias("revision"))
+
+
 ACTIONS = "run string, question string, event long, action string, verdict string, expected long"
 OUTCOME = "run string, question string, event long, outcome string, active long"
 
