@@ -57,7 +57,7 @@ def repeats(df: DataFrame, key: str, signature: Column, text: Column, order: str
     met = pairs.filter(ratio_reaches(F.col("a.t"), F.col("b.t"), F.lit(least))).groupBy(F.col("a.s").alias("ms"), F.col("a.t").alias("mt")).agg(F.min("b.first").alias("since"))
     hits = rows.join(met, (F.col("s") == F.col("ms")) & F.col("t").eqNullSafe(F.col("mt")) & (F.col("o") > F.col("since")))
     near = hits.select("k").unionByName(later).distinct().withColumn("repeated", F.lit(True))
-    return df.join(near, F.col(key) == F.col("k"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("k")
+    return df.join(near.withColumnRenamed("k", "__key"), F.col(key) == F.col("__key"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("__key")
 
 
 def history_duplicates(df: DataFrame, key: str, text: str, history: DataFrame, past: str, signature: Callable[[Column], Column], least: float = 0.86) -> DataFrame:
@@ -77,7 +77,7 @@ def history_duplicates(df: DataFrame, key: str, text: str, history: DataFrame, p
     near = pairs.filter(grams | (bound & ratio_reaches(F.col("t"), F.col("ht"), F.lit(least)))).select("k")
     same = rows.join(old.select("ht").distinct(), F.col("t") == F.col("ht"), "left_semi").select("k")
     hit = rows.filter("t = ''").select("k").unionByName(same).unionByName(near).distinct().withColumn("duplicate", F.lit(True))
-    return df.join(hit, F.col(key) == F.col("k"), "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("k")
+    return df.join(hit.withColumnRenamed("k", "__key"), F.col(key) == F.col("__key"), "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("__key")
 
 
 def numbered(df: DataFrame, order: str, name: str, ranges: int = 200) -> DataFrame:
