@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.operators import documents as T
+from quillmill.operators import labels as B
 from quillmill.operators import ranking as R
 from quillmill.sources import readers
 from quillmill.streaming import reviewlog as L
@@ -141,6 +142,25 @@ def t8d(spark, d):
     return R.within_margin(scored, ["doc_id"], "confidence", "label", 0.62, 0.2, 3, 1)
 
 
+CLASSES = [("c1", "einheit", "g"), ("c2", "keit", "g"), ("c3", "tion", "r"), ("c4", "ción", "r"), ("c5", "heit", "g")]
+
+
+@query("t4d_anchor_classes")
+def t4d_anchor(spark, d):
+    names = spark.createDataFrame([(n, i) for i, (_, n, _) in enumerate(CLASSES)], "label string, ord int")
+    return B.anchor_classes(table(spark, d, "documents"), "doc_id", "text", names, "label", "ord", r"(?i)\b(?:of|der|que)\b", ("the", "die"), r"\|")
+
+
+@query("t8d_full_bundle")
+def t8d_full(spark, d):
+    classes = spark.createDataFrame(CLASSES, "code string, name string, family string")
+    aliases = spark.createDataFrame([(n, k, True) for k, n, _ in CLASSES] + [("the", "c3", False), ("und", "c1", False)], "alias string, code string, official boolean")
+    c = F.col("content")
+    words = F.slice(F.split("text", r"\s+"), 1, 3)
+    docs = table(spark, d, "documents")
+    return B.candidate_bundle(docs, "doc_id", "text", words, F.left("text", F.lit(40)), classes, "code", "name", "family", aliases, "alias", "official", c.contains(":"), c.contains("|"), show_direct=False)
+
+
 @query("t12d_method_sections", rf"""WITH {LINES},
 m AS (SELECT *, CASE WHEN length(content) <= 180 AND contains(content, ':') THEN 'colon' WHEN length(content) <= 180 AND contains(content, '|') THEN 'table' END AS method FROM lns),
 s AS (SELECT *, count(method) OVER (PARTITION BY doc_id ORDER BY line) AS no FROM m), g AS (SELECT doc_id, no, max(method) AS method, count(*) AS n_lines, max(contains(content, 'the')::INT) + max(contains(content, 'de')::INT) + 2 * max((length(content) > 60)::INT) AS score FROM s WHERE no > 0 GROUP BY ALL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as X
 from quillmill.functions import udfs as U
 from quillmill.operators import documents as T
+from quillmill.operators import labels as B
 from quillmill.operators import quality as Q
 from quillmill.plans.catalog import query, table
 from quillmill.plans.ranks import LINES, QKEY
@@ -225,6 +226,17 @@ def t2d(spark, d):
     return T.table_cells(md.select("n_regionkey", F.concat(F.lit("| name | key |\n|---|---|\n"), "rows").alias("md")), "n_regionkey", "md")
 
 
+@query("t2d_table_labels", """
+SELECT DISTINCT p_brand, p_name AS value FROM part WHERE length(p_name) BETWEEN 2 AND 80""")
+def t2d_labels(spark, d):
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    p = table(spark, d, "part").select("p_brand", F.struct("p_partkey", "p_type", "p_name").alias("r")).groupBy("p_brand").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    # the brand's cell spans all rows, so every row but the first is one cell short
+    row = lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, cell(F.col("p_brand"))).otherwise(""), cell(x["p_type"]), cell(x["p_name"]), F.lit("</tr>"))
+    html = F.concat(F.lit("<table><tr><th>Brand</th><th>Type</th><th>Detail</th></tr>"), F.array_join(F.transform("rs", row), ""), F.lit("</table>"))
+    return B.table_values(p.select("p_brand", html.alias("md")), "p_brand", "md", "^Detail$", "^(Brand|Type)$").select("p_brand", "value")
+
+
 @query("t3d_notice_windows", rf"""WITH {LINES},
 m AS (SELECT *, contains(content, 'the') AS a, length(content) < 30 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS no FROM lns),
 w AS (SELECT *, list(content) OVER x AS cs, list(h) OVER x AS hs FROM m WINDOW x AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),

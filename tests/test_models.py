@@ -21,7 +21,7 @@ MODELS = {
     "d7_repeats": "test_repeats_equal_a_loop", "d8_history_duplicates": "test_history_duplicates_equal_a_loop", "d9_unseen_keys": "test_unseen_keys_equal_a_loop",
     "x7_sequence_ratio": "test_sequence_ratio_is_difflib", "x9_stems": "test_stems_and_particles", "x10_mojibake": "test_mojibake_is_repaired_only_where_it_helps",
     "x16_task_surface": "test_task_surface_equals_a_loop", "x18_particles": "test_stems_and_particles", "x22_json_slice": "test_json_is_sliced",
-    "t2d_table_cells": "test_cells_equal_a_walk", "t8d_candidate_bundle": "test_bundle_equals_a_loop", "q5_precision_grounding": "test_precision_grounding_equals_a_loop",
+    "t2d_table_cells": "test_cells_equal_a_walk", "t4d_anchor_classes": "test_anchor_classes_equal_a_walk", "t8d_full_bundle": "test_bundle_lists", "t8d_candidate_bundle": "test_bundle_equals_a_loop", "q5_precision_grounding": "test_precision_grounding_equals_a_loop",
     "q8_repair_loop": "test_repair_loop_stops", "flagship_ranked_evidence": "test_factors_reserve_slots",
 }
 
