@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from quillmill.functions import text as X
 from quillmill.operators import documents as T
 from quillmill.operators import match as M
-from quillmill.operators import ranking as R
 
 HTML, PIPE = "html", "pipe"
 RULE = r"^[|:\- ]+$"
@@ -134,7 +133,7 @@ def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label:
     return both.withColumn("rank", rn).filter(F.col("rank") <= most).select(doc, "label", F.col("score").cast("long").alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("best"))
 
 
-def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filename: Column, classes: DataFrame, code: str, name: str, family: str, aliases: DataFrame, alias: str, official: str, anchor: Column, section: Column, manual: Column | None = None, show_direct: bool = True, most: int = 8, keep: int = 4, least_keep: int = 1, margin: float = 0.18, least: float = 0.62) -> DataFrame:
+def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filename: Column, classes: DataFrame, code: str, name: str, family: str, aliases: DataFrame, alias: str, official: str, anchor: Column, section: Column, manual: Column | None = None, show_direct: bool = True, most: int = 8, keep: int = 4, least_keep: int = 1, margin: float = 0.18, least: float = 0.62, most_names: int = 5000) -> DataFrame:
     """T8d: class candidates of each document as lists ``direct``, ``reverse``, ``merged`` and ``verified`` of (position, code, confidence).
 
     ``direct`` looks the document's terms up (J9); if they name one class only,
@@ -144,53 +143,60 @@ def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filena
     looked-up classes if there are any and ``show_direct``, else the merged ones
     within the margin (W7): one of confidence 0.95 for a single direct class,
     the family with margin 0.45 for a single term's family, unless there are
-    ``manual`` terms.
+    ``manual`` terms. The lists are short arrays of one row for each document;
+    more than ``most_names`` classes are refused, as T6d does.
     """
-    by = Window.partitionBy(doc)
-    extra = F.coalesce(manual, F.array().cast("array<string>")) if manual is not None else F.array().cast("array<string>")
-    base = docs.select(doc, F.col(text), F.coalesce(terms, F.array().cast("array<string>")).alias("__terms"), extra.alias("__manual"), filename.alias("__file"))
-    kinds = classes.select(F.col(code).alias("code"), F.col(name).alias("__name"), F.col(family).alias("__family"))
+    none = F.array().cast("array<string>")
+    extra = F.coalesce(manual, none) if manual is not None else none
+    base = docs.select(doc, F.col(text), F.coalesce(terms, none).alias("__terms"), extra.alias("__manual"), filename.alias("__file"))
+    kinds = classes.select(F.col(code).alias("code"), X.text_or_empty(F.col(name)).alias("name"), F.col(family).alias("family"))
+    kind_list = kinds.filter("trim(name) <> ''").agg(F.slice(F.array_sort(F.collect_list(F.struct("code", "name"))), 1, most_names + 1).alias("__kinds"))
+    if kinds.limit(most_names + 1).count() > most_names:
+        raise ValueError(f"name counting is for catalogues of at most {most_names} names")
 
     asked = base.select(doc, F.posexplode("__terms").alias("__pos", "__term")).withColumn("__key", X.label_key(F.col("__term"))).filter("__key <> ''")
     looked = M.lookup_class(asked.select("__term").distinct(), "__term", classes, name, code, code)
     looked = looked.select(X.label_key(F.col("__term")).alias("__key"), F.col(code).alias("code"), F.col("confidence"))
-    direct = asked.join(looked, "__key").groupBy(doc, "code").agg(F.min_by("confidence", "__pos").alias("confidence"), F.min("__pos").alias("__pos"))
-    direct = direct.select(doc, "code", "confidence", F.row_number().over(by.orderBy("__pos")).alias("position"))
-
-    scored = T.dictionary_scores(base, doc, text, aliases, alias, code, official, anchor, section, hints=F.concat("__terms", "__manual"), filename=F.col("__file"))
-    rn = F.row_number().over(by.orderBy(F.desc("confidence"), F.desc("score"), code))
-    reverse = scored.withColumn("position", rn).filter(F.col("position") <= most).select(doc, F.col(code).alias("code"), "confidence", "position")
-
-    single = direct.withColumn("__n", F.count("*").over(by)).filter("__n = 1").join(kinds, "code").select(doc, F.col("code").alias("__code"), F.col("__family").alias("__of"))
-    kin = reverse.filter("confidence >= 0.6").join(kinds, "code").join(single, doc).filter("__family = __of and code <> __code")
-    mentioned = kin.join(base.select(doc, X.squeezed(F.col(text)).alias("__low")), doc).filter(F.col("__low").contains(X.squeezed(F.col("__name"))) & (X.squeezed(F.col("__name")) != ""))
-    added = mentioned.withColumn("position", F.row_number().over(by.orderBy("position")) + 1).filter("position <= 3").select(doc, "code", "confidence", "position")
-    expanded = direct.unionByName(added)
-
-    listed = expanded.withColumn("__o", F.col("position")).unionByName(reverse.withColumn("__o", F.col("position") + 1_000_000))
-    firsts = listed.groupBy(doc, "code").agg(F.min("__o").alias("__first")).withColumn("position", F.row_number().over(by.orderBy("__first"))).filter(F.col("position") <= most)
-    firsts = firsts.withColumn("__end", F.when(F.max("position").over(by) >= most, F.max("__first").over(by)))
-    read = listed.drop("position").join(firsts, [doc, "code"]).filter(F.col("__end").isNull() | (F.col("__o") <= F.col("__end")))
-    merged = read.groupBy(doc, "code", "position").agg(F.max("confidence").alias("confidence"))
-    bare = base.join(merged.select(doc).distinct(), doc, "left_anti")
-    counted = T.catalogue_counts(bare, doc, text, kinds.filter(X.blank_to_null(F.col("__name")).isNotNull()), "__name").groupBy(doc, "__name").agg(F.max("confidence").alias("confidence"), F.max("times").alias("times")).join(kinds, "__name")
-    counted = counted.withColumn("position", F.row_number().over(by.orderBy(F.desc("confidence"), F.desc("times"), "code"))).filter(F.col("position") <= most)
-    merged = merged.unionByName(counted.select(*merged.columns))
-
-    sizes = expanded.groupBy(doc).agg(F.count("*").alias("__n"))
-    state = base.select(doc, F.size("__terms").alias("__asked"), (F.size("__manual") > 0).alias("__by_hand")).join(sizes, doc, "left").fillna(0, ["__n"])
-    kin_lock = ~F.col("__by_hand") & (F.col("__asked") <= 1) & (F.col("__n") > 1)
-    one_lock = ~F.col("__by_hand") & (F.col("__n") == 1)
-    shown = (F.col("__n") > 0) & F.lit(show_direct)
-    by_mode = state.withColumn("__mode", F.when(shown, "direct").when(kin_lock, "family").when(one_lock, "single").otherwise("open")).select(doc, "__mode", "__n")
-    sources = direct.withColumn("__for", F.lit("direct")).unionByName(expanded.withColumn("__for", F.lit("family"))).unionByName(merged.withColumn("__for", F.lit("merged")).select(*direct.columns, "__for"))
-    mode = F.col("__mode")
-    chosen = sources.join(by_mode, doc).filter(F.col("__for") == F.when(mode.isin("single", "open"), "merged").otherwise(mode))
-    bar = F.when(mode == "family", 0.60).when(mode == "single", 0.95).otherwise(least)
-    slack = F.when(mode == "family", 0.45).when(mode == "single", 0.0).otherwise(margin)
-    room = F.when(mode == "single", 1).when(mode == "family", F.least(F.lit(keep), F.col("__n"))).otherwise(keep)
-    near = R.within_margin(chosen.filter(mode != "direct"), [doc], "confidence", "position", bar, slack, room, least_keep)
-    verified = near.unionByName(chosen.filter(mode == "direct"))
-    out = [("direct", expanded), ("reverse", reverse), ("merged", merged), ("verified", verified)]
-    lists = [df.select(doc, F.lit(n).alias("list"), F.col("position").cast("long").alias("position"), "code", "confidence") for n, df in out]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3])
+    scored = T.dictionary_scores(base, doc, text, aliases, alias, code, official, anchor, section, hints=F.concat("__terms", "__manual"), filename=F.col("__file")).withColumnRenamed(code, "code")
+    row = F.struct("code", "confidence", "name", "family")
+    firsts = asked.join(looked, "__key").groupBy(doc, "code").agg(F.min_by("confidence", "__pos").alias("confidence"), F.min("__pos").alias("__pos")).join(kinds, "code")
+    # a document's terms and a dictionary's labels bound these arrays
+    direct = firsts.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", row.alias("r")))), lambda x: x["r"]).alias("__direct"))
+    order = F.struct((-F.col("confidence")).alias("a"), (-F.col("score")).alias("b"), F.col("code").alias("c"), row.alias("r"))
+    reverse = scored.join(kinds, "code").groupBy(doc).agg(F.slice(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"]), 1, most).alias("__reverse"))
+
+    typed = kinds.schema
+    empty = F.array().cast(f"array<struct<code:{typed['code'].dataType.simpleString()},confidence:double,name:string,family:{typed['family'].dataType.simpleString()}>>")
+    wide = base.join(direct, doc, "left").join(reverse, doc, "left").crossJoin(F.broadcast(kind_list))
+    wide = wide.withColumn("__direct", F.coalesce("__direct", empty)).withColumn("__reverse", F.coalesce("__reverse", empty)).withColumn("__low", X.squeezed(F.col(text)))
+    one = F.get("__direct", F.lit(0))
+    kin = F.filter("__reverse", lambda x: (x["family"] == one["family"]) & (x["code"] != one["code"]) & (x["confidence"] >= 0.6) & (X.squeezed(x["name"]) != "") & F.col("__low").contains(X.squeezed(x["name"])))
+    wide = wide.withColumn("__expanded", F.when(F.size("__direct") == 1, F.concat("__direct", F.slice(kin, 1, 2))).otherwise(F.col("__direct")))
+    wide = wide.withColumn("__listed", F.concat("__expanded", "__reverse"))
+    wide = wide.withColumn("__all", F.transform("__listed", lambda x: x["code"])).withColumn("__codes", F.slice(F.array_distinct("__all"), 1, most))
+    read = F.when(F.size("__codes") == most, F.slice("__listed", F.lit(1), F.array_position("__all", F.element_at("__codes", -1)).cast("int"))).otherwise(F.col("__listed"))
+    pair = lambda c, v: F.struct(c.alias("code"), v.cast("double").alias("confidence"))
+    wide = wide.withColumn("__read", read)
+    merged = F.transform("__codes", lambda c: pair(c, F.array_max(F.transform(F.filter("__read", lambda x: x["code"] == c), lambda x: x["confidence"]))))
+    whole = F.lower(X.text_or_empty(F.col(text)))
+    times = F.transform("__kinds", lambda k: F.struct((-X.occurrences(whole, F.lower(k["name"]))).alias("n"), k["code"].alias("code")))
+    share = lambda n: F.when(n > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.62), n / 3))).otherwise(0.62)
+    best_first = F.array_sort(F.transform(F.filter(times, lambda x: x["n"] < 0), lambda x: F.struct((-F.round(share(-x["n"]), 4)).alias("a"), x["n"].alias("n"), x["code"].alias("code"))))
+    counted = F.slice(F.transform(best_first, lambda x: pair(x["code"], -x["a"])), 1, most)
+    wide = wide.withColumn("__merged", F.when(F.size("__codes") > 0, merged).otherwise(counted))
+
+    plain = lambda c: F.transform(c, lambda x: pair(x["code"], x["confidence"]))
+    by_hand, n = F.size("__manual") > 0, F.size("__expanded")
+    mode = F.when(~by_hand & (F.size("__terms") <= 1) & (n > 1), "family").when(~by_hand & (n == 1), "single").otherwise("open")
+    wide = wide.withColumn("__mode", mode)
+    bar = F.when(F.col("__mode") == "family", 0.60).when(F.col("__mode") == "single", 0.95).otherwise(least)
+    slack = F.when(F.col("__mode") == "family", 0.45).when(F.col("__mode") == "single", 0.0).otherwise(margin)
+    room = F.when(F.col("__mode") == "family", F.least(F.lit(keep), n)).when(F.col("__mode") == "single", 1).otherwise(keep)
+    source = F.when(F.col("__mode") == "family", plain(F.col("__expanded"))).otherwise(F.col("__merged"))
+    sorted_ = F.transform(F.array_sort(F.transform(source, lambda x, i: F.struct((-x["confidence"]).alias("a"), i.alias("i"), x.alias("r")))), lambda x: x["r"])
+    wide = wide.withColumn("__sorted", sorted_).withColumn("__bar", F.greatest(bar, F.get("__sorted", F.lit(0))["confidence"] - slack)).withColumn("__room", room)
+    near = F.filter("__sorted", lambda x, i: ((x["confidence"] >= F.col("__bar")) & (i < F.col("__room"))) | (i < least_keep))
+    verified = F.when((F.size("__direct") > 0) & F.lit(show_direct), plain(F.col("__direct"))).otherwise(near)
+    named = lambda what, c: F.transform(c, lambda x, i: F.struct(F.lit(what).alias("list"), (i + 1).cast("long").alias("position"), x["code"].alias("code"), x["confidence"].alias("confidence")))
+    lists = F.concat(named("direct", plain(F.col("__expanded"))), named("reverse", plain(F.col("__reverse"))), named("merged", F.col("__merged")), named("verified", verified))
+    return wide.select(doc, F.explode(lists).alias("r")).select(doc, "r.*")
