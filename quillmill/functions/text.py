@@ -6,6 +6,8 @@ own ``\\s`` is ASCII only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,6 +194,29 @@ def ksa_type(raw: Column, factor: Column) -> Column:
     )
 
 
+def lexically_matches(a: Column, b: Column, a_key: Column, b_key: Column, short: tuple[str, ...] = ()) -> Column:
+    """Whether a point matches a demand, by arrays of stems and compact keys.
+
+    It does if its key, of 4 characters or more, lies in the other's; if two of
+    its stems begin, or are begun by, a stem of the other; or one that has 3
+    characters or is one of ``short``. Empty stems anchor nothing.
+    """
+    begins = lambda x: F.exists(b, lambda y: (F.length(y) >= 2) & (F.startswith(x, y) | F.startswith(y, x)))
+    anchors = F.filter(F.array_distinct(a), lambda x: (F.length(x) >= 2) & begins(x))
+    one = F.get(anchors, F.lit(0))
+    alone = (F.length(one) >= 3) | (one.isin(*short) if short else F.lit(False))
+    return F.coalesce(((F.length(a_key) >= 4) & b_key.contains(a_key)) | (F.size(anchors) >= 2) | ((F.size(anchors) == 1) & alone), F.lit(False))
+
+
+def first_useful(candidates: list[tuple[str, Column]], useful: Callable[[Column], Column], fallback: tuple[str, Column]) -> Column:
+    """Struct of the first candidate that is ``useful``, else the fallback, and the tag it came with."""
+    tag, surface = F.lit(fallback[0]), fallback[1]
+    for name, c in reversed(candidates):
+        ok = F.coalesce(useful(c), F.lit(False))
+        tag, surface = F.when(ok, name).otherwise(tag), F.when(ok, c).otherwise(surface)
+    return F.struct(surface.alias("surface"), tag.alias("tag"))
+
+
 def evidence_id(prefix: str, fields: dict[str, Column]) -> Column:
     """``prefix`` and 24 hex digits of the SHA-256 of the fields as JSON, keys sorted, nothing escaped."""
     row = F.struct(*[text_or_empty(fields[k]).alias(k) for k in sorted(fields)])

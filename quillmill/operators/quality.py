@@ -70,6 +70,38 @@ def precision_grounding(df: DataFrame, key: str, text: Column, demands: dict[str
     return joined.withColumn("allowed", ok).drop("__m", "__v")
 
 
+def material_grounding(df: DataFrame, key: str, text: Column, demands: dict[str, tuple[str, tuple[str, ...]]], materials: DataFrame, material_key: str, ref: str, provides: str, material_text: Column, trusted: Column, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Q5: clauses that demand precision against a registry of materials: whether trusted ones that share a word (beyond ``stop``) with the clause provide all kinds it requires.
+
+    ``demands`` are ordered (kind: pattern, required kinds); a clause has the
+    first that fits. A material row has the text's key, its ``ref``, an array of
+    the kinds that it ``provides`` and its text. Returns the clause, its kind,
+    ``allowed``, the refs that provide and the first ``reason`` that it fails:
+    missing_material, untrusted_material, semantic_mismatch, kind_mismatch; or
+    grounded. A text's materials are held as one array.
+    """
+    clauses = df.select(key, F.posexplode(F.split(X.text_or_empty(text), r"[,.;?!\n]+")).alias("clause_no", "clause")).withColumn("clause", F.trim("clause")).filter("clause <> ''")
+    kind, needed = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for name, (pattern, kinds) in reversed(list(demands.items())):
+        fits = F.col("clause").rlike(pattern)
+        kind = F.when(fits, F.lit(name)).otherwise(kind)
+        needed = F.when(fits, F.array(*[F.lit(k) for k in kinds])).otherwise(needed)
+    asked = clauses.withColumn("kind", kind).withColumn("__needed", needed).filter("kind is not null")
+    known = materials.select(F.col(material_key).alias("__m"), F.struct(F.col(ref).alias("ref"), F.coalesce(F.col(provides), F.array().cast("array<string>")).alias("gives"), X.tokens(X.text_or_empty(material_text), stop).alias("words"), F.coalesce(trusted, F.lit(False)).alias("ok")).alias("m"))
+    held = known.groupBy("__m").agg(F.array_sort(F.collect_list("m")).alias("__held"))
+    joined = asked.join(held, F.col(key) == F.col("__m"), "left")
+    safe = F.filter("__held", lambda m: m["ok"])
+    near = F.filter(safe, lambda m: F.arrays_overlap(m["words"], X.tokens(F.col("clause"), stop)))
+    found = joined.withColumn("__safe", F.size(safe)).withColumn("__near", near)
+    gives = lambda k: F.exists("__near", lambda m: F.array_contains(m["gives"], k))
+    reason = (
+        F.when(F.col("__held").isNull(), "missing_material").when(F.col("__safe") == 0, "untrusted_material").when(F.size("__near") == 0, "semantic_mismatch")
+        .when(~F.forall("__needed", gives), "kind_mismatch").otherwise("grounded")
+    )
+    refs = F.transform(F.filter("__near", lambda m: F.arrays_overlap(m["gives"], "__needed")), lambda m: m["ref"])
+    return found.select(key, "clause_no", "clause", "kind", reason.alias("reason"), F.coalesce(refs, F.array().cast("array<string>")).alias("refs")).withColumn("allowed", F.col("reason") == "grounded")
+
+
 def alignment(df: DataFrame, key: str, points: str, question: Column, least_pass: float = 1.0) -> DataFrame:
     """Q6: evaluation points against the clauses of a question by shared tokens: pass, review or fail for each row.
 

@@ -9,6 +9,7 @@ from quillmill.functions import udfs as U
 from quillmill.operators import documents as T
 from quillmill.operators import labels as B
 from quillmill.operators import quality as Q
+from quillmill.operators import questions as K
 from quillmill.plans.catalog import query, table
 from quillmill.plans.ranks import LINES, QKEY
 
@@ -121,6 +122,26 @@ def x16(spark, d):
     return table(spark, d, "part").select("p_partkey", rewrite("p_name").alias("r")).select("p_partkey", "r.text", "r.rule")
 
 
+@query("x9_prefix_anchors", r"""
+WITH t AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2)) AS a, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda x: length(x) >= 2)) AS b,
+  regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS ak, regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS bk FROM part),
+h AS (SELECT *, list_filter(a, lambda x: len(list_filter(b, lambda y: starts_with(x, y) OR starts_with(y, x))) > 0) AS hit FROM t)
+SELECT p_partkey, (length(ak) >= 4 AND contains(bk, ak)) OR len(hit) >= 2 OR (len(hit) = 1 AND length(hit[1]) >= 3) AS matches FROM h""")
+def x9_anchors(spark, d):
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda x: F.length(x) >= 2))
+    return table(spark, d, "part").select("p_partkey", X.lexically_matches(words(F.col("p_name")), words(F.col("p_type")), X.surface_key(F.col("p_name")), X.surface_key(F.col("p_type"))).alias("matches"))
+
+
+@query("x16_source_tag", """
+SELECT p_partkey, CASE WHEN length(p_name) BETWEEN 2 AND 14 THEN p_name WHEN length(p_brand) BETWEEN 2 AND 8 THEN p_brand ELSE 'task' END AS surface,
+  CASE WHEN length(p_name) BETWEEN 2 AND 14 THEN 'factor' WHEN length(p_brand) BETWEEN 2 AND 8 THEN 'element' ELSE 'fallback' END AS tag FROM part""")
+def x16_tag(spark, d):
+    useful = lambda c: F.length(c).between(2, 14)
+    short = lambda c: F.when(F.length(c) <= 8, c)
+    p = table(spark, d, "part")
+    return p.select("p_partkey", X.first_useful([("factor", F.col("p_name")), ("element", short(F.col("p_brand")))], useful, ("fallback", F.lit("task"))).alias("r")).select("p_partkey", "r.*")
+
+
 @query("x17_surface_issues", r"""
 SELECT p_partkey, concat_ws(';', CASE WHEN length(p_name) > 12 THEN 'too_long' END, CASE WHEN regexp_matches(p_name, '^[0-9]') THEN 'leading_digit' END) AS issues FROM part""")
 def x17(spark, d):
@@ -295,6 +316,46 @@ def q2(spark, d):
     return Q.weighted_realism(table(spark, d, "documents"), {"long": (F.col("n_chars") >= 300, 40), "the": (t.contains("the"), 35), "stop": (t.contains("."), 50)}).select("doc_id", F.col("realism").cast("int").alias("realism"))
 
 
+WORDS_OF = K.Vocabulary(
+    methods={"user": (("th",), ("the", "an")), "assistant": (("er",), ("on", "in"))},
+    patterns={"scaffold": "^To", "adaptive": "th", "quantified": "[0-9]", "incident": "tion", "actor": "wh", "dilemma": "but|or", "presumed": "^Was", "prescribed": "^Is", "injection": "(?i)ignore", "vague": "^$", "assessable": "e", "generic": "zz"},
+    task_methods=("assistant",), measures=(("th", "er"),), model_sources=("model",), rule_sources=("rule",),
+)
+
+
+def _questions(spark, d):
+    """Conversations as questions: the first turn asks, later turns of the same role follow it up, the others are what is evaluated."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    first = F.get("ts", F.lit(0))
+    side = lambda same: F.transform(F.filter(F.slice("ts", F.lit(2), F.size("ts")), lambda x: (x["role"] == first["role"]) == F.lit(same)), lambda x: x["text"])
+    shaped = c.select((F.col("conv_id") % 100).cast("string").alias("set_id"), F.col("conv_id").alias("ord"), first["role"].alias("method"), first["text"].alias("question"), side(True).alias("follow_ups"), side(False).alias("points"))
+    empty = {
+        "code": "'c'", "competency": "substring(question, 1, 3)", "detail": "'d'", "focus": "'the'", "evidence": "array(struct('c' as code, question as text))", "evidence_id": "'e'", "evidence_required": "true",
+        "source": "if(ord % 2 = 0, 'model', 'rule')", "preserved": "true", "labels": "array(substring(question, 1, 20))", "repeated": "false", "grounded": "true",
+        "conditions": "cast(null as struct<instruction:string,standardization:string,outputs:array<string>,materials:array<string>,time_plan:array<struct<phase:string,minutes:int>>,facts:array<string>,rows:array<struct<source:string,field:string,value:string>>,authority:string>)",
+        "guide": "cast(null as struct<levels:array<struct<score:int,label:string,anchor:string>>,instruction:string>)",
+    }
+    return shaped.selectExpr("*", *[f"{e} as {n}" for n, e in empty.items()])
+
+
+@query("q1_question_report")
+def q1_full(spark, d):
+    return K.question_report(_questions(spark, d), WORDS_OF).select("set_id", "ord", "score", "ready", F.array_join("issues", ",").alias("issues"))
+
+
+@query("q2_realism_checks")
+def q2_full(spark, d):
+    return Q.weighted_realism(_questions(spark, d), K.realism_checks(WORDS_OF)).select("ord", "realism", F.array_join("realism_issues", ",").alias("issues"))
+
+
+@query("q5_material_grounding")
+def q5_full(spark, d):
+    docs = table(spark, d, "documents")
+    held = docs.filter("text is not null").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("ref"), F.array(F.when(F.col("doc_id") % 2 == 0, "amount").otherwise("ratio")).alias("provides"), F.left("text", F.lit(200)).alias("body"), (F.col("doc_id") % 3 > 0).alias("trusted"))
+    demands = {"amount": (r"[0-9]{2,}", ("amount",)), "share": (r"\|", ("amount", "ratio"))}
+    return Q.material_grounding(docs, "doc_id", F.col("text"), demands, held, "doc_id", "ref", "provides", F.col("body"), F.col("trusted")).select("doc_id", "clause_no", "kind", "allowed", "reason")
+
+
 @query("q3_demand_metrics", r"""
 WITH m AS (SELECT conv_id, turn, contains(lower(text), 'th')::INT + contains(lower(text), 'er')::INT + contains(lower(text), 'on')::INT AS n, len(regexp_extract_all(text, '\?')) AS q FROM conversations) SELECT conv_id, turn, n::INTEGER AS n, n > 2 OR q > 2 AS overloaded FROM m""")
 def q3(spark, d):

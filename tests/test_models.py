@@ -22,6 +22,7 @@ MODELS = {
     "x7_sequence_ratio": "test_sequence_ratio_is_difflib", "x9_stems": "test_stems_and_particles", "x10_mojibake": "test_mojibake_is_repaired_only_where_it_helps",
     "x16_task_surface": "test_task_surface_equals_a_loop", "x18_particles": "test_stems_and_particles", "x22_json_slice": "test_json_is_sliced",
     "t2d_table_cells": "test_cells_equal_a_walk", "t4d_anchor_classes": "test_anchor_classes_equal_a_walk", "t8d_full_bundle": "test_bundle_lists", "t8d_candidate_bundle": "test_bundle_equals_a_loop", "q5_precision_grounding": "test_precision_grounding_equals_a_loop",
+    "q1_question_report": "test_each_fault_fails_its_own_checks", "q2_realism_checks": "test_realism_costs_its_weights", "q5_material_grounding": "test_materials_ground_clauses",
     "q8_repair_loop": "test_repair_loop_stops", "flagship_ranked_evidence": "test_factors_reserve_slots",
 }
 
@@ -159,6 +160,27 @@ def test_precision_grounding_equals_a_loop(spark):
     }
 
 
+def test_materials_ground_clauses(spark):
+    texts = [(1, "hold 5 mm, wait for oil; share the load"), (2, "hold 7 mm"), (3, "hold 8 mm"), (4, "hold 9 mm"), (5, None)]
+    held = [(1, "a", ["size"], "hold the plate", True), (1, "b", ["time", "ratio"], "load share", True), (1, "c", ["time"], "wait", False), (2, "d", ["size"], "hold", False), (3, "e", ["size"], "paint", True), (1, "f", None, None, True)]
+    demands = {"size": ("mm", ("size",)), "time": ("wait", ("time",)), "share": ("share", ("ratio", "size"))}
+    materials = spark.createDataFrame(held, "k int, ref string, gives array<string>, body string, ok boolean")
+    out = quality.material_grounding(spark.createDataFrame(texts, "k int, t string"), "k", F.col("t"), demands, materials, "k", "ref", "gives", F.col("body"), F.col("ok"), stop=("the",)).collect()
+    assert {(r.k, r.clause, r.kind, r.allowed, r.reason, tuple(r.refs)) for r in out} == {
+        (1, "hold 5 mm", "size", True, "grounded", ("a",)), (1, "wait for oil", "time", False, "semantic_mismatch", ()), (1, "share the load", "share", False, "kind_mismatch", ("b",)),
+        (2, "hold 7 mm", "size", False, "untrusted_material", ()), (3, "hold 8 mm", "size", False, "semantic_mismatch", ()), (4, "hold 9 mm", "size", False, "missing_material", ()),
+    }
+
+
+@pytest.mark.parametrize(("a", "b", "a_key", "b_key", "match"), [
+    (["plan"], ["planning"], "plan", "x", True), (["pl"], ["plan"], "pl", "x", False), (["qc"], ["qc"], "qc", "x", True), (["ab", "cd"], ["abc", "cde"], "abcd", "x", True),
+    (["zz"], ["yy"], "oven", "hot oven", True), (["zz"], ["yy"], "ove", "hot oven", False), ([], [], "", "", False), (["plan"], None, None, None, False),
+])
+def test_prefix_anchors(spark, a, b, a_key, b_key, match):
+    row = spark.createDataFrame([(a, b, a_key, b_key)], "a array<string>, b array<string>, ak string, bk string")
+    assert row.select(X.lexically_matches(F.col("a"), F.col("b"), F.col("ak"), F.col("bk"), ("qc",)).alias("m")).collect()[0].m is match
+
+
 def test_bundle_equals_a_loop(spark):
     found = catalog.queries()["t8d_candidate_bundle"](spark, "/root/testdata/sf0.001").collect()
     names = [("the", "english", 1.2), ("und", "german", 1.2), ("que", "romance", 1.2), ("of", "english", 0.9)]
