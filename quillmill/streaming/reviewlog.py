@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -54,24 +59,43 @@ def fold(stack: list[tuple[int, str]], event: int, action: str, verdict: str | N
     return "accepted"
 
 
-def replay(log: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, tuple], tuple]) -> DataFrame:
+    """Rows of each key (the first columns) in order through ``step(state, row)``, which gives a row of ``schema``.
+
+    Keys are hashed to tasks and rows sorted there, so a task holds one batch
+    and the state of one key, however many rows the key has. A null is a key.
+    """
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    key, state = row[:n], start(row[:n])
+                rows.append(step(state, row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+
+    fields = StructType.fromDDL(schema)
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def replay(log: DataFrame) -> DataFrame:
     """L1, L2: the outcome of every action of a log, in event order within each question.
 
-    The state is one stack for each (run, question): actions of a question are
-    few, and questions run in parallel.
+    The state is one stack of active reviews for each (run, question), however
+    many actions it has; questions run in parallel.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"{len(pdf)} actions on one question")
-        stack: list[tuple[int, str]] = []
-        rows = []
-        for r in pdf.sort_values("event", kind="stable").itertuples(index=False):
-            outcome = fold(stack, int(r.event), r.action, r.verdict, None if pd.isna(r.expected) else int(r.expected))
-            rows.append((r.run, r.question, int(r.event), outcome, stack[-1][0] if stack else None))
-        return pd.DataFrame(rows, columns=["run", "question", "event", "outcome", "active"]).astype({"active": "Int64"})
+    def step(stack: list, row: tuple) -> tuple:
+        run, question, event, action, verdict, expected = row
+        outcome = fold(stack, event, action, verdict, expected)
+        return run, question, event, outcome, stack[-1][0] if stack else None
 
-    return log.select("run", "question", "event", "action", "verdict", "expected").groupBy("run", "question").applyInPandas(run, OUTCOME)
+    shaped = log.select("run", "question", "event", "action", "verdict", "expected")
+    return in_order(shaped, ["run", "question"], ["event"], OUTCOME, lambda _: [], step)
 
 
 def replay_stream(log: DataFrame) -> DataFrame:
@@ -105,23 +129,22 @@ def request_counts(events: DataFrame, client: str, bucket: str, at: Column, seco
 
 
 def admitted(events: DataFrame, client: str, bucket: str, at: Column, event: str, limits: dict[str, int], default: int = 120, seconds: int = 60) -> DataFrame:
-    """L4: sliding-log rate limit; rejected requests do not enter the window."""
-    shaped = events.select(F.col(client).cast("string").alias("client"), F.col(bucket).cast("string").alias("bucket"), at.alias("at"), F.col(event).cast("long").alias("event"))
+    """L4: sliding-log rate limit; rejected requests do not enter the window, and one without a time is rejected.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event"], kind="stable")
-        most = limits.get(pdf["bucket"].iat[0], default)
-        window: list[int] = []
-        ok = []
-        for t in pdf["at"]:
-            while window and window[0] <= t - seconds * 1_000_000:
-                window.pop(0)
-            ok.append(len(window) < most)
-            if ok[-1]:
-                window.append(t)
-        return pdf.assign(admitted=ok)[["client", "bucket", "event", "admitted"]]
-
-    return shaped.groupBy("client", "bucket").applyInPandas(run, "client string, bucket string, event long, admitted boolean")
+    The state of a client and bucket is its window, so at most ``limit`` times.
+    """
+    shaped = events.select(F.col(client).cast("string").alias("client"), F.col(bucket).cast("string").alias("bucket"), at.cast("long").alias("at"), F.col(event).cast("long").alias("event"))
+
+    def step(window: deque, row: tuple) -> tuple:
+        who, where, t, number = row
+        while window and t is not None and window[0] <= t - seconds * 1_000_000:
+            window.popleft()
+        ok = t is not None and len(window) < limits.get(where, default)
+        if ok:
+            window.append(t)
+        return who, where, number, ok
+
+    return in_order(shaped, ["client", "bucket"], ["at", "event"], "client string, bucket string, event long, admitted boolean", lambda _: deque(), step)
 
 
 def admitted_stream(events: DataFrame, limits: dict[str, int], default: int = 120, seconds: int = 60) -> DataFrame:

@@ -267,3 +267,21 @@ def test_lines_of_several_files_stay_in_order(spark, tmp_path):
 def test_rpc_bodies(spark, body, result, error):
     row = spark.createDataFrame([(body,)], "b string").select(readers.decode_rpc(F.col("b")).alias("r")).collect()[0].r
     assert (row.result, row.error) == (result, error)
+
+
+def test_requests_of_hot_and_null_keys_equal_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, "c"]), rng.choice(["b", "x", None]), rng.choice([None, *range(0, 90_000_000, 500_000)])) for i in range(900)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a key's rows come in many batches
+    try:
+        out = {r.event: r.admitted for r in reviewlog.admitted(spark.createDataFrame(rows, "id long, c string, b string, at long"), "c", "b", F.col("at"), "id", {"b": 3}, default=5, seconds=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    kept = {}
+    for i, c, b, at in sorted(rows, key=lambda r: (-1 if r[3] is None else r[3], r[0])):
+        window = [t for t in kept.get((c, b), []) if at is not None and t > at - 5_000_000]
+        ok = at is not None and len(window) < {"b": 3}.get(b, 5)
+        if at is not None:
+            kept[c, b] = window + [at] * ok
+        assert out[i] == ok
