@@ -120,9 +120,7 @@ def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     t = F.regexp_replace(squeeze(c), r"[^0-9a-z가-힣]", "")
 
     def of(n: int) -> Column:
-        return F.when(
-            F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(t) >= n, windows(t, n)).otherwise(F.array().cast("array<string>"))
 
     grams = F.concat(*[of(n) for n in range(low, high + 1)])
     return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < low, F.array(t)).otherwise(grams)
@@ -131,9 +129,7 @@ def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
 def char_ngram_set(c: Column, n: int = 3) -> Column:
     """Set of character n-grams of a question key without spaces; short texts have none."""
     t = F.replace(question_key(c), F.lit(" "), F.lit(""))
-    return F.when(
-        F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
-    ).otherwise(F.array().cast("array<string>"))
+    return pieces(t, n)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -259,9 +255,18 @@ def squeezed(c: Column) -> Column:
     return F.lower(F.regexp_replace(text_or_empty(c), r"[ \t\r\n\f\x0B]+", ""))
 
 
+def windows(c: Column, n: int) -> Column:
+    """All substrings of ``n`` characters in order, in one walk over the text: ``substring`` at each place would be quadratic."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
 def pieces(c: Column, n: int = 2) -> Column:
     """Distinct substrings of ``n`` characters."""
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(c) >= n, F.array_distinct(windows(c, n))).otherwise(F.array().cast("array<string>"))
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -100,7 +100,7 @@ def dictionary_scores(df: DataFrame, doc: str, text: str, dictionary: DataFrame,
     """
     content = lines(df, doc, text).withColumn("__bonus", F.when(anchor, 0.9).when(section, 0.5).otherwise(0.0)).withColumn("__low", X.squeezed(F.col("content")))
     terms = dictionary.withColumn("__alias", X.squeezed(F.col(alias)))
-    hits = holding(content, "__low", terms, "__alias").withColumn("times", X.occurrences(F.col("__low"), F.col("__alias")))
+    hits = holding(content, "__low", terms, "__alias", most_heads=100).withColumn("times", X.occurrences(F.col("__low"), F.col("__alias")))
     each = F.sum(F.col("times") * (F.when(F.col(official), 1.2).otherwise(0.9) + F.col("__bonus")))
     found = hits.groupBy(doc, label).agg(each.alias("score"))
     if hints is not None or filename is not None:
@@ -139,7 +139,7 @@ def small_classes(df: DataFrame, doc: str, text: str, dictionary: DataFrame, anc
     """T4d: dictionary scores, more for labels that also stand in a table; those above the threshold, the best ``most``."""
     scored = dictionary_scores(df, doc, text, dictionary, "alias", "label", "official", anchor, F.lit(False)).drop("confidence")
     cells = lines(df, doc, text).filter(in_table).select(doc, X.squeezed(F.col("content")).alias("__low"))
-    cells = holding(cells, "__low", dictionary.withColumn("__alias", X.squeezed(F.col("alias"))), "__alias").select(doc, "label").distinct().withColumn("__t", F.lit(synergy))
+    cells = holding(cells, "__low", dictionary.withColumn("__alias", X.squeezed(F.col("alias"))), "__alias", most_heads=100).select(doc, "label").distinct().withColumn("__t", F.lit(synergy))
     merged = scored.join(cells, [doc, "label"], "left").withColumn("score", F.round(F.col("score") + F.coalesce("__t", F.lit(0.0)), 4)).drop("__t").filter(F.col("score") >= threshold)
     return merged.withColumn("__rn", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))).filter(F.col("__rn") <= most).drop("__rn")
 

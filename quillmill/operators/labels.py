@@ -127,7 +127,7 @@ def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label:
 
     around = lambda c, w: F.max(c).over(by.rangeBetween(-w, w))
     weighed = rows.withColumn("__w", F.when(around(F.col("__anchor"), near_anchor), 3).when(around(F.col("content").rlike(section), near_section), 2).otherwise(1))
-    hits = M.holding(weighed, "content", names.select(F.col(label).alias("label")).distinct(), "label").groupBy(doc, "label").agg(F.least(F.sum("__w"), F.lit(cap)).alias("__seen"))
+    hits = M.holding(weighed, "content", names.select(F.col(label).alias("label")).distinct(), "label", most_heads=100).groupBy(doc, "label").agg(F.least(F.sum("__w"), F.lit(cap)).alias("__seen"))
     both = told.join(hits, [doc, "label"], "full").withColumn("score", F.coalesce("__told", F.lit(0)) + F.coalesce("__seen", F.lit(0)) + F.when(F.col("__told").isNotNull() & F.col("__seen").isNotNull(), synergy).otherwise(0))
     rn = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))
     return both.withColumn("rank", rn).filter(F.col("rank") <= most).select(doc, "label", F.col("score").cast("long").alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("best"))
