@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,9 +152,10 @@ def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filena
     extra = F.coalesce(manual, none) if manual is not None else none
     base = docs.select(doc, F.col(text), F.coalesce(terms, none).alias("__terms"), extra.alias("__manual"), filename.alias("__file"))
     kinds = classes.select(F.col(code).alias("code"), X.text_or_empty(F.col(name)).alias("name"), F.col(family).alias("family"))
-    kind_list = kinds.filter("trim(name) <> ''").agg(F.slice(F.array_sort(F.collect_list(F.struct("code", "name"))), 1, most_names + 1).alias("__kinds"))
-    if kinds.limit(most_names + 1).count() > most_names:
+    few = kinds.select("code", "name").filter("trim(name) <> ''").limit(most_names + 1).collect()  # at most that many
+    if len(few) > most_names:
         raise ValueError(f"name counting is for catalogues of at most {most_names} names")
+    listed_kinds = F.from_json(F.lit(json.dumps([r.asDict() for r in few])), f"array<struct<code:{kinds.schema['code'].dataType.simpleString()},name:string>>")
 
     asked = base.select(doc, F.posexplode("__terms").alias("__pos", "__term")).withColumn("__key", X.label_key(F.col("__term"))).filter("__key <> ''")
     looked = M.lookup_class(asked.select("__term").distinct(), "__term", classes, name, code, code)
@@ -167,7 +170,7 @@ def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filena
 
     typed = kinds.schema
     empty = F.array().cast(f"array<struct<code:{typed['code'].dataType.simpleString()},confidence:double,name:string,family:{typed['family'].dataType.simpleString()}>>")
-    wide = base.join(direct, doc, "left").join(reverse, doc, "left").crossJoin(F.broadcast(kind_list))
+    wide = base.join(direct, doc, "left").join(reverse, doc, "left")
     wide = wide.withColumn("__direct", F.coalesce("__direct", empty)).withColumn("__reverse", F.coalesce("__reverse", empty)).withColumn("__low", X.squeezed(F.col(text)))
     one = F.get("__direct", F.lit(0))
     kin = F.filter("__reverse", lambda x: (x["family"] == one["family"]) & (x["code"] != one["code"]) & (x["confidence"] >= 0.6) & (X.squeezed(x["name"]) != "") & F.col("__low").contains(X.squeezed(x["name"])))
@@ -179,7 +182,7 @@ def candidate_bundle(docs: DataFrame, doc: str, text: str, terms: Column, filena
     wide = wide.withColumn("__read", read)
     merged = F.transform("__codes", lambda c: pair(c, F.array_max(F.transform(F.filter("__read", lambda x: x["code"] == c), lambda x: x["confidence"]))))
     whole = F.lower(X.text_or_empty(F.col(text)))
-    times = F.transform("__kinds", lambda k: F.struct((-X.occurrences(whole, F.lower(k["name"]))).alias("n"), k["code"].alias("code")))
+    times = F.transform(listed_kinds, lambda k: F.struct((-X.occurrences(whole, F.lower(k["name"]))).alias("n"), k["code"].alias("code")))
     share = lambda n: F.when(n > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.62), n / 3))).otherwise(0.62)
     best_first = F.array_sort(F.transform(F.filter(times, lambda x: x["n"] < 0), lambda x: F.struct((-F.round(share(-x["n"]), 4)).alias("a"), x["n"].alias("n"), x["code"].alias("code"))))
     counted = F.slice(F.transform(best_first, lambda x: pair(x["code"], -x["a"])), 1, most)

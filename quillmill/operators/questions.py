@@ -11,6 +11,7 @@ What words stand for is a ``Vocabulary``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -112,8 +113,12 @@ def realism_checks(v: Vocabulary) -> dict[str, tuple[Column, int]]:
     return {name: (F.coalesce(c, F.lit(True)), WEIGHTS[name]) for name, c in holds.items()}
 
 
-def report_checks(v: Vocabulary, first: Column) -> dict[str, tuple[Column, Column]]:
-    """Q1: the 33 checks as (holds, applies); ``first`` tells whether a question is the first of its key in its set."""
+def _alike(a: Column, b: Column) -> Column:
+    return ratio_reaches(a, b, F.lit(0.82))
+
+
+def report_checks(v: Vocabulary, first: Column, alike: Callable[[Column, Column], Column] = _alike) -> dict[str, tuple[Column, Column]]:
+    """Q1: the 33 checks as (holds, applies); ``first`` tells whether a question is the first of its key in its set, ``alike`` whether two neighbouring anchors are too similar."""
     q, follow, points = X.text_or_empty(F.col("question")), _texts("follow_ups"), _texts("points")
     compact, merged = F.regexp_replace(q, r"\s+", ""), _visible(follow, points)
     low, method, cond = X.squeezed(q), F.col("method"), F.col("conditions")
@@ -130,7 +135,7 @@ def report_checks(v: Vocabulary, first: Column) -> dict[str, tuple[Column, Colum
     anchor = lambda i: X.text_or_empty(F.get(levels, F.lit(i))["anchor"])
     apart = F.lit(True)
     for i in range(4):
-        apart &= ~ratio_reaches(anchor(i), anchor(i + 1), F.lit(0.82))
+        apart &= ~alike(anchor(i), anchor(i + 1))
     kept = lambda name: F.filter(F.coalesce(cond[name], F.array().cast("array<string>")), _filled)
     plan = F.coalesce(cond["time_plan"], F.array().cast("array<struct<phase:string,minutes:int>>"))
     rows = F.filter(F.coalesce(cond["rows"], F.array().cast("array<struct<source:string,field:string,value:string>>")), lambda r: _filled(r["source"]) & _filled(r["field"]) & _filled(r["value"]))
@@ -193,13 +198,13 @@ def report_checks(v: Vocabulary, first: Column) -> dict[str, tuple[Column, Colum
     return {name: (F.coalesce(holds, F.lit(False)), applies & ~drafted if name in REPLACED else applies) for name, (holds, applies) in checks.items()}
 
 
-def question_report(questions: DataFrame, v: Vocabulary) -> DataFrame:
+def question_report(questions: DataFrame, v: Vocabulary, alike: Callable[[Column, Column], Column] = _alike) -> DataFrame:
     """Q1: ``set_id, ord, statuses, score, ready, issues`` of every question; blank questions repeat nothing."""
     keyed = questions.withColumn("__key", X.dedup_key(X.text_or_empty(F.col("question"))))
     # a null or blank key is no repeat; it fails the check by itself
     order = Window.partitionBy("set_id", "__key").orderBy("ord")
     marked = keyed.withColumn("__first", F.row_number().over(order) == 1)
-    report = Q.quality_report(marked, report_checks(v, F.col("__first")))
+    report = Q.quality_report(marked, report_checks(v, F.col("__first"), alike))
     issues = F.map_keys(F.map_filter("statuses", lambda _, s: s == "fail"))
     return report.select("set_id", "ord", "statuses", "score", "ready", issues.alias("issues"))
 

@@ -340,7 +340,8 @@ def _questions(spark, d):
 
 @query("q1_question_report")
 def q1_full(spark, d):
-    return K.question_report(_questions(spark, d), WORDS_OF).select("set_id", "ord", "score", "ready", F.array_join("issues", ",").alias("issues"))
+    near = lambda a, b: F.levenshtein(a, b) < F.greatest(F.length(a), F.length(b)) * 0.18
+    return K.question_report(_questions(spark, d), WORDS_OF, near).select("set_id", "ord", "score", "ready", F.array_join("issues", ",").alias("issues"))
 
 
 @query("q2_realism_checks")
