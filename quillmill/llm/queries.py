@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import cap_filters, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree, toxicity
+from quillmill.llm import alignment, cap_filters, decontaminate, exact_dedup, langid, line_dedup, mixing, ngram_join, pieces, sharding, suffix_tree, toxicity, whitening
 from quillmill.llm._shared import held_out, small_batches
 
 
@@ -194,6 +194,50 @@ FROM cut LEFT JOIN b USING (host)
 """
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat ten consecutive words of a benchmark item."""
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+        FROM (SELECT item_id, ws, least(len(ws), 10) AS m, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT m FROM win),
+grams AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, sizes WHERE len(ws) >= m)),
+hits AS (SELECT doc_id, i, m, item_id FROM grams JOIN win USING (m, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite embeddings along the first 32 components of their covariance, whitened.
+
+    Grid values stop at 2**52 in absolute value.
+    """
+    most = F.lit(2.0**52)
+    grid = F.transform("embedding", lambda c: F.floor(F.greatest(-most, F.least(most, c.cast("double") * 64))) + 1_000_000)
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.when(whitening.finite(F.col("embedding")), grid).alias("x"))
+    return whitening.whitened_rows(vectors, "vec_id", "x", components=32)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over every whole document."""
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -206,8 +250,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_decontamination": op11_decontamination,
+        "op12_whitening": op12_whitening,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_source_mixing": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_decontamination": OP11_SQL}
