@@ -29,63 +29,105 @@ CUT = re.compile(r"(?<=\S) ")
 UNEVEN = re.compile(r"\s ")
 #: Distinct chunks that a task keeps at most; then its table starts anew.
 TABLE_CHUNKS = 250_000
-#: Transitions that a task keeps at most.
-MOST_MOVES = 200_000
+#: Chunks that are coded in one call.
+JOINED = 500
+#: Transitions that a task keeps at most; then they start anew.
+MOST_MOVES = 400_000
 #: Pairs of ids whose counts are broadcast at a time; more are met block by block.
 BLOCK_PAIRS = 4_000_000
 
 
 class Transducer:
-    """Groups of two token sequences over the same bytes; transitions are kept by (suffix, side, token)."""
+    """Groups of two token sequences over the same bytes.
+
+    A state is the dangling suffix and the side that lags; state 0 has no suffix,
+    odd states wait for the left side. What a pair of tokens opens and where a
+    token leads from a state is kept, so bytes are looked at once for each.
+    """
 
     def __init__(self, left: list[bytes], right: list[bytes]):
-        self.tokens = (left, right)
-        self.moves: dict[tuple[bytes, int, int], tuple[bytes, int] | None] = {}
-
-    def _move(self, suffix: bytes, lagging: int, token: int) -> tuple[bytes, int] | None:
-        """(suffix, side that lags) after the lagging side's token; None where bytes differ."""
-        key = suffix, lagging, token
-        try:
-            return self.moves[key]
-        except KeyError:
-            pass
-        read = self.tokens[lagging][token]
-        if suffix.startswith(read):
-            after = suffix[len(read) :], lagging
-        elif read.startswith(suffix):
-            after = read[len(suffix) :], 1 - lagging
+        self.left, self.right = left, right
+        self.left_text, self.right_text = [str(i) for i in range(len(left))], [str(i) for i in range(len(right))]
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[tuple[bytes, int], int] = {}
+        self.suffixes: list[bytes] = [b"", b""]
+        self.opened: dict[int, int] = {}
+        self.moves: dict[tuple[int, int], int] = {}
+
+    def _state(self, one: bytes, other: bytes) -> int:
+        """The state after the left side has read ``one`` and the right side ``other``; -1 where they differ."""
+        if one == other:
+            return 0
+        if one.startswith(other):
+            suffix, waits = one[len(other) :], 0
+        elif other.startswith(one):
+            suffix, waits = other[len(one) :], 1
         else:
-            after = None
-        if len(self.moves) >= MOST_MOVES:
-            self.moves.clear()
-        self.moves[key] = after
-        return after
-
-    def groups(self, left: list[int], right: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Smallest runs of tokens of both sides that cover the same bytes; None where the bytes differ."""
-        sides, at = (left, right), [0, 0]
-        out: list[tuple[list[int], list[int]]] = []
-        start = (0, 0)
-        suffix, lagging = b"", 0
-        while at[0] < len(left) or at[1] < len(right) or suffix:
-            if at[lagging] == len(sides[lagging]):
-                return None
-            token = sides[lagging][at[lagging]]
-            at[lagging] += 1
-            if not suffix:
-                # a group opens: the left side leads with its token
-                suffix, lagging = self.tokens[lagging][token], 1 - lagging
-                if not suffix:
-                    return None
+            return -1
+        found = self.states.get((suffix, waits))
+        if found is None:
+            found = self.states[suffix, waits] = len(self.suffixes) + waits
+            self.suffixes += [suffix, suffix]
+        return found
+
+    def _open(self, a: int, b: int) -> int:
+        one, other = self.left[a], self.right[b]
+        found = self.opened[a * len(self.right) + b] = self._state(one, other) if one and other else -1
+        return found
+
+    def _move(self, state: int, token: int) -> int:
+        suffix = self.suffixes[state]
+        read = (self.left if state & 1 else self.right)[token]
+        found = self._state(read, suffix) if state & 1 else self._state(suffix, read)
+        self.moves[state, token] = found if read else -1
+        return self.moves[state, token]
+
+    def read(self, left: list[int], right: list[int]) -> tuple[list[str], list[int]] | None:
+        """(each group as text, links as left id times the number of right ids plus right id); None where the bytes differ."""
+        opened, moves, n_right = self.opened, self.moves, len(self.right)
+        a_text, b_text = self.left_text, self.right_text
+        groups: list[str] = []
+        links: list[int] = []
+        i = j = 0
+        n, m = len(left), len(right)
+        while i < n and j < m:
+            a, b = left[i], right[j]
+            pair = a * n_right + b
+            state = opened.get(pair)
+            if state is None:
+                state = self._open(a, b)
+            if not state:
+                i += 1
+                j += 1
+                groups.append(f"{a_text[a]}|{b_text[b]}")
+                links.append(pair)
                 continue
-            after = self._move(suffix, lagging, token)
-            if after is None:
+            first, other = i, j
+            i += 1
+            j += 1
+            while state > 0:
+                if state & 1:
+                    if i == n:
+                        return None
+                    token = left[i]
+                    i += 1
+                else:
+                    if j == m:
+                        return None
+                    token = right[j]
+                    j += 1
+                now = moves.get((state, token))
+                state = self._move(state, token) if now is None else now
+            if state:
                 return None
-            suffix, lagging = after
-            if not suffix:
-                out.append((left[start[0] : at[0]], right[start[1] : at[1]]))
-                start, lagging = (at[0], at[1]), 0
-        return out
+            ones, others = left[first:i], right[other:j]
+            groups.append(f"{','.join([a_text[x] for x in ones])}|{','.join([b_text[x] for x in others])}")
+            links += [x * n_right + y for x in ones for y in others]
+        if len(self.moves) + len(self.opened) > MOST_MOVES:
+            self.clear()
+        return (groups, links) if i == n and j == m else None
 
 
 def byte_level_characters() -> dict[str, int]:
@@ -134,7 +176,8 @@ class ChunkAligner:
         self.left.encode_special_tokens = True
         self.right = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.transducer = Transducer(byte_level_tokens(tokenizer_json), piece_tokens(self.right))
-        self.n_right = len(self.transducer.tokens[1])
+        self.n_right = len(self.transducer.right)
+        self.sizes = [np.array([len(t) for t in side], np.int64) for side in (self.transducer.left, self.transducer.right)]
         made = json.loads(tokenizer_json)
         plain = made.get("normalizer") is None and (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and made["pre_tokenizer"].get("use_regex", True)
         pieces = (self.right.id_to_piece(i) for i in range(self.n_right))
@@ -149,27 +192,46 @@ class ChunkAligner:
         self.facts = array("q")
         self.ends, self.pairs = array("q", [0]), array("q")
 
+    def _cut(self, ids: list[int], side: int, ends: np.ndarray) -> list[list[int]] | None:
+        """Ids by the chunks that end at these bytes; None if a token crosses an end."""
+        upto = np.cumsum(self.sizes[side][ids])
+        at = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or (upto[at] != ends).any():
+            return None
+        cuts = [0, *(at + 1).tolist()]
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def _coded(self, chunks: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """(chunk, ids of both sides). Chunks behind each other are a text that would be cut into them, so many are coded in one call."""
+        joined = [c for c in chunks if c and not c[-1].isspace()] if self.separable else []
+        alone = [c for c in chunks if not c or c[-1].isspace()] if self.separable else chunks
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            text = " ".join(part)
+            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            left = self._cut(self.left.encode(" " + text, add_special_tokens=False).ids, 0, ends)
+            right = self._cut(self.right.encode(text), 1, ends)
+            if left is None or right is None:
+                alone += part
+            else:
+                yield from zip(part, left, right)
+        mark = [self.right.piece_to_id(MARK)]
+        for chunk in alone:
+            yield chunk, self.left.encode(" " + chunk, add_special_tokens=False).ids, self.right.encode(chunk) if chunk else mark
+
     def add(self, chunks: list[str]) -> None:
         """Code and align chunks that the table does not hold; each stands behind a space."""
-        both = self.right.encode(chunks, num_threads=1)
-        mark = self.right.piece_to_id(MARK)
-        n_right = self.n_right
-        for chunk, right in zip(chunks, both):
-            text = " " + chunk
-            left = self.left.encode(text, add_special_tokens=False).ids
-            if not chunk:
-                right = [mark]
-            found = self.transducer.groups(left, right)
-            raw = text.encode()
-            tokens = self.transducer.tokens[0]
+        tokens = self.transducer.left
+        for chunk, left, right in self._coded(chunks):
             self.table[chunk] = len(self.groups)
-            if found is None or b"".join([tokens[i] for i in left]) != raw:
+            found = self.transducer.read(left, right)
+            if found is None or b"".join([tokens[i] for i in left]) != b" " + chunk.encode():
                 self.groups.append("")
                 self.facts.extend((-1, 0, 0, 0))
             else:
-                links = [a * n_right + b for one, other in found for a in one for b in other]
-                self.groups.append(";".join([f"{','.join(map(str, one))}|{','.join(map(str, other))}" for one, other in found]))
-                self.facts.extend((len(left), len(right), len(found), len(links)))
+                groups, links = found
+                self.groups.append(";".join(groups))
+                self.facts.extend((len(left), len(right), len(groups), len(links)))
                 self.pairs.extend(links)
             self.ends.append(len(self.pairs))
 
