@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import json
 import random
@@ -35,12 +36,11 @@ def brute(libraries, docs):
             a, b = left.encode(" " + text, add_special_tokens=False).ids, right.encode(text)
             if b"".join(a_bytes[i] for i in a) == b"".join(b_bytes[i] for i in b) == (" " + text).encode():
                 ends = [np.cumsum([len(t[i]) for i in ids]).tolist() for t, ids in ((a_bytes, a), (b_bytes, b))]
-                place = {e: k for k, e in enumerate(sorted(set(ends[0]) & set(ends[1])))}
-                cuts = sorted(place)
+                cuts = sorted(set(ends[0]) & set(ends[1]))
                 found = [([], []) for _ in cuts]
                 for side, ids in enumerate((a, b)):
                     for i, e in zip(ids, ends[side]):
-                        found[place[next(c for c in cuts[np.searchsorted(cuts, e) :])]][side].append(i)
+                        found[bisect.bisect_left(cuts, e)][side].append(i)
         links = [(x, y) for one, other in found for x in one for y in other]
         counts.update(set(links))
         groups.append(links)
