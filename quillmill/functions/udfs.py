@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from quillmill.functions import kernels
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -19,25 +21,27 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
 
 
-def _letters(texts: np.ndarray) -> np.ndarray:
-    """How often each letter occurs, a row for each text; letters of one number modulo 64 count together."""
-    out = np.zeros((len(texts), 64), np.int32)
-    for i, t in enumerate(texts):
-        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        out[i] = np.bincount(codes % 64, minlength=64)
-    return out
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct texts of both columns, where each row's are among them); nulls count as empty."""
+    texts, place = np.unique(np.concatenate([a.fillna("").to_numpy(object), b.fillna("").to_numpy(object)]), return_inverse=True)
+    return texts.tolist(), place[: len(a)], place[len(a) :]
 
 
 @F.pandas_udf(BooleanType())
 def ratio_reaches(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """Whether ``sequence_ratio`` is ``least`` or more; pairs that share too few letters for that are not aligned."""
-    x, y = a.fillna("").to_numpy(object), b.fillna("").to_numpy(object)
-    texts, place = np.unique(np.concatenate([x, y]).astype(object), return_inverse=True)
-    counts = _letters(texts)
-    i, j = place[: len(x)], place[len(x) :]
+    """Whether ``sequence_ratio`` is ``least`` or more; pairs whose letters or common subsequence rule that out are not aligned."""
+    return pd.Series(kernels.ratios_reach(*_distinct(a, b), least.to_numpy(float)), dtype=bool)
+
+
+@F.pandas_udf(BooleanType())
+def near_texts(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether the sequence ratio or the Jaccard similarity of 3-grams is ``least`` or more."""
+    texts, i, j = _distinct(a, b)
     bar = least.to_numpy(float)
-    open_ = 2 * np.minimum(counts[i], counts[j]).sum(axis=1) >= bar * (counts[i].sum(axis=1) + counts[j].sum(axis=1)) - 1e-9
-    return pd.Series([bool(o) and SequenceMatcher(None, p, q).ratio() >= r for o, p, q, r in zip(open_, x, y, bar)], dtype=bool)
+    out = kernels.jaccards_reach(texts, i, j, bar)
+    left = np.flatnonzero(~out)
+    out[left] = kernels.ratios_reach(texts, i[left], j[left], bar[left])
+    return pd.Series(out, dtype=bool)
 
 
 @F.pandas_udf(StringType())

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.functions import kernels
 from quillmill.functions import text as X
-from quillmill.functions.udfs import ratio_reaches, sequence_ratio
+from quillmill.functions.udfs import sequence_ratio
+from quillmill.operators.nearness import accept_disjoint, accept_in_order, with_near
+from quillmill.sources.staging import stage
 
 
 def similar_sets(a: Column, b: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -39,44 +43,33 @@ def not_in_history(df: DataFrame, text: str, history: DataFrame, past: str) -> D
 def repeats(df: DataFrame, key: str, signature: Column, text: Column, order: str, least: float = 0.88, general: str = "general") -> DataFrame:
     """Whether an earlier row of the same signature is near, or the signature is a general one.
 
-    Every earlier row counts, not only accepted ones. Pairs meet by signature;
-    texts whose lengths or letters alone keep the ratio below the bar are not
-    compared further.
-    Each two distinct texts of a signature are compared once in each direction,
-    whatever the number of their rows.
+    Every earlier row counts, not only accepted ones. Rows of one text and
+    signature are one text: all but its first are repeats, and the first is one
+    if an earlier text is near. That is searched with an index of rare letters,
+    so texts of a signature are not compared with all others.
     """
-    every = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
+    rows = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
     # of a general signature all but the first are repeats, whatever their texts
-    first = every.filter(F.col("s").endswith(general)).groupBy(F.col("s").alias("gs")).agg(F.min("o").alias("first"))
-    later = every.join(first, (F.col("s") == F.col("gs")) & (F.col("o") > F.col("first"))).select("k")
-    rows = every.filter(~F.col("s").endswith(general))
-    texts = rows.groupBy("s", "t").agg(F.min("o").alias("first"), F.max("o").alias("last"))
-    a, b = texts.alias("a"), texts.alias("b")
-    bound = 2 * F.least(F.length("a.t"), F.length("b.t")) / F.greatest(F.lit(1), F.length("a.t") + F.length("b.t"))
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.last") > F.col("b.first"))).filter(bound >= least)
-    met = pairs.filter(ratio_reaches(F.col("a.t"), F.col("b.t"), F.lit(least))).groupBy(F.col("a.s").alias("ms"), F.col("a.t").alias("mt")).agg(F.min("b.first").alias("since"))
-    hits = rows.join(met, (F.col("s") == F.col("ms")) & F.col("t").eqNullSafe(F.col("mt")) & (F.col("o") > F.col("since")))
-    near = hits.select("k").unionByName(later).distinct().withColumn("repeated", F.lit(True))
-    return df.join(near.withColumnRenamed("k", "__key"), F.col(key) == F.col("__key"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("__key")
+    shown = rows.withColumn("t", F.when(F.col("s").endswith(general), "").otherwise(F.coalesce("t", F.lit(""))))
+    texts = stage(shown.groupBy("s", "t").agg(F.min("o").alias("o")).withColumn("id", F.monotonically_increasing_id()), "repeat-texts")
+    compared = texts.filter("t <> ''")
+    near = with_near(compared, compared, least, earlier=True).withColumn("near", F.lit(True))
+    facts = texts.join(near, "id", "left").select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("o").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    told = shown.join(facts, (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft"))).filter(F.col("near") | (F.col("o") > F.col("first")))
+    found = told.select(F.col("k").alias("__key")).distinct().withColumn("repeated", F.lit(True))
+    return df.join(found, F.col(key) == F.col("__key"), "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("__key")
 
 
 def history_duplicates(df: DataFrame, key: str, text: str, history: DataFrame, past: str, signature: Callable[[Column], Column], least: float = 0.86) -> DataFrame:
     """Equal keys, or the same scenario and a ratio or 3-gram Jaccard at the bar; blank texts count as duplicates."""
-    def shaped(c: Column, names: tuple[str, str, str]) -> list[Column]:
-        t = X.surface_key(c)
-        grams = F.when(F.length(t) >= 3, X.char_ngram_set(t)).otherwise(F.array().cast("array<string>"))
-        return [x.alias(n) for x, n in zip((t, signature(c), grams), names)]
-
-    rows = df.select(F.col(key).alias("k"), *shaped(F.col(text), ("t", "s", "g")))
-    old = history.select(*shaped(F.col(past), ("ht", "hs", "hg"))).filter("ht <> ''").dropDuplicates(["ht", "hs"])
-    # lengths of texts, and sizes of 3-gram sets, that alone keep a pair below the bar
-    bound = 2 * F.least(F.length("t"), F.length("ht")) / (F.length("t") + F.length("ht")) >= least
-    sized = F.least(F.size("g"), F.size("hg")) >= least * F.greatest(F.lit(1), F.size("g"), F.size("hg"))
-    pairs = rows.filter("t <> ''").join(old, F.col("s").eqNullSafe(F.col("hs")) & (bound | sized))
-    grams = sized & (X.jaccard(F.col("g"), F.col("hg")) >= least)
-    near = pairs.filter(grams | (bound & ratio_reaches(F.col("t"), F.col("ht"), F.lit(least)))).select("k")
-    same = rows.join(old.select("ht").distinct(), F.col("t") == F.col("ht"), "left_semi").select("k")
-    hit = rows.filter("t = ''").select("k").unionByName(same).unionByName(near).distinct().withColumn("duplicate", F.lit(True))
+    rows = stage(df.select(F.col(key).alias("k"), X.surface_key(F.col(text)).alias("t"), signature(F.col(text)).alias("s")).withColumn("s", F.coalesce("s", F.lit(""))), "history-rows")
+    old = history.select(X.surface_key(F.col(past)).alias("t"), F.coalesce(signature(F.col(past)), F.lit("")).alias("s")).filter("t <> ''").distinct()
+    numbered_ = lambda d, name: stage(d.withColumn("id", F.monotonically_increasing_id()).withColumn("o", F.col("id")), name)
+    texts, known = numbered_(rows.filter("t <> ''").select("s", "t").distinct(), "history-texts"), numbered_(old, "history-known")
+    near = texts.join(with_near(texts, known, least, jaccard=True), "id", "left_semi").select(F.col("s").alias("ns"), F.col("t").alias("nt"))
+    same = rows.join(known.select(F.col("t").alias("nt")).distinct(), F.col("t") == F.col("nt"), "left_semi").select("k")
+    close = rows.join(near, (F.col("s") == F.col("ns")) & (F.col("t") == F.col("nt")), "left_semi").select("k")
+    hit = rows.filter("t = ''").select("k").unionByName(same).unionByName(close).distinct().withColumn("duplicate", F.lit(True))
     return df.join(hit.withColumnRenamed("k", "__key"), F.col(key) == F.col("__key"), "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("__key")
 
 
@@ -113,90 +106,80 @@ def same_result(a: DataFrame, b: DataFrame) -> DataFrame:
     return odd.agg((F.count("*") == 0).alias("same"))
 
 
-def is_similar(a: str, b: str, stop: frozenset[str] = frozenset(), least_ratio: float = 0.92) -> bool:
-    """D4 for two question keys in Python, for the greedy operators."""
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    if 2 * min(len(a), len(b)) >= least_ratio * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= least_ratio:
-        return True
-    x, y = ({t for t in k.split() if len(t) >= 2 and t not in stop} for k in (a, b))
-    if not x or not y:
-        return False
-    shared = len(x & y)
-    if (shared >= 5 and shared / min(len(x), len(y)) >= 0.62) or (shared >= 4 and shared / len(x | y) >= 0.8):
-        return True
-    p, q = (k.replace(" ", "") for k in (a, b))
-    gp, gq = ({k[i : i + 3] for i in range(len(k) - 2)} for k in (p, q))
-    return bool(gp and gq) and len(gp & gq) / len(gp | gq) >= 0.68
-
-
-def _greedy(df: DataFrame, block: str, schema: str, accept: Callable[[pd.DataFrame], list[bool]], most_rows: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"a block of {len(pdf)} rows is too large for a sequential operator; choose a finer block")
-        pdf = pdf.sort_values("ord", kind="stable")
-        return pd.DataFrame({"block": pdf["block"], "ord": pdf["ord"], "accepted": accept(pdf)})
-
-    return df.groupBy(block).applyInPandas(run, schema)
-
-
-def diverse_set(df: DataFrame, block: str, text: str, order: str, target: int | None = None, stop: tuple[str, ...] = (), most_rows: int = 20_000) -> DataFrame:
+def similar_keys(later: list[str], earlier: list[str], stop: frozenset[str] = frozenset(), least_ratio: float = 0.92) -> np.ndarray:
+    """D4 for question keys, each of one list with each of the other, as a matrix."""
+    texts = later + earlier
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(later)), np.arange(len(earlier)) + len(later), indexing="ij"))
+    out = kernels.ratios_reach(texts, i, j, least_ratio).reshape(len(later), len(earlier))
+    words = [{t for t in k.split() if len(t) >= 2 and t not in stop} for k in texts]
+    grams = [kernels.char_grams(k.replace(" ", "")) for k in texts]
+    cut = len(later)
+    both = kernels.shared(words[:cut], words[cut:])
+    n, m = np.array([len(w) for w in words[:cut]])[:, None], np.array([len(w) for w in words[cut:]])[None, :]
+    some = (n > 0) & (m > 0)
+    near = ((both >= 5) & (both / np.maximum(1, np.minimum(n, m)) >= 0.62)) | ((both >= 4) & (both / np.maximum(1, n + m - both) >= 0.8))
+    g, h = np.array([len(w) for w in grams[:cut]])[:, None], np.array([len(w) for w in grams[cut:]])[None, :]
+    common = kernels.shared(grams[:cut], grams[cut:])
+    near |= (g > 0) & (h > 0) & (common / np.maximum(1, g + h - common) >= 0.68)
+    return out | (some & near)
+
+
+def _numbered_rows(df: DataFrame, block: str, order: str, **columns: Column) -> DataFrame:
+    """Rows as (id, block, ord, ...); a null block is one of its own."""
+    return stage(
+        df.select(F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("")).alias("block"), F.col(order).cast("long").alias("ord"), *[c.alias(n) for n, c in columns.items()]).withColumn("id", F.monotonically_increasing_id()),
+        "greedy-rows",
+    )
+
+
+def _marked(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(block, ord, accepted) of every row."""
+    found = rows.join(accepted.withColumn("accepted", F.lit(True)), "id", "left")
+    return found.select(F.when(F.col("block") != "", F.substr("block", F.lit(2))).alias("block"), "ord", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def diverse_set(df: DataFrame, block: str, text: str, order: str, target: int | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
     """Accept in order unless similar to an accepted text of the block, until ``target`` are accepted."""
     words = frozenset(stop)
+    rows = _numbered_rows(df, block, order, key=X.question_key(F.col(text)))
+
+    def clash(later: pd.DataFrame, earlier: pd.DataFrame) -> np.ndarray:
+        return similar_keys(later["key"].tolist(), earlier["key"].tolist(), words)
+
+    return _marked(rows, accept_in_order(rows.filter("key <> ''"), clash, target))
 
-    def accept(pdf: pd.DataFrame) -> list[bool]:
-        chosen: list[str] = []
-        out = []
-        for k in pdf["key"]:
-            ok = bool(k) and (target is None or len(chosen) < target) and not any(is_similar(k, c, words) for c in chosen)
-            if ok:
-                chosen.append(k)
-            out.append(ok)
-        return out
-
-    rows = df.select(F.col(block).cast("string").alias("block"), F.col(order).cast("long").alias("ord"), X.question_key(F.col(text)).alias("key"))
-    return _greedy(rows, "block", "block string, ord long, accepted boolean", accept, most_rows)
-
-
-def scoped_unique(df: DataFrame, scope: str, scenario: Column, context: Column, text: str, order: str, least: float = 0.84, context_bar: float = 0.45, shortest: int = 24, most_rows: int = 20_000) -> DataFrame:
-    """Accept in order unless near an accepted text of the same scope, of compatible scenario and context."""
-
-    def accept(pdf: pd.DataFrame) -> list[bool]:
-        chosen, out = [], []
-        for key, scene, about in zip(pdf["key"], pdf["scenario"], pdf["context"]):
-            near = False
-            if len(key) >= shortest:
-                for k, s, c in chosen:
-                    if (scene and s and scene != s) or (about and c and SequenceMatcher(None, about, c).ratio() < context_bar):
-                        continue
-                    ga, gb = ({x[i : i + 3] for i in range(len(x) - 2)} or {x} for x in (key, k))
-                    near = len(ga & gb) / len(ga | gb) >= least or SequenceMatcher(None, key, k).ratio() >= least
-                    if near:
-                        break
-            if not near:
-                chosen.append((key, scene, about))
-            out.append(not near)
-        return out
-
-    rows = df.select(F.col(scope).cast("string").alias("block"), F.col(order).cast("long").alias("ord"), X.surface_key(F.col(text)).alias("key"), F.coalesce(scenario, F.lit("")).alias("scenario"), F.coalesce(context, F.lit("")).alias("context"))
-    return _greedy(rows, "block", "block string, ord long, accepted boolean", accept, most_rows)
-
-
-def unseen_keys(df: DataFrame, block: str, keys: Column, order: str, most_rows: int = 200_000) -> DataFrame:
-    """Accept in order unless any key of the row was seen with an accepted one; a row without keys is not accepted."""
 
-    def accept(pdf: pd.DataFrame) -> list[bool]:
-        seen: set[str] = set()
-        out = []
-        for own in pdf["keys"]:
-            own = list(own) if own is not None else []
-            ok = bool(own) and not any(k in seen for k in own)
-            if ok:
-                seen.update(own)
-            out.append(ok)
-        return out
-
-    rows = df.select(F.col(block).cast("string").alias("block"), F.col(order).cast("long").alias("ord"), keys.alias("keys"))
-    return _greedy(rows, "block", "block string, ord long, accepted boolean", accept, most_rows)
+def scoped_unique(df: DataFrame, scope: str, scenario: Column, context: Column, text: str, order: str, least: float = 0.84, context_bar: float = 0.45, shortest: int = 24) -> DataFrame:
+    """Accept in order unless near an accepted text of the same scope, of compatible scenario and context.
+
+    A text of fewer than ``shortest`` characters is always accepted.
+    """
+    rows = _numbered_rows(df, scope, order, key=X.surface_key(F.col(text)), scenario=F.coalesce(scenario, F.lit("")), context=F.coalesce(context, F.lit("")))
+
+    def clash(later: pd.DataFrame, earlier: pd.DataFrame) -> np.ndarray:
+        keys = later["key"].tolist() + earlier["key"].tolist()
+        cut = len(later)
+        long_ = (later["key"].str.len() >= shortest).to_numpy()[:, None]
+        scenes = [d["scenario"].to_numpy(object) for d in (later, earlier)]
+        fits = long_ & ~((scenes[0] != "")[:, None] & (scenes[1] != "")[None, :] & (scenes[0][:, None] != scenes[1][None, :]))
+        grams = [kernels.char_grams(k) or {k} for k in keys]
+        common = kernels.shared(grams[:cut], grams[cut:])
+        g, h = np.array([len(w) for w in grams[:cut]])[:, None], np.array([len(w) for w in grams[cut:]])[None, :]
+        near = fits & (common / (g + h - common) >= least)
+        i, j = np.nonzero(fits & ~near)
+        near[i, j] = kernels.ratios_reach(keys, i, j + cut, least)
+        # contexts are looked at where texts are near; equal pairs of contexts once
+        i, j = np.nonzero(near)
+        abouts, place = np.unique(np.concatenate([later["context"].to_numpy(object)[i], earlier["context"].to_numpy(object)[j]]).astype(object), return_inverse=True)
+        pairs, back = np.unique(np.stack([place[: len(i)], place[len(i) :]]), axis=1, return_inverse=True)
+        told = [not (abouts[a] and abouts[b]) or SequenceMatcher(None, abouts[a], abouts[b]).ratio() >= context_bar for a, b in pairs.T]
+        near[i, j] = np.array(told, bool)[back.ravel()] if len(i) else False
+        return near
+
+    return _marked(rows, accept_in_order(rows, clash))
+
+
+def unseen_keys(df: DataFrame, block: str, keys: Column, order: str) -> DataFrame:
+    """Accept in order unless any key of the row was seen with an accepted one; a row without keys is not accepted."""
+    rows = _numbered_rows(df, block, order, keys=keys)
+    return _marked(rows, accept_disjoint(rows))

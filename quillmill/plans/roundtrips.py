@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.plans.catalog import query, table
 from quillmill.plans.logs import actions
 from quillmill.sources import readers, writers
+from quillmill.sources.staging import scratch
 from quillmill.streaming import reviewlog as L
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder, or in a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_catalogue_csv", """
 SELECT p_brand, p_type, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn FROM part WHERE trim(p_name) <> '') WHERE rn = 1""")
 def s1(spark, d):
