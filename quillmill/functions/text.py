@@ -301,3 +301,41 @@ def clean_markdown(c: Column) -> Column:
     t = F.regexp_replace(t, r"[*_`~]+", "")
     t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^[ |\t\r\n:：•-]+|[ |\t\r\n:：•-]+$", "")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def upto_last(c: Column, closer: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a text up to the end of the last match of a pattern and of the rest: behind it nothing closes."""
+    head = lambda x: F.regexp_extract(x, rf"(?s)^.*(?:{closer})", 0)
+    return once(c, lambda x: once(head(x), lambda h: use(h, F.substr(x, F.length(h) + 1))))
+
+
+def replace_closed(c: Column, pattern: str, closer: str, new: str) -> Column:
+    """Replace a pattern that ends in ``closer``.
+
+    It is sought only where one still follows: an opener without a closer
+    would read to the end of the text, and many of them would make that quadratic.
+    """
+    return upto_last(c, closer, lambda head, rest: F.concat(F.regexp_replace(head, pattern, new), rest))
+
+
+def extract_closed(c: Column, pattern: str, closer: str) -> Column:
+    """All matches (first group) of a pattern that ends in ``closer``, as in ``replace_closed``."""
+    return upto_last(c, closer, lambda head, _: F.regexp_extract_all(head, F.lit(pattern), F.lit(1)))
+
+
+#: A noncharacter that keeps an opener without a closer from being read as one.
+OPEN = "\uffff"
+
+
+def without_elements(c: Column, elements: tuple[tuple[str, str], ...], new: str = "") -> Column:
+    """A text without the elements (pattern of the opener behind ``<``, pattern of the closer), whichever opens first."""
+    for opener, closer in elements:
+        mark = lambda head, rest, opener=opener: F.concat(head, F.regexp_replace(rest, rf"(?i)<(?={opener})", f"<{OPEN}"))
+        c = upto_last(c, f"(?i:{closer})", mark)
+    c = F.regexp_replace(c, "(?is)" + "|".join(f"<{opener}.*?{closer}" for opener, closer in elements), new)
+    return F.replace(c, F.lit(f"<{OPEN}"), F.lit("<"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 from quillmill.functions import udfs as U
+from quillmill.operators import documents
 from quillmill.sources import readers, writers
 
 
@@ -102,3 +103,16 @@ def test_reports_fill_missing_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     writers.write_csv_report(df, str(tmp_path / "r"), ["a", "b", "c"])
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "r")).na.fill("").collect()) == [("1", "", ""), ("2", "x", "")]
+
+
+def test_openers_that_never_close_are_read_once(spark):
+    import time
+
+    from quillmill.operators import labels
+
+    junk = [mark * (5_000_000 // len(mark)) for mark in ("<script ", "<table>", "<table ", "<", "<tr>")]
+    pages = spark.createDataFrame([(i, "</script> </table> > " + j) for i, j in enumerate(junk)], "k int, html string")
+    began = time.perf_counter()
+    assert pages.select(F.max(F.length(documents.html_text(F.col("html"))))).collect()[0][0] > 4_000_000
+    assert labels.table_rows(pages, "k", "html").count() == 0
+    assert time.perf_counter() - began < 25
