@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     are there. An empty table gives no rows; other columns are not read, so
     none can clash.
     """
-    raw = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    raw = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     groups = stage(

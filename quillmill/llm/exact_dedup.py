@@ -99,19 +99,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     combined before the shuffle, must be the same. If one digest holds
     different texts, its rows are grouped again by the texts themselves.
 
-    A null text counts as empty. Equal ids in one group (repeated rows) share
-    the outcome of the largest id, and only one row of the largest id is kept
-    if ``locator`` cannot tell them apart: see ``kept``. Null ids sort below
-    all others. An empty table gives no rows; very long texts are hashed whole.
-    Other columns are not read, so none can clash.
+    A null text counts as empty. Rows of one group that share the largest id
+    (repeated rows, or all with null ids) have nothing that tells them apart:
+    all are ``kept`` here, and ``drop_exact_duplicates``, which sees whole rows,
+    returns one of them. Null ids sort below all others. An empty table gives no
+    rows; very long texts are hashed whole. Other columns are not read, so none
+    can clash. A locator that is not the keeper's shows a collision without
+    reading a text; the bytes are compared all the same.
 
     Returns ``id_col, keep_id, group_size, kept, digest, part`` for every row.
     ``part`` is null unless digests collided; then it is the text's own
     SHA-256.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("id"), text.alias("__text")).withColumn("digest", digest(F.col("__text")))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("__text")).withColumn("digest", digest(F.col("__text")))
     locator = F.struct(F.octet_length("__text").cast("long").alias("bytes"), F.xxhash64("__text").alias("hash"))
     state = DedupState(spark, fresh_path(spark, "exact-dedup"))
     state.add(source.select("digest", "id", locator.alias("locator")))
@@ -124,7 +126,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = F.broadcast(hit) if few else hit
     bytes_of = source.join(hits.select("digest"), "digest", "left_semi")
     checked = bytes_of.groupBy("digest").agg((F.min("__text") == F.max("__text")).alias("same"))
-    clash = stage(checked.filter("not same").select("digest"), "digest-clash")
+    located = keys.join(hits.select("digest", "keep_locator"), "digest").filter(F.col("locator") != F.col("keep_locator")).select("digest")
+    clash = stage(checked.filter("not same").select("digest").unionByName(located).distinct(), "digest-clash")
     # who has a digest alone stays
     named = keys.join(hits.select("digest", "keep_id", "copies"), "digest", "left").select(
         "digest", "id", F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.lit(None).cast("string").alias("part")
@@ -160,7 +163,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = stage(
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
-        .groupBy(F.col(id_col).alias(own_id), F.col("digest").alias(own_digest))
+        .groupBy(F.col(f"`{id_col}`").alias(own_id), F.col("digest").alias(own_digest))
         .agg(F.count("*").alias("rows")),
         "exact-kept",
     )

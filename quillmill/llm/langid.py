@@ -164,12 +164,12 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int
     number the sample bounds, become the frozen trees.
     """
     usable = docs.filter(
-        F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col), modulus, remainder)
+        F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`"), modulus, remainder)
     )
     there = usable.count()
     share = 1.0 if there <= sample_rows else sample_rows / there
     # 31 bits of a hash against the share
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
+    chosen = usable.filter(F.pmod(F.xxhash64(F.lit(7), F.col(f"`{id_col}`")), F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int
             yield context_counts(found, order).assign(lang=lang)[["lang", "k", "key", "n"]]
 
     counted = (
-        chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+        chosen.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
         .mapInPandas(lambda batches: released(count(batches)), "lang string, k int, key long, n long")
         .groupBy("lang", "k", "key")
         .agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions import text as X
 from quillmill.llm._shared import stage
 
 #: Boilerplate lines (two hashes each) that are sent to every executor at most.
@@ -15,11 +16,12 @@ def page_lines(html: Column) -> Column:
     """Lines of visible text: scripts, styles and comments go, block tags break lines.
 
     Lines are trimmed of ASCII white space; blank ones are left out. A null
-    page has no lines.
+    page has no lines. What opens and never closes stays text; it is not sought
+    where nothing closes any more, so that the work is linear in the page.
     """
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
+    out = X.without_elements(html, ((r"script\b", "</script>"), (r"style\b", "</style>"), ("!--", "-->")))
+    out = X.replace_closed(out, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>", ">", "\n")
+    out = X.replace_closed(out, r"<[^>]*>", ">", "")
     return text_lines(out)
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import gcd
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm._shared import free, ranged_prefix, stage
 
+#: Blocks that a source has at least, if it has as many words.
+LEAST_BLOCKS = 256
+#: Sources of a mix at most, and sources of which the quotas are broadcast.
+MOST_SOURCES, BROADCAST_SOURCES = 1_000_000, 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,109 +24,110 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def capped_targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
+def capped_targets(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float) -> np.ndarray:
     """Shares of ``total`` by weight, none above ``cap`` times its size.
 
     What a capped source cannot take goes to the others by weight, again and
     again until none is above its cap.
     """
-    targets = [0.0] * len(sizes)
-    open_, left = set(range(len(sizes))), float(total)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        above = [i for i in open_ if weights[i] * unit > cap * sizes[i]]
-        if not above:
-            for i in open_:
-                targets[i] = weights[i] * unit
-            break
-        for i in above:
-            targets[i] = cap * sizes[i]
-            left -= targets[i]
-        open_ -= set(above)
-    return targets
-
-
-def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None) -> list[int]:
-    """Seats by the highest quotients votes / (2 k + 1), none beyond ``most``.
-
-    A divisor is found by halving for which just fewer than ``seats`` quotients
-    are larger; the rest goes by quotient, ties to the earlier source. So the
-    cost does not depend on the number of seats.
+    sizes, weights = np.asarray(sizes, np.int64), np.asarray(weights, float)
+    capped = np.zeros(len(sizes), bool)
+    while True:
+        left, share = total - cap * int(sizes[capped].sum()), weights[~capped].sum()
+        unit = left / share if share else 0.0
+        above = ~capped & (weights * unit > cap * sizes)
+        if not above.any():
+            return np.where(capped, cap * sizes, weights * unit).astype(float)
+        capped |= above
+
+
+def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Seats by the highest quotients votes / (2 k + 1), none beyond ``most``, ties to the earlier source.
+
+    A divisor is found by halving above which just fewer than ``seats``
+    quotients lie; only the few quotients of each source next to it are put in
+    order. So the cost does not depend on the number of seats.
     """
-    most = most if most is not None else [seats] * len(votes)
-    seats = min(seats, sum(m for v, m in zip(votes, most) if v > 0))
+    votes = np.asarray(votes, float)
+    most = np.where(votes > 0, seats if most is None else most, 0).astype(np.int64)
+    seats = int(min(seats, most.sum()))
 
-    def given(divisor: float) -> list[int]:
+    def given(divisor: float) -> np.ndarray:
         # quotients above the divisor: v / (2 k + 1) > divisor
-        return [min(m, max(0, int(np.ceil((v / divisor - 1) / 2)))) if v > 0 else 0 for v, m in zip(votes, most)]
-
-    low, high = 0.0, max([*votes, 0.0]) + 1.0
-    for _ in range(200):
+        return np.minimum(most, np.maximum(0, np.ceil((votes / divisor - 1) / 2)).astype(np.int64))
+
+    if not seats:
+        return np.zeros(len(votes), np.int64)
+    # one vote has no more seats than votes / (2 divisor) and a half
+    low, high = max(float(votes.sum()) / (2.0 * (seats + len(votes) + 1)) * 0.5, 1e-300), float(votes.max()) + 1.0
+    while int(np.minimum(given(low), most).sum()) < seats:
+        low /= 16
+    for _ in range(100):
         middle = (low + high) / 2
         if middle in (low, high):
             break
-        if sum(given(middle)) > seats:
+        if int(given(middle).sum()) > seats:
             low = middle
         else:
             high = middle
-    got = given(high)
-    while sum(got) < seats:
-        best = max((i for i in range(len(votes)) if votes[i] > 0 and got[i] < most[i]), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
-        got[best] += 1
-    return got
+    # two quotients on either side make up for the rounding of the division above
+    first, last = np.maximum(given(high) - 2, 0), np.minimum(given(low) + 2, most)
+    source = np.repeat(np.arange(len(votes)), last - first)
+    seat = np.arange(len(source)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[source]
+    best = np.lexsort((source, -(votes[source] / (2 * seat + 1))))[: seats - int(first.sum())]
+    return first + np.bincount(source[best], minlength=len(votes)).astype(np.int64)
 
 
 @dataclass(frozen=True)
-class SourcePlan:
-    """What the mix takes of one source; ``upto[s]`` blocks go to the first s shards together."""
+class MixPlan:
+    """What the mix takes of each source; ``upto[i, s]`` words of source i go to the first s shards together."""
 
-    source: str | None
-    size: int
-    target: float
-    n_blocks: int
-    upto: tuple[int, ...]
-    step: int
-    shift: int
+    sizes: np.ndarray
+    targets: np.ndarray
+    block: np.ndarray
+    n_blocks: np.ndarray
+    upto: np.ndarray
+    step: np.ndarray
+    shift: np.ndarray
 
     @property
-    def quota(self) -> int:
-        return self.upto[-1]
+    def quotas(self) -> np.ndarray:
+        return self.upto[:, -1]
 
     @property
-    def shard_quotas(self) -> tuple[int, ...]:
-        return tuple(b - a for a, b in zip(self.upto, self.upto[1:]))
-
-
-def plan_mix(totals: list[tuple[str | None, int]], weights: list[float], block: int, shards: int = 8, cap: float = 3.0, seed: int = 11) -> list[SourcePlan]:
-    """Quotas of blocks for every source and shard.
-
-    ``totals`` are (source, tokens). Targets are apportioned in blocks by
-    highest quotients. The seats in the order of their quotients are dealt to
-    the shards in runs of equal length, so the first s shards together hold an
-    apportionment of their own; quotas of single shards are integers, add up to
-    the source's quota, and all shards have as many blocks, but for one. Blocks
-    of a source stand in a seeded order (``step * j + shift`` modulo their
-    number, step coprime to it), which the mix goes through as often as the
-    quota asks; shard after shard takes its quota of that order. With a cap that
-    is no whole number some blocks may be taken once more than it says.
+    def shard_quotas(self) -> np.ndarray:
+        return np.diff(self.upto, axis=1)
+
+
+def plan_mix(sizes: list[int], weights: list[float], block: int, shards: int = 8, cap: float = 3.0, seed: int = 11) -> MixPlan:
+    """Quotas of words for every source and shard.
+
+    Targets are apportioned by highest quotients in seats of one word, the
+    blocks of equal size that even the smallest source has. The seats in the
+    order of their quotients are dealt to the shards in runs of equal length, so
+    the first s shards together hold an apportionment of their own; quotas of
+    single shards are integers, add up to the source's quota, and all shards
+    have as many words, but for one. What fills a quota are blocks of ``block``
+    words, or shorter ones in a source that has fewer than ``LEAST_BLOCKS`` of
+    them. Blocks of a source stand in a seeded order (``step * j + shift`` modulo
+    their number, step coprime to it), which the mix goes through as often as
+    the quota asks; shard after shard takes its quota of that order.
     """
-    sizes = [n for _, n in totals]
-    whole = sum(sizes)
-    targets = capped_targets(sizes, weights, whole, cap)
-    counts = [-(-n // block) for n in sizes]
-    most = [int(cap * c) for c in counts]
-    seats = min(round(whole / block) or (1 if whole else 0), sum(m for t, m in zip(targets, most) if t > 0))
-    upto = list(zip(*(sainte_lague(targets, seats * s // shards, most) for s in range(shards + 1))))
-    rng = np.random.default_rng(seed)
-    plans = []
-    for i, (source, size) in enumerate(totals):
-        n = counts[i]
-        step, shift = int(rng.integers(1, 1 << 20)), int(rng.integers(0, 1 << 20))
-        step = step % n or 1 if n else 1
-        while n and gcd(step, n) != 1:
-            step += 1
-        plans.append(SourcePlan(source, size, targets[i], n, tuple(upto[i]), step, shift % n if n else 0))
-    return plans
+    n = np.asarray(sizes, np.int64)
+    whole = int(n.sum())
+    targets = capped_targets(n, np.asarray(weights, float), whole, cap)
+    most = np.floor(cap * n).astype(np.int64)
+    upto = np.stack([sainte_lague(targets, whole * s // shards, most) for s in range(shards + 1)], axis=1) if len(n) else np.zeros((0, shards + 1), np.int64)
+    length = np.clip(n // LEAST_BLOCKS, 1, block)
+    count = -(-n // length)
+    # Multipliers that spread consecutive numbers.
+    at = np.arange(1, len(n) + 1, dtype=np.int64)
+    step, shift = (at * 2654435761 + seed * 40503) % (1 << 20), (at * 40503 + seed * 2654435761) % (1 << 20)
+    one = np.maximum(count, 1)
+    step = np.where(step % one == 0, 1, step % one)
+    while (open_ := np.gcd(step, one) != 1).any():
+        step[open_] += 1
+    return MixPlan(n, targets, length, count, upto, step, shift % one)
 
 
 def mix_sources(
@@ -140,14 +146,18 @@ def mix_sources(
     The words of a source form one stream, its documents in a seeded order;
     prefix sums over per-partition totals give every document its place, so a
     source with a third of all rows is spread like any other. The stream falls
-    into blocks of ``block`` words (the last one shorter). Targets share all
-    words by weight with a cap of ``cap`` times the source; Sainte-Lague turns
-    them into integer quotas of blocks for each source and shard, and each
-    shard takes its quota of the source's blocks in their seeded order. A
-    document is taken for its words in those blocks, at most ``cap`` times each.
+    into blocks of ``block`` words or fewer (the last one shorter). Targets share
+    all words by weight with a cap of ``cap`` times the source; Sainte-Lague turns
+    them into integer quotas of words for each source and shard, and each shard
+    takes its quota of the source's blocks in their seeded order, the last block
+    in part. So a source's words are its target, rounded, and words of all
+    sources add up. A document is taken for its words in those blocks, at most
+    ``cap`` times each.
 
     Sources are ordered by code point, null last, and weigh ``cycle`` in turn.
-    One row for each source comes to the driver: names of sources are few.
+    They are counted first: names and sizes of up to ``MOST_SOURCES`` come to the
+    driver, more raise an error. Their quotas are broadcast up to
+    ``BROADCAST_SOURCES`` and else joined, where adaptive execution splits a large source.
     Texts that are null or have no word have size 0 and are never taken; very
     long texts count whole. Null ids are ids like others; repeated rows are rows
     of their own. An empty table gives no rows. Other columns are not read, so
@@ -167,37 +177,42 @@ def _taken(rows: DataFrame, block: int = 64, shards: int = 8, cap: float = 3.0,
     """The mix of rows of (id, source, size); other columns pass through."""
     spread = F.xxhash64(F.lit(seed), "id", "size")
     placed = stage(ranged_prefix(rows.withColumn("spread", spread), ["spread", "id", "size"], "size", within=["source"], name="mix"), "mix-placed")
-    totals = sorted(
-        ((r["source"], int(r["n"])) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()),
-        key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")),
-    )
-    plans = plan_mix(totals, [cycle[i % len(cycle)] for i in range(len(totals))], block, shards, cap, seed)
-    table = rows.sparkSession.createDataFrame(
-        [(p.source, p.size, p.target, p.n_blocks, list(p.upto), p.step, p.shift) for p in plans],
-        "p_source string, source_size long, target double, n_blocks long, upto array<long>, step long, shift long",
-    )
-    joined = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")))
+    totals = placed.groupBy("source").agg(F.sum("size").cast("long").alias("n"))
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"a mix is for at most {MOST_SOURCES} sources")
+    named = totals.toArrow()
+    # strings are ordered by their bytes in UTF-8, which is by code point
+    named = named.take(pc.sort_indices(named, sort_keys=[("source", "ascending")], null_placement="at_end"))
+    plan = plan_mix(named.column("n").to_numpy(), [cycle[i % len(cycle)] for i in range(named.num_rows)], block, shards, cap, seed)
+    last = plan.n_blocks - 1
+    columns = {
+        "p_source": named.column("source"), "source_size": pa.array(plan.sizes), "target": pa.array(plan.targets), "length": pa.array(plan.block), "n_blocks": pa.array(plan.n_blocks),
+        "upto": pa.array(list(plan.upto), pa.list_(pa.int64())), "step": pa.array(plan.step), "shift": pa.array(plan.shift),
+        # the last block may be short: its place in the seeded order, and the words it lacks
+        "short_rank": pa.array((plan.step * last + plan.shift) % np.maximum(plan.n_blocks, 1)), "lacks": pa.array(plan.n_blocks * plan.block - plan.sizes),
+    }
+    table = rows.sparkSession.createDataFrame(pa.table(columns))
+    joined = placed.join(F.broadcast(table) if named.num_rows <= BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("p_source")))
+    length, n = F.col("length"), F.col("source_size")
     end = F.col("__before") + F.col("size")
-    first, last = F.floor(F.col("__before") / block), F.floor((end - 1) / block)
-    n = F.col("n_blocks")
+    first_block, last_block = F.floor(F.col("__before") / length), F.floor((end - 1) / length)
 
     def place(j: Column) -> Column:
-        return F.struct(
-            (F.least(end, (j + 1) * block) - F.greatest(F.col("__before"), j * block)).alias("words"),
-            F.pmod(F.col("step") * j + F.col("shift"), n).alias("rank"),
-        )
-
-    def times(upto: Column, rank: Column) -> Column:
-        # places rank, rank + n, rank + 2 n ... of the seeded order that lie below upto
-        return F.greatest(F.lit(0).cast("long"), F.floor((upto - rank + n - 1) / n))
+        """The words of a document in block j: where they stand in a lap through the seeded order, and how many."""
+        rank = F.pmod(F.col("step") * j + F.col("shift"), F.col("n_blocks"))
+        begin = F.greatest(F.col("__before"), j * length)
+        lap = rank * length - F.when(rank > F.col("short_rank"), F.col("lacks")).otherwise(0) + begin - j * length
+        return F.struct((F.least(end, (j + 1) * length) - begin).alias("words"), lap.alias("lap"))
 
     def words_of(upto: Column) -> Column:
-        return F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: acc + (p["words"] * times(upto, p["rank"])).cast("long"))
+        """Words that the first ``upto`` of the endless laps take of a document."""
+        full, rest = F.floor(upto / n), F.pmod(upto, n)
+        return F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: acc + (p["words"] * full + F.greatest(F.lit(0), F.least(p["words"], rest - p["lap"]))).cast("long"))
 
     draw = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size"), F.lit(1 << 20)) / (1 << 20)
-    none = F.array().cast("array<struct<words:bigint,rank:bigint>>")
+    none = F.array().cast("array<struct<words:bigint,lap:bigint>>")
     return (
-        joined.withColumn("places", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), place)).otherwise(none))
+        joined.withColumn("places", F.when(F.col("size") > 0, F.transform(F.sequence(first_block, last_block), place)).otherwise(none))
         .withColumn("so_far", F.transform("upto", words_of))
         .withColumn("shard_words", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("so_far", s + 1) - F.element_at("so_far", s)))
         .withColumn("taken", F.element_at("so_far", -1))

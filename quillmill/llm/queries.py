@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Exact: all pairs that share an n-gram, and classes by repeated minima.
 OP1_SQL = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'),
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
          lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents
 ), grams AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
@@ -67,15 +66,14 @@ def _long_hash(value: str, seed: str) -> str:
     return f"(SELECT xor(c, c >> 32) FROM (SELECT xor(b, b >> 29) * {p3} & {m} AS c FROM (SELECT xor(a, a >> 33) * {p2} & {m} AS b FROM (SELECT ({spin('h', 27)} * {p1} + {p4}) & {m} AS a FROM (SELECT {mixed} AS h)))))"
 
 
-def _mix_sql(block: int = 64, shards: int = 8, cap: int = 3, seed: int = 11, sources: int = 500) -> str:
-    """The mix in SQL. The hashes of the seeds 11 and 12, and the seeded draws of block orders."""
-    rng = np.random.default_rng(seed)
-    draws = [(int(rng.integers(1, 1 << 20)), int(rng.integers(0, 1 << 20))) for _ in range(sources)]
+def _mix_sql(block: int = 64, least_blocks: int = 256, shards: int = 8, cap: int = 3, seed: int = 11) -> str:
+    """The mix in SQL, each seat a row. The hashes of the seeds 11 and 12, and the multipliers of block orders."""
     first, second = "890099540967675307::UHUGEINT", "72738756111436295::UHUGEINT"
-    upto = "[" + ", ".join(f"count(*) FILTER (place <= given * {s} // {shards})" for s in range(shards + 1)) + "]"
-    # places rank, rank + blocks, rank + 2 blocks ... of the seeded order below the quotas of so many shards
-    times = [f"greatest(0, CASE WHEN upto[{s + 1}] > rank THEN (upto[{s + 1}] - rank + blocks - 1) // blocks ELSE 0 END)" for s in range(shards + 1)]
-    shard_words = ", ".join(f"coalesce(sum(words * ({b} - {a})), 0)::BIGINT" for a, b in zip(times, times[1:]))
+    upto = "[" + ", ".join(f"count(*) FILTER (place <= total * {s} // {shards})" for s in range(shards + 1)) + "]"
+    # words of a place in the first so many of the endless laps
+    taken = [f"(words * (upto[{s + 1}] // n) + greatest(0, least(words, upto[{s + 1}] % n - lap)))" for s in range(shards + 1)]
+    shard_words = ", ".join(f"coalesce(sum({b} - {a}) FILTER (n > 0 AND words > 0), 0)::BIGINT" for a, b in zip(taken, taken[1:]))
+    start = "CASE WHEN s0 % blocks = 0 THEN 1 ELSE s0 % blocks END"
     return rf"""
 WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 h AS (SELECT *, {_long_hash('doc_id', first)} AS h1, {_long_hash('doc_id', second)} AS h2 FROM w),
@@ -84,15 +82,16 @@ s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source
 v AS (SELECT *, (1 + i % 3)::DOUBLE AS w, sum(n) OVER ()::BIGINT AS total FROM s),
 c AS (SELECT *, row_number() OVER (ORDER BY n / w, i) AS k, (total - coalesce(sum({cap} * n) OVER (ORDER BY n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(w) OVER (ORDER BY n / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM v),
 f AS (SELECT min(k) FILTER (w * unit <= {cap} * n) AS k FROM c),
-t AS (SELECT source, n, i, total, CASE WHEN c.k < coalesce(f.k, c.k + 1) THEN ({cap} * n)::DOUBLE ELSE w * (SELECT unit FROM c, f WHERE c.k = f.k) END AS target, -(-n // {block}) AS blocks0, (n + {block - 1}) // {block} AS blocks FROM c, f),
-seats AS (SELECT i, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place, greatest(round_even(total / {block}, 0), CASE WHEN total > 0 THEN 1 ELSE 0 END) AS seats FROM (SELECT *, unnest(range({cap} * blocks)) AS j FROM t WHERE target > 0)),
-k AS (SELECT *, least(seats, count(*) OVER ()) AS given FROM seats),
-q AS (SELECT i, {upto} AS upto FROM k GROUP BY i),
-r AS (SELECT t.*, coalesce(upto, {[0] * (shards + 1)}) AS upto, {[a for a, _ in draws]}[i + 1] AS a, {[b for _, b in draws]}[i + 1] AS b FROM t LEFT JOIN q USING (i)),
-p AS (SELECT *, CASE WHEN blocks > 0 THEN b % blocks ELSE 0 END AS shift, CASE WHEN blocks > 0 THEN list_filter(range(CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END, CASE WHEN a % blocks = 0 THEN 1 ELSE a % blocks END + 1000), lambda x: gcd(x, blocks) = 1)[1] ELSE 1 END AS step FROM r),
+t AS (SELECT source, n, i, total, CASE WHEN c.k < coalesce(f.k, c.k + 1) THEN ({cap} * n)::DOUBLE ELSE w * (SELECT unit FROM c, f WHERE c.k = f.k) END AS target, greatest(1, least({block}, n // {least_blocks})) AS length FROM c, f),
+b AS (SELECT *, (n + length - 1) // length AS blocks, ((i + 1) * 2654435761 + {seed} * 40503) % {1 << 20} AS s0, ((i + 1) * 40503 + {seed} * 2654435761) % {1 << 20} AS shift0 FROM t),
+seats AS (SELECT i, total, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, i) AS place FROM (SELECT *, unnest(range({cap} * n)) AS j FROM t WHERE target > 0)),
+q AS (SELECT i, {upto} AS upto FROM seats GROUP BY i, total),
+p AS (SELECT b.*, coalesce(upto, {[0] * (shards + 1)}) AS upto, CASE WHEN blocks > 0 THEN shift0 % blocks ELSE 0 END AS shift, CASE WHEN blocks > 0 THEN list_filter(range({start}, {start} + 1000), lambda x: gcd(x, blocks) = 1)[1] ELSE 1 END AS step FROM b LEFT JOIN q USING (i)),
+l AS (SELECT *, CASE WHEN blocks > 0 THEN (step * (blocks - 1) + shift) % blocks ELSE 0 END AS short_rank, blocks * length - n AS lacks FROM p),
 o AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN spread >= {1 << 63}::UHUGEINT THEN 0 ELSE 1 END, spread, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d),
-e AS (SELECT o.doc_id, o.size, draw, n, target, before, blocks, upto, step, shift, unnest(CASE WHEN size > 0 THEN range(before // {block}, (before + size - 1) // {block} + 1) ELSE [NULL] END) AS j FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source),
-g AS (SELECT *, least(before + size, (j + 1) * {block}) - greatest(before, j * {block}) AS words, (step * j + shift) % blocks AS rank FROM e),
+e AS (SELECT o.doc_id, o.size, draw, n, target, before, blocks, length, upto, step, shift, short_rank, lacks, unnest(CASE WHEN size > 0 THEN range(before // length, (before + size - 1) // length + 1) ELSE [NULL] END) AS j FROM o JOIN l ON o.source IS NOT DISTINCT FROM l.source),
+r AS (SELECT *, (step * j + shift) % blocks AS rank, greatest(before, j * length) AS low FROM e),
+g AS (SELECT *, least(before + size, (j + 1) * length) - low AS words, rank * length - CASE WHEN rank > short_rank THEN lacks ELSE 0 END + low - j * length AS lap FROM r),
 x AS (SELECT doc_id, size, n, target, draw, [{shard_words}] AS shard_words FROM g GROUP BY doc_id, size, n, target, draw),
 y AS (SELECT *, list_sum(shard_words)::BIGINT AS taken FROM x)
 SELECT doc_id, size, n AS source_size, target, taken, shard_words, CASE WHEN size > 0 THEN floor(taken / size + (draw & {(1 << 20) - 1}::UHUGEINT)::DOUBLE / {1 << 20}) ELSE 0 END::INTEGER AS copies FROM y

@@ -208,7 +208,7 @@ def learn(
     rows every text gets the same low score.
     """
     clean = (
-        labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+        labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__label"))
         .filter(F.col("__label").isin(0, 1) & ~held_out(F.col("__id"), modulus, remainder))
         .groupBy("__id")
         .agg(F.max("__label").alias("__label"))
