@@ -308,34 +308,57 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def upto_last(c: Column, closer: str, use: Callable[[Column, Column], Column]) -> Column:
-    """``use`` of a text up to the end of the last match of a pattern and of the rest: behind it nothing closes."""
-    head = lambda x: F.regexp_extract(x, rf"(?s)^.*(?:{closer})", 0)
-    return once(c, lambda x: once(head(x), lambda h: use(h, F.substr(x, F.length(h) + 1))))
+def _rest(c: Column, closers: tuple[str, ...]) -> Column:
+    """What follows the last of the closers, which are lower-case ASCII, in a lower-case text."""
+    for closer in closers:
+        c = F.substring_index(c, closer, -1)
+    return c
 
 
-def replace_closed(c: Column, pattern: str, closer: str, new: str) -> Column:
-    """Replace a pattern that ends in ``closer``.
+def _split(c: Column, closers: tuple[str, ...], use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a text up to the end of its last closer and of the rest: behind it nothing closes."""
+    head = F.regexp_extract(c, "(?is)^.*(?:" + "|".join(closers) + ")", 0)
+    return once(head, lambda h: use(h, F.substr(c, F.length(h) + 1)))
 
-    It is sought only where one still follows: an opener without a closer
-    would read to the end of the text, and many of them would make that quadratic.
+
+def replace_closed(c: Column, pattern: str, closers: tuple[str, ...], new: str, opener: str = "<") -> Column:
+    """Replace a pattern that begins with ``opener`` and ends with one of the closers (lower case, whatever the text's).
+
+    An opener without a closer would read to the end of the text, and many of
+    them would make that quadratic; so where one stands behind the last closer,
+    the pattern is only sought before that.
     """
-    return upto_last(c, closer, lambda head, rest: F.concat(F.regexp_replace(head, pattern, new), rest))
+    apart = lambda x: _split(x, closers, lambda head, rest: F.concat(F.regexp_replace(head, pattern, new), rest))
+    return once(c, lambda x: F.when(_rest(F.lower(x), closers).contains(opener), apart(x)).otherwise(F.regexp_replace(x, pattern, new)))
 
 
-def extract_closed(c: Column, pattern: str, closer: str) -> Column:
-    """All matches (first group) of a pattern that ends in ``closer``, as in ``replace_closed``."""
-    return upto_last(c, closer, lambda head, _: F.regexp_extract_all(head, F.lit(pattern), F.lit(1)))
+def extract_closed(c: Column, pattern: str, *closers: str) -> Column:
+    """All matches (first group) of a pattern that ends with one of the closers, as in ``replace_closed``."""
+    every = lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+    return once(c, lambda x: F.when(_rest(F.lower(x), closers).contains("<"), _split(x, closers, lambda head, _: every(head))).otherwise(every(x)))
 
 
 #: A noncharacter that keeps an opener without a closer from being read as one.
 OPEN = "\uffff"
 
 
-def without_elements(c: Column, elements: tuple[tuple[str, str], ...], new: str = "") -> Column:
-    """A text without the elements (pattern of the opener behind ``<``, pattern of the closer), whichever opens first."""
-    for opener, closer in elements:
-        mark = lambda head, rest, opener=opener: F.concat(head, F.regexp_replace(rest, rf"(?i)<(?={opener})", f"<{OPEN}"))
-        c = upto_last(c, f"(?i:{closer})", mark)
-    c = F.regexp_replace(c, "(?is)" + "|".join(f"<{opener}.*?{closer}" for opener, closer in elements), new)
-    return F.replace(c, F.lit(f"<{OPEN}"), F.lit("<"))
+def without_elements(c: Column, elements: tuple[tuple[str, str, str], ...], new: str = "") -> Column:
+    """A text without the elements (opener, pattern that follows it, closer, all lower case), whichever opens first."""
+    pattern = "(?is)" + "|".join(f"{opener}{after}.*?{closer}" for opener, after, closer in elements)
+
+    def marked(c: Column, opener: str, after: str, closer: str) -> Column:
+        mark = lambda head, rest: F.concat(head, F.regexp_replace(rest, f"(?i)<(?={opener[1:]}{after})", f"<{OPEN}"))
+        return once(c, lambda x: _split(x, (closer,), mark))
+
+    def careful(c: Column) -> Column:
+        for element in elements:
+            c = marked(c, *element)
+        return F.replace(F.regexp_replace(c, pattern, new), F.lit(f"<{OPEN}"), F.lit("<"))
+
+    def all_closed(low: Column) -> Column:
+        out = F.lit(True)
+        for opener, _, closer in elements:
+            out &= ~_rest(low, (closer,)).contains(opener)
+        return out
+
+    return once(c, lambda x: F.when(once(F.lower(x), all_closed), F.regexp_replace(x, pattern, new)).otherwise(careful(x)))

@@ -21,9 +21,9 @@ def unescape(c: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Visible text with a line for each block; runs of blanks and blank lines collapse."""
-    t = X.replace_closed(X.text_or_empty(html), r"(?is)<(script|style)\b.*?</(script|style)>", r"(?i:</(?:script|style)>)", " ")
+    t = X.replace_closed(X.text_or_empty(html), r"(?is)<(script|style)\b.*?</(script|style)>", ("</script>", "</style>"), " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|table)>", "\n")
-    t = unescape(X.replace_closed(t, r"<[^>]+>", ">", " "))
+    t = unescape(X.replace_closed(t, r"<[^>]+>", (">",), " "))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
 

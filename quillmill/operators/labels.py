@@ -31,10 +31,10 @@ def table_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
     apart = F.col("line") - F.row_number().over(Window.partitionBy(doc).orderBy("line"))
     split = F.transform(F.split(F.regexp_replace("content", r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     pipe = ruled.withColumn("tbl", apart.cast("int")).filter(~F.col("content").rlike(RULE)).select(doc, F.lit(PIPE).alias("kind"), "tbl", F.col("line").alias("row"), split.alias("cells"))
-    whole = df.select(doc, F.posexplode(X.extract_closed(X.text_or_empty(F.col(text)), r"(?is)<table[^>]*>(.*?)</table>", "(?i:</table>)")).alias("tbl", "__t"))
-    each = whole.select(doc, "tbl", F.posexplode(X.extract_closed(F.col("__t"), r"(?is)<tr[^>]*>(.*?)</tr>", "(?i:</tr>)")).alias("row", "__r"))
-    bare = lambda x: F.trim(F.regexp_replace(T.unescape(X.replace_closed(x, r"<[^>]+>", ">", " ")), r"\s+", " "))
-    cells = F.transform(X.extract_closed(F.col("__r"), r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", "(?i:</t[dh]>)"), bare)
+    whole = df.select(doc, F.posexplode(X.extract_closed(X.text_or_empty(F.col(text)), r"(?is)<table[^>]*>(.*?)</table>", "</table>")).alias("tbl", "__t"))
+    each = whole.select(doc, "tbl", F.posexplode(X.extract_closed(F.col("__t"), r"(?is)<tr[^>]*>(.*?)</tr>", "</tr>")).alias("row", "__r"))
+    bare = lambda x: F.trim(F.regexp_replace(T.unescape(X.replace_closed(x, r"<[^>]+>", (">",), " ")), r"\s+", " "))
+    cells = F.transform(X.extract_closed(F.col("__r"), r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", "</td>", "</th>"), bare)
     html = each.select(doc, F.lit(HTML).alias("kind"), "tbl", "row", cells.alias("cells"))
     return pipe.unionByName(html).filter(F.exists("cells", lambda x: x != ""))
 
