@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.plans.catalog import query, table
 from quillmill.plans.logs import actions
 from quillmill.sources import readers, writers
 from quillmill.sources.staging import scratch
+from quillmill.streaming import keyed as K
 from quillmill.streaming import reviewlog as L
 
 
@@ -101,36 +102,80 @@ def k6(spark, d):
     return spark.read.text(path)
 
 
-def streamed(df: DataFrame, name: str, step) -> DataFrame:
-    """Run ``step`` over ``df`` as a stream of files until all are read; its output rows."""
+def streamed(df: DataFrame, name: str, step, last: DataFrame | None = None, **conf) -> DataFrame:
+    """Run ``step`` over the files of ``df`` as a stream until all are read, some at a time; its output rows.
+
+    ``last`` comes in a second run, which goes on from the checkpoint of the first: a row far ahead in
+    time, say, that closes what waits for the watermark.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(f"{path}/in")
-    out = step(spark.readStream.schema(df.schema).parquet(f"{path}/in"))
-    run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for rows in (df, last) if last is not None else (df,):
+            rows.write.mode("append").parquet(f"{path}/in")
+            out = step(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in"))
+            run = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
+def timed(spark, d) -> DataFrame:
+    """Events with a timestamp in several files, not in order of time."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.repartition(6, "event_id")
+
+
+def far(df: DataFrame) -> DataFrame:
+    """One row of its own keys, 900 days behind the last row of ``df``: no row waits for the watermark any more."""
+    values = [(F.max("ts") + F.expr("INTERVAL 900 DAYS")).alias("ts") if f.name == "ts" else F.lit("__end" if f.dataType.simpleString() == "string" else None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.agg(*values).select(*df.columns)
+
+
+#: A delay that keeps every row of the table, in whatever order the files come.
+DELAY = "800 days"
+KEYED = dict([K.ROCKSDB])
+
+
 @query("l1_review_stream")
 def l1_stream(spark, d):
-    return streamed(actions(spark, d).coalesce(1), "reviews", L.replay_stream)
+    log = actions(spark, d).join(timed(spark, d).select(F.col("event_id").alias("event"), "ts"), "event").repartition(6, "event")
+    return streamed(log, "reviews", lambda s: K.replay_stream(s, delay=DELAY), far(log), **KEYED)
+
+
+def requests(spark, d, *key: Column) -> DataFrame:
+    return timed(spark, d).select(*key, F.col("event_id").alias("event"), "ts")
 
 
 @query("l4_admitted_stream")
 def l4_stream(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("bucket"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("event"))
-    return streamed(e.coalesce(1), "limits", lambda s: L.admitted_stream(s, {"click": 2}, 4, 86400))
+    e = requests(spark, d, F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("bucket"))
+    return streamed(e, "limits", lambda s: K.admitted_stream(s, {"click": 2}, 4, 86400, delay=DELAY), far(e), **KEYED)
+
+
+@query("l5_session_stream")
+def l5_stream(spark, d):
+    e = requests(spark, d, F.col("user_id").cast("string").alias("client"))
+    return streamed(e, "sessions", lambda s: K.session_stream(s, 86400, delay=DELAY), far(e), **KEYED)
+
+
+@query("l9_ring_stream", """
+SELECT user_id::VARCHAR AS context, event_id AS event, least(row_number() OVER w, 20) AS held, lag(event_id, 20) OVER w AS evicted FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def l9_stream(spark, d):
+    e = requests(spark, d, F.col("user_id").cast("string").alias("context"))
+    return streamed(e, "rings", lambda s: K.ring_stream(s, 20, delay=DELAY), far(e), **KEYED)
 
 
 @query("l7_event_windows", """
 SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY ALL""")
 def l7(spark, d):
-    e = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    # a watermark of a year keeps every row of the table; the last window is closed by a row behind it
-    closing = e.agg(F.max("ts").alias("m")).select(F.lit("__end").alias("event_type"), (F.col("m") + F.expr("INTERVAL 800 DAYS")).alias("ts"))
-    all_rows = e.unionByName(closing).coalesce(1)
-    out = streamed(all_rows, "windows", lambda s: s.withWatermark("ts", "365 days").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")))
+    e = timed(spark, d).select("event_type", "ts")
+    out = streamed(e, "windows", lambda s: s.withWatermark("ts", DELAY).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")), far(e))
     return out.filter("event_type <> '__end'").select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
 
 

@@ -6,12 +6,10 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
@@ -98,23 +96,6 @@ def replay(log: DataFrame) -> DataFrame:
     return in_order(shaped, ["run", "question"], ["event"], OUTCOME, lambda _: [], step)
 
 
-def replay_stream(log: DataFrame) -> DataFrame:
-    """L1, L2 as a stream: the same outcomes, with each question's stack in keyed state that does not expire."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, verdicts = state.get if state.exists else ([], [])
-        stack = list(zip(ids, verdicts))
-        pdf = pd.concat(list(batches)).sort_values("event", kind="stable")
-        rows = []
-        for r in pdf.itertuples(index=False):
-            outcome = fold(stack, int(r.event), r.action, r.verdict, None if pd.isna(r.expected) else int(r.expected))
-            rows.append((r.run, r.question, int(r.event), outcome, stack[-1][0] if stack else None))
-        state.update(([i for i, _ in stack], [v for _, v in stack]))
-        yield pd.DataFrame(rows, columns=["run", "question", "event", "outcome", "active"]).astype({"active": "Int64"})
-
-    return log.groupBy("run", "question").applyInPandasWithState(step, OUTCOME, "ids array<long>, verdicts array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
 def promote(reviews: DataFrame, review: str, verdict: str, case: Column, existing: DataFrame | None = None) -> DataFrame:
     """L3: reviews as new evaluation cases, one for each (review, case type): approvals give golden cases, others negative ones."""
     cases = reviews.filter(F.col(verdict).isin("approve", "reject", "needs_edit")).select(F.col(review).alias("source_review_id"), case.alias("case_type"))
@@ -147,25 +128,6 @@ def admitted(events: DataFrame, client: str, bucket: str, at: Column, event: str
     return in_order(shaped, ["client", "bucket"], ["at", "event"], "client string, bucket string, event long, admitted boolean", lambda _: deque(), step)
 
 
-def admitted_stream(events: DataFrame, limits: dict[str, int], default: int = 120, seconds: int = 60) -> DataFrame:
-    """L4 as a stream over (client, bucket, at in microseconds, event): the window is keyed state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = list(state.get[0]) if state.exists else []
-        most = limits.get(key[1], default)
-        pdf = pd.concat(list(batches)).sort_values(["at", "event"], kind="stable")
-        ok = []
-        for t in pdf["at"]:
-            window = [w for w in window if w > t - seconds * 1_000_000]
-            ok.append(len(window) < most)
-            if ok[-1]:
-                window.append(int(t))
-        state.update((window,))
-        yield pdf.assign(admitted=ok)[["client", "bucket", "event", "admitted"]]
-
-    return events.groupBy("client", "bucket").applyInPandasWithState(step, "client string, bucket string, event long, admitted boolean", "window array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def live_sessions(sessions: DataFrame, created: Column, now: Column, seconds: float = 1800) -> DataFrame:
     """Sessions no older than their time to live."""
     return sessions.filter(now - created <= seconds)
