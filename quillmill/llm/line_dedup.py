@@ -19,9 +19,9 @@ def page_lines(html: Column) -> Column:
     page has no lines. What opens and never closes stays text; it is not sought
     where nothing closes any more, so that the work is linear in the page.
     """
-    out = X.without_elements(html, ((r"script\b", "</script>"), (r"style\b", "</style>"), ("!--", "-->")))
-    out = X.replace_closed(out, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>", ">", "\n")
-    out = X.replace_closed(out, r"<[^>]*>", ">", "")
+    out = X.without_elements(html, (("<script", r"\b", "</script>"), ("<style", r"\b", "</style>"), ("<!--", "", "-->")))
+    out = X.replace_closed(out, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html)\b[^>]*>", (">",), "\n")
+    out = X.replace_closed(out, r"<[^>]*>", (">",), "")
     return text_lines(out)
 
 
