@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
+from quillmill.operators.automaton import occurrences
 from quillmill.operators.match import holding
 
 #: The entities that pages use.
@@ -144,14 +145,29 @@ def small_classes(df: DataFrame, doc: str, text: str, dictionary: DataFrame, anc
     return merged.withColumn("__rn", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))).filter(F.col("__rn") <= most).drop("__rn")
 
 
-def catalogue_counts(df: DataFrame, doc: str, text: str, names: DataFrame, name: str, most_names: int = 5000) -> DataFrame:
-    """T6d: occurrences of catalogue names in whole texts, and their confidence; the catalogue's size is checked."""
-    if names.limit(most_names + 1).count() > most_names:
-        raise ValueError(f"name counting is for catalogues of at most {most_names} names")
-    low = F.lower(X.text_or_empty(F.col(text)))
-    hits = df.select(doc, low.alias("__t")).join(F.broadcast(names), F.col("__t").contains(F.lower(F.col(name))))
-    counted = hits.select(doc, name, X.occurrences(F.col("__t"), F.lower(F.col(name))).cast("long").alias("times"))
-    return counted.withColumn("confidence", F.round(F.when(F.col("times") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.62), F.col("times") / 3))).otherwise(0.62), 4))
+def catalogue_counts(df: DataFrame, doc: str, text: str, names: DataFrame, name: str, hints: Column | None = None, aliases: DataFrame | None = None, most: int | None = None, shortest: int = 2) -> DataFrame:
+    """T6d: catalogue names by how often they stand in a text, both without white space and in lower case.
+
+    The score is the number of occurrences. A hint of the document (``hints``,
+    an array) that is an ``alias`` of ``aliases`` (alias, target) gives its target 0.95 if
+    the catalogue has it. Confidence is a third of a score above 1, else the score, within
+    0.62 to 1. Of a name's scores the highest counts; the ``most`` highest stay,
+    longer names first among equals. Names of fewer than ``shortest`` characters are left out.
+    """
+    stock = names.select(F.col(name).alias("__name"), X.squeezed(F.col(name)).alias("__n")).filter(F.length("__n") >= shortest).distinct()
+    found = occurrences(df, doc, X.squeezed(F.col(text)), stock, F.col("__n"))
+    scored = found.join(stock, F.col("name") == F.col("__n")).select(doc, "__name", "times", F.col("times").cast("double").alias("score"))
+    if hints is not None and aliases is not None:
+        targets = aliases.select(X.squeezed(F.col("alias")).alias("__a"), X.squeezed(F.col("target")).alias("__t")).distinct().join(stock, F.col("__t") == F.col("__n"))
+        told = df.select(doc, F.explode(F.array_distinct(F.transform(hints, lambda h: X.squeezed(h)))).alias("__a")).filter("__a <> ''")
+        named = told.join(targets, "__a").select(doc, "__name", F.lit(0).cast("long").alias("times"), F.lit(0.95).alias("score"))
+        scored = scored.unionByName(named)
+    best = scored.groupBy(doc, F.col("__name").alias(name)).agg(F.max("times").alias("times"), F.max("score").alias("score"))
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), F.desc(F.length(name)), name))
+        best = best.withColumn("__rn", place).filter(F.col("__rn") <= most).drop("__rn")
+    raw = F.when(F.col("score") > 1, F.col("score") / 3).otherwise(F.col("score"))
+    return best.select(doc, name, "times", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.62), raw)), 4).alias("confidence"))
 
 
 def anchor_labels(df: DataFrame, doc: str, text: str, anchor: str, value: str) -> DataFrame:

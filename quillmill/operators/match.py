@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
-from quillmill.functions.udfs import sequence_ratio
+from quillmill.functions.udfs import ratio_reaches, sequence_ratio
+from quillmill.operators.automaton import occurrences
+from quillmill.operators.nearness import met, numbered_letters, posted
 from quillmill.operators.rows import first_wins
+from quillmill.sources.staging import stage
 
 
 def resolve_details(terms: DataFrame, term: str, term_order: str, catalogue: DataFrame, name: str, code: str, order: str, aliases: DataFrame | None = None, alias: str = "alias", target: str = "target", most: int | None = None) -> DataFrame:
@@ -71,31 +74,49 @@ def lookup_class(terms: DataFrame, term: str, classes: DataFrame, name: str, cod
     return both.withColumn("__rn", best).filter("__rn = 1").select(term, code, name, "confidence")
 
 
-def fuzzy_classes(terms: DataFrame, term: str, term_order: str, classes: DataFrame, name: str, code: str, order: str, least: float = 0.62) -> DataFrame:
+def _contained(asked: DataFrame, stock: DataFrame) -> DataFrame:
+    """Pairs (__k, __c) of distinct keys of which one holds the other, by automata in both directions."""
+    terms, names = asked.select("__k").distinct(), stock.select("__c").distinct()
+    held = occurrences(terms, "__k", F.col("__k"), names, F.col("__c")).select("__k", F.col("name").alias("__c"))
+    holding_ = occurrences(names, "__c", F.col("__c"), terms, F.col("__k")).select(F.col("name").alias("__k"), "__c")
+    return held.unionByName(holding_).distinct()
+
+
+def fuzzy_classes(terms: DataFrame, term: str, term_order: str, classes: DataFrame, name: str, code: str, order: str, least: float = 0.62, bars: tuple[float, ...] = (0.9, 0.8, 0.7)) -> DataFrame:
     """The best class of each term by 1 (equal), 0.86 (containment) or the sequence ratio; each code once.
 
-    The classes are a catalogue of a few hundred rows, checked here, and go to
-    every task.
+    Equal keys are joined and contained ones found by automata. The rest is
+    sought at falling ``bars``: an index of rare letters yields all classes whose
+    ratio can reach the bar, so a term that has a score as high is settled and
+    goes no further down. Neither side is limited in size.
     """
-    if classes.limit(5001).count() > 5000:
-        raise ValueError("fuzzy resolution is for catalogues of at most 5,000 rows")
     asked = terms.select(F.col(term), F.col(term_order).alias("__t"), X.label_key(F.col(term)).alias("__k")).filter("__k <> ''")
     stock = classes.select(F.col(name), F.col(code), F.col(order).alias("__o"), X.label_key(F.col(name)).alias("__c")).filter("__c <> ''")
-    pairs = asked.crossJoin(F.broadcast(stock)).withColumn("__r", sequence_ratio("__k", "__c"))
-    contained = F.col("__c").contains(F.col("__k")) | F.col("__k").contains(F.col("__c"))
-    scored = pairs.withColumn("confidence", F.round(F.when(F.col("__k") == F.col("__c"), 1.0).when(contained, 0.86).otherwise(F.col("__r")), 6)).filter(F.col("confidence") >= least)
-    best = scored.groupBy(term, "__t").agg(F.max_by(F.struct(code, name, "confidence"), F.struct("confidence", -F.col("__o"))).alias("b"))
+    number = lambda df, c, n: stage(df.select(F.lit("").alias("s"), F.col(c).alias("t")).distinct().withColumn("id", F.monotonically_increasing_id()).withColumn("o", F.col("id")), n)
+    queries, known = number(asked, "__k", "fuzzy-terms"), number(stock, "__c", "fuzzy-names")
+    scored = stage(_contained(asked, stock).withColumn("score", F.when(F.col("__k") == F.col("__c"), 1.0).otherwise(0.86)), "fuzzy-contained")
+    top = scored.groupBy("__k").agg(F.max("score").alias("top"))
+    for bar in [*(b for b in bars if b > least), least]:
+        open_ = stage(queries.join(top.filter(F.col("top") >= bar), F.col("t") == F.col("__k"), "left_anti"), "fuzzy-open")
+        shares = bar / (2 - bar)
+        pairs = met(*posted(open_, known, numbered_letters("t"), shares), shares, False)
+        full = pairs.join(open_.select("id", F.col("t").alias("__k")), "id").join(known.select(F.col("id").alias("other"), F.col("t").alias("__c")), "other")
+        near = full.filter(ratio_reaches("__k", "__c", F.lit(bar))).select("__k", "__c", F.round(sequence_ratio("__k", "__c"), 6).alias("score"))
+        # a pair of which one holds the other has its fixed score
+        new = stage(near.join(scored.select("__k", "__c"), ["__k", "__c"], "left_anti"), "fuzzy-near")
+        scored = scored.unionByName(new)
+        top = stage(scored.groupBy("__k").agg(F.max("score").alias("top")), "fuzzy-top")
+    pairs = asked.join(scored.filter(F.col("score") >= least), "__k").join(stock, "__c").withColumnRenamed("score", "confidence")
+    best = pairs.groupBy(term, "__t").agg(F.max_by(F.struct(code, name, "confidence"), F.struct("confidence", -F.col("__o"))).alias("b"))
     return first_wins(best.select(term, "__t", "b.*"), [F.col(code)], [F.col("__t")]).drop("__t")
 
 
 def pick_classes(terms: DataFrame, term: str, classes: DataFrame, name: str, code: str) -> DataFrame:
-    """Classes equal to a term (1.0) or holding or held by one (0.8); the catalogue must be small."""
-    if classes.limit(5001).count() > 5000:
-        raise ValueError("containment is for catalogues of at most 5,000 rows")
+    """Classes equal to a term (1.0) or holding or held by one (0.8), by automata in both directions."""
     asked = terms.select(X.label_key(F.col(term)).alias("__k")).filter("__k <> ''").distinct()
     stock = classes.select(F.col(name), F.col(code), X.label_key(F.col(name)).alias("__c")).filter("__c <> ''")
-    score = F.when(F.col("__k") == F.col("__c"), 1.0).when(F.col("__c").contains(F.col("__k")) | F.col("__k").contains(F.col("__c")), 0.8)
-    return asked.join(F.broadcast(stock), score.isNotNull()).groupBy(code, name).agg(F.max(score).alias("confidence"))
+    best = _contained(asked, stock).groupBy("__c").agg(F.max(F.when(F.col("__k") == F.col("__c"), 1.0).otherwise(0.8)).alias("confidence"))
+    return stock.join(best, "__c").groupBy(code, name).agg(F.max("confidence").alias("confidence"))
 
 
 def coverage(requested: DataFrame, term: str, order: str, items: DataFrame, columns: list[str]) -> DataFrame:

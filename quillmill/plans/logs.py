@@ -121,11 +121,18 @@ def t4d(spark, d):
 
 
 @query("t6d_catalogue_counts", r"""
-WITH n AS (SELECT unnest(['the', 'worth', 'schein']) AS name), c AS (SELECT doc_id, name, floor((length(lower(text)) - length(replace(lower(text), name, ''))) / length(name)) AS k FROM documents JOIN n ON contains(lower(text), name))
-SELECT doc_id, name, k::BIGINT AS times, round(CASE WHEN k > 1 THEN least(1.0, greatest(0.62, k / 3)) ELSE 0.62 END, 4)::DOUBLE AS confidence FROM c""")
+WITH n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS name FROM benchmark), al AS (SELECT 'de' AS alias, min(name) AS name FROM n UNION ALL SELECT 'en', max(name) FROM n),
+t AS (SELECT doc_id, lang, lower(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', '', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, name, floor((length(t) - length(replace(t, name, ''))) / length(name))::BIGINT AS times FROM t JOIN n ON contains(t, name)),
+u AS (SELECT doc_id, name, times, times::DOUBLE AS score FROM c UNION ALL SELECT doc_id, name, 0, 0.95 FROM t JOIN al ON lang = alias),
+g AS (SELECT doc_id, name, max(times) AS times, max(score) AS score FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(name) DESC, name) AS rn FROM g)
+SELECT doc_id, name, times, round(least(1.0, greatest(0.62, CASE WHEN score > 1 THEN score / 3 ELSE score END)), 4)::DOUBLE AS confidence FROM r WHERE rn <= 20""")
 def t6d(spark, d):
-    names = spark.createDataFrame([("the",), ("worth",), ("schein",)], "name string")
-    return T.catalogue_counts(table(spark, d, "documents"), "doc_id", "text", names, "name")
+    """Words of the benchmark as the catalogue, languages as hints."""
+    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("name")).select(F.lower("name").alias("name")).distinct()
+    ends = names.agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    aliases = ends.select(F.explode(F.array(F.struct(F.lit("de").alias("alias"), F.col("a").alias("target")), F.struct(F.lit("en").alias("alias"), F.col("b").alias("target")))).alias("x")).select("x.*")
+    return T.catalogue_counts(table(spark, d, "documents"), "doc_id", "text", names, "name", F.array("lang"), aliases, most=20)
 
 
 @query("t7d_anchor_labels", rf"""WITH {LINES},

@@ -64,14 +64,24 @@ def j9(spark, d):
 
 @query("j10_fuzzy_classes")
 def j10(spark, d):
-    return M.fuzzy_classes(_terms(spark, ["nation 1", "NATON_12", "ntion-7", "blue"]), "term", "ord", table(spark, d, "nation"), "n_name", "n_nationkey", "n_nationkey").select("term", "n_nationkey", "confidence")
+    """Every part name, some misspelt, against the catalogue of the other parts' types and names."""
+    p = table(spark, d, "part")
+    told = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.left("p_name", F.lit(3)), F.substring("p_name", 5, 99))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit(" x"), "p_size")).otherwise(F.reverse("p_name"))
+    terms = p.select(told.alias("term"), "p_partkey").groupBy("term").agg(F.min("p_partkey").alias("ord"))
+    catalogue = p.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("name")).agg(F.min("p_partkey").alias("code"))
+    return M.fuzzy_classes(terms, "term", "ord", catalogue, "name", "code", "code").select("term", "code", "confidence")
 
 
 @query("j11_pick_classes", r"""
-WITH t AS (SELECT unnest(['nation_1', 'NATION_20', 'x']) AS term), k AS (SELECT regexp_replace(lower(term), '[^0-9a-z]', '', 'g') AS k FROM t), n AS (SELECT *, regexp_replace(lower(n_name), '[^0-9a-z]', '', 'g') AS c FROM nation)
-SELECT n_nationkey, n_name, max(CASE WHEN k = c THEN 1.0 ELSE 0.8 END)::DOUBLE AS confidence FROM n JOIN k ON k = c OR contains(c, k) OR contains(k, c) GROUP BY ALL""")
+WITH t AS (SELECT DISTINCT concat_ws(' ', p_name, p_size) AS term FROM part UNION SELECT DISTINCT p_brand FROM part), k AS (SELECT DISTINCT regexp_replace(lower(term), '[^0-9a-z]', '', 'g') AS k FROM t),
+n AS (SELECT n_nationkey AS code, n_name AS name FROM nation UNION SELECT p_partkey, p_name FROM part UNION SELECT 100000 + p_partkey, p_brand || '-' || p_size FROM part), c AS (SELECT *, regexp_replace(lower(name), '[^0-9a-z]', '', 'g') AS c FROM n),
+m AS (SELECT DISTINCT c FROM c), s AS (SELECT c, max(CASE WHEN k = c THEN 1.0 ELSE 0.8 END)::DOUBLE AS confidence FROM m JOIN k ON contains(c, k) OR contains(k, c) GROUP BY c)
+SELECT code, name, confidence FROM c JOIN s USING (c)""")
 def j11(spark, d):
-    return M.pick_classes(_terms(spark, ["nation_1", "NATION_20", "x"]), "term", table(spark, d, "nation"), "n_name", "n_nationkey").select("n_nationkey", "n_name", "confidence")
+    p = table(spark, d, "part")
+    terms = p.select(F.concat_ws(" ", "p_name", "p_size").alias("term")).union(p.select("p_brand")).distinct()
+    classes = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name")).union(p.select("p_partkey", "p_name")).union(p.select(F.col("p_partkey") + 100000, F.concat("p_brand", F.lit("-"), "p_size")))
+    return M.pick_classes(terms, "term", classes, "name", "code").select("code", "name", "confidence")
 
 
 @query("j13_coverage", r"""

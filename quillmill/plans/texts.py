@@ -74,12 +74,16 @@ def x8(spark, d):
 @query("x9_stems")
 def x9(spark, d):
     stem = U.stemmer(("ing", "tion", "er", "es", "ed"))
-    return table(spark, d, "part").select(F.explode(X.tokens(F.col("p_name"))).alias("w")).distinct().select("w", stem("w").alias("stem"))
+    return table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("w")).distinct().select("w", stem("w").alias("stem"))
 
 
-@query("x10_mojibake")
+@query("x10_mojibake", """
+SELECT conv_id, turn, (conv_id + turn) % 3 = 0 AS broken, CASE WHEN (conv_id + turn) % 3 = 0 THEN '한국어 ' || text ELSE text END AS text FROM conversations""")
 def x10(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", U.repair_mojibake("text").alias("text"))
+    """A third of the turns, with some Hangul, read in the wrong encoding, and repaired."""
+    broken = (F.col("conv_id") + F.col("turn")) % 3 == 0
+    misread = F.decode(F.encode(F.concat(F.lit("한국어 "), "text"), "UTF-8"), "ISO-8859-1")
+    return table(spark, d, "conversations").select("conv_id", "turn", broken.alias("broken"), U.repair_mojibake(F.when(broken, misread).otherwise(F.col("text"))).alias("text"))
 
 
 INTENTS = (("motive", ("the", "why"), 2), ("table", ("|",), 1), ("romance", ("que", "de", "la"), 2), ("german", ("sch", "ung"), 1))
@@ -148,9 +152,13 @@ def x17(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(Q.surface_issues(F.col("p_name"), 12), ";").alias("issues"))
 
 
-@query("x18_particles")
+@query("x18_particles", """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || ' 문건을 보고 ' || p_name || ' 문건이 있다' ELSE p_name || ' 보고서를 보고 ' || p_name || ' 보고서가 있다' END AS text FROM part""")
 def x18(spark, d):
-    return table(spark, d, "region").select("r_regionkey", U.replace_with_particle(F.lit("자료를 보고 자료가 있다"), F.lit("자료"), F.when(F.col("r_regionkey") % 2 == 0, "문건").otherwise("보고서")).alias("text"))
+    """Part names in a sentence, each replaced by the name of a paper that ends in a consonant or in a vowel."""
+    name = F.col("p_name")
+    said = F.concat(name, F.lit("를 보고 "), name, F.lit("가 있다"))
+    return table(spark, d, "part").select("p_partkey", U.replace_with_particle(said, name, F.concat(name, F.when(F.col("p_size") % 2 == 0, " 문건").otherwise(" 보고서"))).alias("text"))
 
 
 @query("x19_alias_dimension", """
@@ -352,7 +360,7 @@ def q2_full(spark, d):
 @query("q5_material_grounding")
 def q5_full(spark, d):
     docs = table(spark, d, "documents")
-    held = docs.filter("text is not null").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("ref"), F.array(F.when(F.col("doc_id") % 2 == 0, "amount").otherwise("ratio")).alias("provides"), F.left("text", F.lit(200)).alias("body"), (F.col("doc_id") % 3 > 0).alias("trusted"))
+    held = docs.filter("text is not null").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("ref"), F.array(F.when(F.col("doc_id") % 2 == 0, "amount").otherwise("ratio")).alias("provides"), F.col("text").alias("body"), (F.col("doc_id") % 3 > 0).alias("trusted"))
     demands = {"amount": (r"[0-9]{2,}", ("amount",)), "share": (r"\|", ("amount", "ratio"))}
     return Q.material_grounding(docs, "doc_id", F.col("text"), demands, held, "doc_id", "ref", "provides", F.col("body"), F.col("trusted")).select("doc_id", "clause_no", "kind", "allowed", "reason")
 
