@@ -126,14 +126,48 @@ def contextual_labels(df: DataFrame, doc: str, text: Column, rules: dict[str, li
     return df.select(doc, F.explode(F.array_compact(F.array(*found))).alias("label"))
 
 
-def absence_reason(df: DataFrame, doc: str, text: Column, label_count: Column) -> DataFrame:
-    """T9d: why a document has no label, by its aggregated signs."""
-    t = X.text_or_empty(text)
+#: What stands in a cell that is meant to be empty.
+BLANK = r"^[\s\-–—_./·|]*$"
+
+
+def absence_states(df: DataFrame, doc: str, text: str, header: str, table: str, declared: str, sound: Column, found: Column | None = None) -> DataFrame:
+    """T9d: why a document has no label, by the states that its lines go through.
+
+    A line is read as cells. A cell that fits ``header`` opens a column (or, as
+    ``header: value``, gives a value); the cells after it, or in its column on
+    later rows, are values until the next header. States, in the order in which
+    they are reached: ``saw_table`` (a row fits ``table``), ``saw_header``,
+    ``declared_no_mapping`` (a line fits ``declared``), ``blank_cell`` and
+    ``unsound_value`` (a value is empty, or ``sound`` of the column ``value`` is
+    false), ``value``. The ``reason`` is that of the state that decides: a value,
+    else a declaration, else a value that is unsound, a blank cell, a header
+    without any value, a table without a header, an empty document, or nothing
+    of all that. ``found`` (a column of ``df``) marks documents that have a label.
+    """
+    rows = lines(df, doc, text)
+    cells = F.when(F.col("content").contains("|"), F.transform(F.split(F.regexp_replace("content", r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))).otherwise(F.transform(F.split("content", r"\s*[:：]\s*", 2), lambda x: F.trim(x)))
+    at = F.array_position(F.transform("cells", lambda x: x.rlike(header)), True).cast("int") - 1
+    by = Window.partitionBy(doc).orderBy("line")
+    marked = rows.filter(~(F.col("content").contains("|") & F.col("content").rlike(r"^[|:\- ]+$"))).withColumn("cells", cells).withColumn("__at", F.when(at >= 0, at)).withColumn("__declared", F.col("content").rlike(declared))
+    marked = marked.withColumn("__pipe", F.col("content").contains("|")).withColumn("__column", F.last(F.when(F.col("__pipe"), F.col("__at")), ignorenulls=True).over(by))
+    none = F.array().cast("array<string>")
+    beside = F.slice("cells", F.col("__at") + 2, F.greatest(F.size("cells") - F.col("__at") - 1, F.lit(0)))
+    under = F.array(F.get("cells", F.least(F.col("__column"), F.size("cells") - 1)))
+    values = F.when(F.col("__declared"), none).when(F.col("__at").isNotNull(), beside).when(F.col("__pipe") & F.col("__column").isNotNull(), under).otherwise(none)
+    marked = marked.withColumn("__values", values)
+    events = F.array_compact(F.array(F.when(F.col("content").rlike(table) & F.col("__pipe"), "saw_table"), F.when(F.col("__at").isNotNull(), "saw_header"), F.when(F.col("__declared"), "declared_no_mapping")))
+    told = marked.select(doc, "line", F.posexplode(events).alias("pos", "state"))
+    each = marked.select(doc, "line", F.posexplode("__values").alias("pos", "value"))
+    judged = each.select(doc, "line", (F.col("pos") + 3).alias("pos"), F.when(F.col("value").rlike(BLANK), "blank_cell").when(sound, "value").otherwise("unsound_value").alias("state"))
+    first = told.unionByName(judged).groupBy(doc, "state").agg(F.min(F.struct("line", "pos")).alias("at"))
+    states = first.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "state"))), lambda x: x["state"]).alias("states"))
+    out = df.select(doc, (X.squeezed(F.col(text)) == "").alias("__empty"), (F.coalesce(found, F.lit(False)) if found is not None else F.lit(False)).alias("__found")).join(states, doc, "left").withColumn("states", F.coalesce("states", none))
+    has = lambda state: F.array_contains("states", state)
     reason = (
-        F.when(label_count > 0, "has_label").when(F.trim(t) == "", "empty_document").when(F.length(t) < 40, "too_short")
-        .when(t.contains("|"), "table_without_label").when(~t.contains("\n"), "single_line").otherwise("no_heading")
+        F.when(F.col("__found") | has("value"), "has_label").when(has("declared_no_mapping"), "declared_no_mapping").when(has("unsound_value"), "unsound_value").when(has("blank_cell"), "blank_cell")
+        .when(has("saw_header"), "header_without_value").when(has("saw_table"), "table_without_header").when(F.col("__empty"), "empty_document").otherwise("no_sign")
     )
-    return df.select(doc, reason.alias("reason"))
+    return out.select(doc, "states", reason.alias("reason"))
 
 
 def small_classes(df: DataFrame, doc: str, text: str, dictionary: DataFrame, anchor: Column, in_table: Column, synergy: float = 2.0, threshold: float = 3.0, most: int = 5) -> DataFrame:
@@ -178,10 +212,43 @@ def anchor_labels(df: DataFrame, doc: str, text: str, anchor: str, value: str) -
     return rows.select(doc, "line", F.coalesce(own, F.col("__next")).alias("label"))
 
 
-def method_sections(df: DataFrame, doc: str, text: str, method: Column, signals: list[Column], fields: list[Column]) -> DataFrame:
-    """T12d: sections from one method marker to the next; a section counts one for each signal and two for each field that occurs; those above 0 are joined for each method."""
+#: A line of a table of contents: leaders or a gap, and a page number.
+CONTENTS = r"(?:[.·…‥]{2,}|\s{3,}|\t)\s*[0-9]{1,4}\s*$"
+
+
+def method_sections(df: DataFrame, doc: str, text: str, method: Column, signals: list[Column], fields: list[Column], term: str, other: Column | None = None, longest: int = 180, terms: int = 3) -> DataFrame:
+    """T12d: what a document says about each method that it names.
+
+    A line on which ``method`` is told starts a section if it passes the anchor
+    test: no longer than ``longest`` and no line of a table of contents. A section ends at the
+    next such line, or where ``other`` (a heading of something else) holds. Its
+    score is one for each signal and two for each field that occurs on a line of
+    it, and one for each distinct match of the pattern ``term``, ``terms`` at most. If two
+    methods of a document (or its only one) have a section that scores, each method
+    gets its scoring sections, or all of its own if none scores
+    (``low_signal``), or the whole document if it has none; else all get the
+    whole document (``full_document``).
+
+    Returns ``doc, method, origin, sections, n_lines, score`` (the highest).
+    """
     rows = lines(df, doc, text).withColumn("__m", method)
-    numbered = rows.withColumn("__no", F.count("__m").over(Window.partitionBy(doc).orderBy("line"))).filter("__no > 0")
+    rows = rows.withColumn("__anchor", F.coalesce((F.length("content") <= longest) & ~F.col("content").rlike(CONTENTS), F.lit(False)))
+    stop = F.coalesce(other, F.lit(False)) if other is not None else F.lit(False)
+    start = F.when(F.col("__anchor") & F.col("__m").isNotNull(), F.col("__m")).when(F.col("__anchor") & stop, F.lit(""))
+    by = Window.partitionBy(doc).orderBy("line")
+    numbered = rows.withColumn("__start", start).withColumn("__no", F.count("__start").over(by))
+    found = F.regexp_extract_all("content", F.lit(term), F.lit(0))
     score = sum((F.max(s.cast("int")) for s in signals), F.lit(0)) + sum((2 * F.max(f.cast("int")) for f in fields), F.lit(0))
-    found = numbered.groupBy(doc, "__no").agg(F.max("__m").alias("method"), F.count("*").alias("n_lines"), score.alias("score")).filter("score > 0")
-    return found.groupBy(doc, "method").agg(F.count("*").alias("sections"), F.sum("n_lines").alias("n_lines"))
+    # the terms of a section: a set of a few words of one document
+    score += F.least(F.lit(terms), F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(found))))))
+    cut = numbered.filter("__no > 0").groupBy(doc, "__no").agg(F.max("__start").alias("method"), F.count("*").alias("n"), score.alias("score")).filter("method <> ''")
+    own = cut.groupBy(doc, "method").agg(F.count("*").alias("all_n"), F.sum("n").alias("all_lines"), F.count_if(F.col("score") > 0).alias("good_n"), F.sum(F.when(F.col("score") > 0, F.col("n"))).alias("good_lines"), F.max("score").alias("score"))
+    named = rows.filter("__m is not null").select(doc, F.col("__m").alias("method")).distinct()
+    whole = rows.groupBy(doc).agg(F.count("*").alias("doc_lines"))
+    every = Window.partitionBy(doc)
+    joined = named.join(own, [doc, "method"], "left").join(whole, doc)
+    reliable = F.count_if(F.coalesce(F.col("good_n"), F.lit(0)) > 0).over(every) >= F.least(F.lit(2), F.count("*").over(every))
+    origin = F.when(~F.col("__ok") | F.col("all_n").isNull(), "full_document").when(F.col("good_n") > 0, "document_section").otherwise("low_signal")
+    pick = lambda full, good, low: F.when(F.col("origin") == "full_document", full).when(F.col("origin") == "document_section", good).otherwise(low)
+    out = joined.withColumn("__ok", reliable).withColumn("origin", origin)
+    return out.select(doc, "method", "origin", pick(F.lit(1), F.col("good_n"), F.col("all_n")).cast("long").alias("sections"), pick(F.col("doc_lines"), F.col("good_lines"), F.col("all_lines")).cast("long").alias("n_lines"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import documents as T
 from quillmill.operators import labels as B
+from quillmill.operators import layouts as Y
 from quillmill.operators import ranking as R
 from quillmill.sources import readers
 from quillmill.streaming import reviewlog as L
@@ -142,6 +143,41 @@ def t7d(spark, d):
     return T.anchor_labels(table(spark, d, "documents"), "doc_id", "text", r"^[^|]{1,30}\|", r"^[^|]{1,30}\|\s*(.*)$")
 
 
+LEVELS = ("Large", "Middle", "Small", "Detail")
+
+
+def _shaped(spark, d, *layouts: str):
+    """Part rows as documents, in one of several layouts each, by size."""
+    p = table(spark, d, "part")
+    said = F.array(*[F.lit(x) for x in layouts])
+    name = F.replace(F.get(said, (F.col("p_size") % len(layouts)).cast("int")), F.lit("{n}"), F.col("p_name"))
+    return p.select("p_partkey", F.replace(name, F.lit("{t}"), F.col("p_type")).alias("text"))
+
+
+@query("t7d_header_position", """
+SELECT p_partkey, 0 AS pos, CASE p_size % 5 WHEN 2 THEN p_type ELSE p_name END AS label FROM part WHERE p_size % 5 IN (0, 1, 2, 4) UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_size % 5 IN (0, 4)""")
+def t7d_header(spark, d):
+    docs = _shaped(
+        spark, d, "intro\nS m all : 01. {n} 02. {t} (x)\nSmall: 01. late", "Large\nMiddle\n Small\nDetail\n\n06. {t} 01. {n}\n01. a 02. b", "Large\nMiddle\nSmall\n01. {n}\n02. {n} 03. {t} 04. z",
+        "Large\nSmall\nMiddle\n01. {n} 02. {t}", "Small {n} / Large, {t} |",
+    )
+    return Y.header_positions(docs, "p_partkey", "text", LEVELS, 2)
+
+
+@query("t7d_code_pairs", """
+SELECT p_partkey, 0 AS pos, p_name AS label FROM part WHERE p_size % 3 < 2 UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 0, 'c' FROM part WHERE p_size % 3 = 2""")
+def t7d_pairs(spark, d):
+    docs = _shaped(spark, d, "01. a 02. b\n03. {n} 04. tail\n01. x 02. y 03. {t}\n", "1) a\n2) Large\n2) b\n3) {n}\n4) {t}\n", "01. a\n02. b\n03. c 04. Small\n{n}")
+    return Y.code_pairs(docs, "p_partkey", "text", LEVELS, 2)
+
+
+@query("t7d_vertical_blocks", """
+SELECT p_partkey, 0 AS pos, p_name AS label FROM part WHERE p_size % 3 < 2 UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 1, 'other' FROM part WHERE p_size % 3 = 1""")
+def t7d_blocks(spark, d):
+    docs = _shaped(spark, d, "00. no\nMiddle\nSmall\nDetail\n01. {n}\n02. {t}\n01. deep\n02. er\nDuties\n03. {n}", "Small\n01. {n}\n03. gap\n02. gap\nMiddle\n01. other\n01. deep", "Middle\n01. {n}")
+    return Y.vertical_blocks(docs, "p_partkey", "text", LEVELS, 2, "^Duties")
+
+
 @query("t8d_candidate_bundle")
 def t8d(spark, d):
     dictionary = spark.createDataFrame([("the", "english", True), ("und", "german", True), ("que", "romance", True), ("of", "english", False)], "alias string, label string, official boolean")
@@ -169,13 +205,19 @@ def t8d_full(spark, d):
 
 
 @query("t12d_method_sections", rf"""WITH {LINES},
-m AS (SELECT *, CASE WHEN length(content) <= 180 AND contains(content, ':') THEN 'colon' WHEN length(content) <= 180 AND contains(content, '|') THEN 'table' END AS method FROM lns),
-s AS (SELECT *, count(method) OVER (PARTITION BY doc_id ORDER BY line) AS no FROM m), g AS (SELECT doc_id, no, max(method) AS method, count(*) AS n_lines, max(contains(content, 'the')::INT) + max(contains(content, 'de')::INT) + 2 * max((length(content) > 60)::INT) AS score FROM s WHERE no > 0 GROUP BY ALL)
-SELECT doc_id, method, count(*) AS sections, sum(n_lines)::BIGINT AS n_lines FROM g WHERE score > 0 GROUP BY ALL""")
+m AS (SELECT *, CASE WHEN contains(content, ':') THEN 'colon' WHEN contains(content, '|') THEN 'table' WHEN contains(content, '@') THEN 'mail' END AS m, length(content) <= 180 AND NOT regexp_matches(content, '(?:[.·…‥]{{2,}}|\s{{3,}}|\t)\s*[0-9]{{1,4}}\s*$') AS anchor FROM lns),
+t AS (SELECT *, CASE WHEN anchor AND m IS NOT NULL THEN m WHEN anchor AND regexp_matches(content, '^[0-9]') THEN '' END AS start FROM m),
+s AS (SELECT *, count(start) OVER (PARTITION BY doc_id ORDER BY line) AS no FROM t),
+g AS (SELECT doc_id, no, max(start) AS method, count(*) AS n, max(contains(content, 'the')::INT) + max(contains(content, 'de')::INT) + 2 * max((length(content) > 60)::INT) + least(3, len(list_distinct(flatten(list(regexp_extract_all(content, '[A-Z][a-z]+ung'))))) ) AS score FROM s WHERE no > 0 GROUP BY ALL),
+o AS (SELECT doc_id, method, count(*) AS an, sum(n) AS al, count(*) FILTER (score > 0) AS gn, sum(n) FILTER (score > 0) AS gl, max(score) AS score FROM g WHERE method <> '' GROUP BY ALL),
+n AS (SELECT DISTINCT doc_id, m AS method FROM m WHERE m IS NOT NULL), w AS (SELECT doc_id, count(*) AS dl FROM m GROUP BY 1),
+j AS (SELECT n.doc_id, n.method, an, al, gn, gl, coalesce(score, 0) AS score, dl, count(*) FILTER (coalesce(gn, 0) > 0) OVER (PARTITION BY n.doc_id) >= least(2, count(*) OVER (PARTITION BY n.doc_id)) AS ok FROM n LEFT JOIN o ON n.doc_id = o.doc_id AND n.method = o.method JOIN w ON w.doc_id = n.doc_id),
+x AS (SELECT *, CASE WHEN NOT ok OR an IS NULL THEN 'full_document' WHEN gn > 0 THEN 'document_section' ELSE 'low_signal' END AS origin FROM j)
+SELECT doc_id, method, origin, CASE origin WHEN 'full_document' THEN 1 WHEN 'document_section' THEN gn ELSE an END::BIGINT AS sections, CASE origin WHEN 'full_document' THEN dl WHEN 'document_section' THEN gl ELSE al END::BIGINT AS n_lines, score::BIGINT AS score FROM x""")
 def t12d(spark, d):
     c = F.col("content")
-    method = F.when((F.length(c) <= 180) & c.contains(":"), "colon").when((F.length(c) <= 180) & c.contains("|"), "table")
-    return T.method_sections(table(spark, d, "documents"), "doc_id", "text", method, [c.contains("the"), c.contains("de")], [F.length(c) > 60])
+    method = F.when(c.contains(":"), "colon").when(c.contains("|"), "table").when(c.contains("@"), "mail")
+    return T.method_sections(table(spark, d, "documents"), "doc_id", "text", method, [c.contains("the"), c.contains("de")], [F.length(c) > 60], "[A-Z][a-z]+ung", c.rlike("^[0-9]"))
 
 
 @query("j17_near_pairs")

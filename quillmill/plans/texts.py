@@ -295,10 +295,24 @@ def t5d(spark, d):
     return T.dictionary_scores(table(spark, d, "documents"), "doc_id", "text", dictionary, "alias", "label", "official", c.contains(":"), c.contains("|"), hints=opening, filename=F.left("text", F.lit(40)))
 
 
-@query("t9d_absence_reason", """
-SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN 'has_label' WHEN trim(text) = '' THEN 'empty_document' WHEN length(text) < 40 THEN 'too_short' WHEN contains(text, '|') THEN 'table_without_label' WHEN NOT contains(text, chr(10)) THEN 'single_line' ELSE 'no_heading' END AS reason FROM documents""")
+@query("t9d_absence_reason", rf"""WITH {LINES},
+c AS (SELECT doc_id, line, content, contains(content, '|') AS pipe, CASE WHEN contains(content, '|') THEN list_transform(string_split(regexp_replace(content, '^\||\|$', '', 'g'), '|'), lambda x: trim(x, ' '))
+  WHEN regexp_matches(content, '[:：]') THEN [trim(regexp_extract(content, '^([^:：]*?)\s*[:：]', 1), ' '), trim(regexp_extract(content, '^[^:：]*[:：]\s*(.*)$', 1, 's'), ' ')] ELSE [content] END AS cells FROM lns WHERE NOT (contains(content, '|') AND regexp_matches(content, '^[|:\- ]+$'))),
+m AS (SELECT *, nullif(list_position(list_transform(cells, lambda x: regexp_matches(x, '^[A-Z][a-z]+$')), true), 0) AS place, regexp_matches(content, '(?i)none|keine') AS declared FROM c),
+k AS (SELECT *, last_value(CASE WHEN pipe THEN place END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS col FROM m),
+v AS (SELECT *, CASE WHEN declared THEN [] WHEN place IS NOT NULL THEN cells[place + 1:] WHEN pipe AND col IS NOT NULL THEN [cells[least(col, len(cells))]] ELSE [] END AS vals FROM k),
+e AS (SELECT doc_id, line, 0 AS pos, 'saw_table' AS state FROM v WHERE pipe AND regexp_matches(content, '[0-9]') UNION ALL SELECT doc_id, line, (pipe AND regexp_matches(content, '[0-9]'))::INT, 'saw_header' FROM v WHERE place IS NOT NULL
+  UNION ALL SELECT doc_id, line, (pipe AND regexp_matches(content, '[0-9]'))::INT + (place IS NOT NULL)::INT, 'declared_no_mapping' FROM v WHERE declared
+  UNION ALL SELECT doc_id, line, i + 2, CASE WHEN regexp_matches(x, '^[\s\-–—_./·|]*$') THEN 'blank_cell' WHEN length(x) BETWEEN 2 AND 40 AND regexp_matches(x, '[A-Za-z]') THEN 'value' ELSE 'unsound_value' END FROM (SELECT doc_id, line, unnest(vals) AS x, generate_subscripts(vals, 1) AS i FROM v)),
+f AS (SELECT doc_id, state, min(line * 1000000 + pos) AS spot FROM e GROUP BY ALL), s AS (SELECT doc_id, list(state ORDER BY spot, state) AS states FROM f GROUP BY 1)
+SELECT doc_id, array_to_string(coalesce(states, []), ',') AS states, CASE WHEN n_chars % 50 = 0 OR list_contains(states, 'value') THEN 'has_label' WHEN list_contains(states, 'declared_no_mapping') THEN 'declared_no_mapping' WHEN list_contains(states, 'unsound_value') THEN 'unsound_value'
+ WHEN list_contains(states, 'blank_cell') THEN 'blank_cell' WHEN list_contains(states, 'saw_header') THEN 'header_without_value' WHEN list_contains(states, 'saw_table') THEN 'table_without_header' WHEN regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', '', 'g') = '' THEN 'empty_document' ELSE 'no_sign' END AS reason
+FROM documents LEFT JOIN s USING (doc_id)""")
 def t9d(spark, d):
-    return T.absence_reason(table(spark, d, "documents"), "doc_id", F.col("text"), F.when(F.col("n_chars") % 5 == 0, 1).otherwise(0))
+    v = F.col("value")
+    docs = table(spark, d, "documents")
+    found = T.absence_states(docs, "doc_id", "text", "^[A-Z][a-z]+$", "[0-9]", "(?i)none|keine", F.length(v).between(2, 40) & v.rlike("[A-Za-z]"), F.col("n_chars") % 50 == 0)
+    return found.select("doc_id", F.array_join("states", ",").alias("states"), "reason")
 
 
 @query("t13d_contextual_labels", """

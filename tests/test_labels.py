@@ -133,3 +133,36 @@ def test_bundle_lists(spark):
 def test_direct_classes_are_shown(spark):
     found = bundle(spark, ROWS)
     assert found[1, "verified"] == [("c1", 1.0)] and found[2, "verified"] == [("c3", 0.9333)] and found[4, "verified"] == [("c1", 1.0), ("c3", 1.0)]
+
+
+def test_every_absence_state_is_reached(spark):
+    from quillmill.operators import documents as T
+
+    texts = {
+        "has_label": "| Class | Note |\n|---|---|\n| weld | 1 |", "declared_no_mapping": "| no 1 | x |\nClass: mapping none", "unsound_value": "Class: 7\nother", "blank_cell": "| Class |  -  |\nline",
+        "header_without_value": "Class\ntext", "table_without_header": "| a | 1 |", "empty_document": "  \n ", "no_sign": "just text",
+    }
+    rows = [(i, t, r) for i, (r, t) in enumerate(texts.items())] + [(90, None, "empty_document"), (91, "| Class |\n| 5 |\n| . |\n| real name |", "has_label")]
+    v = F.col("value")
+    out = {r.k: r for r in T.absence_states(spark.createDataFrame(rows, "k int, t string, r string"), "k", "t", "^Class$", "[0-9]", "none", F.length(v).between(2, 40) & v.rlike("[a-z]")).collect()}
+    assert {k: out[k].reason for k, _, _ in rows} == {k: r for k, _, r in rows}
+    assert out[91].states == ["saw_header", "saw_table", "unsound_value", "blank_cell", "value"]
+    marked = T.absence_states(spark.createDataFrame(rows, "k int, t string, r string").withColumn("f", F.col("k") == 7), "k", "t", "^Class$", "[0-9]", "none", F.lit(True), F.col("f")).filter("k = 7").collect()
+    assert marked[0].reason == "has_label"
+
+
+def test_sections_pass_the_anchor_test_and_score(spark):
+    from quillmill.operators import documents as T
+
+    text = "Talk ..... 3\nTalk first\nask 5 minutes\nTable of words\nWritten part\nplain\nTalk again\nnothing\nAppendix\nask more"
+    rows = [(1, text), (2, "Talk only\nask"), (3, "Talk\nx\nWritten\ny"), (4, "no method"), (5, None), (6, "Talk " + "x" * 200 + "\nWritten\nask")]
+    c = F.col("content")
+    method = F.when(c.startswith("Talk"), "talk").when(c.startswith("Written"), "written")
+    out = T.method_sections(spark.createDataFrame(rows, "k int, t string"), "k", "t", method, [c.contains("ask")], [c.rlike("[0-9] minutes")], "[A-Z][a-z]+le", c == "Appendix").collect()
+    assert {(r.k, r.method): (r.origin, r.sections, r.n_lines, r.score) for r in out} == {
+        # only one of two methods has a section that scores
+        (1, "talk"): ("full_document", 1, 10, 4), (1, "written"): ("full_document", 1, 10, 0), (2, "talk"): ("document_section", 1, 2, 1),
+        (3, "talk"): ("full_document", 1, 4, 0), (3, "written"): ("full_document", 1, 4, 0), (6, "talk"): ("full_document", 1, 3, 0), (6, "written"): ("full_document", 1, 3, 1),
+    }
+    both = T.method_sections(spark.createDataFrame([(1, text.replace("plain", "ask Table"))], "k int, t string"), "k", "t", method, [c.contains("ask")], [c.rlike("[0-9] minutes")], "[A-Z][a-z]+le", c == "Appendix").collect()
+    assert {(r.method, r.origin, r.sections, r.n_lines, r.score) for r in both} == {("talk", "document_section", 1, 3, 4), ("written", "document_section", 1, 2, 2)}
