@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as X
 from quillmill.functions import udfs as U
 from quillmill.operators import documents as T
+from quillmill.operators import elicitation as E
 from quillmill.operators import labels as B
 from quillmill.operators import quality as Q
 from quillmill.operators import questions as K
@@ -350,7 +351,7 @@ def _questions(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
     first = F.get("ts", F.lit(0))
     side = lambda same: F.transform(F.filter(F.slice("ts", F.lit(2), F.size("ts")), lambda x: (x["role"] == first["role"]) == F.lit(same)), lambda x: x["text"])
-    shaped = c.select((F.col("conv_id") % 100).cast("string").alias("set_id"), F.col("conv_id").alias("ord"), first["role"].alias("method"), first["text"].alias("question"), side(True).alias("follow_ups"), side(False).alias("points"))
+    shaped = c.select(F.floor(F.col("conv_id") / 5).cast("string").alias("set_id"), F.col("conv_id").alias("ord"), first["role"].alias("method"), first["text"].alias("question"), side(True).alias("follow_ups"), side(False).alias("points"))
     empty = {
         "code": "'c'", "competency": "substring(question, 1, 3)", "detail": "'d'", "focus": "'the'", "evidence": "array(struct('c' as code, question as text))", "evidence_id": "'e'", "evidence_required": "true",
         "source": "if(ord % 2 = 0, 'model', 'rule')", "preserved": "true", "labels": "array(substring(question, 1, 20))", "repeated": "false", "grounded": "true",
@@ -366,6 +367,13 @@ def q1_full(spark, d):
     return K.question_report(_questions(spark, d), WORDS_OF, near).select("set_id", "ord", "score", "ready", F.array_join("issues", ",").alias("issues"))
 
 
+@query("q1_set_summary")
+def q1_sets(spark, d):
+    near = lambda a, b: F.levenshtein(a, b) < F.greatest(F.length(a), F.length(b)) * 0.18
+    questions = _questions(spark, d)
+    return K.set_summary(K.question_report(questions, WORDS_OF, near), questions.select("set_id").distinct().withColumn("expected", F.lit(5)))
+
+
 @query("q2_realism_checks")
 def q2_full(spark, d):
     return Q.weighted_realism(_questions(spark, d), K.realism_checks(WORDS_OF)).select("ord", "realism", F.array_join("realism_issues", ",").alias("issues"))
@@ -405,6 +413,13 @@ def q6(spark, d):
     return Q.alignment(p, "p_partkey", "points", F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 25, F.col("p_type"))))
 
 
+@query("q6_elicitation")
+def q6_matrix(spark, d):
+    """Conversations as items: the turns of the first speaker ask, the others' turns are what is scored."""
+    kinds = E.Kinds({"cause": r"\bth", "number": "[0-9]", "place": r"\b(?:in|on)\b"}, traits="^(?:er|an)$", split=r"\s*[,;.]\s+", one=r"\bor\b", some=r"\bwh")
+    return E.elicitation(_questions(spark, d).withColumn("prompts", F.concat(F.array("question"), "follow_ups")), "ord", "points", "prompts", kinds, count=None).withColumn("issues", F.array_join("issues", ","))
+
+
 @query("q7_control", """
 SELECT doc_id, concat_ws(';', CASE WHEN toxic = 1 THEN 'blind_hiring_safe' END, CASE WHEN quality = 0 THEN 'needs_review' END, CASE WHEN doc_id % 50 = 0 THEN 'coverage_blocker' END) AS codes,
  toxic = 1 OR quality = 0 OR doc_id % 50 = 0 AS review_required, toxic = 1 OR doc_id % 50 = 0 AS escalation_required FROM labels""")

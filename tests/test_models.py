@@ -16,7 +16,7 @@ from quillmill.streaming import reviewlog
 #: Queries without SQL, and the test that holds their operator against a model.
 MODELS = {
     "l1_review_stream": "test_streams_equal_batches", "l4_admitted": "test_rejected_requests_do_not_enter_the_window", "l4_admitted_stream": "test_streams_equal_batches",
-    "l5_session_stream": "test_sessions_end_by_timer", "l2_rollback_replay": "test_replay_equals_a_loop", "j10_fuzzy_classes": "test_fuzzy_classes_equal_a_loop",
+    "q6_elicitation": "test_each_decision_is_reached", "q1_set_summary": "test_sets_sum_up_their_questions", "l5_session_stream": "test_sessions_end_by_timer", "l2_rollback_replay": "test_replay_equals_a_loop", "j10_fuzzy_classes": "test_fuzzy_classes_equal_a_loop",
     "j17_near_pairs": "test_repeats_equal_a_loop", "d5_diverse_set": "test_greedy_set_equals_a_loop", "d6_scoped_unique": "test_scoped_unique_equals_a_loop",
     "d7_repeats": "test_repeats_equal_a_loop", "d8_history_duplicates": "test_history_duplicates_equal_a_loop", "d9_unseen_keys": "test_unseen_keys_equal_a_loop",
     "x7_sequence_ratio": "test_sequence_ratio_is_difflib", "x9_stems": "test_stems_and_particles", 
