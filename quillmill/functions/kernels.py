@@ -87,7 +87,7 @@ def ratios_reach(texts: list[str], i: np.ndarray, j: np.ndarray, least: np.ndarr
         open_ = open_[2 * common >= need[open_]]
         for p in open_:
             one, other = texts[a[p]], texts[b[p]]
-            out[at + p] = one == other or SequenceMatcher(None, one, other).ratio() >= bar[p]
+            out[at + p] = (1.0 if one == other else SequenceMatcher(None, one, other).ratio()) >= bar[p]
     return out
 
 

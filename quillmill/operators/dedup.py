@@ -49,10 +49,10 @@ def repeats(df: DataFrame, key: str, signature: Column, text: Column, order: str
     so texts of a signature are not compared with all others.
     """
     rows = df.select(F.col(key).alias("k"), signature.alias("s"), X.question_key(text).alias("t"), F.col(order).alias("o")).filter("s <> ''")
-    # of a general signature all but the first are repeats, whatever their texts
-    shown = rows.withColumn("t", F.when(F.col("s").endswith(general), "").otherwise(F.coalesce("t", F.lit(""))))
+    # of a general signature all but the first are repeats, whatever their texts: they count as one that no key is; a blank text repeats nothing
+    shown = rows.withColumn("t", F.when(F.col("s").endswith(general), "*").otherwise(F.col("t"))).filter("t <> ''")
     texts = stage(shown.groupBy("s", "t").agg(F.min("o").alias("o")).withColumn("id", F.monotonically_increasing_id()), "repeat-texts")
-    compared = texts.filter("t <> ''")
+    compared = texts.filter("t <> '*'")
     near = with_near(compared, compared, least, earlier=True).withColumn("near", F.lit(True))
     facts = texts.join(near, "id", "left").select(F.col("s").alias("fs"), F.col("t").alias("ft"), F.col("o").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     told = shown.join(facts, (F.col("s") == F.col("fs")) & (F.col("t") == F.col("ft"))).filter(F.col("near") | (F.col("o") > F.col("first")))
@@ -107,7 +107,7 @@ def same_result(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def similar_keys(later: list[str], earlier: list[str], stop: frozenset[str] = frozenset(), least_ratio: float = 0.92) -> np.ndarray:
-    """D4 for question keys, each of one list with each of the other, as a matrix."""
+    """D4 for question keys, each of one list with each of the other, as a matrix; a blank key is like none."""
     texts = later + earlier
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(later)), np.arange(len(earlier)) + len(later), indexing="ij"))
     out = kernels.ratios_reach(texts, i, j, least_ratio).reshape(len(later), len(earlier))
@@ -121,7 +121,8 @@ def similar_keys(later: list[str], earlier: list[str], stop: frozenset[str] = fr
     g, h = np.array([len(w) for w in grams[:cut]])[:, None], np.array([len(w) for w in grams[cut:]])[None, :]
     common = kernels.shared(grams[:cut], grams[cut:])
     near |= (g > 0) & (h > 0) & (common / np.maximum(1, g + h - common) >= 0.68)
-    return out | (some & near)
+    told = np.array([k != "" for k in texts])
+    return (out | (some & near)) & told[:cut, None] & told[None, cut:]
 
 
 def _numbered_rows(df: DataFrame, block: str, order: str, **columns: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,5 +19,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # workers find the package whatever folder the driver runs in; on a cluster it is installed
+        .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parent.parent))
         .getOrCreate()
     )
