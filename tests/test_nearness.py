@@ -92,7 +92,7 @@ def test_similar_keys_are_d4():
         g, h = (kernels.char_grams(k.replace(" ", "")) for k in (a, b))
         both = len(x & y)
         words_near = bool(x and y) and ((both >= 5 and both / min(len(x), len(y)) >= 0.62) or (both >= 4 and both / len(x | y) >= 0.8) or bool(g and h and len(g & h) / len(g | h) >= 0.68))
-        return SequenceMatcher(None, a, b).ratio() >= 0.92 or words_near
+        return bool(a and b) and (SequenceMatcher(None, a, b).ratio() >= 0.92 or words_near)
 
     assert dedup.similar_keys(keys, keys).tolist() == [[similar(a, b) for b in keys] for a in keys]
 
