@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quillmill.functions import kernels
+from quillmill.functions.hangul import has_final_consonant
 
 
 @F.pandas_udf(DoubleType())
@@ -122,12 +123,6 @@ def rewriter(rules: tuple[tuple[str, str], ...]):
     return run
 
 
-def has_final_consonant(word: str) -> bool:
-    """Whether the last Hangul syllable ends in a consonant; false for anything else."""
-    last = word[-1:] if word else ""
-    return "가" <= last <= "힣" and (ord(last) - 0xAC00) % 28 != 0
-
-
 #: Particles after a consonant and after a vowel.
 PARTICLES = (("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmill.functions import hangul as H
 from quillmill.functions import text as X
 from quillmill.functions import udfs as U
 from quillmill.operators import documents as T
@@ -11,6 +12,8 @@ from quillmill.operators import elicitation as E
 from quillmill.operators import labels as B
 from quillmill.operators import quality as Q
 from quillmill.operators import questions as K
+from quillmill.operators import signals as S
+from quillmill.operators import surfaces as N
 from quillmill.plans.catalog import query, table
 from quillmill.plans.ranks import LINES, QKEY
 
@@ -127,6 +130,47 @@ def x16(spark, d):
     return table(spark, d, "part").select("p_partkey", rewrite("p_name").alias("r")).select("p_partkey", "r.text", "r.rule")
 
 
+PHRASES = N.Phrases(
+    rules={"지식": ((r"\s*규정$", " 규정 적용·판단 기준"), (r"(분석|점검)$", "$1·판단 기준")), "기술": ((r"\s*분석$", " 검토 절차"), (r"\s*점검$", " 확인 절차"))},
+    default={"지식": " 확인·판단 기준", "기술": " 수행·검증 절차", "태도": " 행동 기준", "": " 업무 기준"},
+    elements={"지식": " 관련 정보 확인·판단 기준", "": " 수행·검증 절차"}, competencies={"태도": " 행동 기준", "": " 업무 기준"}, fallback={"": "업무 판단과 수행 기준"},
+)
+CLAUSES = ("분석하는", "찾아낼 수 있는", "다루는", "검토할 수 있는", "점검하고자 하는", "읽을 수 있는", "관리")
+
+
+def _clause(of):
+    """A clause on a part's name: a verb form chosen by its size, behind an object that ends in a vowel or a consonant."""
+    verb = F.element_at(F.array(*[F.lit(c) for c in CLAUSES]), (F.col("p_size") % len(CLAUSES) + 1).cast("int"))
+    return F.concat(of, F.when(F.col("p_size") % 2 == 0, " 문건을 ").otherwise(" 자료를 "), verb)
+
+
+NOUNS = "CASE p_size % 7 WHEN 0 THEN '분석' WHEN 1 THEN '찾아내기' WHEN 2 THEN '다루기' WHEN 3 THEN '검토' WHEN 4 THEN '점검' WHEN 5 THEN '읽기' ELSE '관리' END"
+PHRASED = f"p_name || CASE WHEN p_size % 2 = 0 THEN ' 문건' ELSE ' 자료' END || CASE WHEN p_size % 7 < 6 THEN ' ' WHEN p_size % 2 = 0 THEN '을 ' ELSE '를 ' END || {NOUNS}"
+
+
+@query("x16_noun_phrases", f"""
+SELECT p_partkey, {PHRASED} AS phrase, CASE p_size % 7 WHEN 0 THEN '하는' WHEN 1 THEN 'ㄹ 수 있는' WHEN 2 THEN '는' WHEN 3 THEN '하ㄹ 수 있는' WHEN 4 THEN '하고자 하는' WHEN 5 THEN '을 수 있는' END AS ending FROM part""")
+def x16_nouns(spark, d):
+    return table(spark, d, "part").select("p_partkey", H.nominaliser()(_clause(F.col("p_name"))).alias("r")).select("p_partkey", F.col("r.text").alias("phrase"), "r.ending")
+
+
+@query("x16_task_objects", f"""
+WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '지식' WHEN 1 THEN '기술' ELSE '태도' END AS kind, p_partkey % 11 AS r, p_size % 7 AS v, p_brand, p_type, {PHRASED} AS f FROM part)
+SELECT p_partkey, CASE WHEN r < 7 THEN CASE WHEN kind = '지식' AND v IN (0, 4) THEN f || '·판단 기준' WHEN kind = '기술' AND v = 0 THEN regexp_replace(f, ' 분석$', ' 검토 절차') WHEN kind = '기술' AND v = 4 THEN regexp_replace(f, ' 점검$', ' 확인 절차')
+    ELSE f || CASE kind WHEN '지식' THEN ' 확인·판단 기준' WHEN '기술' THEN ' 수행·검증 절차' ELSE ' 행동 기준' END END
+  WHEN r = 7 THEN p_brand || CASE kind WHEN '지식' THEN ' 관련 정보 확인·판단 기준' ELSE ' 수행·검증 절차' END
+  WHEN r = 8 THEN f || CASE kind WHEN '지식' THEN ' 확인·판단 기준' WHEN '기술' THEN ' 수행·검증 절차' ELSE ' 행동 기준' END
+  WHEN r = 9 THEN p_type || CASE kind WHEN '태도' THEN ' 행동 기준' ELSE ' 업무 기준' END ELSE '업무 판단과 수행 기준' END AS surface,
+ CASE WHEN r < 7 THEN 'factor_repair' WHEN r = 7 THEN 'element_name' WHEN r = 8 THEN 'competency_definition' WHEN r = 9 THEN 'competency_name' ELSE 'safe_fallback' END AS tag FROM p""")
+def x16_objects(spark, d):
+    """Clauses as factors; of parts by their key, some have an element, a definition or a competency only, or nothing."""
+    rest = F.col("p_partkey") % 11
+    kind = F.element_at(F.array(F.lit("지식"), F.lit("기술"), F.lit("태도")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    factor = F.when(rest < 7, F.concat(_clause(F.col("p_name")), F.lit(" ("), kind, F.lit(")")))
+    found = N.task_objects(table(spark, d, "part"), factor, kind, F.when(rest == 7, F.col("p_brand")), F.when(rest == 8, _clause(F.col("p_name"))), F.when(rest == 9, F.col("p_type")), PHRASES)
+    return found.select("p_partkey", "surface", "tag")
+
+
 @query("x9_prefix_anchors", r"""
 WITH t AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2)) AS a, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda x: length(x) >= 2)) AS b,
   regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS ak, regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS bk FROM part),
@@ -393,6 +437,65 @@ def q3(spark, d):
     return Q.demand_metrics(table(spark, d, "conversations"), F.col("text"), ("th", "er", "on"), 2).select("conv_id", "turn", F.size("actions").alias("n"), "overloaded")
 
 
+SCENARIO = S.Scenario(
+    quantified="[0-9]", incident="err|fall", artifact="(?:ing|heit|eau|tion)[.,]", actor="whsh", dilemma="; ", conflict="[|]",
+    stances={"rule or case": ("ver", "ß"), "now or sure": ("ment", "ç")}, relations={"now or sure": ("ment", "ç"), "more with less": ("ss", "[(]")},
+)
+
+
+@query("q3_scenario_signals", """
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+m AS (SELECT doc_id, len(list_distinct(regexp_extract_all(t, '(?:ing|heit|eau|tion)[.,]'))) AS n, regexp_matches(t, '[0-9]') AS q, regexp_matches(t, 'err|fall') AS i, contains(t, '|') AS c, contains(t, 'whsh') AS a, contains(t, '; ') AS d,
+  contains(t, 'ver') AND contains(t, 'ß') AS s1, contains(t, 'ment') AND contains(t, 'ç') AS s2, contains(t, 'ss') AND contains(t, '(') AS r2 FROM t)
+SELECT doc_id, q AS quantified_fact, i OR c AS incident, a OR s1 OR s2 AS actor_action, n::INTEGER AS artifact_count, d OR s1 OR s2 OR c OR r2 AS dilemma, (q AND (i OR c OR n > 0)) OR a OR s1 OR s2 OR (n >= 2 AND (i OR c)) OR r2 AS concrete_fact,
+ concat_ws(',', CASE WHEN s1 THEN 'rule or case' END, CASE WHEN s2 THEN 'now or sure' END) AS stances, concat_ws(',', CASE WHEN s2 THEN 'now or sure' END, CASE WHEN r2 THEN 'more with less' END) AS relations FROM m""")
+def q3_signals(spark, d):
+    out = S.scenario_signals(table(spark, d, "documents"), F.col("text"), SCENARIO)
+    return out.select("doc_id", "quantified_fact", "incident", "actor_action", "artifact_count", "dilemma", "concrete_fact", F.array_join("stances", ",").alias("stances"), F.array_join("relations", ",").alias("relations"))
+
+
+DEMANDS = S.Demands(sentence="who|wh|qu|sch", asks="wh|qu|sch", action="ing|ment|ung", nominal="(?:th|en|ie)r? ?e", families={"look": "th|ei", "decide": "er", "tell": "on|ou", "write": "an"}, outputs={"rule": "re", "note": "le", "plan": "ing|ie", "list": ","})
+
+
+@query("q3_demand_overload", r"""
+WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations),
+s AS (SELECT *, trim(array_to_string(list_filter(regexp_extract_all(t, '[^.?!\n]+[.?!\n]?'), lambda x: regexp_matches(x, 'who|wh|qu|sch')), ' '), ' ') AS d FROM t),
+a AS (SELECT *, regexp_extract_all(d, 'wh|qu|sch') AS cues, string_split_regex(d, 'wh|qu|sch') AS parts FROM s),
+b AS (SELECT *, list_transform(range(1, len(cues) + 1), lambda i: [cues[i], substr(d, coalesce(list_sum(list_transform(parts[1:i], lambda x: length(x))), 0)::BIGINT + list_sum(list_transform(cues[1:i], lambda x: length(x)))::BIGINT + 1, 50)]) AS asked FROM a),
+n AS (SELECT conv_id, turn, t, d, len(list_distinct(list_transform(asked, lambda x: x[1] || ':' || CASE WHEN regexp_matches(x[2], 'ing|ment|ung') THEN regexp_extract(x[2], 'ing|ment|ung') ELSE regexp_extract(x[2], '[0-9\p{L}]{2,20}') END))) AS slots,
+  len(list_distinct(list_transform(regexp_extract_all(d, '(?:th|en|ie)r? ?e'), lambda x: replace(x, ' ', '')))) AS nouns, regexp_matches(d, 'th|ei')::INT + contains(d, 'er')::INT + regexp_matches(d, 'on|ou')::INT + contains(d, 'an')::INT AS f,
+  contains(d, 're')::INT + contains(d, 'le')::INT + regexp_matches(d, 'ing|ie')::INT + contains(d, ',')::INT AS o FROM b)
+SELECT conv_id, turn, greatest(slots, nouns)::INTEGER AS demand_slots, f::INTEGER AS demand_families, o::INTEGER AS demand_outputs, length(d)::INTEGER AS demand_length,
+ (greatest(slots, nouns) >= 5 AND f >= 4) OR (length(t) >= 320 AND length(d) >= 150 AND f >= 2 AND o >= 4) AS overload_warning FROM n""")
+def q3_overload(spark, d):
+    out = S.demand_overload(table(spark, d, "conversations"), F.col("text"), DEMANDS)
+    return out.select("conv_id", "turn", "demand_slots", "demand_families", "demand_outputs", "demand_length", "overload_warning")
+
+
+MEASURES = S.Measurement(
+    methods={"user": (("th", "qu"), ("en",)), "assistant": (("sch", "tion"), ("ou", "er"))}, kinds={"지식": (("the", "die", "la"), ("on", "in")), "기술": (("ver", "ment", "ing"),)},
+    relations={"user": S.Relation((("sch", "wh"),), (("ung", "ing"),), 12)}, negation="[.]", asks="qu|wh|die", shallow="^in ", report="en|ti", idle=("that",),
+)
+
+
+@query("q4_measurement", r"""
+WITH i AS (SELECT conv_id, turn, role AS m, lower(trim(coalesce(text, ''))) AS q, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS b, lower(regexp_extract(coalesce(text, ''), '[A-Za-z]{4,}')) AS f FROM conversations),
+h AS (SELECT *, CASE WHEN f <> '' THEN replace(b, f, '') ELSE b END AS rest, CASE m WHEN 'user' THEN [regexp_matches(b, 'th|qu'), contains(b, 'en')] WHEN 'assistant' THEN [regexp_matches(b, 'sch|tion'), regexp_matches(b, 'ou|er')] ELSE [] END AS g,
+  m = 'user' AND regexp_matches(b, '(?:sch|wh).{0,12}(?:ung|ing)(?:[^.]|$)|(?:ung|ing)(?:(?:sch|wh)|[^.].{0,11}(?:sch|wh))') AS related FROM i),
+c AS (SELECT conv_id, turn, array_to_string(list_filter([
+  CASE WHEN q = '' THEN 'has_question' END, CASE WHEN m NOT IN ('user', 'assistant') THEN 'has_supported_method' END, CASE WHEN f = '' THEN 'focus_visible' END,
+  CASE WHEN NOT CASE turn % 3 WHEN 0 THEN regexp_matches(rest, 'the|die|la') AND regexp_matches(rest, 'on|in') WHEN 1 THEN regexp_matches(rest, 'ver|ment|ing') ELSE true END THEN 'ksa_type_operationalized' END,
+  CASE WHEN NOT (related OR (len(g) > 0 AND NOT list_contains(g, false))) THEN 'observable_task' END, CASE WHEN NOT regexp_matches(q, 'qu|wh|die') THEN 'elicits_response' END, CASE WHEN length(b) < 40 THEN 'sufficient_task_detail' END,
+  CASE WHEN starts_with(q, 'in ') OR (f <> '' AND len(list_filter(string_split(b, f)[2:], lambda x: starts_with(x, 'en') OR starts_with(x, 'ti'))) > 0) THEN 'not_ksa_restatement' END, CASE WHEN turn % 2 = 0 AND conv_id % 7 = 0 THEN 'evidence_linked' END], lambda x: x IS NOT NULL), ',') AS issues FROM h)
+SELECT conv_id, turn, issues, issues = '' AS passed FROM c""")
+def q4_measured(spark, d):
+    """Turns as questions, by role as method, on their first long word as focus; every seventh conversation lacks the evidence it needs."""
+    kind = F.when(F.col("turn") % 3 == 0, "지식").when(F.col("turn") % 3 == 1, "기술").otherwise("태도")
+    focus, evidence = F.regexp_extract(X.text_or_empty(F.col("text")), "[A-Za-z]{4,}", 0), F.when(F.col("conv_id") % 7 > 0, F.col("conv_id").cast("string"))
+    out = S.measurement(table(spark, d, "conversations"), F.col("text"), F.col("role"), focus, kind, evidence, F.col("turn") % 2 == 0, MEASURES)
+    return out.select("conv_id", "turn", F.array_join("issues", ",").alias("issues"), "passed")
+
+
 @query("q4_marker_groups", "SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'in') OR contains(lower(text), 'en')) AS measured FROM documents")
 def q4(spark, d):
     return table(spark, d, "documents").select("doc_id", Q.groups_hit(F.col("text"), [("the", "der"), ("in", "en")]).alias("measured"))
