@@ -347,6 +347,35 @@ def test_bounds_of_the_tree_hold(spark, monkeypatch):
     assert whole > bound
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_parts_of_the_tree_are_the_whole_tree(spark, monkeypatch, depth):
+    rng = random.Random(31)
+    phrases = [[f"w{int(rng.random() ** 3 * 60)}" for _ in range(rng.randrange(2, 7))] for _ in range(9)]
+    rows = [(i, " ".join(w for _ in range(rng.randrange(0, 12)) for w in rng.choice(phrases))) for i in range(80)] + [(900, None), (901, "Unseen words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, kept = plain_tree_scores(rows, depth, 4.0, 3, 2)
+    lengths = []
+    deal = suffix_tree._deal
+    monkeypatch.setattr(suffix_tree, "_deal", lambda *args: lengths.append(deal(*args)) or lengths[-1])
+    monkeypatch.setattr(suffix_tree, "PART_TOKENS", 12)
+    out = suffix_tree.score_documents(docs, depth=depth, min_gain=4.0, min_context=3, min_entry=2).collect()
+    assert len(lengths[0][0].indexes) == depth and lengths[0][0].parts > 50  # contexts of every length are too common for a part
+    assert len(out) == len(rows) and kept[depth]
+    for r in out:
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9), r
+
+
+def test_no_count_asked_for_grows_with_the_corpus(spark):
+    rng = random.Random(17)
+    phrases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(6)) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(12))) for i in range(260)]
+    expected, kept = plain_tree_scores(rows, 3, 8.0, 2, 1)
+    out = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert out[0].train_tokens > 13_000 and kept[2]
+    for r in out:
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9), r
+
+
 def test_index_finds_what_it_holds():
     rng = np.random.default_rng(6)
     for n in (0, 1, 7, 5000):
