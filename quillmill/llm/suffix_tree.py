@@ -46,16 +46,32 @@ PART_TOKENS = 1_500_000
 CHUNK_TOKENS = 1_000_000
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """The numbers, compressed a byte of each at a time."""
-    raw = np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T)
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw.tobytes(), asbytes=True)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers of one kind, each byte of them compressed apart."""
+    codec, out = pa.Codec("zstd", 1), []
+    for numbers in columns:
+        planes = np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T)
+        parts = [codec.compress(x.tobytes(), asbytes=True) for x in planes]
+        out += [np.array([len(numbers), *map(len, parts)], np.int64).tobytes(), *parts]
+    return b"".join(out)
+
+
+def columns_of(data: bytes, kind=np.int32) -> list[np.ndarray]:
+    """The columns that ``packed`` was given."""
+    codec, width, at, out = pa.Codec("zstd"), np.dtype(kind).itemsize, 0, []
+    while at < len(data):
+        n, *sizes = np.frombuffer(data, np.int64, 1 + width, at).tolist()
+        at += 8 * (1 + width)
+        planes = np.empty((n, width), np.uint8)
+        for i, size in enumerate(sizes):
+            planes[:, i] = np.frombuffer(codec.decompress(data[at : at + size], n, asbytes=True), np.uint8)
+            at += size
+        out.append(planes.reshape(-1).view(kind))
+    return out
 
 
 def unpacked(data: bytes, kind=np.int32) -> np.ndarray:
-    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind)
+    return columns_of(data, kind)[0]
 
 
 @dataclass(frozen=True)
@@ -554,7 +570,7 @@ class Deal:
 
     The first ``parts`` are for the latter. Context ``i`` of length k has
     ``many[k - 1][i]`` parts from ``first[k - 1][i]`` on, dealt by the next
-    symbol of its context, or by the token itself after the longest contexts.
+    symbol of its context, or by the token itself where no longer context is.
     """
 
     parts: int
@@ -579,7 +595,7 @@ class Deal:
         out = mixed(before[0]) % self.parts
         for k, node in enumerate(nodes, 1):
             on = np.flatnonzero(node >= 0)
-            by = before[k] if k < self.depth else last
+            by = np.where(before[k] < 0, last, before[k]) if k < self.depth else last
             out[on] = self.first[k - 1][node[on]] + mixed(by[on]) % self.many[k - 1][node[on]]
         return out
 
@@ -626,11 +642,11 @@ def _windows(coded: DataFrame, deal: Deal) -> DataFrame:
                     before = [np.where(longest >= k, stream[np.maximum(at - k, 0)], np.int32(-1)) for k in range(1, deal.depth + 1)]
                     last, owner = stream[at], (owner + start).astype(np.int32)
                     part = deal.part(last, before, nodes)
-                    order = np.argsort((part << 32) | before[0])
-                    columns = [x[order] for x in (last, (owner + np.int32(first)) * 2 + held[owner], *before)]
+                    order = np.argsort((part << 32) | before[0], kind="stable")
+                    first_before, *columns = (x[order] for x in (before[0], last, (owner + np.int32(first)) * 2 + held[owner], *before[1:]))
                     part = part[order]
                     cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-                    data = [packed(np.concatenate([x[i:j] for x in columns])) for i, j in zip(cuts, cuts[1:])]
+                    data = [packed(np.diff(first_before[i:j], prepend=np.int32(0)), *(x[i:j] for x in columns)) for i, j in zip(cuts, cuts[1:])]
                     m = len(data)
                     yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, block)), pa.array(np.full(m, first + start)), pa.array(data, pa.binary())], names=["part", "length", "block", "at", "data"])
                     start += len(some)
@@ -655,7 +671,7 @@ def _sent_on(after: DataFrame, length: int, readers: list) -> DataFrame:
             node = key >> int(BITS)
             cuts = np.append(np.flatnonzero(np.diff(node, prepend=-1)), len(node))
             for a, b in zip(cuts, cuts[1:]):
-                data, parts, i = packed(np.concatenate([key[a:b] & ((1 << int(BITS)) - 1), n[a:b]])), sent.value[int(node[a])], i + 1
+                data, parts, i = packed(key[a:b] & ((1 << int(BITS)) - 1), n[a:b]), sent.value[int(node[a])], i + 1
                 m = len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(np.full(m, length, np.int32)), pa.array(np.full(m, task, np.int64)), pa.array(np.full(m, i, np.int64)), pa.array([data] * m, pa.binary())], names=["part", "length", "block", "at", "data"])
 
@@ -671,21 +687,24 @@ def _scored_by_parts(coded: DataFrame, alphabet: Alphabet, total: int, tokens: i
     sent = coded.sparkSession.sparkContext.broadcast(alphabet)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["part"]):
+        for group in sorted_groups(batches, ["part"]):  # a part is a task
             length, block = group.column("length").to_numpy(), group.column("block").to_numpy()
             here = np.flatnonzero(length == 0)
             if not len(here):
                 continue
             shared = []
             for k in range(1, int(length.max()) + 1):
-                some = [unpacked(group.column("data")[int(i)].as_py(), np.int64).reshape(2, -1) for i in np.flatnonzero(length == k)]
-                symbols, n = np.concatenate(some, axis=1)
+                some = [columns_of(group.column("data")[int(i)].as_py(), np.int64) for i in np.flatnonzero(length == k)]
+                symbols, n = map(np.concatenate, zip(*some))
                 order = np.argsort(symbols)
                 shared.append((symbols[order], n[order]))
-            some = [unpacked(group.column("data")[int(i)].as_py()).reshape(2 + depth, -1) for i in here]
-            part, block, sizes = group.column("part")[0].as_py(), block[here], [x.shape[1] for x in some]
+            some = [columns_of(group.column("data")[int(i)].as_py()) for i in here]
+            part, block, sizes = group.column("part")[0].as_py(), block[here], [len(x[0]) for x in some]
             del group
-            last, text, *before = np.concatenate(some, axis=1)
+            for x in some:
+                x[0] = np.cumsum(x[0], dtype=np.int32)
+            before, last, text, *more = map(np.concatenate, zip(*some))
+            before = [before, *more]
             del some
             value = grown(last, before, text % 2 == 0, shared, lambda x: sent.value.root(x, total), min_gain, min_context, min_entry)
             owner, one = _numbered((np.repeat(block, sizes) << 32) | (text >> 1))
@@ -696,7 +715,7 @@ def _scored_by_parts(coded: DataFrame, alphabet: Alphabet, total: int, tokens: i
                 [pa.array(block[cuts[:-1]]), pa.array(np.full(len(pairs), part)), pa.array([packed(text[i:j]) for i, j in pairs], pa.binary()), pa.array([packed(sums[i:j]) for i, j in pairs], pa.binary())], names=["block", "part", "texts", "sums"]
             )
 
-    dealt = rows.repartition(deal.size or deal.parts, "part").sortWithinPartitions("part", "length", "block", "at")
+    dealt = rows.repartitionById(deal.size or deal.parts, F.col("part").cast("int")).sortWithinPartitions("part", "length", "block", "at")
     return dealt.mapInArrow(lambda batches: released(score(batches)), "block long, part long, texts binary, sums binary")
 
 
@@ -766,6 +785,7 @@ def score_documents(
     ids are rows of their own. An empty table gives no rows; other columns are
     not read, so none can clash.
     """
+    min_context, min_entry = max(1, min_context), max(1, min_entry)
     tables = _tables(_source(docs, id_col, text_col, modulus, remainder))
     ends = tables.filter("not held").count()
     common = min_context if most_words is None else _bound(_word_counts(tables), "c", min_context, most_words)
@@ -774,7 +794,7 @@ def score_documents(
     alphabet = Alphabet.of(ends, buckets)
     n, v = ends + sum(r["n"] for r in buckets), (ends > 0) + sum(r["seen"] for r in buckets)
     coded = _coded(tables, vocabulary.filter("reply is not null").select("block", "bucket", "reply"), alphabet, ends, n + v + 1, common)
-    if most_entries is None:
+    if most_entries is None and depth:
         tokens = int(coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).collect()[0]["t"])
         sums = _scored_by_parts(coded, alphabet, n, tokens, depth, min_gain, min_context, min_entry)
     else:

@@ -365,6 +365,22 @@ def test_parts_of_the_tree_are_the_whole_tree(spark, monkeypatch, depth):
         assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9), r
 
 
+def test_starts_of_many_texts_are_dealt_to_many_parts():
+    deal, last = suffix_tree.Deal(1, 3), np.arange(2049, 3049)
+    deal.add(np.zeros(1, np.uint64), np.array([5 * suffix_tree.PART_TOKENS]))
+    none = np.full(1000, -1)
+    part = deal.part(last, [np.zeros(1000, np.int64), none, none], [np.zeros(1000, np.int64)])
+    assert deal.size == 6 and set(part) == set(range(1, 6))
+
+
+def test_columns_survive_packing():
+    rng = np.random.default_rng(8)
+    for kind in (bool, np.int32, np.int64, np.float64):
+        columns = [(rng.normal(size=n) * 9).astype(kind) for n in (0, 1, 999)]
+        found = suffix_tree.columns_of(suffix_tree.packed(*columns), kind)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, found, strict=True))
+
+
 def test_no_count_asked_for_grows_with_the_corpus(spark):
     rng = random.Random(17)
     phrases = [" ".join(f"w{rng.randrange(3000)}" for _ in range(6)) for _ in range(900)]
