@@ -38,7 +38,7 @@ BITS = np.uint64(32)
 CLASSES = 2048
 #: Distinct keys that a counting task holds at most; then it hands on what it has.
 TASK_KEYS = 2_000_000
-#: Parts of the vocabulary.
+#: Parts of the vocabulary at least; as many as the session has shuffle partitions where those are more.
 BUCKETS = 256
 #: Tokens of a part of the tree on average; a context before as many training tokens is dealt to parts of its own.
 PART_TOKENS = 1_500_000
@@ -93,9 +93,9 @@ class Alphabet:
     inside: np.ndarray
 
     @staticmethod
-    def of(ends: int, buckets: list) -> Alphabet:
-        """From the rows of ``_vocabulary`` that sum up the buckets."""
-        common, times, inside = np.zeros(BUCKETS, np.int64), np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
+    def of(ends: int, buckets: list, size: int) -> Alphabet:
+        """From the rows of ``_vocabulary`` that sum up the ``size`` buckets."""
+        common, times, inside = np.zeros(size, np.int64), np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
         inside[0], times[0] = ends + (ends > 0), ends
         starts, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         for row in sorted(buckets, key=lambda r: r["bucket"]):
@@ -105,7 +105,7 @@ class Alphabet:
             common[row["bucket"]] = row["common"]
             starts.append((row["bucket"] << 32) + unpacked(row["run"], np.int64))
             counts.append(unpacked(row["run_c"], np.int64))
-        if (common.max() + 1) * BUCKETS + CLASSES >= 1 << 31:
+        if (common.max() + 1) * size + CLASSES >= 1 << 31:
             raise ValueError("too many common words; raise min_context")
         return Alphabet(common, np.concatenate(starts), np.concatenate(counts), times, inside)
 
@@ -113,12 +113,12 @@ class Alphabet:
         return CLASSES + 1 + int(self.common.sum())
 
     def number(self, bucket: int, place: np.ndarray) -> np.ndarray:
-        return CLASSES + 1 + place * BUCKETS + bucket
+        return CLASSES + 1 + place * len(self.common) + bucket
 
     def seen(self, symbols: np.ndarray) -> np.ndarray:
         """Training tokens of each symbol."""
         symbols = symbols.astype(np.int64)
-        place, bucket = np.divmod(np.maximum(symbols - CLASSES - 1, 0), BUCKETS)
+        place, bucket = np.divmod(np.maximum(symbols - CLASSES - 1, 0), len(self.common))
         own = self.counts[np.searchsorted(self.starts, (bucket << 32) + place, "right") - 1]
         return np.where(symbols <= CLASSES, self.times[np.minimum(symbols, CLASSES)], own)
 
@@ -379,7 +379,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str, modulus: int, remainder
     return docs.select(F.col(f"`{id_col}`").alias("id"), held_out(F.col(f"`{id_col}`"), modulus, remainder).alias("held"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def _tables(source: DataFrame) -> DataFrame:
+def _tables(source: DataFrame, buckets: int) -> DataFrame:
     """Texts as word numbers, and the words of each block of texts with their training counts.
 
     Rows of three kinds: a document's id and whether it is held out; some
@@ -400,7 +400,7 @@ def _tables(source: DataFrame) -> DataFrame:
                 table = Numbered()
                 texts = [table.of(text.lower().split(), np.int32) for text in group]
                 words = list(table)
-                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
+                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
                 often = np.bincount(np.concatenate(texts), minlength=len(words))
                 number = np.empty(len(words), np.int32)
                 number[np.argsort(-often, kind="stable")] = np.arange(1, len(words) + 1, dtype=np.int32)
@@ -416,7 +416,7 @@ def _tables(source: DataFrame) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 yield _rows(block, id_t, order=[packed(number[order])])
                 c = c[number[order]]
-                ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(ends)):
                     i, j = ends[b], ends[b + 1]
                     yield _rows(block, id_t, bucket=pa.array([b], pa.int32()), words=[b" ".join([words[x] for x in order[i:j]])], counts=[packed(c[i:j])])
@@ -447,8 +447,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table,
         yield group.column("bucket")[0].as_py(), group, [words[i] for i in order], total[order], [place[x] for x in places]
 
 
+def _buckets(df: DataFrame) -> int:
+    return max(BUCKETS, partitions(df.sparkSession))
+
+
 def _dealt(tables: DataFrame) -> DataFrame:
-    return tables.filter("words is not null").select("block", "bucket", "words", "counts").repartition(min(BUCKETS, 2 * partitions(tables.sparkSession)), "bucket").sortWithinPartitions("bucket", "block")
+    return tables.filter("words is not null").select("block", "bucket", "words", "counts").repartition(min(_buckets(tables), 2 * partitions(tables.sparkSession)), "bucket").sortWithinPartitions("bucket", "block")
 
 
 def _word_counts(tables: DataFrame) -> DataFrame:
@@ -786,12 +790,13 @@ def score_documents(
     not read, so none can clash.
     """
     min_context, min_entry = max(1, min_context), max(1, min_entry)
-    tables = _tables(_source(docs, id_col, text_col, modulus, remainder))
+    size = _buckets(docs)
+    tables = _tables(_source(docs, id_col, text_col, modulus, remainder), size)
     ends = tables.filter("not held").count()
     common = min_context if most_words is None else _bound(_word_counts(tables), "c", min_context, most_words)
     vocabulary = _vocabulary(tables, common)
     buckets = vocabulary.filter("run is not null").drop("block", "reply").collect()
-    alphabet = Alphabet.of(ends, buckets)
+    alphabet = Alphabet.of(ends, buckets, size)
     n, v = ends + sum(r["n"] for r in buckets), (ends > 0) + sum(r["seen"] for r in buckets)
     coded = _coded(tables, vocabulary.filter("reply is not null").select("block", "bucket", "reply"), alphabet, ends, n + v + 1, common)
     if most_entries is None and depth:

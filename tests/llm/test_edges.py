@@ -358,6 +358,7 @@ def test_parts_of_the_tree_are_the_whole_tree(spark, monkeypatch, depth):
     deal = suffix_tree._deal
     monkeypatch.setattr(suffix_tree, "_deal", lambda *args: lengths.append(deal(*args)) or lengths[-1])
     monkeypatch.setattr(suffix_tree, "PART_TOKENS", 12)
+    monkeypatch.setattr(suffix_tree, "BUCKETS", 5)
     out = suffix_tree.score_documents(docs, depth=depth, min_gain=4.0, min_context=3, min_entry=2).collect()
     assert len(lengths[0][0].indexes) == depth and lengths[0][0].parts > 50  # contexts of every length are too common for a part
     assert len(out) == len(rows) and kept[depth]
