@@ -31,12 +31,19 @@ def resolve_details(terms: DataFrame, term: str, term_order: str, catalogue: Dat
     return (kept.orderBy("__t", order).limit(most) if most else kept).drop("__k", "__ck", "__t")
 
 
-def holding(texts: DataFrame, text: str, terms: DataFrame, term: str, n: int = 2, most_heads: int = 0) -> DataFrame:
+#: Characters of terms up to which they are sent to every task; more are shuffled.
+MOST_SENT = 1_000_000
+
+
+def holding(texts: DataFrame, text: str, terms: DataFrame, term: str, n: int = 2, most_heads: int = 0, most_sent: int = MOST_SENT) -> DataFrame:
     """Each text beside each term that it holds, also inside a word, by an equi-join on the term's first ``n`` characters.
 
     Terms of fewer characters are left out. Where the terms are a dictionary,
     ``most_heads`` lets their beginnings, if they are no more than that, be
-    sought in a text one by one; the result is the same.
+    sought in a text one by one; the result is the same. Terms are measured
+    first and sent to every task if they have up to ``most_sent`` characters.
+    The texts' pieces never are, whatever size Spark expects of them: it does
+    not count that they are many to a text.
     """
     asked = terms.filter(F.length(term) >= n).withColumn("__piece", F.substring(term, 1, n))
     pieces = X.pieces(F.col(text), n)
@@ -44,7 +51,9 @@ def holding(texts: DataFrame, text: str, terms: DataFrame, term: str, n: int = 2
         heads = [r[0] for r in asked.select("__piece").distinct().limit(most_heads + 1).collect()]  # at most that many
         if len(heads) <= most_heads:
             pieces = F.filter(F.array(*[F.lit(h) for h in heads]).cast("array<string>"), lambda h: F.col(text).contains(h))
-    return texts.withColumn("__piece", F.explode(pieces)).join(asked, "__piece").filter(F.col(text).contains(F.col(term))).drop("__piece")
+    size = asked.agg(F.coalesce(F.sum(F.length(term)), F.lit(0))).collect()[0][0]
+    sought = F.broadcast(asked) if size <= most_sent else asked.hint("merge")
+    return texts.withColumn("__piece", F.explode(pieces)).join(sought, "__piece").filter(F.col(text).contains(F.col(term))).drop("__piece")
 
 
 def suggestions(terms: DataFrame, term: str, catalogue: DataFrame, name: str, unit: str) -> DataFrame:
