@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
+from quillmill.sources.staging import stage
 
 
 def stratified_sample(df: DataFrame, stratum: str, kind: str, order: list[Column], per_cell: int, strata: int) -> DataFrame:
@@ -18,27 +19,38 @@ def stratified_sample(df: DataFrame, stratum: str, kind: str, order: list[Column
     return cut.join(F.broadcast(numbers), stratum, "left_semi").drop("__rn")
 
 
-def tfidf(docs: DataFrame, doc_id: str, text: Column, query: DataFrame, query_text: Column, low: int = 2, high: int = 4) -> DataFrame:
+#: Distinct grams up to which their weights are sent to every task; more are shuffled.
+MOST_GRAMS = 200_000
+
+
+def tfidf(docs: DataFrame, doc_id: str, text: Column, query: DataFrame, query_text: Column, low: int = 2, high: int = 4, keep: tuple[str, ...] = (), most_grams: int = MOST_GRAMS) -> DataFrame:
     """Cosine of character n-gram TF-IDF between one query row and every document.
 
     tf = 1 + ln(count), idf = ln((N + 1) / (df + 1)) + 1; query grams that no
     document holds are left out; documents are normed over all their grams.
-    Returns ``doc_id, sim`` for every document, 0 without a common gram.
+    Returns ``doc_id, sim`` and the columns ``keep`` for every document, 0
+    without a common gram. Equal texts are weighed once; a text's grams stay in
+    the task that has the text, and only the grams' counts are shuffled. Sizes
+    are counted first, since Spark does not expect a text to have many grams.
     """
-    named = docs.select(F.col(doc_id).alias("__d"), X.char_ngrams(text, low, high).alias("__g"))
-    terms = named.select("__d", F.explode("__g").alias("g")).groupBy("__d", "g").agg((1 + F.log(F.count("*"))).alias("tf"))
+    named = docs.select(doc_id, *keep, X.label_key(text).alias("__t"))
+    texts = named.groupBy("__t").agg(F.count("*").alias("__n"))
+    # grouped by text and gram, rows stay where the texts were grouped
+    terms = texts.select("__t", "__n", F.explode(X.char_ngrams(F.col("__t"), low, high)).alias("g")).groupBy("__t", "g").agg(F.max("__n").alias("__n"), (1 + F.log(F.count("*"))).alias("tf"))
     total = docs.agg(F.count("*").alias("n_docs"))
-    idf = terms.groupBy("g").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("g", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weights = terms.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = stage(terms.groupBy("g").agg(F.sum("__n").alias("df")).crossJoin(F.broadcast(total)).select("g", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    few = idf.count() <= most_grams
     asked = (
         query.select(F.explode(X.char_ngrams(query_text, low, high)).alias("g")).groupBy("g").agg((1 + F.log(F.count("*"))).alias("qtf"))
         .join(idf, "g").select("g", (F.col("qtf") * F.col("idf")).alias("qw"))
     )
     query_norm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    # norm and product of a document in one pass over its grams
-    sums = weights.join(asked, "g", "left").groupBy("__d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = sums.filter("dot is not null").crossJoin(F.broadcast(query_norm)).select("__d", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("sim"))
-    return docs.select(F.col(doc_id).alias("__d")).join(scored, "__d", "left").select(F.col("__d").alias(doc_id), F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    weighed = idf.join(asked, "g", "left").select("g", "idf", "qw")
+    # norm and product of a text in one pass over its grams
+    weights = terms.join(F.broadcast(weighed) if few else weighed.hint("merge"), "g").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = weights.groupBy("__t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = sums.filter("dot is not null").crossJoin(F.broadcast(query_norm)).select("__t", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("sim"))
+    return named.join(scored, "__t", "left").select(doc_id, *keep, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def min_max(score: Column, low: Column, high: Column) -> Column:

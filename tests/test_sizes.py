@@ -1,6 +1,12 @@
 """Sizes that Spark expects wrongly, or that one task would have to hold."""
 
-from quillmill.operators import match
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from quillmill.operators import match, ranking
 
 
 def plan(df):
@@ -15,3 +21,25 @@ def test_pieces_of_texts_are_never_broadcast(spark):
     assert {(r.i, r.term) for r in few.collect()} == {(r.i, r.term) for r in many.collect()} == want
     assert "BuildRight" in plan(few) and "BuildLeft" not in plan(few)
     assert "BroadcastHashJoin" not in plan(many)
+
+
+def test_documents_and_grams_are_not_broadcast(spark):
+    """Equal texts, blank ones and nulls; the plain formula is the model."""
+    names = ["hot ring", "cold ring", "hot ring", "", None, "zz", "x", "ring"]
+    docs = spark.createDataFrame(list(enumerate(names)), "d int, t string")
+    query = spark.createDataFrame([("hot ring ring",)], "q string")
+
+    def grams(t):
+        t = re.sub("[^0-9a-z]", "", (t or "").lower())
+        return Counter([t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)] or [t] * (len(t) == 1))
+
+    idf = {g: math.log((len(names) + 1) / (n + 1)) + 1 for g, n in Counter(g for t in names for g in set(grams(t))).items()}
+    weigh = lambda t: {g: (1 + math.log(n)) * idf[g] for g, n in grams(t).items() if g in idf}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    q = weigh("hot ring ring")
+    want = {i: sum(w * q.get(g, 0) for g, w in weigh(t).items()) / (norm(weigh(t)) * norm(q) or 1) for i, t in enumerate(names)}
+    for most in (200_000, 0):
+        found = ranking.tfidf(docs, "d", F.col("t"), query, F.col("q"), most_grams=most)
+        assert {r.d: round(r.sim, 9) for r in found.collect()} == {i: round(s, 9) for i, s in want.items()}
+    # neither the documents nor their grams are sent anywhere, however small Spark thinks they are
+    assert "BuildLeft" not in plan(found) and "BroadcastHashJoin [__t" not in plan(found) and "BroadcastHashJoin [d#" not in plan(found)
