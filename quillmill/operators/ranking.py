@@ -98,10 +98,9 @@ def rank_factors(df: DataFrame, unit: str, kind: str, order: list[Column], cap:
     """W4 (CF2): per-unit cap with a slot kept for each type not yet seen, then the first n."""
     typed = F.coalesce(F.trim(F.col(kind)), F.lit("")) != ""
     first = typed & (F.row_number().over(Window.partitionBy(unit, kind).orderBy(*order)) == 1)
-    marked = df.withColumn("__first", first)
-    kinds = marked.groupBy(unit).agg(F.count_if("__first").alias("__kinds"))
+    marked = df.withColumn("__first", first).withColumn("__kinds", F.count_if("__first").over(Window.partitionBy(unit)))
     by = Window.partitionBy(unit, "__first").orderBy(*order)
-    counted = marked.withColumn("__no", F.row_number().over(by)).join(kinds, unit)
+    counted = marked.withColumn("__no", F.row_number().over(by))
     room = F.when(F.col("__first"), F.lit(cap)).otherwise(F.greatest(F.lit(0), F.lit(cap) - F.col("__kinds")))
     return counted.filter(F.col("__no") <= room).drop("__no", "__kinds", "__first").orderBy(*order).limit(n)
 
