@@ -283,7 +283,9 @@ def k3(spark, d):
 def flagship_rank(spark, d):
     """Parts ranked against a text, diversified by class, then their factors by type."""
     from quillmill.plans.ranks import order, ranked_units
+    from quillmill.sources.staging import stage
 
-    units = ranked_units(spark, d)
+    # read by two passes, and of a known size from here on
+    units = stage(ranked_units(spark, d), "ranked-units")
     top = R.diversified(units, "p_brand", "sim", order(), 12, R.class_cap(12, 25))
     return R.rank_factors(units.join(top.select("p_brand").distinct(), "p_brand", "left_semi"), "p_brand", "p_type", order(), 4, 40).select("p_partkey", "p_brand", "p_type", "score")

@@ -55,7 +55,7 @@ def many_parts(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["w2_rank_units", "w3_diversified_topk", "w4_rank_factors"])
+@pytest.mark.parametrize("name", ["w2_rank_units", "w3_diversified_topk", "w4_rank_factors", "flagship_ranked_evidence"])
 def test_units_are_not_broadcast(spark, many_parts, name):
     """Parts stand once in the plan and keep their columns on the way to their similarity."""
     text = plan(catalog.queries()[name](spark, many_parts))
