@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as X
+from quillmill.streaming.reviewlog import in_order
 
 
 def statuses(checks: dict[str, tuple[Column, Column]]) -> Column:
@@ -122,30 +122,42 @@ def control(df: DataFrame, triggers: list[tuple[str, Column, bool]]) -> DataFram
     return df.withColumn("trigger_codes", codes).withColumn("review_required", F.size("trigger_codes") > 0).withColumn("escalation_required", F.arrays_overlap("trigger_codes", F.array(*[F.lit(c) for c in escalates])) if escalates else F.lit(False))
 
 
-def repair_loop(df: DataFrame, block: str, text: str, order: str, audit: Callable[[str, list[str]], list[str]], repair: Callable[[str, list[str], int], str], attempts: int = 6, most_rows: int = 20_000) -> DataFrame:
+class History(list):
+    """Accepted texts in order; whether a text is among them is known at once."""
+
+    def __init__(self):
+        super().__init__()
+        self._held: set[str] = set()
+
+    def append(self, text: str) -> None:
+        super().append(text)
+        self._held.add(text)
+
+    def __contains__(self, text: object) -> bool:
+        return text in self._held
+
+
+def repair_loop(df: DataFrame, block: str, text: str, order: str, audit: Callable[[str, list[str]], list[str]], repair: Callable[[str, list[str], int], str], attempts: int = 6) -> DataFrame:
     """Q8: audit, repair up to ``attempts`` times and audit again, in order; accepted texts join the history.
 
-    Sequential within a block by definition; blocks run in parallel.
+    Sequential within a block by definition; blocks run in parallel. A task
+    goes through a block's rows in sorted batches and holds its accepted texts,
+    so blocks may have any number of rows. ``audit`` only reads the history.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"a block of {len(pdf)} rows is too large for a sequential operator; choose a finer block")
-        history: list[str] = []
-        rows = []
-        for b, o, t in pdf.sort_values("ord", kind="stable")[["block", "ord", "text"]].itertuples(index=False):
-            tries, issues = 0, audit(t, history)
-            while issues and tries < attempts:
-                tries += 1
-                t = repair(t, issues, tries)
-                issues = audit(t, history)
-            if not issues:
-                history.append(t)
-            rows.append((b, o, t, tries, not issues))
-        return pd.DataFrame(rows, columns=["block", "ord", "text", "tries", "ready"])
+    def step(history: History, row: tuple) -> tuple:
+        b, o, t = row
+        tries, issues = 0, audit(t, history)
+        while issues and tries < attempts:
+            tries += 1
+            t = repair(t, issues, tries)
+            issues = audit(t, history)
+        if not issues:
+            history.append(t)
+        return b, o, t, tries, not issues
 
     shaped = df.select(F.col(block).cast("string").alias("block"), F.col(order).cast("long").alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return shaped.groupBy("block").applyInPandas(run, "block string, ord long, text string, tries int, ready boolean")
+    return in_order(shaped, ["block"], [F.col("ord").asc_nulls_last()], "block string, ord long, text string, tries int, ready boolean", lambda _: History(), step)
 
 
 def evidence_locks(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -57,7 +57,7 @@ def fold(stack: list[tuple[int, str]], event: int, action: str, verdict: str | N
     return "accepted"
 
 
-def in_order(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, tuple], tuple]) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], order: list[str | Column], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, tuple], tuple]) -> DataFrame:
     """Rows of each key (the first columns) in order through ``step(state, row)``, which gives a row of ``schema``.
 
     Keys are hashed to tasks and rows sorted there, so a task holds one batch

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import match, ranking
+from quillmill.operators import match, quality, ranking
 from quillmill.plans import catalog
 
 
@@ -60,3 +60,12 @@ def test_units_are_not_broadcast(spark, many_parts, name):
     """Parts stand once in the plan and keep their columns on the way to their similarity."""
     text = plan(catalog.queries()[name](spark, many_parts))
     assert not re.search(r"Join \[p_partkey#\d+L\], \[(?:p_partkey|__d)#", text)
+
+
+def test_a_block_has_any_number_of_rows(spark):
+    """More rows of one block than were once let in, half of them accepted as they are."""
+    n = 24_000
+    df = spark.range(n).selectExpr("id AS ord", "'b' AS block", "cast(id % (24000 div 2) AS string) AS text")
+    audit = lambda t, h: ["seen"] if t in h else []
+    out = quality.repair_loop(df, "block", "text", "ord", audit, lambda t, issues, k: f"{t}x")
+    assert {(r.tries, r.ready): r["count"] for r in out.groupBy("tries", "ready").count().collect()} == {(0, True): n // 2, (1, True): n // 2}
