@@ -153,13 +153,55 @@ def pick_round_robin(requests: DataFrame, detail: str, offset: str, pool: DataFr
     return asked.join(numbered.select(F.col(pool_detail).alias("__pd"), "__i", unit), (F.col("__pd") == F.col("__d")) & (F.col("__i") == F.col("__want"))).drop("__d", "__pd", "__i", "__want", "__size")
 
 
+def _parts(keys: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """Each key beside its distinct substrings ``__part`` of the given lengths."""
+    sized = keys.withColumn("__l", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(key))))
+    cut = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - F.col("__l") + 1), lambda i: F.array_join(F.slice(chars, i, F.col("__l")), ""))
+    all_ = F.get(F.transform(F.array(F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))), cut), F.lit(0))
+    return sized.withColumn("__part", F.explode(F.array_distinct(all_))).drop("__l")
+
+
+def _lengths(keys: DataFrame, key: str) -> list[int]:
+    """The distinct lengths of keys: no more than the longest key has characters."""
+    return sorted(r[0] for r in keys.select(F.length(key)).distinct().collect())
+
+
 def attach_evidence(questions: DataFrame, q_id: str, q_code: str, q_label: str, preferred: str, evidence: DataFrame, e_id: str, e_code: str, e_text: str, order: str, most: int = 3) -> DataFrame:
-    """Up to ``most`` rows of evidence of the question's code: its own id, then texts that hold or are held by its label, then the rest."""
-    joined = questions.join(evidence, F.col(q_code) == F.col(e_code))
-    a, b = X.surface_key(F.col(q_label)), X.surface_key(F.col(e_text))
-    tier = F.when(F.col(e_id) == F.col(preferred), 0).when((a != "") & (b != "") & (a.contains(b) | b.contains(a)), 1).otherwise(2)
+    """Up to ``most`` rows of evidence of the question's code: its own id, then texts that hold or are held by its label, then the rest.
+
+    Questions never meet all the evidence of their code. If a question has k
+    rows of its own id and k < ``most``, at most k of the rows that hold its
+    label, or of all, are among those; so the first ``most`` that fit a (code,
+    label), and the first ``most`` of a code, are enough to go on with. Labels
+    and texts that hold one another are found by equal substrings.
+    """
+    asked = questions.withColumn("__a", X.surface_key(F.col(q_label)))
+    known = evidence.withColumn("__b", X.surface_key(F.col(e_text)))
+    columns = [*questions.columns, *evidence.columns]
+    own = F.coalesce(F.col(e_id) == F.col(preferred), F.lit(False))
+    held = (F.col("__a") != "") & (F.col("__b") != "") & (F.col("__a").contains(F.col("__b")) | F.col("__b").contains(F.col("__a")))
+
+    def firsts(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__rn") <= most).drop("__rn")
+
+    # names apart from the questions' own, whatever these are called
+    labels = asked.select(F.col(q_code).alias("__qc"), F.col("__a").alias("__qa")).filter("__qc is not null and __qa <> ''").distinct()
+    stock = firsts(known.filter("__b <> ''"), e_code, "__b")
+    texts = stock.select(F.col(e_code).alias("__ec"), F.col("__b").alias("__eb")).filter("__ec is not null").distinct()
+    short, long_ = _lengths(texts, "__eb"), _lengths(labels, "__qa")
+    reach = max(long_, default=0)
+    within = _parts(labels, "__qa", [n for n in short if n <= reach]).join(texts.hint("merge"), (F.col("__qc") == F.col("__ec")) & (F.col("__part") == F.col("__eb")))
+    # equal keys are found above
+    around = _parts(texts, "__eb", long_).filter(F.length("__part") < F.length("__eb")).join(labels.hint("merge"), (F.col("__qc") == F.col("__ec")) & (F.col("__part") == F.col("__qa")))
+    pairs = within.select("__qc", "__qa", "__eb").unionByName(around.select("__qc", "__qa", "__eb"))
+    fitting = firsts(pairs.join(stock.hint("merge"), (F.col("__qc") == F.col(e_code)) & (F.col("__eb") == F.col("__b"))), "__qc", "__qa").drop("__eb")
+
+    same = F.col(q_code) == F.col(e_code)
+    zero = asked.join(known.hint("merge"), same & (F.col(preferred) == F.col(e_id))).select(*columns, F.lit(0).alias("tier"))
+    one = asked.join(fitting.hint("merge"), (F.col(q_code) == F.col("__qc")) & (F.col("__a") == F.col("__qa"))).filter(~own).select(*columns, F.lit(1).alias("tier"))
+    rest = asked.join(firsts(known, e_code).hint("merge"), same).filter(~own & ~held).select(*columns, F.lit(2).alias("tier"))
     rn = F.row_number().over(Window.partitionBy(q_id).orderBy("tier", order))
-    return joined.withColumn("tier", tier).withColumn("place", rn).filter(F.col("place") <= most)
+    return zero.unionAll(one).unionAll(rest).withColumn("place", rn).filter(F.col("place") <= most)
 
 
 def merge_order(ranked: DataFrame, code: str, rank: str, external: DataFrame, position: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sizes that Spark expects wrongly, or that one task would have to hold."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -69,3 +70,20 @@ def test_a_block_has_any_number_of_rows(spark):
     audit = lambda t, h: ["seen"] if t in h else []
     out = quality.repair_loop(df, "block", "text", "ord", audit, lambda t, issues, k: f"{t}x")
     assert {(r.tries, r.ready): r["count"] for r in out.groupBy("tries", "ready").count().collect()} == {(0, True): n // 2, (1, True): n // 2}
+
+
+def test_evidence_equals_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 4)))
+    questions = [(i, rng.choice([0, 1, 2, None]), rng.choice([word(), None, "A-" + word(), "ab ab"]), rng.choice([None, rng.randrange(30)])) for i in range(60)]
+    evidence = [(i, rng.choice([0, 0, 1, 3, None]), rng.choice([word(), word(), None, "B" + word()])) for i in range(30)]
+    key = lambda t: re.sub("[^0-9a-z]", "", (t or "").lower())
+    want = set()
+    for q, code, label, preferred in questions:
+        tier = lambda e: 0 if e[0] == preferred else 1 if key(label) and key(e[2]) and (key(label) in key(e[2]) or key(e[2]) in key(label)) else 2  # noqa: E731, B023
+        found = sorted((tier(e), e[0]) for e in evidence if code is not None and e[1] == code)
+        want |= {(q, e, t, k + 1) for k, (t, e) in enumerate(found[:3])}
+    df = match.attach_evidence(spark.createDataFrame(questions, "q int, code int, label string, pref int"), "q", "code", "label", "pref", spark.createDataFrame(evidence, "e int, ecode int, text string"), "e", "ecode", "text", "e")
+    assert {(r.q, r.e, r.tier, r.place) for r in df.collect()} == want
+    # no join by code alone but to the first rows of a code
+    assert len(re.findall(r"Join \[code#\d+\], \[ecode#\d+\]", plan(df).split("Initial Plan")[0])) == 1
