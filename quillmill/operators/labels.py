@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quillmill.functions import text as X
 from quillmill.operators import documents as T
 from quillmill.operators import match as M
+from quillmill.sources.staging import stage
 
 HTML, PIPE = "html", "pipe"
 RULE = r"^[|:\- ]+$"
@@ -83,7 +84,8 @@ def canonical_names(raw: DataFrame, text: str, names: DataFrame, label: str, ord
     first. Texts of one character match only as a whole.
     """
     dots = lambda c: F.regexp_replace(c, "[‧⋅∙･·․]", "·")
-    asked = raw.select(F.col(text).alias("__raw"), dots(F.col(text)).alias("__a")).distinct()
+    # counted and read more than once
+    asked = stage(raw.select(F.col(text).alias("__raw"), dots(F.col(text)).alias("__a")).distinct(), "raw-labels")
     stock = names.select(F.col(label).alias("__name"), F.col(order).cast("long").alias("__o"), dots(F.col(label)).alias("__n")).filter("__n <> ''")
     equal = asked.join(stock, F.lower("__a") == F.lower("__n")).groupBy("__raw").agg(F.min_by("__name", F.struct(F.col("__a") != F.col("__n"), "__o")).alias("__equal"))
     inner = M.holding(asked, "__a", stock, "__n").groupBy("__raw").agg(F.max_by("__name", F.struct(F.length("__n"), -F.col("__o"))).alias("__inner"))
@@ -93,7 +95,26 @@ def canonical_names(raw: DataFrame, text: str, names: DataFrame, label: str, ord
     return joined.select("__raw", F.coalesce("__equal", "__inner", "__outer", "__raw").alias("label"), bonus.alias("bonus"))
 
 
-def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label: str, order: str, anchor: str, headers: tuple[str, ...], section: str, ahead: int = 3, reach: int = 3, near_anchor: int = 3, near_section: int = 5, cap: int = 10, longest: int = 30, synergy: int = 2, threshold: int = 3, most: int = 5) -> DataFrame:
+def canonical(raws: DataFrame, text: str, names: DataFrame, label: str, order: str, most_names: int = 100) -> DataFrame:
+    """``raws`` with the ``label`` and ``bonus`` that ``canonical_names`` gives, in the row itself if there are up to ``most_names`` names."""
+    dots = lambda c: F.regexp_replace(c, "[‧⋅∙･·․]", "·")
+    stock = names.select(F.col(label).alias("name"), F.col(order).cast("long").alias("o"), dots(F.col(label)).alias("n")).filter("n <> ''")
+    few = stock.limit(most_names + 1).collect()  # at most that many
+    if len(few) > most_names:
+        return raws.join(canonical_names(raws, text, names, label, order), F.col(text) == F.col("__raw"))
+    listed = lambda rows: F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.n).alias("n"), F.lower(F.lit(r.n)).alias("low")) for r in rows]).cast("array<struct<name:string,n:string,low:string>>")
+    first = lambda rows, ok: F.get(F.filter(listed(rows), ok), F.lit(0))["name"]
+    in_order = sorted(few, key=lambda r: (r.o is None, r.o))
+    longest = sorted((r for r in in_order if len(r.n) >= 2), key=lambda r: -len(r.n))
+    keyed = raws.withColumn("__a", dots(F.col(text))).withColumn("__low", F.lower("__a"))
+    equal = F.coalesce(first(in_order, lambda x: x["n"] == F.col("__a")), first(in_order, lambda x: x["low"] == F.col("__low")))
+    around = F.when(F.length("__a") >= 2, first(in_order, lambda x: x["n"].contains(F.col("__a"))))
+    found = keyed.withColumn("__equal", equal).withColumn("__held", F.coalesce(first(longest, lambda x: F.col("__a").contains(x["n"])), around))
+    bonus = F.when(F.col("__equal").isNotNull(), 5).when(F.col("__held").isNotNull(), 3).otherwise(0)
+    return found.withColumn("label", F.coalesce("__equal", "__held", text)).withColumn("bonus", bonus).drop("__a", "__low", "__equal", "__held")
+
+
+def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label: str, order: str, anchor: str, headers: tuple[str, ...], section: str, ahead: int = 3, reach: int = 3, near_anchor: int = 3, near_section: int = 5, cap: int = 10, longest: int = 30, synergy: int = 2, threshold: int = 3, most: int = 5, most_names: int = 100) -> DataFrame:
     """T4d: small classes by three strategies, their scores summed by label; the ``most`` best, and ``best`` for the first if it reaches the threshold.
 
     Anchor lines give what follows the anchor, else the first of the next
@@ -102,18 +123,30 @@ def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label:
     and its catalogue bonus, 1 less if a cell is longer than ``longest``. Each
     line that holds a name counts 3 near an anchor line, 2 near a section line,
     else 1, at most ``cap`` for a name. A label of both kinds gains ``synergy``.
-    Ties go by label.
+    Ties go by label. A text's lines are held against one another in the text's
+    own row; what they give is shuffled once, by text, and only of tables more.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[\s:：·\-|>]+|[\s:：·\-|<]+$", ""))
     usable = lambda c: (clean(c) != "") & ~clean(c).isin(*headers)
-    rows = T.lines(df, doc, text).withColumn("__anchor", F.col("content").rlike(anchor))
-    by = Window.partitionBy(doc).orderBy("line")
+    split = F.transform(F.split(X.text_or_empty(F.col(text)), "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("content")))
+    marked = F.transform(F.filter(split, lambda x: x["content"] != ""), lambda x: F.struct(x["line"].alias("line"), x["content"].alias("content"), x["content"].rlike(anchor).alias("anchor"), x["content"].rlike(section).alias("section")))
+
+    def below(x: Column, k: Column) -> Column:
+        follow = F.filter(F.slice("__lines", k + 2, F.lit(ahead)), lambda y: y["line"] <= x["line"] + ahead)
+        stop = lambda f: F.array_position(F.transform(f, lambda y: y["anchor"]), True)
+        until = lambda f: F.when(stop(f) > 0, F.slice(f, F.lit(1), (stop(f) - 1).cast("int"))).otherwise(f)
+        return F.get(F.filter(F.transform(until(follow), lambda y: y["content"]), usable), F.lit(0))
+
+    def around(x: Column, k: Column, what: str, w: int) -> Column:
+        return F.exists(F.slice("__lines", F.greatest(k + 1 - w, F.lit(1)), F.lit(2 * w + 1)), lambda y: y[what] & F.abs(y["line"] - x["line"]).between(0, w))
+
+    def weighed_line(x: Column, k: Column) -> Column:
+        w = F.when(around(x, k, "anchor", near_anchor), 3).when(around(x, k, "section", near_section), 2).otherwise(1)
+        return F.struct(x["content"].alias("content"), x["anchor"].alias("__anchor"), F.when(x["anchor"], below(x, k)).alias("__below"), w.alias("__w"))
+
+    rows = df.select(doc, marked.alias("__lines")).select(doc, F.explode(F.transform("__lines", weighed_line)).alias("r")).select(doc, "r.*")
     after = F.regexp_replace("content", rf"^.*?(?:{anchor})", "")
-    follow = F.filter(F.collect_list(F.struct("line", "content", "__anchor")).over(by.rowsBetween(1, ahead)), lambda x: x["line"] <= F.col("line") + ahead)
-    stop = F.array_position(F.transform(follow, lambda x: x["__anchor"]), True)
-    until = F.when(stop > 0, F.slice(follow, F.lit(1), (stop - 1).cast("int"))).otherwise(follow)
-    below = F.get(F.filter(F.transform(until, lambda x: x["content"]), usable), F.lit(0))
-    from_lines = rows.withColumn("__below", below).filter("__anchor").select(doc, F.when(usable(after), after).otherwise(F.col("__below")).alias("raw"), F.lit(1).alias("base"))
+    from_lines = rows.filter("__anchor").select(doc, F.when(usable(after), after).otherwise(F.col("__below")).alias("raw"), F.lit(1).alias("base"))
 
     grid = table_rows(df, doc, text)
     downward = F.collect_list("cells").over(Window.partitionBy(doc, "kind", "tbl").orderBy("row").rowsBetween(1, reach))
@@ -125,12 +158,12 @@ def anchor_classes(df: DataFrame, doc: str, text: str, names: DataFrame, label:
     from_cells = spots.select(doc, F.explode(F.array(right, down)).alias("raw")).withColumn("base", F.when(F.length("raw") > longest, 0).otherwise(1))
 
     raws = from_lines.unionByName(from_cells).withColumn("raw", clean(F.col("raw"))).filter("raw <> ''")
-    told = raws.join(canonical_names(raws, "raw", names, label, order), F.col("raw") == F.col("__raw")).groupBy(doc, "label").agg(F.sum(F.col("base") + F.col("bonus")).alias("__told"))
-
-    around = lambda c, w: F.max(c).over(by.rangeBetween(-w, w))
-    weighed = rows.withColumn("__w", F.when(around(F.col("__anchor"), near_anchor), 3).when(around(F.col("content").rlike(section), near_section), 2).otherwise(1))
-    hits = M.holding(weighed, "content", names.select(F.col(label).alias("label")).distinct(), "label", most_heads=100).groupBy(doc, "label").agg(F.least(F.sum("__w"), F.lit(cap)).alias("__seen"))
-    both = told.join(hits, [doc, "label"], "full").withColumn("score", F.coalesce("__told", F.lit(0)) + F.coalesce("__seen", F.lit(0)) + F.when(F.col("__told").isNotNull() & F.col("__seen").isNotNull(), synergy).otherwise(0))
+    none = F.lit(None).cast("long")
+    told = canonical(raws, "raw", names, label, order, most_names).select(doc, "label", (F.col("base") + F.col("bonus")).cast("long").alias("__told"), none.alias("__seen"))
+    hits = M.holding(rows.select(doc, "content", "__w"), "content", names.select(F.col(label).alias("label")).distinct(), "label", most_heads=100).select(doc, "label", none.alias("__told"), F.col("__w").cast("long").alias("__seen"))
+    sums = told.unionByName(hits).repartition(doc).groupBy(doc, "label").agg(F.sum("__told").alias("__told"), F.sum("__seen").alias("__seen"))
+    seen = F.when(F.col("__seen").isNotNull(), F.least("__seen", F.lit(cap)))  # least() alone leaves nulls out
+    both = sums.withColumn("__seen", seen).withColumn("score", F.coalesce("__told", F.lit(0)) + F.coalesce("__seen", F.lit(0)) + F.when(F.col("__told").isNotNull() & F.col("__seen").isNotNull(), synergy).otherwise(0))
     rn = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "label"))
     return both.withColumn("rank", rn).filter(F.col("rank") <= most).select(doc, "label", F.col("score").cast("long").alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= threshold)).alias("best"))
 

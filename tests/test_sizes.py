@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import udfs
-from quillmill.operators import match, quality, ranking
+from quillmill.operators import labels, match, quality, ranking
 from quillmill.plans import catalog
 
 
@@ -105,3 +105,14 @@ def test_first_texts_equal_the_sql_on_odd_ones(spark, tmp_path):
 def test_accented_letters_are_no_hangul(spark):
     texts = ["Äßte, enzupfsch der, die.", "한국어 Äßte".encode().decode("latin-1")]
     assert [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(udfs.repair_mojibake("t").alias("t")).collect()] == [texts[0], "한국어 Äßte"]
+
+
+def test_lines_are_not_shuffled_and_many_names_give_the_same(spark):
+    names = spark.createDataFrame([("Small one", 2), ("small", 0), ("one", 1), ("A·b", 3), ("x", 4), ("Small One two", 5)], "label string, ord int")
+    lines = ["Class: SMALL ONE", "|Class|a∙B|x|", "|one|small one t|late|", "Class", "head", "mall o", "x", "none", "section", "Class small one", ""]
+    df = spark.createDataFrame([(i, "\n".join(lines[i:] + lines[:i])) for i in range(len(lines))] + [(99, None)], "d int, t string")
+    found = [labels.anchor_classes(df, "d", "t", names, "label", "ord", "Class", ("head",), "section", most_names=n) for n in (100, 0)]
+    few, many = ({(r.d, r.label, r.score, r["rank"], r.best) for r in x.collect()} for x in found)
+    assert few == many and len({x[1] for x in few}) > 4
+    # cells of pipes by text and by table, and what is found by text
+    assert len(re.findall(r"Exchange hashpartitioning\(d#", plan(labels.anchor_classes(df, "d", "t", names, "label", "ord", "Class", ("head",), "section")))) <= 3
