@@ -4,7 +4,8 @@ Rows may come in any order and in any number of files: they wait in list state
 until the watermark has passed them, and a timer then takes them in order. So a
 stream gives what a batch gives, for all rows that come within the watermark's
 delay; later ones are dropped by Spark. State is written entry by entry, not
-whole, and needs the RocksDB state store.
+whole, and needs the RocksDB state store. Rows come and go as rows: a frame for
+each key of a few rows would cost more than its state.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -59,18 +59,16 @@ class InOrder(StatefulProcessor):
         for at in {min((r[self.time] for r in rows), default=None), self.next_timer()} - {None}:
             self.handle.registerTimer(at // 1000 + 1)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            # whole numbers beside nulls come as floats
-            got = [tuple(None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r) for r in pdf[list(self.columns)].astype(object).itertuples(index=False)]
-            if got:
-                self.pending.appendList(got)
-                self._wake(got)
-        yield pd.DataFrame(columns=list(self.output))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        got = [tuple(r[c] for c in self.columns) for r in rows]
+        if got:
+            self.pending.appendList(got)
+            self._wake(got)
+        return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        waiting = [tuple(r) for r in self.pending.get()]
         due = sorted((r for r in waiting if r[self.time] < passed), key=lambda r: (r[self.time], r[self.tie]))
         left = [r for r in waiting if r[self.time] >= passed]
         out = self.take(key, due) if due else []
@@ -78,7 +76,8 @@ class InOrder(StatefulProcessor):
         if due:
             self.pending.put(left) if left else self.pending.clear()
         self._wake(left)
-        yield pd.DataFrame(out, columns=list(self.output)).astype(object)
+        named = Row(*self.output)
+        return iter([named(*r) for r in out])
 
     def close(self) -> None:
         pass
@@ -96,7 +95,7 @@ class Reviews(InOrder):
         self.stack = handle.getMapState("stack", "n long", "event long, verdict string")
 
     def take(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        base = depth = self.depth.get()[0] if self.depth.exists() else 0
+        base = depth = (self.depth.get() or (0,))[0]
         # only what is on top is read, and only what has changed is written
         own: list[tuple[int, str]] = []
         out = []
@@ -219,7 +218,7 @@ class Ring(InOrder):
 def _run(rows: DataFrame, keys: list[str], time: str, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     """``rows`` have a timestamp column ``time``; a row without one is left out, since no watermark ever passes it."""
     timed = rows.filter(F.col(time).isNotNull()).withColumn("at", F.unix_micros(time)).withWatermark(time, delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return timed.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
 
 
 def replay_stream(log: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -4,14 +4,17 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmill.functions import udfs
 from quillmill.operators import labels, match, quality, ranking
 from quillmill.plans import catalog
+from quillmill.streaming import keyed
 
 
 def plan(df):
@@ -116,3 +119,13 @@ def test_lines_are_not_shuffled_and_many_names_give_the_same(spark):
     assert few == many and len({x[1] for x in few}) > 4
     # cells of pipes by text and by table, and what is found by text
     assert len(re.findall(r"Exchange hashpartitioning\(d#", plan(labels.anchor_classes(df, "d", "t", names, "label", "ord", "Class", ("head",), "section")))) <= 3
+
+
+def test_streams_take_rows():
+    """No frame is made for a key's few rows."""
+    kept, timers = [], []
+    reviews = keyed.Reviews()
+    reviews.pending, reviews.handle = SimpleNamespace(appendList=kept.extend), SimpleNamespace(registerTimer=timers.append)
+    rows = [Row(at=5_000, event=2, action="review", verdict=None, expected=None), Row(at=3_000, event=1, action="rollback", verdict="x", expected=-1)]
+    assert list(reviews.handleInputRows(("r", "q"), iter(rows), None)) == []
+    assert kept == [tuple(r) for r in rows] and timers == [4]
